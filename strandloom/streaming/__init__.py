@@ -1,0 +1 @@
+"""No streaming operators: the engine's operators are batch plans (see README)."""
