@@ -79,3 +79,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 def tasks_for(spark: SparkSession, rows_or_bytes: int, each: int) -> int:
     """Partitions of about `each` units, at least as many as the session's shuffles have."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(rows_or_bytes) // each))
+
+
+#: Most bytes of keys that are broadcast; larger sets of keys are joined by shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def keyed(df: DataFrame, keys: DataFrame, on: str | list[str], how: str, row_bytes: int = 16) -> DataFrame:
+    """df joined with a written table of keys, which is counted first: broadcast when its rows
+    take at most BROADCAST_BYTES, else joined by shuffle."""
+    small = keys.count() * row_bytes <= BROADCAST_BYTES
+    return df.join(F.broadcast(keys) if small else keys, on, how)

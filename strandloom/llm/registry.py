@@ -1,10 +1,13 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import exact_dedup, quality_rules, secret_ledger
+from . import chat_events, chunk_bpe, exact_dedup, packing, quality_rules, secret_ledger
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
+    "op2_packing": packing.query,
+    "op3_chat_events": chat_events.query,
     "op5_secret_ledger": secret_ledger.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op9_chunk_bpe": chunk_bpe.query,
 }
 SQL = {"op6_exact_dedup": exact_dedup.SQL}
