@@ -1,6 +1,6 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import chat_events, chunk_bpe, exact_dedup, packing, quality_rules, secret_ledger
+from . import chat_events, chunk_bpe, exact_dedup, packing, partenum, quality_rules, repeated_windows, secret_ledger
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -8,6 +8,8 @@ QUERIES = {
     "op3_chat_events": chat_events.query,
     "op5_secret_ledger": secret_ledger.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op8_repeated_windows": repeated_windows.query,
     "op9_chunk_bpe": chunk_bpe.query,
+    "op10_partenum": partenum.query,
 }
 SQL = {"op6_exact_dedup": exact_dedup.SQL}
