@@ -17,9 +17,9 @@ one document in 64; the choice affects cost, never the result.
 
 Equal sets count once. Signatures travel packed by hash bucket and are grouped in each task
 before the shuffle: a hot one sends one entry from each unit of a task. Members of a signature
-are compared with its most connected member first, then with a member outside that component,
-and last across components, so large groups of near copies need few comparisons and no link
-between components is lost. A comparison has an exact lower bound on the difference from
+are compared with its most connected member first, and then across the components this leaves:
+all pairs of a small group, and those members of a large one whose differences from its center
+share an element, which is exact (see _Verifier.sharing). A comparison has an exact lower bound on the difference from
 counts by hash range, then the exact intersection.
 
 Defined cases: null, empty and blank texts have no shingles and are their own components;
@@ -264,13 +264,17 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
         labels = new.select("v", "c")
 
 
+#: Members of a signature up to which all pairs across its components are compared.
+MANY = 32
+
+
 class _Verifier:
     """Checks candidate pairs (a, b), each once; keeps the sets it has made."""
 
     def __init__(self, docs: DataFrame, about: DataFrame):
         self.docs, self.about, self.sets, self.tested, self.links = docs, about, None, None, None
 
-    def check(self, pairs: DataFrame) -> int:
+    def check(self, pairs: DataFrame) -> None:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
@@ -287,18 +291,7 @@ class _Verifier:
                 yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
         maybe = common.written(wide.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(near, "a long, b long"), "maybe")
-        ids = maybe.select(F.col("a").alias("doc_id")).union(maybe.select("b")).distinct()
-        if self.sets is not None:
-            ids = ids.join(self.sets.select("doc_id"), "doc_id", "left_anti")
-        ids = common.written(ids, "wanted")
-
-        def make(batches):
-            words = common.WordHashes(SEED)
-            for docs_, texts in _texts(batches):
-                yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array([shingle_set(t, words).tobytes() for t in texts], pa.binary())], ["doc_id", "elements"])
-
-        sets = common.written(common.keyed(self.docs, ids, "doc_id", "left_semi").mapInArrow(make, "doc_id long, elements binary").dropDuplicates(["doc_id"]), "sets")
-        self.sets = sets if self.sets is None else self.sets.union(sets)
+        s = self.made(maybe.select(F.col("a").alias("doc_id")).union(maybe.select("b")))
 
         def similar(batches):
             for batch in batches:
@@ -309,17 +302,63 @@ class _Verifier:
                     ok.append(100 * both >= 80 * (len(u) + len(v) - both))
                 yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        s = self.sets
         full = maybe.join(s.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb")), "b").join(s.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea")), "a")
+        found = self.few_rows(full.select("a", "b", "ea", "eb").mapInArrow(similar, "a long, b long"), "links")
+        self.links = found if self.links is None else self.links.union(found)
+
+    def few_rows(self, df: DataFrame, name: str) -> DataFrame:
+        """df as a written table, made with small Arrow batches as its rows hold sets."""
         conf = self.docs.sparkSession.conf
         rows = conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")  # rows are large here
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
         try:
-            found = common.written(full.select("a", "b", "ea", "eb").mapInArrow(similar, "a long, b long"), "links")
+            return common.written(df, name)
         finally:
             conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-        self.links = found if self.links is None else self.links.union(found)
-        return pairs.count()
+
+    def made(self, ids: DataFrame) -> DataFrame:
+        """doc_id, elements: the sets of those documents, and of others made before."""
+        ids = ids.distinct()
+        if self.sets is not None:
+            ids = ids.join(self.sets.select("doc_id"), "doc_id", "left_anti")
+        ids = common.written(ids, "wanted")
+
+        def make(batches):
+            words = common.WordHashes(SEED)
+            for docs_, texts in _texts(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array([shingle_set(t, words).tobytes() for t in texts], pa.binary())], ["doc_id", "elements"])
+
+        sets = common.written(common.keyed(self.docs, ids, "doc_id", "left_semi").mapInArrow(make, "doc_id long, elements binary").dropDuplicates(["doc_id"]), "sets")
+        self.sets = sets if self.sets is None else self.sets.union(sets)
+        return self.sets
+
+    def sharing(self, stars: DataFrame) -> DataFrame:
+        """Pairs of members of a star (a, rep, c: rep's component) that can still link.
+
+        Every member was compared with the center a. Let D(x) be x's difference from a. Two
+        members differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| elements; if D(x) and D(y) are disjoint and
+        x, y link, each of them links with a. So only members of different components
+        whose differences share an element are compared."""
+        stars = common.written(stars, "stars")
+        s = self.made(stars.select(F.col("rep").alias("doc_id")).union(stars.select("a")))
+        full = stars.join(s.select(F.col("doc_id").alias("rep"), F.col("elements").alias("er")), "rep").join(s.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea")), "a")
+
+        def differences(batches):
+            for batch in batches:
+                rows = [[], [], [], []]
+                for a, rep, c, x, y in zip(*(batch[k].to_pylist() for k in ("a", "rep", "c")), batch["er"], batch["ea"], strict=True):
+                    d = np.setxor1d(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U), assume_unique=True)
+                    for o, v in zip(rows, (np.full(len(d), a), d.view(np.int64), np.full(len(d), rep), np.full(len(d), c)), strict=True):
+                        o.append(v)
+                if rows[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(np.int64)) for o in rows], ["a", "d", "rep", "c"])
+
+        own = self.few_rows(full.select("a", "rep", "c", "er", "ea").mapInArrow(differences, "a long, d long, rep long, c long"), "differences")
+        both = common.written(own.groupBy("a", "d").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("a", "d"), "both")
+        own = common.written(own.join(both, ["a", "d"]), "shared")
+        x = own.select("a", "d", F.col("rep").alias("x"), F.col("c").alias("cx"))
+        y = own.select("a", "d", F.col("rep").alias("y"), F.col("c").alias("cy"))
+        return x.join(y, ["a", "d"]).where("cx < cy").select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -347,20 +386,16 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     best = F.max(F.struct("score", -F.col("rep")))
     center = common.written(members.groupBy("sig").agg(best.alias("m")).select("sig", (-F.col("m.col2")).alias("a")), "centers")
     check.check(members.join(center, "sig").select("a", F.col("rep").alias("b")))
-    for step in ("other", "all"):
-        labels = components(check.links)
-        named = members.join(labels.select(F.col("v").alias("rep"), "c"), "rep", "left").select("sig", "rep", "score", F.coalesce("c", "rep").alias("c"))
-        named = common.written(named, "named")
-        mixed = common.written(named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("sig"), "mixed")
-        left = common.written(named.join(mixed, "sig"), "left")
-        if step == "other":
-            top = common.written(left.groupBy("sig").agg(F.max_by("c", F.struct("score", -F.col("rep"))).alias("top")), "tops")
-            outside = left.join(top, "sig").where("c != top").groupBy("sig").agg(F.max(F.struct("score", -F.col("rep"), "c")).alias("m"))
-            outside = common.written(outside.select("sig", (-F.col("m.col2")).alias("a"), F.col("m.c").alias("ca")), "outside")
-            check.check(left.join(outside, "sig").where("c != ca").select("a", F.col("rep").alias("b")))
-        else:
-            x, y = left.select("sig", F.col("rep").alias("a"), F.col("c").alias("ca")), left.select("sig", F.col("rep").alias("b"), F.col("c").alias("cb"))
-            check.check(x.join(y, "sig").where("ca < cb").select("a", "b"))
+    labels = components(check.links)
+    named = members.join(labels.select(F.col("v").alias("rep"), "c"), "rep", "left").select("sig", "rep", F.coalesce("c", "rep").alias("c"))
+    named = common.written(named, "named")
+    mixed = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("sig", (F.col("k") > MANY).alias("many"))
+    left = common.written(named.join(common.written(mixed, "mixed"), "sig"), "left")
+    few = left.where("not many").select("sig", "rep", "c")
+    x, y = few.select("sig", F.col("rep").alias("a"), F.col("c").alias("ca")), few.select("sig", F.col("rep").alias("b"), F.col("c").alias("cb"))
+    pairs = x.join(y, "sig").where("ca < cb").select("a", "b")
+    stars = left.where("many").join(center, "sig").select("a", "rep", "c").where("a != rep").distinct()
+    check.check(pairs.union(check.sharing(stars)))
     labels = components(check.links)
     out = every.join(labels.select(F.col("v").alias("rep"), "c"), "rep", "left").select("doc_id", "n", "rep", F.coalesce("c", "rep").alias("c"))
     return out, check.links
