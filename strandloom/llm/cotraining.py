@@ -25,7 +25,7 @@ from . import common
 BINS, SHAPES, META = 2048, 24, 512
 ROUNDS, SURE, FOLDS, STEPS = 3, 0.98, 5, 40
 #: A document's text evidence is scaled to so many words, as words of a text depend on each other.
-EVIDENCE = 40.0
+EVIDENCE = 4.0
 
 
 def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
