@@ -1,5 +1,234 @@
-"""All queries of the engine by name, with SQL for those that SQL can express."""
+"""All queries of the engine by name, with SQL for those that SQL can express.
+
+The test tables hold no proteins, codon usage or run records: proteins are derived from
+document texts, the codon table is the standard genetic code with an artificial usage, and
+run records are stood in for by events, orders and line items.
+"""
+
+from __future__ import annotations
+
+from itertools import product
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import sequence as S
+from ..operators import analytics as A
+from ..operators import coding as C
 
 FLAGSHIP = "max_cai_cds"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+#: The standard genetic code, residues of codons in the order U, C, A, G.
+CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+CODONS = [("".join(c), CODE[i], (i * 7 % 10 + 1) / 10) for i, c in enumerate(product("UCAG", repeat=3))]
+MOTIFS = ("UCUUCU", "AGCAGC", "GAATTC")
+
+_VALUES = ", ".join(f"('{c}', '{a}', {f}::DOUBLE)" for c, a, f in CODONS)
+_CTE = f"""
+codon(codon, aa, freq) AS (VALUES {_VALUES}),
+weight AS (SELECT codon, aa, freq, freq / max(freq) OVER (PARTITION BY aa) AS w, -ln(freq / max(freq) OVER (PARTITION BY aa)) AS neg_log_w FROM codon),
+protein AS (SELECT doc_id AS protein_id, substr(regexp_replace(substr(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 1, 60), '[BJOUXZ]', '', 'g'), 1, 12) AS seq FROM documents),
+residue AS (SELECT protein_id, i AS pos, substr(seq, i::INT + 1, 1) AS aa FROM protein, unnest(range(0, length(seq))) AS t(i)),
+best AS (SELECT aa, min(neg_log_w) AS cost, arg_min(codon, (neg_log_w, codon)) AS codon FROM weight GROUP BY aa)
+"""
+
+
+def _table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("standard", *c) for c in CODONS], "table_id string, codon string, aa string, freq double")
+
+
+def _proteins(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("protein_id"), S.protein(F.col("text")).alias("seq"))
+
+
+def _read(name: str):
+    return lambda spark, d: spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = f"WITH {_CTE} {sql}" if "{raw}" not in sql else sql.replace("{raw}", "")
+        return f
+
+    return add
+
+
+@query("codon_weights", "SELECT codon, aa, freq, round(w, 9) AS w, round(neg_log_w, 9) AS neg_log_w FROM weight")
+def codon_weights(spark, d):
+    return C.weights(_table(spark)).select("codon", "aa", "freq", F.round("w", 9).alias("w"), F.round("neg_log_w", 9).alias("neg_log_w"))
+
+
+@query("codon_best_per_aa", "SELECT aa, codon, round(cost, 9) AS cost FROM best")
+def codon_best_per_aa(spark, d):
+    return C.best_codons(C.weights(_table(spark))).select("aa", "codon", F.round("cost", 9).alias("cost"))
+
+
+@query("protein_source", "SELECT protein_id, seq FROM protein")
+def protein_source(spark, d):
+    return _proteins(spark, d)
+
+
+@query("max_cai_cds", """SELECT protein_id, string_agg(codon, '' ORDER BY pos) AS cds, round(sum(cost), 6) AS penalty FROM residue JOIN best USING (aa) GROUP BY protein_id""")
+def max_cai_cds(spark, d):
+    return C.best_cds(_proteins(spark, d), C.weights(_table(spark))).select("protein_id", "cds", F.round("penalty", 6).alias("penalty"))
+
+
+_FIRST = "firsts AS (SELECT aa, min(codon) AS codon FROM codon GROUP BY aa)"
+
+
+@query("cai_score", f""", {_FIRST} SELECT protein_id, round(exp(avg(ln(w))), 9) AS cai, round(sum(neg_log_w), 6) AS penalty, string_agg(aa, '' ORDER BY pos) AS protein
+FROM residue JOIN firsts USING (aa) JOIN weight USING (codon, aa) GROUP BY protein_id""")
+def cai_score(spark, d):
+    """CAI, penalty and translation of each protein's lexicographically first coding sequence."""
+    first = _table(spark).groupBy("aa").agg(F.min("codon").alias("codon"))
+    part = C.residues(_proteins(spark, d)).join(F.broadcast(first), "aa")
+    cds = part.groupBy("protein_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "codon"))), lambda x: x["codon"]), "").alias("cds"))
+    return C.cai(cds, C.weights(_table(spark))).select("protein_id", F.round("cai", 9).alias("cai"), F.round("penalty", 6).alias("penalty"), "protein")
+
+
+@query("min_codon_cost", "SELECT protein_id, round(sum(cost), 6) AS cost, round(least(1e-4, 0.004 / (count(*) * (SELECT max(neg_log_w) FROM weight))), 12) AS tie_break FROM residue JOIN best USING (aa) GROUP BY protein_id")
+def min_codon_cost(spark, d):
+    """The least codon cost, and the trade-off small enough to break ties alone."""
+    w = C.weights(_table(spark))
+    most = w.agg(F.max("neg_log_w").alias("most"))
+    rows = C.residues(_proteins(spark, d)).join(F.broadcast(C.best_codons(w)), "aa").groupBy("protein_id").agg(F.sum("cost").alias("cost"), F.count("*").alias("n"))
+    return rows.crossJoin(F.broadcast(most)).select("protein_id", F.round("cost", 6).alias("cost"), F.round(F.least(F.lit(1e-4), 0.004 / (F.col("n") * F.col("most"))), 12).alias("tie_break"))
+
+
+_NODES = """, cut AS (SELECT DISTINCT aa, k, substr(codon, 1, k::INT) AS prefix FROM codon, unnest([0, 1, 2]) AS t(k)),
+nodes AS (SELECT protein_id, pos * 3 + k AS pos, prefix FROM residue JOIN cut USING (aa) UNION ALL SELECT protein_id, length(seq) * 3, '' FROM protein WHERE length(seq) > 0)"""
+
+
+@query("lattice_nodes", f"{_NODES} SELECT protein_id, pos::BIGINT AS pos, prefix, (row_number() OVER (PARTITION BY protein_id ORDER BY pos, prefix) - 1)::BIGINT AS node FROM nodes")
+def lattice_nodes(spark, d):
+    return C.lattice_nodes(_proteins(spark, d), _table(spark)).select("protein_id", F.col("pos").cast("long"), "prefix", F.col("node").cast("long"))
+
+
+@query("lattice_shape", f"{_NODES} SELECT protein_id, sum(width)::BIGINT AS nodes, max(width)::BIGINT AS widest FROM (SELECT protein_id, pos, count(*) AS width FROM nodes GROUP BY ALL) GROUP BY protein_id")
+def lattice_shape(spark, d):
+    layers = C.lattice_nodes(_proteins(spark, d), _table(spark)).groupBy("protein_id", "pos").agg(F.count("*").alias("width"))
+    return layers.groupBy("protein_id").agg(F.sum("width").alias("nodes"), F.max("width").alias("widest"))
+
+
+@query("lattice_edges", """, step AS (SELECT DISTINCT aa, k, substr(codon, 1, k::INT) AS src, CASE WHEN k < 2 THEN substr(codon, 1, k::INT + 1) ELSE '' END AS dst, substr(codon, k::INT + 1, 1) AS nuc, CASE WHEN k = 2 THEN neg_log_w ELSE 0.0 END AS weight FROM weight, unnest([0, 1, 2]) AS t(k))
+SELECT protein_id, (pos * 3 + k)::BIGINT AS src_pos, src, dst, nuc, round(weight, 9) AS weight FROM residue JOIN step USING (aa)""")
+def lattice_edges(spark, d):
+    e = C.lattice_edges(_proteins(spark, d), C.weights(_table(spark)))
+    return e.select("protein_id", F.col("src_pos").cast("long"), "src", "dst", "nuc", F.round("weight", 9).alias("weight"))
+
+
+_MOTIFS = ", ".join(f"('{m.replace('T', 'U')}')" for m in MOTIFS)
+
+
+@query("motif_transitions", f""", motif(motif) AS (VALUES {_MOTIFS}), state AS (SELECT DISTINCT substr(motif, 1, n::INT) AS state FROM motif, unnest(range(0, length(motif))) AS t(n)),
+reads AS (SELECT state, nuc, state || nuc AS r FROM state, (VALUES ('A'), ('C'), ('G'), ('U')) AS n(nuc)),
+ok AS (SELECT * FROM reads WHERE NOT EXISTS (SELECT 1 FROM motif WHERE ends_with(reads.r, motif)))
+SELECT ok.state AS state, nuc, arg_max(s.state, length(s.state)) AS next_state FROM ok JOIN state s ON ends_with(ok.r, s.state) GROUP BY ok.state, nuc""")
+def motif_transitions(spark, d):
+    motifs = spark.createDataFrame([("all", m) for m in MOTIFS], "motifset_id string, motif string")
+    return C.motif_transitions(motifs).select("state", "nuc", "next_state")
+
+
+@query("motif_scan", "SELECT protein_id, string_agg(codon, '' ORDER BY pos) AS cds FROM residue JOIN best USING (aa) GROUP BY protein_id HAVING " + " AND ".join(f"NOT contains(string_agg(codon, '' ORDER BY pos), '{m.replace('T', 'U')}')" for m in MOTIFS))
+def motif_scan(spark, d):
+    """Best coding sequences that hold none of the motifs."""
+    cds = C.best_cds(_proteins(spark, d), C.weights(_table(spark)))
+    for m in MOTIFS:
+        cds = cds.where(~F.col("cds").contains(m.replace("T", "U")))
+    return cds.select("protein_id", "cds")
+
+
+@query("cds_enumeration", """, spelled AS (SELECT protein_id, a.codon || b.codon || c.codon AS cds, a.neg_log_w + b.neg_log_w + c.neg_log_w AS penalty FROM protein JOIN weight a ON a.aa = substr(seq, 1, 1) JOIN weight b ON b.aa = substr(seq, 2, 1) JOIN weight c ON c.aa = substr(seq, 3, 1))
+SELECT protein_id, count(*) AS n, min(cds) AS first_cds, round(min(penalty), 6) AS least, round(max(penalty), 6) AS most FROM spelled GROUP BY protein_id""")
+def cds_enumeration(spark, d):
+    """All coding sequences of each protein's first three residues, summed up."""
+    w = C.weights(_table(spark)).select("aa", "codon", "neg_log_w")
+    rows = _proteins(spark, d).select("protein_id", "seq", F.lit("").alias("cds"), F.lit(0.0).alias("penalty"))
+    for i in range(3):
+        step = w.select(F.col("aa").alias("_aa"), F.col("codon").alias("_c"), F.col("neg_log_w").alias("_w"))
+        rows = rows.join(F.broadcast(step), F.substring("seq", i + 1, 1) == F.col("_aa")).select("protein_id", "seq", F.concat("cds", "_c").alias("cds"), (F.col("penalty") + F.col("_w")).alias("penalty"))
+    return rows.groupBy("protein_id").agg(F.count("*").alias("n"), F.min("cds").alias("first_cds"), F.round(F.min("penalty"), 6).alias("least"), F.round(F.max("penalty"), 6).alias("most"))
+
+
+@query("structure_pairs", """, s AS (SELECT o_orderkey AS id, repeat('(', 1 + (o_orderkey % 4)::INT) || '...' || repeat(')', 1 + (o_orderkey % 4)::INT) || '.(...)' AS structure FROM orders),
+chars AS (SELECT id, i, substr(structure, i::INT + 1, 1) AS c FROM s, unnest(range(0, length(structure))) AS t(i)),
+level AS (SELECT id, i, c, sum(CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) + CASE WHEN c = ')' THEN 1 ELSE 0 END AS level FROM chars WHERE c <> '.'),
+pairs AS (SELECT id, i, c, lead(i) OVER (PARTITION BY id, level ORDER BY i) AS j FROM level)
+SELECT id, i::BIGINT AS i, j::BIGINT AS j FROM pairs WHERE c = '('""")
+def structure_pairs(spark, d):
+    """Base pairs of dot-bracket strings made from order keys."""
+    k = (1 + F.col("o_orderkey") % 4).cast("int")
+    s = F.concat(F.repeat(F.lit("("), k), F.lit("..."), F.repeat(F.lit(")"), k), F.lit(".(...)"))
+    rows = _read("orders")(spark, d).select(F.col("o_orderkey").alias("id"), s.alias("structure")).where(S.balanced(F.col("structure")))
+    return C.base_pairs(rows).select("id", F.col("i").cast("long"), F.col("j").cast("long"))
+
+
+@query("quantile_describe", "{raw}SELECT event_type, count(value) AS n, round(min(value), 6) AS least, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q75, round(max(value), 6) AS greatest FROM events GROUP BY event_type")
+def quantile_describe(spark, d):
+    out = A.describe(_read("events")(spark, d), ["event_type"], "value")
+    return out.select("event_type", "n", *(F.round(c, 6).alias(c) for c in ("least", "q25", "median", "q75", "greatest")))
+
+
+@query("status_completion", "{raw}SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'O') AS open, count(*) FILTER (o_orderstatus NOT IN ('F', 'O')) AS other FROM orders GROUP BY o_orderpriority")
+def status_completion(spark, d):
+    s = F.col("o_orderstatus")
+    return _read("orders")(spark, d).groupBy("o_orderpriority").agg(F.count_if(s == "F").alias("done"), F.count_if(s == "O").alias("open"), F.count_if(~s.isin("F", "O")).alias("other"))
+
+
+@query("planned_vs_recorded", "{raw}SELECT o_orderkey, count(l_orderkey) AS recorded FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag = 'R') ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+def planned_vs_recorded(spark, d):
+    seen = _read("lineitem")(spark, d).where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    return _read("orders")(spark, d).select("o_orderkey").join(seen, "o_orderkey", "left").select("o_orderkey", F.coalesce("n", F.lit(0).cast("long")).alias("recorded"))
+
+
+_ARMS = "SELECT l_suppkey, median(l_extendedprice) FILTER (l_returnflag = 'A') AS a, median(l_extendedprice) FILTER (l_returnflag = 'N') AS n, median(l_extendedprice) FILTER (l_returnflag = 'R') AS r FROM lineitem GROUP BY l_suppkey"
+
+
+@query("paired_ratio_medians", f"{{raw}}SELECT l_suppkey, round(a / n, 9) AS a_over_n, round(r / n, 9) AS r_over_n FROM ({_ARMS}) WHERE a IS NOT NULL AND n IS NOT NULL AND r IS NOT NULL")
+def paired_ratio_medians(spark, d):
+    m = A.arm_medians(_read("lineitem")(spark, d), ["l_suppkey"], "l_returnflag", ["A", "N", "R"], "l_extendedprice")
+    return m.select("l_suppkey", F.round(F.col("A") / F.col("N"), 9).alias("a_over_n"), F.round(F.col("R") / F.col("N"), 9).alias("r_over_n"))
+
+
+@query("geomean_of_medians", f"{{raw}}SELECT round(exp(avg(ln(a / n))), 9) AS ratio, count(*) AS blocks FROM ({_ARMS}) WHERE a IS NOT NULL AND n IS NOT NULL AND r IS NOT NULL")
+def geomean_of_medians(spark, d):
+    m = A.arm_medians(_read("lineitem")(spark, d), ["l_suppkey"], "l_returnflag", ["A", "N", "R"], "l_extendedprice")
+    return m.agg(F.round(A.geometric_mean(F.col("A") / F.col("N")), 9).alias("ratio"), F.count("*").alias("blocks"))
+
+
+@query("ols_loglog", "{raw}SELECT l_returnflag, count(*) AS n, round(regr_slope(ln(l_extendedprice), ln(l_quantity)), 6) AS slope, round(regr_intercept(ln(l_extendedprice), ln(l_quantity)), 6) AS intercept, round(regr_r2(ln(l_extendedprice), ln(l_quantity)), 6) AS r2 FROM lineitem GROUP BY l_returnflag")
+def ols_loglog(spark, d):
+    out = A.ols(_read("lineitem")(spark, d), ["l_returnflag"], F.log("l_quantity"), F.log("l_extendedprice"))
+    return out.select("l_returnflag", "n", *(F.round(c, 6).alias(c) for c in ("slope", "intercept", "r2")))
+
+
+@query("stratum_calibrated_weights", "{raw}, w AS (SELECT c_custkey, c_mktsegment, 1.0::DOUBLE / count(*) OVER (PARTITION BY c_mktsegment, c_nationkey) AS raw FROM customer) SELECT c_custkey, round(raw * count(*) OVER (PARTITION BY c_mktsegment) / sum(raw) OVER (PARTITION BY c_mktsegment), 6) AS weight FROM w".replace("{raw}, w", "{raw}WITH w"))
+def stratum_calibrated_weights(spark, d):
+    return A.calibrated_weights(_read("customer")(spark, d), "c_mktsegment", "c_nationkey").select("c_custkey", F.round("weight", 6).alias("weight"))
+
+
+@query("pareto_frontier", "{raw}SELECT DISTINCT l_suppkey, l_quantity, l_extendedprice FROM lineitem x WHERE NOT EXISTS (SELECT 1 FROM lineitem y WHERE y.l_suppkey = x.l_suppkey AND y.l_quantity <= x.l_quantity AND y.l_extendedprice <= x.l_extendedprice AND (y.l_quantity < x.l_quantity OR y.l_extendedprice < x.l_extendedprice))")
+def pareto_frontier(spark, d):
+    return A.pareto(_read("lineitem")(spark, d), ["l_suppkey"], "l_quantity", "l_extendedprice")
+
+
+@query("overlap_check", "{raw}SELECT * FROM (SELECT user_id, event_id, ts, max(ts + INTERVAL 1 HOUR) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy_until FROM events) WHERE ts < busy_until".replace("SELECT *", "SELECT user_id, event_id"))
+def overlap_check(spark, d):
+    """Events that begin within an hour of an earlier one of the user."""
+    rows = _read("events")(spark, d).select("user_id", "event_id", "ts", F.struct("ts", "event_id").alias("at"), (F.col("ts") + F.expr("INTERVAL 1 HOUR")).alias("stop"))
+    return A.overlaps(rows, ["user_id"], "ts", "stop").select("user_id", "event_id")
+
+
+@query("inversion_count", "{raw}SELECT a.l_orderkey, count(*) FILTER (a.l_extendedprice > b.l_extendedprice) AS inverted, count(*) AS pairs FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_quantity < b.l_quantity GROUP BY a.l_orderkey")
+def inversion_count(spark, d):
+    return A.inversions(_read("lineitem")(spark, d), ["l_orderkey"], "l_quantity", "l_extendedprice")
+
+
+@query("bootstrap_ci")
+def bootstrap_ci(spark, d):
+    """Rows only: the draws are hashes that other engines do not have."""
+    return A.bootstrap(_read("customer")(spark, d).select("c_custkey", "c_mktsegment", "c_acctbal"), ["c_mktsegment"], "c_acctbal", 200)
