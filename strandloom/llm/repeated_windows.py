@@ -23,7 +23,6 @@ ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -262,20 +261,3 @@ def remove(docs: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove(common.documents(spark, sf_dir, "doc_id", "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def reference_removed(texts: dict[int, str]) -> dict[int, tuple[int, int, str]]:
-    """The same by comparing all windows of all texts in one process; for tests on small data."""
-    import re
-
-    words = {d: re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t in texts.items()}
-    first: dict[tuple, int] = {}
-    for d in sorted(words):
-        for i in range(len(words[d]) - WINDOW + 1):
-            first.setdefault(tuple(words[d][i : i + WINDOW]), d)
-    out = {}
-    for d, w in words.items():
-        gone = {j for i in range(len(w) - WINDOW + 1) if first[tuple(w[i : i + WINDOW])] < d for j in range(i, i + WINDOW)}
-        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
-        out[d] = len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()
-    return out
