@@ -18,8 +18,9 @@ one document in 64; the choice affects cost, never the result.
 Equal sets count once. Signatures travel packed by hash bucket and are grouped in each task
 before the shuffle: a hot one sends one entry from each unit of a task. Members of a signature
 are compared with its most connected member first, and then across the components this leaves:
-all pairs of a small group, and those members of a large one whose differences from its center
-share an element, which is exact (see _Verifier.sharing). A comparison has an exact lower bound on the difference from
+all pairs of a small group, and those members of a large one whose differences from the most
+connected document of the center's component share an element early in a common order, which is
+exact (see _Verifier.sharing). A comparison has an exact lower bound on the difference from
 counts by hash range, then the exact intersection.
 
 Defined cases: null, empty and blank texts have no shingles and are their own components;
@@ -265,7 +266,7 @@ def components(links: DataFrame, name: str = "labels") -> DataFrame:
 
 
 #: Members of a signature up to which all pairs across its components are compared.
-MANY = 32
+MANY = 8
 
 
 class _Verifier:
@@ -332,33 +333,44 @@ class _Verifier:
         self.sets = sets if self.sets is None else self.sets.union(sets)
         return self.sets
 
-    def sharing(self, stars: DataFrame) -> DataFrame:
-        """Pairs of members of a star (a, rep, c: rep's component) that can still link.
+    def sharing(self, stars: DataFrame, frequent) -> DataFrame:
+        """Pairs of members of a star (a: hub, rep, c: rep's component) that can still link.
 
-        Every member was compared with the center a. Let D(x) be x's difference from a. Two
-        members differ in |D(x)| + |D(y)| - 2 |D(x) & D(y)| elements; if D(x) and D(y) are disjoint and
-        x, y link, each of them links with a. So only members of different components
-        whose differences share an element are compared."""
-        stars = common.written(stars, "stars")
+        Let D(x) be x's difference from the hub. Two members differ in |D(x)| + |D(y)| -
+        2 |D(x) & D(y)| elements, at most (|x| + |y|) / 9 of them if they link. Members that link with
+        the hub are connected through it, so one of a pair does not: 9 |D(y)| > |y| + |a|. Hence
+        2 |D(x) & D(y)| > |D(x)| + (|a| - |x|) / 9 >= 0. All differences are put in one order, rare ones
+        first: those the hub lacks, then frequent ones of these, then the hub's own. The first
+        element shared has all others after it, which bounds its place in both differences; only
+        elements that early are emitted, and only pairs that meet in one are compared."""
         s = self.made(stars.select(F.col("rep").alias("doc_id")).union(stars.select("a")))
         full = stars.join(s.select(F.col("doc_id").alias("rep"), F.col("elements").alias("er")), "rep").join(s.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea")), "a")
+        names = ["a", "d", "rep", "c", "n", "size", "rest", "linked", "early"]
 
         def differences(batches):
+            often = frequent.value
             for batch in batches:
-                rows = [[], [], [], []]
+                rows: list[list[np.ndarray]] = [[] for _ in names]
                 for a, rep, c, x, y in zip(*(batch[k].to_pylist() for k in ("a", "rep", "c")), batch["er"], batch["ea"], strict=True):
-                    d = np.setxor1d(np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U), assume_unique=True)
-                    for o, v in zip(rows, (np.full(len(d), a), d.view(np.int64), np.full(len(d), rep), np.full(len(d), c)), strict=True):
-                        o.append(v)
+                    x, hub = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
+                    new, gone = np.setdiff1d(x, hub, assume_unique=True), np.setdiff1d(hub, x, assume_unique=True)
+                    known = np.isin(new, often, assume_unique=True) if len(often) else np.zeros(len(new), bool)
+                    d = np.concatenate([new[~known], new[known], gone])
+                    rest = len(d) - np.arange(len(d))
+                    near, early = 9 * len(d) <= len(x) + len(hub), 9 * (2 * rest - len(d)) > len(hub) - len(x)
+                    # a partner has at most 5/4 of the size, so together they differ in n / 4
+                    use = early if near else np.arange(len(d)) <= len(x) // 4
+                    for o, v in zip(rows, (a, d.view(np.int64), rep, c, len(x), len(d), rest, int(near), early), strict=True):
+                        o.append(np.broadcast_to(v, len(d))[use].astype(np.int64))
                 if rows[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(np.int64)) for o in rows], ["a", "d", "rep", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in rows], names)
 
-        own = self.few_rows(full.select("a", "rep", "c", "er", "ea").mapInArrow(differences, "a long, d long, rep long, c long"), "differences")
-        both = common.written(own.groupBy("a", "d").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("a", "d"), "both")
-        own = common.written(own.join(both, ["a", "d"]), "shared")
-        x = own.select("a", "d", F.col("rep").alias("x"), F.col("c").alias("cx"))
-        y = own.select("a", "d", F.col("rep").alias("y"), F.col("c").alias("cy"))
-        return x.join(y, ["a", "d"]).where("cx < cy").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        own = self.few_rows(full.select("a", "rep", "c", "er", "ea").mapInArrow(differences, ", ".join(f"{k} long" for k in names)), "differences")
+        x = own.where("linked = 0").select("a", "d", *(F.col(k).alias(k + "_x") for k in names[2:]))
+        y = own.where("early = 1").select("a", "d", *(F.col(k).alias(k + "_y") for k in names[2:]))
+        most = F.expr("9 * (size_x + size_y) - n_x - n_y")
+        met = x.join(y, ["a", "d"]).where("c_x != c_y and (linked_y = 1 or (early_x = 1 and rep_x < rep_y)) and 5 * least(n_x, n_y) >= 4 * greatest(n_x, n_y)")
+        return met.where((18 * F.least("rest_x", "rest_y")) >= most).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
 
 
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -387,15 +399,19 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     center = common.written(members.groupBy("sig").agg(best.alias("m")).select("sig", (-F.col("m.col2")).alias("a")), "centers")
     check.check(members.join(center, "sig").select("a", F.col("rep").alias("b")))
     labels = components(check.links)
-    named = members.join(labels.select(F.col("v").alias("rep"), "c"), "rep", "left").select("sig", "rep", F.coalesce("c", "rep").alias("c"))
+    named = members.join(labels.select(F.col("v").alias("rep"), "c"), "rep", "left").select("sig", "rep", "score", F.coalesce("c", "rep").alias("c"))
     named = common.written(named, "named")
-    mixed = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("sig", (F.col("k") > MANY).alias("many"))
+    hubs = common.written(named.groupBy("c").agg(best.alias("m")).select(F.col("c").alias("main"), (-F.col("m.col2")).alias("a")), "hubs")
+    first = F.max(F.struct("score", -F.col("rep"), "c"))
+    mixed = named.groupBy("sig").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"), first.alias("m")).where("lo < hi and k > 2")
+    mixed = mixed.select("sig", (F.col("k") > MANY).alias("many"), F.col("m.c").alias("main"))
     left = common.written(named.join(common.written(mixed, "mixed"), "sig"), "left")
     few = left.where("not many").select("sig", "rep", "c")
     x, y = few.select("sig", F.col("rep").alias("a"), F.col("c").alias("ca")), few.select("sig", F.col("rep").alias("b"), F.col("c").alias("cb"))
     pairs = x.join(y, "sig").where("ca < cb").select("a", "b")
-    stars = left.where("many").join(center, "sig").select("a", "rep", "c").where("a != rep").distinct()
-    check.check(pairs.union(check.sharing(stars)))
+    stars = left.where("many").select("main", "rep", "c").distinct().join(hubs, "main").where("a != rep").select("a", "rep", "c")
+    stars = common.written(stars, "stars")
+    check.check(pairs.union(stars.select("a", "rep")).union(check.sharing(stars, frequent)))
     labels = components(check.links)
     out = every.join(labels.select(F.col("v").alias("rep"), "c"), "rep", "left").select("doc_id", "n", "rep", F.coalesce("c", "rep").alias("c"))
     return out, check.links
