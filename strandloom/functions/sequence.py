@@ -18,15 +18,33 @@ def rna(x: Column) -> Column:
 
 
 def codons(x: Column) -> Column:
-    """The codons of x as an array; empty where the length is no multiple of three."""
-    n = (F.length(x) / 3).cast("int")
-    return F.when((F.length(x) > 0) & (F.length(x) % 3 == 0), F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(x, i * 3 + 1, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    """The codons of x as an array; empty where the length is no multiple of three. One pass: a
+    substring for each codon would read a long x from its start each time."""
+    return F.when((F.length(x) > 0) & (F.length(x) % 3 == 0), F.regexp_extract_all(x, F.lit("(?s).{3}"), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def protein(text: Column, longest: int = 12) -> Column:
-    """The test tables' stand-in for a protein: the first letters of a text that name residues."""
+def protein(text: Column) -> Column:
+    """The test tables' stand-in for a protein: all letters of the whole text that name residues."""
+    return F.upper(F.regexp_replace(text, "[^A-Za-z]|[BJOUXZbjouxz]", ""))
+
+
+def protein_head(text: Column) -> Column:
+    """The 12 residues at most that the catalog's SQL compares: a sample, no text's protein."""
     letters = F.upper(F.regexp_replace(text, "[^A-Za-z]", ""))
-    return F.substring(F.regexp_replace(F.substring(letters, 1, 60), "[BJOUXZ]", ""), 1, longest)
+    return F.substring(F.regexp_replace(F.substring(letters, 1, 60), "[BJOUXZ]", ""), 1, 12)
+
+
+def times(x: Column, letter: str) -> Column:
+    """How often a letter occurs in x."""
+    return F.length(x) - F.length(F.replace(x, F.lit(letter), F.lit("")))
+
+
+def spelled(seq: Column, codon_of: dict[str, str]) -> Column:
+    """The codons of the residues of seq, joined; residues that have none are left out."""
+    out = F.lower(F.regexp_replace(seq, "[^" + "".join(f"\\{a}" if a == "*" else a for a in codon_of) + "]", ""))
+    for aa, codon in codon_of.items():  # lower case is still to be read, upper case is written
+        out = F.replace(out, F.lit(aa.lower()), F.lit(codon))
+    return out
 
 
 def pair_score(five: Column, three: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -27,30 +29,137 @@ def residues(proteins: DataFrame) -> DataFrame:
     return proteins.select("protein_id", F.posexplode(F.filter(F.split("seq", ""), lambda c: c != "")).alias("pos", "aa"))
 
 
+def _id(df: DataFrame) -> str:
+    return f"protein_id {df.schema['protein_id'].dataType.simpleString()}"
+
+
+def _total(seq: Column, of: dict[str, float]) -> Column:
+    """Sum over the residues of seq of what of has for each."""
+    return sum((S.times(seq, a) * F.lit(float(v)) for a, v in of.items()), F.lit(0.0))
+
+
+def _known(seq: Column, of: dict) -> Column:
+    """How many residues of seq are in of."""
+    return sum((S.times(seq, a) for a in of), F.lit(0))
+
+
 def best_cds(proteins: DataFrame, weighted: DataFrame) -> DataFrame:
-    """protein_id, cds, penalty of the coding sequence of least codon cost. The residues of one
-    protein meet in one row; the codon table has at most 64 rows."""
-    part = residues(proteins).join(F.broadcast(best_codons(weighted)), "aa")
-    return part.groupBy("protein_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "codon"))), lambda x: x["codon"]), "").alias("cds"), F.sum("cost").alias("penalty"))
+    """protein_id, cds, penalty of the coding sequence of least codon cost. A row is spelled in
+    one piece, whatever its length; the codon table has at most 64 rows."""
+    best = best_codons(weighted).collect()
+    codon, cost = {r.aa: r.codon for r in best}, {r.aa: r.cost for r in best}
+    seq = F.col("seq")
+    return proteins.where(_known(seq, codon) > 0).select("protein_id", S.spelled(seq, codon).alias("cds"), _total(seq, cost).alias("penalty"))
+
+
+def least_cost(proteins: DataFrame, weighted: DataFrame) -> DataFrame:
+    """protein_id, cost, n: the least codon cost and the number of residues."""
+    cost = {r.aa: r.cost for r in best_codons(weighted).collect()}
+    seq = F.col("seq")
+    return proteins.select("protein_id", _total(seq, cost).alias("cost"), _known(seq, cost).cast("long").alias("n")).where("n > 0")
+
+
+def first_cds(proteins: DataFrame, table: DataFrame) -> DataFrame:
+    """protein_id, cds: the first coding sequence of each protein by name."""
+    codon = {r.aa: r.codon for r in table.groupBy("aa").agg(F.min("codon").alias("codon")).collect()}
+    return proteins.where(_known(F.col("seq"), codon) > 0).select("protein_id", S.spelled(F.col("seq"), codon).alias("cds"))
+
+
+def spellings(proteins: DataFrame, weighted: DataFrame) -> DataFrame:
+    """protein_id, log10_n, first_cds, least, most over all coding sequences of each protein,
+    without making them: their number is a product over residues (kept as its logarithm), the
+    penalties' bounds are sums. A protein with a residue that has no codon has no sequence."""
+    rows = weighted.groupBy("aa").agg(F.count("*").alias("n"), F.min("codon").alias("codon"), F.min("neg_log_w").alias("least"), F.max("neg_log_w").alias("most")).collect()
+    of = lambda k: {r.aa: r[k] for r in rows}
+    seq = F.col("seq")
+    whole = proteins.where((F.length(seq) > 0) & (_known(seq, of("n")) == F.length(seq)))
+    n = _total(seq, {a: float(np.log10(k)) for a, k in of("n").items()})
+    return whole.select("protein_id", n.alias("log10_n"), S.spelled(seq, of("codon")).alias("first_cds"), _total(seq, of("least")).alias("least"), _total(seq, of("most")).alias("most"))
 
 
 def cai(sequences: DataFrame, weighted: DataFrame) -> DataFrame:
-    """protein_id, cai, penalty, protein of coding sequences (protein_id, cds)."""
-    rows = sequences.select("protein_id", F.posexplode(S.codons(F.col("cds"))).alias("pos", "codon"))
-    known = rows.join(F.broadcast(weighted.select("codon", "aa", "w", "neg_log_w")), "codon", "left")
-    w = F.when(F.col("w") > 0, F.col("w")).otherwise(F.lit(S.FLOOR))
-    back = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "aa"))), lambda x: x["aa"]), "", "?")
-    return known.groupBy("protein_id").agg(F.exp(F.avg(F.log(w))).alias("cai"), F.sum("neg_log_w").alias("penalty"), back.alias("protein"))
+    """protein_id, cai, penalty, protein of coding sequences (protein_id, cds), each read in one pass."""
+    place = np.full(128, 4)
+    place[[ord(c) for c in "ACGU"]] = range(4)
+    log_w, cost, aa = np.full(125, np.log(S.FLOOR)), np.full(125, np.nan), np.full(125, ord("?"), np.uint8)
+    for r in weighted.select("codon", "aa", "w", "neg_log_w").collect():  # at most 64 rows
+        a, b, c = place[[ord(x) for x in r.codon]]
+        k = a * 25 + b * 5 + c
+        log_w[k], cost[k], aa[k] = np.log(r.w if r.w > 0 else S.FLOOR), r.neg_log_w, ord(r.aa)
+
+    def run(batches):
+        for batch in batches:
+            keep, out = [], ([], [], [])
+            for i, cds in enumerate(batch["cds"].to_pylist()):
+                if not cds or len(cds) % 3:
+                    continue
+                x = place[np.frombuffer(cds.encode("ascii", "replace"), np.uint8)].reshape(-1, 3) @ np.array([25, 5, 1])
+                known = cost[x][~np.isnan(cost[x])]
+                keep.append(i)
+                out[0].append(float(np.exp(log_w[x].mean())))
+                out[1].append(float(known.sum()) if len(known) else None)
+                out[2].append(aa[x].tobytes().decode())
+            ids = batch["protein_id"].take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(out[0], pa.float64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.string())], ["protein_id", "cai", "penalty", "protein"])
+
+    return sequences.select("protein_id", "cds").mapInArrow(run, f"{_id(sequences)}, cai double, penalty double, protein string")
+
+
+#: Residues whose lattice nodes are given out at once.
+STRETCH = 1 << 15
+
+
+def _prefixes(table: DataFrame) -> dict[str, list[tuple[int, str]]]:
+    """For each residue its nodes in order: k and the distinct codon prefixes of k letters."""
+    codons: dict[str, set] = {}
+    for r in table.select("aa", "codon").collect():  # at most 64 rows
+        codons.setdefault(r.aa, set()).add(r.codon)
+    return {a: sorted({(k, c[:k]) for c in cs for k in range(3)}) for a, cs in codons.items()}
 
 
 def lattice_nodes(proteins: DataFrame, table: DataFrame) -> DataFrame:
-    """protein_id, node, pos, prefix: the states of each protein's codon automaton, numbered by
-    position, then prefix. A residue has one node per distinct codon prefix of 0, 1 and 2."""
-    cut = table.select("aa", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"), "codon").select("aa", "k", F.substring("codon", F.lit(1), F.col("k")).alias("prefix")).distinct()
-    inner = residues(proteins).join(F.broadcast(cut), "aa").select("protein_id", (F.col("pos") * 3 + F.col("k")).alias("pos"), "prefix")
-    last = proteins.where(F.length("seq") > 0).select("protein_id", (F.length("seq") * 3).alias("pos"), F.lit("").alias("prefix"))
-    number = F.row_number().over(W.partitionBy("protein_id").orderBy("pos", "prefix")) - 1
-    return inner.union(last).withColumn("node", number)
+    """protein_id, pos, prefix, node: the states of each protein's codon automaton, numbered by
+    position, then prefix. A residue has one node per distinct codon prefix of 0, 1 and 2. A
+    protein is walked from its start, a stretch at a time."""
+    of = _prefixes(table)
+    names = sorted({p for nodes in of.values() for _, p in nodes} | {""})
+    most = max(map(len, of.values()), default=1)
+    width, ks, ps = np.zeros(128, np.int64), np.zeros((128, most), np.int64), np.zeros((128, most), np.int32)
+    for a, nodes in of.items():
+        width[ord(a)] = len(nodes)
+        ks[ord(a), : len(nodes)], ps[ord(a), : len(nodes)] = [k for k, _ in nodes], [names.index(p) for _, p in nodes]
+
+    def run(batches):
+        def rows(one, pos, prefix, node):
+            text = pa.DictionaryArray.from_arrays(pa.array(prefix, pa.int32()), pa.array(names, pa.string())).cast(pa.string())
+            return pa.RecordBatch.from_arrays([one.take(pa.array(np.zeros(len(pos), np.int64))), pa.array(pos, pa.int64()), text, pa.array(node, pa.int64())], ["protein_id", "pos", "prefix", "node"])
+
+        for batch in batches:
+            for i, seq in enumerate(batch["seq"].to_pylist()):
+                if not seq:
+                    continue
+                one, x, node = batch["protein_id"].slice(i, 1), np.frombuffer(seq.encode("ascii", "replace"), np.uint8), 0
+                for at in range(0, len(x), STRETCH):
+                    part = x[at : at + STRETCH]
+                    w = width[part]
+                    n = int(w.sum())
+                    r = np.repeat(np.arange(len(part)), w)
+                    j = np.arange(n) - np.repeat(np.cumsum(w) - w, w)
+                    yield rows(one, (at + r) * 3 + ks[part[r], j], ps[part[r], j], node + np.arange(n))
+                    node += n
+                yield rows(one, np.array([len(x) * 3]), np.array([names.index("")], np.int32), np.array([node]))
+
+    return proteins.select("protein_id", "seq").mapInArrow(run, f"{_id(proteins)}, pos long, prefix string, node long")
+
+
+def lattice_shape(proteins: DataFrame, table: DataFrame) -> DataFrame:
+    """protein_id, nodes, widest: the number of nodes and the most at one position."""
+    of = _prefixes(table)
+    widest = {a: max(sum(k == i for k, _ in nodes) for i in range(3)) for a, nodes in of.items()}
+    seq = F.col("seq")
+    nodes = sum((S.times(seq, a).cast("long") * len(n) for a, n in of.items()), F.lit(1))
+    most = F.greatest(F.lit(1), F.lit(1), *(F.when(seq.contains(a), n).otherwise(1) for a, n in widest.items()))
+    return proteins.where(F.length(seq) > 0).select("protein_id", nodes.cast("long").alias("nodes"), most.cast("long").alias("widest"))
 
 
 def lattice_edges(proteins: DataFrame, weighted: DataFrame) -> DataFrame:

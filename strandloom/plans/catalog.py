@@ -3,6 +3,10 @@
 The test tables hold no proteins, codon usage or run records: proteins are derived from
 document texts, the codon table is the standard genetic code with an artificial usage, and
 run records are stood in for by events, orders and line items.
+
+Queries named ..._whole take the protein from all letters of a text; they have no SQL and are
+held against brute force (tests/test_whole.py). Their namesakes run the same operators on the
+12 residues at most that the SQL reads, and are only there for that comparison.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from ..functions import sequence as S
 from ..operators import analytics as A
 from ..operators import coding as C
 
-FLAGSHIP = "max_cai_cds"
+FLAGSHIP = "max_cai_cds_whole"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -39,8 +43,13 @@ def _table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("standard", *c) for c in CODONS], "table_id string, codon string, aa string, freq double")
 
 
-def _proteins(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("protein_id"), S.protein(F.col("text")).alias("seq"))
+def _proteins(spark: SparkSession, d: str, of=S.protein) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("protein_id"), of(F.col("text")).alias("seq"))
+
+
+def _heads(spark: SparkSession, d: str) -> DataFrame:
+    """The samples of proteins that the SQL reads."""
+    return _proteins(spark, d, S.protein_head)
 
 
 def _read(name: str):
@@ -57,6 +66,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def protein_query(name: str, sql: str):
+    """Registers f(spark, proteins) on whole texts, and under the bare name on what the SQL reads."""
+
+    def add(f):
+        query(name, sql)(lambda spark, d: f(spark, _heads(spark, d)))
+        query(f"{name}_whole")(lambda spark, d: f(spark, _proteins(spark, d)))
+        return f
+
+    return add
+
+
 @query("codon_weights", "SELECT codon, aa, freq, round(w, 9) AS w, round(neg_log_w, 9) AS neg_log_w FROM weight")
 def codon_weights(spark, d):
     return C.weights(_table(spark)).select("codon", "aa", "freq", F.round("w", 9).alias("w"), F.round("neg_log_w", 9).alias("neg_log_w"))
@@ -67,35 +87,33 @@ def codon_best_per_aa(spark, d):
     return C.best_codons(C.weights(_table(spark))).select("aa", "codon", F.round("cost", 9).alias("cost"))
 
 
-@query("protein_source", "SELECT protein_id, seq FROM protein")
-def protein_source(spark, d):
-    return _proteins(spark, d)
+@protein_query("protein_source", "SELECT protein_id, seq FROM protein")
+def protein_source(spark, proteins):
+    return proteins
 
 
-@query("max_cai_cds", """SELECT protein_id, string_agg(codon, '' ORDER BY pos) AS cds, round(sum(cost), 6) AS penalty FROM residue JOIN best USING (aa) GROUP BY protein_id""")
-def max_cai_cds(spark, d):
-    return C.best_cds(_proteins(spark, d), C.weights(_table(spark))).select("protein_id", "cds", F.round("penalty", 6).alias("penalty"))
+@protein_query("max_cai_cds", """SELECT protein_id, string_agg(codon, '' ORDER BY pos) AS cds, round(sum(cost), 6) AS penalty FROM residue JOIN best USING (aa) GROUP BY protein_id""")
+def max_cai_cds(spark, proteins):
+    return C.best_cds(proteins, C.weights(_table(spark))).select("protein_id", "cds", F.round("penalty", 6).alias("penalty"))
 
 
 _FIRST = "firsts AS (SELECT aa, min(codon) AS codon FROM codon GROUP BY aa)"
 
 
-@query("cai_score", f""", {_FIRST} SELECT protein_id, round(exp(avg(ln(w))), 9) AS cai, round(sum(neg_log_w), 6) AS penalty, string_agg(aa, '' ORDER BY pos) AS protein
+@protein_query("cai_score", f""", {_FIRST} SELECT protein_id, round(exp(avg(ln(w))), 9) AS cai, round(sum(neg_log_w), 6) AS penalty, string_agg(aa, '' ORDER BY pos) AS protein
 FROM residue JOIN firsts USING (aa) JOIN weight USING (codon, aa) GROUP BY protein_id""")
-def cai_score(spark, d):
+def cai_score(spark, proteins):
     """CAI, penalty and translation of each protein's lexicographically first coding sequence."""
-    first = _table(spark).groupBy("aa").agg(F.min("codon").alias("codon"))
-    part = C.residues(_proteins(spark, d)).join(F.broadcast(first), "aa")
-    cds = part.groupBy("protein_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "codon"))), lambda x: x["codon"]), "").alias("cds"))
+    cds = C.first_cds(proteins, _table(spark))
     return C.cai(cds, C.weights(_table(spark))).select("protein_id", F.round("cai", 9).alias("cai"), F.round("penalty", 6).alias("penalty"), "protein")
 
 
-@query("min_codon_cost", "SELECT protein_id, round(sum(cost), 6) AS cost, round(least(1e-4, 0.004 / (count(*) * (SELECT max(neg_log_w) FROM weight))), 12) AS tie_break FROM residue JOIN best USING (aa) GROUP BY protein_id")
-def min_codon_cost(spark, d):
+@protein_query("min_codon_cost", "SELECT protein_id, round(sum(cost), 6) AS cost, round(least(1e-4, 0.004 / (count(*) * (SELECT max(neg_log_w) FROM weight))), 12) AS tie_break FROM residue JOIN best USING (aa) GROUP BY protein_id")
+def min_codon_cost(spark, proteins):
     """The least codon cost, and the trade-off small enough to break ties alone."""
     w = C.weights(_table(spark))
     most = w.agg(F.max("neg_log_w").alias("most"))
-    rows = C.residues(_proteins(spark, d)).join(F.broadcast(C.best_codons(w)), "aa").groupBy("protein_id").agg(F.sum("cost").alias("cost"), F.count("*").alias("n"))
+    rows = C.least_cost(proteins, w)
     return rows.crossJoin(F.broadcast(most)).select("protein_id", F.round("cost", 6).alias("cost"), F.round(F.least(F.lit(1e-4), 0.004 / (F.col("n") * F.col("most"))), 12).alias("tie_break"))
 
 
@@ -103,21 +121,20 @@ _NODES = """, cut AS (SELECT DISTINCT aa, k, substr(codon, 1, k::INT) AS prefix
 nodes AS (SELECT protein_id, pos * 3 + k AS pos, prefix FROM residue JOIN cut USING (aa) UNION ALL SELECT protein_id, length(seq) * 3, '' FROM protein WHERE length(seq) > 0)"""
 
 
-@query("lattice_nodes", f"{_NODES} SELECT protein_id, pos::BIGINT AS pos, prefix, (row_number() OVER (PARTITION BY protein_id ORDER BY pos, prefix) - 1)::BIGINT AS node FROM nodes")
-def lattice_nodes(spark, d):
-    return C.lattice_nodes(_proteins(spark, d), _table(spark)).select("protein_id", F.col("pos").cast("long"), "prefix", F.col("node").cast("long"))
+@protein_query("lattice_nodes", f"{_NODES} SELECT protein_id, pos::BIGINT AS pos, prefix, (row_number() OVER (PARTITION BY protein_id ORDER BY pos, prefix) - 1)::BIGINT AS node FROM nodes")
+def lattice_nodes(spark, proteins):
+    return C.lattice_nodes(proteins, _table(spark)).select("protein_id", F.col("pos").cast("long"), "prefix", F.col("node").cast("long"))
 
 
-@query("lattice_shape", f"{_NODES} SELECT protein_id, sum(width)::BIGINT AS nodes, max(width)::BIGINT AS widest FROM (SELECT protein_id, pos, count(*) AS width FROM nodes GROUP BY ALL) GROUP BY protein_id")
-def lattice_shape(spark, d):
-    layers = C.lattice_nodes(_proteins(spark, d), _table(spark)).groupBy("protein_id", "pos").agg(F.count("*").alias("width"))
-    return layers.groupBy("protein_id").agg(F.sum("width").alias("nodes"), F.max("width").alias("widest"))
+@protein_query("lattice_shape", f"{_NODES} SELECT protein_id, sum(width)::BIGINT AS nodes, max(width)::BIGINT AS widest FROM (SELECT protein_id, pos, count(*) AS width FROM nodes GROUP BY ALL) GROUP BY protein_id")
+def lattice_shape(spark, proteins):
+    return C.lattice_shape(proteins, _table(spark))
 
 
-@query("lattice_edges", """, step AS (SELECT DISTINCT aa, k, substr(codon, 1, k::INT) AS src, CASE WHEN k < 2 THEN substr(codon, 1, k::INT + 1) ELSE '' END AS dst, substr(codon, k::INT + 1, 1) AS nuc, CASE WHEN k = 2 THEN neg_log_w ELSE 0.0 END AS weight FROM weight, unnest([0, 1, 2]) AS t(k))
+@protein_query("lattice_edges", """, step AS (SELECT DISTINCT aa, k, substr(codon, 1, k::INT) AS src, CASE WHEN k < 2 THEN substr(codon, 1, k::INT + 1) ELSE '' END AS dst, substr(codon, k::INT + 1, 1) AS nuc, CASE WHEN k = 2 THEN neg_log_w ELSE 0.0 END AS weight FROM weight, unnest([0, 1, 2]) AS t(k))
 SELECT protein_id, (pos * 3 + k)::BIGINT AS src_pos, src, dst, nuc, round(weight, 9) AS weight FROM residue JOIN step USING (aa)""")
-def lattice_edges(spark, d):
-    e = C.lattice_edges(_proteins(spark, d), C.weights(_table(spark)))
+def lattice_edges(spark, proteins):
+    e = C.lattice_edges(proteins, C.weights(_table(spark)))
     return e.select("protein_id", F.col("src_pos").cast("long"), "src", "dst", "nuc", F.round("weight", 9).alias("weight"))
 
 
@@ -133,10 +150,10 @@ def motif_transitions(spark, d):
     return C.motif_transitions(motifs).select("state", "nuc", "next_state")
 
 
-@query("motif_scan", "SELECT protein_id, string_agg(codon, '' ORDER BY pos) AS cds FROM residue JOIN best USING (aa) GROUP BY protein_id HAVING " + " AND ".join(f"NOT contains(string_agg(codon, '' ORDER BY pos), '{m.replace('T', 'U')}')" for m in MOTIFS))
-def motif_scan(spark, d):
+@protein_query("motif_scan", "SELECT protein_id, string_agg(codon, '' ORDER BY pos) AS cds FROM residue JOIN best USING (aa) GROUP BY protein_id HAVING " + " AND ".join(f"NOT contains(string_agg(codon, '' ORDER BY pos), '{m.replace('T', 'U')}')" for m in MOTIFS))
+def motif_scan(spark, proteins):
     """Best coding sequences that hold none of the motifs."""
-    cds = C.best_cds(_proteins(spark, d), C.weights(_table(spark)))
+    cds = C.best_cds(proteins, C.weights(_table(spark)))
     for m in MOTIFS:
         cds = cds.where(~F.col("cds").contains(m.replace("T", "U")))
     return cds.select("protein_id", "cds")
@@ -147,7 +164,7 @@ SELECT protein_id, count(*) AS n, min(cds) AS first_cds, round(min(penalty), 6)
 def cds_enumeration(spark, d):
     """All coding sequences of each protein's first three residues, summed up."""
     w = C.weights(_table(spark)).select("aa", "codon", "neg_log_w")
-    rows = _proteins(spark, d).select("protein_id", "seq", F.lit("").alias("cds"), F.lit(0.0).alias("penalty"))
+    rows = _heads(spark, d).select("protein_id", "seq", F.lit("").alias("cds"), F.lit(0.0).alias("penalty"))
     for i in range(3):
         step = w.select(F.col("aa").alias("_aa"), F.col("codon").alias("_c"), F.col("neg_log_w").alias("_w"))
         rows = rows.join(F.broadcast(step), F.substring("seq", i + 1, 1) == F.col("_aa")).select("protein_id", "seq", F.concat("cds", "_c").alias("cds"), (F.col("penalty") + F.col("_w")).alias("penalty"))
