@@ -77,6 +77,19 @@ def spellings(proteins: DataFrame, weighted: DataFrame) -> DataFrame:
     return whole.select("protein_id", n.alias("log10_n"), S.spelled(seq, of("codon")).alias("first_cds"), _total(seq, of("least")).alias("least"), _total(seq, of("most")).alias("most"))
 
 
+def enumerated(proteins: DataFrame, weighted: DataFrame, longest: int) -> DataFrame:
+    """protein_id, cds, penalty: every coding sequence, one row each. Their number is exponential
+    in the length, so proteins of more than `longest` residues are an error; for those: spellings."""
+    step = F.broadcast(weighted.select(F.col("aa").alias("_aa"), F.col("codon").alias("_c"), F.col("neg_log_w").alias("_w")))
+    fits = F.when(F.length("seq") > longest, F.raise_error(F.lit("protein too long to enumerate"))).otherwise(F.col("seq"))
+    rows = proteins.where(F.length("seq") > 0).select("protein_id", fits.alias("seq"), F.lit("").alias("cds"), F.lit(0.0).alias("penalty"))
+    for i in range(longest):
+        here, done = F.substring("seq", i + 1, 1), F.length("seq") <= i
+        more = rows.where(~done).join(step, here == F.col("_aa")).select("protein_id", "seq", F.concat("cds", "_c").alias("cds"), (F.col("penalty") + F.col("_w")).alias("penalty"))
+        rows = more.union(rows.where(done)) if i else more
+    return rows.select("protein_id", "cds", "penalty")
+
+
 def cai(sequences: DataFrame, weighted: DataFrame) -> DataFrame:
     """protein_id, cai, penalty, protein of coding sequences (protein_id, cds), each read in one pass."""
     place = np.full(128, 4)

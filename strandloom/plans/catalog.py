@@ -162,15 +162,19 @@ def motif_scan(spark, proteins):
 @query("cds_enumeration", """, spelled AS (SELECT protein_id, a.codon || b.codon || c.codon AS cds, a.neg_log_w + b.neg_log_w + c.neg_log_w AS penalty FROM protein JOIN weight a ON a.aa = substr(seq, 1, 1) JOIN weight b ON b.aa = substr(seq, 2, 1) JOIN weight c ON c.aa = substr(seq, 3, 1))
 SELECT protein_id, count(*) AS n, min(cds) AS first_cds, round(min(penalty), 6) AS least, round(max(penalty), 6) AS most FROM spelled GROUP BY protein_id""")
 def cds_enumeration(spark, d):
-    """All coding sequences of each protein's first three residues, summed up."""
-    w = C.weights(_table(spark)).select("aa", "codon", "neg_log_w")
-    rows = _heads(spark, d).select("protein_id", "seq", F.lit("").alias("cds"), F.lit(0.0).alias("penalty"))
-    for i in range(3):
-        step = w.select(F.col("aa").alias("_aa"), F.col("codon").alias("_c"), F.col("neg_log_w").alias("_w"))
-        rows = rows.join(F.broadcast(step), F.substring("seq", i + 1, 1) == F.col("_aa")).select("protein_id", "seq", F.concat("cds", "_c").alias("cds"), (F.col("penalty") + F.col("_w")).alias("penalty"))
+    """All coding sequences of each protein's first three residues, spelled out and summed up."""
+    head = _heads(spark, d).select("protein_id", F.substring("seq", 1, 3).alias("seq")).where(F.length("seq") == 3)
+    rows = C.enumerated(head, C.weights(_table(spark)), 3)
     return rows.groupBy("protein_id").agg(F.count("*").alias("n"), F.min("cds").alias("first_cds"), F.round(F.min("penalty"), 6).alias("least"), F.round(F.max("penalty"), 6).alias("most"))
 
 
+@query("cds_enumeration_whole")
+def cds_enumeration_whole(spark, d):
+    """Figures of all coding sequences of each whole protein; their number as log10_n."""
+    out = C.spellings(_proteins(spark, d), C.weights(_table(spark)))
+    return out.select("protein_id", F.round("log10_n", 9).alias("log10_n"), "first_cds", F.round("least", 6).alias("least"), F.round("most", 6).alias("most"))
+
+
 @query("structure_pairs", """, s AS (SELECT o_orderkey AS id, repeat('(', 1 + (o_orderkey % 4)::INT) || '...' || repeat(')', 1 + (o_orderkey % 4)::INT) || '.(...)' AS structure FROM orders),
 chars AS (SELECT id, i, substr(structure, i::INT + 1, 1) AS c FROM s, unnest(range(0, length(structure))) AS t(i)),
 level AS (SELECT id, i, c, sum(CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) + CASE WHEN c = ')' THEN 1 ELSE 0 END AS level FROM chars WHERE c <> '.'),

@@ -1,5 +1,6 @@
 """Protein queries on whole texts against brute force: texts longer than any sample, motifs far in."""
 
+import itertools
 import math
 
 import numpy as np
@@ -87,3 +88,28 @@ def test_codons_of_a_long_sequence(spark):
     x = "ACGUUA" * 40_000  # a substring from the start for each codon would take minutes
     (r,) = spark.createDataFrame([(x,)], "x string").select(S.codons(F.col("x")).alias("c")).collect()
     assert r.c == ["ACG", "UUA"] * 40_000
+
+
+def test_enumeration(spark, d, seqs):
+    """Whole proteins by sums; short ones also spelled out."""
+    rows = got(spark, d, "cds_enumeration")
+    assert set(rows) == set(seqs)
+    for i, s in seqs.items():
+        assert rows[i].log10_n == pytest.approx(math.fsum(math.log10(len(TABLE[a])) for a in s), rel=1e-9, abs=2e-9)
+        assert rows[i].first_cds == "".join(min(TABLE[a]) for a in s)
+        assert rows[i].least == pytest.approx(math.fsum(min(COST[a].values()) for a in s), rel=1e-9, abs=2e-6)
+        assert rows[i].most == pytest.approx(math.fsum(max(COST[a].values()) for a in s), rel=1e-9, abs=2e-6)
+    short = spark.createDataFrame([("a", "M"), ("b", "MF"), ("c", "MFL"), ("d", "RSLW"), ("e", "")], "protein_id string, seq string")
+    w = C.weights(catalog._table(spark))
+    found: dict = {}
+    for r in C.enumerated(short, w, 4).collect():
+        found.setdefault(r.protein_id, {})[r.cds] = r.penalty
+    sums = {r.protein_id: r for r in C.spellings(short, w).collect()}
+    assert set(found) == set(sums) == set("abcd") and len(found["c"]) == 12
+    for i, s in (("a", "M"), ("b", "MF"), ("c", "MFL"), ("d", "RSLW")):
+        want = {"".join(c): sum(COST[a][x] for a, x in zip(s, c, strict=True)) for c in itertools.product(*(TABLE[a] for a in s))}
+        assert found[i] == pytest.approx(want)
+        assert (round(10 ** sums[i].log10_n), sums[i].first_cds) == (len(want), min(want))
+        assert (sums[i].least, sums[i].most) == pytest.approx((min(want.values()), max(want.values())))
+    with pytest.raises(Exception, match="too long to enumerate"):
+        C.enumerated(short, w, 3).collect()
