@@ -18,15 +18,16 @@ BLANK_RUN = r"[\x20\x09-\x0D]+"
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's path below spark.checkpoint.dir, which all executors share.
 
-    Where the setting is absent (tests), a temporary folder is set as checkpoint folder.
+    Where the setting is absent, a temporary folder is set as checkpoint folder if driver and
+    executors are one process (tests); on a cluster that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("strandloom.scratch", None)
     if not base:
-        base = spark.conf.get("strandloom.scratch", None)
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-            spark.conf.set("strandloom.scratch", base)
-            spark.sparkContext.setCheckpointDir(base)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("strandloom.scratch", base)
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -37,6 +38,46 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def emptied(df: DataFrame, path: str) -> None:
+    """Replaces a written table that nothing reads any more by an empty one: its space is freed."""
+    df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
+
+
+#: Entries that array helpers handle together: arrays are built block by block, as appending one by
+#: one to a long array copies it each time, and cutting far into a text reads it from its start.
+_AT_ONCE = 64
+
+
+def _blocks(x: Column) -> Column:
+    """The array x as an array of arrays of _AT_ONCE entries."""
+    n = F.ceil(F.size(x) / _AT_ONCE).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda b: F.slice(x, b * _AT_ONCE + 1, F.lit(_AT_ONCE)))).otherwise(F.array())
+
+
+def _sums_before(x: Column) -> Column:
+    """at: the sum of x; sums: for each entry of a short array the sum of those before it."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("sums"))
+    return F.aggregate(x, start, lambda a, v: F.struct((a["at"] + v).alias("at"), F.concat(a["sums"], F.array(a["at"])).alias("sums")))
+
+
+def sums_before(x: Column) -> Column:
+    """For each entry of an array of longs the sum of those before it."""
+    inner = F.transform(_blocks(x), _sums_before)
+    return F.flatten(F.zip_with(inner, _sums_before(F.transform(inner, lambda r: r["at"]))["sums"], lambda r, at: F.transform(r["sums"], lambda s: s + at)))
+
+
+def cut_out(text: Column, spans: Column) -> Column:
+    """The parts of text at an array of spans (start, stop: code points from 0), which must be in
+    order and apart from one another."""
+
+    def block(part: Column) -> Column:
+        first, last = F.get(part, F.lit(0))["start"], F.element_at(part, -1)["stop"]
+        near = F.substring(text, (first + 1).cast("int"), (last - first).cast("int"))
+        return F.get(F.transform(F.array(near), lambda t: F.transform(part, lambda s: F.substring(t, (s["start"] - first + 1).cast("int"), (s["stop"] - s["start"]).cast("int")))), F.lit(0))
+
+    return F.flatten(F.transform(_blocks(spans), block))
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df

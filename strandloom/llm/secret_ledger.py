@@ -1,24 +1,30 @@
 """Secret scans over content-addressed blobs, with a ledger of what was scanned.
 
-A version of a file is addressed by the SHA-256 of its text. The ledger holds one row for each
-(blob, rule, rule version) that was scanned, with its findings. A scan takes all versions,
-finds the blobs for which some current rule version is not in the ledger, reads one copy of
-each, applies only the missing rules, appends, and joins findings back to every path.
-DataFrame functions only.
-
-Spans are code points, end exclusive, leftmost and non-overlapping for each rule. Positions
-come from the lengths of what lies between matches.
+A version of a file is addressed by the SHA-256 of its text. The ledger is two Parquet folders:
+the (blob, rule, rule version) pairs that were scanned, and the findings (where they are, never
+what they say). A scan takes all versions, finds the blobs for which some current rule version
+is not in the ledger, reads one copy of each, applies only the missing rules, appends, and joins
+findings back to every path. DataFrame functions only.
+
+Spans are code points, end exclusive, leftmost and non-overlapping for each rule. Their places are
+running sums of the lengths of matches and of what lies between, taken block by block, so a text
+of many findings takes time in proportion. Findings are appended before the pairs that vouch for
+them: a scan that dies between leaves findings that the next one finds again, and reading takes
+each once; so it does when two scans append at once.
 
 Defined cases: null text is the empty text and has no findings; copies, repeated rows and paths
-share one ledger row per rule; an empty table gives an empty result; columns other than path
-and text are ignored.
+share one ledger row per rule; a null path is a path like any other, and versions that share a
+path are each their own; an empty table gives an empty result; columns other than path and text
+are ignored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -48,88 +54,93 @@ BASE = (
 )
 #: What the method adds.
 MORE = (
-    Rule("private_key", 1, 4, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", r"PRIVATE KEY-----"),
+    # to the END line, or where there is none over the lines of base64 that follow
+    Rule("private_key", 2, 4, r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:(?s:.{0,20000}?)-----END [A-Z ]{0,40}PRIVATE KEY-----|(?:\s{1,3}[A-Za-z0-9+/=]{16,76}+(?![A-Za-z0-9+/=])){0,400}+)", r"PRIVATE KEY-----"),
     Rule("jwt", 1, 5, r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", r"eyJ[A-Za-z0-9_-]{8}"),
     Rule("repo_token", 1, 6, r"gh[pousr]_[A-Za-z0-9]{36,}", r"gh[pousr]_[A-Za-z0-9]{36}"),
 )
 RULES = BASE + MORE
-SPAN = "struct<start:long,ord:int,kind:string,stop:long,value:string>"
+PAIR = "blob binary, kind string, version int"
+FINDING = f"{PAIR}, ord int, start long, stop long"
+SPAN = "array<struct<start:long,ord:int,kind:string,stop:long>>"
 
 
 def _found(text: Column, rule: Rule) -> Column:
-    """Array of SPAN of the rule in text, by start."""
+    """Array of (start, stop) of the rule in text, in order."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    gaps = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x).cast("long"))
     part = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
-    cells = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), part.alias("part"))
-    none = F.array().cast(f"array<{SPAN}>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("spans"))
+    sizes = F.transform(whole, lambda x: F.length(x).cast("long"))
+    steps = F.zip_with(F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x).cast("long")), sizes, lambda gap, n: gap + F.coalesce(n, F.lit(0)))
+    cells = F.arrays_zip(common.sums_before(steps).alias("from"), steps.alias("step"), sizes.alias("n"), part.alias("part"))
+    ok = F.filter(cells, lambda x: F.coalesce(F.length(x["part"]) >= rule.least, F.lit(False)))
+    spans = F.transform(ok, lambda x: F.struct((x["from"] + x["step"] - x["n"]).alias("start"), (x["from"] + x["step"]).alias("stop")))
+    return F.when(text.rlike(rule.gate), spans).otherwise(F.array().cast("array<struct<start:long,stop:long>>"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.coalesce(F.length(x["whole"]), F.lit(0)).cast("long")
-        span = F.struct(begin.alias("start"), F.lit(rule.order).alias("ord"), F.lit(rule.kind).alias("kind"), end.alias("stop"), x["whole"].alias("value")).cast(SPAN)
-        ok = F.coalesce(F.length(x["part"]) >= rule.least, F.lit(False))
-        return F.struct(end.alias("at"), F.when(ok, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    return F.when(text.rlike(rule.gate), F.aggregate(cells, start, step, lambda acc: acc["spans"])).otherwise(none)
+def _row(rule: Rule):
+    """Of a span the ledger's fields."""
+    return lambda s: F.struct(F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"), F.lit(rule.order).alias("ord"), s["start"].alias("start"), s["stop"].alias("stop"))
 
 
-def _versioned(spans: Column, rule: Rule) -> Column:
-    return F.transform(spans, lambda s: s.withField("version", F.lit(rule.version)))
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A Parquet folder; none is an empty one."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Bring the ledger (a Parquet folder that need not exist) up to date with versions (path,
-    text) and return one row per version: path, blob, spans (array of SPAN of all rules)."""
+    """Bring the ledger (a folder that need not exist) up to date with versions (path, text) and
+    return one row per version: path, blob, spans (SPAN, of all rules, by start and kind's order)."""
     spark = versions.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
-    blob = F.unhex(F.sha2(text, 256))
-    named = common.written(versions.select("path", blob.alias("blob")), "versions")
-    wanted = F.array(*(F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules))
+    addressed = versions.select("path", text.alias("text"), F.unhex(F.sha2(text, 256)).alias("blob"))
+    named = common.written(addressed.select("path", "blob"), "versions")
+    current = spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")
+    bit = F.coalesce(*(F.when((F.col("kind") == r.kind) & (F.col("version") == r.version), F.lit(1 << i)) for i, r in enumerate(rules)), F.lit(0))
+    done = _read(spark, f"{ledger}/scanned", PAIR).groupBy("blob").agg(F.bit_or(bit).alias("done"))
+    every = (1 << len(rules)) - 1
+    missing = F.lit(every) - F.coalesce("done", F.lit(0))
     blobs = named.groupBy("blob").agg(F.min("path").alias("path"))
-    schema = "blob binary, scanned array<struct<kind:string,version:int>>, spans array<struct<start:long,ord:int,kind:string,stop:long,value:string,version:int>>"
-    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(ledger)
-    exists = jvm.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm)
-    if exists:
-        seen = spark.read.schema(schema).parquet(ledger).groupBy("blob").agg(F.flatten(F.collect_list("scanned")).alias("done"))
-        blobs = blobs.join(seen, "blob", "left")
-    else:
-        blobs = blobs.withColumn("done", F.array().cast("array<struct<kind:string,version:int>>"))
-    missing = F.array_except(wanted, F.coalesce("done", F.array().cast("array<struct<kind:string,version:int>>")))
-    unseen = blobs.select("path", "blob", missing.alias("missing")).where(F.size("missing") > 0)
-    texts = versions.select("path", text.alias("text"))
-    todo = texts.join(unseen.hint("shuffle_hash"), "path")
-    if _repeats(named):  # a path with several versions: only the one that the blob addresses
-        todo = todo.where(F.unhex(F.sha2("text", 256)) == F.col("blob")).dropDuplicates(["blob"])
-    spans = []
-    for r in rules:
-        need = F.array_contains(F.col("missing"), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")))
-        spans.append(F.when(need, _versioned(_found(F.col("text"), r), r)).otherwise(F.array().cast("array<struct<start:long,ord:int,kind:string,stop:long,value:string,version:int>>")))
-    todo.select("blob", F.col("missing").alias("scanned"), F.concat(*spans).alias("spans")).write.mode("append").parquet(ledger)
-
-    current = spark.read.schema(schema).parquet(ledger).select("blob", F.filter("spans", lambda s: F.array_contains(wanted, F.struct(s["kind"].alias("kind"), s["version"].alias("version")))).alias("spans"))
-    if exists:
-        current = current.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    current = current.where(F.size("spans") > 0)
-    none = F.array().cast(f"array<{SPAN}>")
-    plain = F.transform(F.array_sort("spans"), lambda s: F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["kind"].alias("kind"), s["stop"].alias("stop"), s["value"].alias("value")))
-    return named.join(current.select("blob", plain.alias("found")), "blob", "left").select("path", "blob", F.coalesce("found", none).alias("spans"))
-
-
-def _repeats(versions: DataFrame) -> bool:
-    """Whether a path occurs more than once."""
-    return versions.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() > 0
+    unseen = blobs.join(done, "blob", "left").select("blob", "path", missing.alias("missing")).where("missing > 0")
+    unseen = common.written(unseen, "unseen")
+    same = unseen.select(F.col("blob").alias("_blob"), F.col("path").alias("_path"), "missing")
+    few = unseen.count() * 80 <= common.BROADCAST_BYTES
+    todo = addressed.join(F.broadcast(same) if few else same, (F.col("blob") == F.col("_blob")) & F.col("path").eqNullSafe(F.col("_path")))
+    if _repeats(named):  # rows that repeat path and text: one of them
+        todo = todo.dropDuplicates(["blob"])
+    hits = []
+    for i, r in enumerate(rules):
+        need = F.col("missing").bitwiseAND(1 << i) > 0
+        hits.append(F.transform(F.when(need, _found(F.col("text"), r)).otherwise(F.array().cast("array<struct<start:long,stop:long>>")), _row(r)))
+    todo.select("blob", F.explode(F.concat(*hits)).alias("f")).select("blob", "f.*").write.mode("append").parquet(f"{ledger}/findings")
+    pairs = F.filter(F.array(*(F.when(F.col("missing").bitwiseAND(1 << i) > 0, F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"))) for i, r in enumerate(rules))), lambda p: p.isNotNull())
+    unseen.select("blob", F.explode(pairs).alias("p")).select("blob", "p.*").write.mode("append").parquet(f"{ledger}/scanned")
+
+    found = _read(spark, f"{ledger}/findings", FINDING).join(F.broadcast(current), ["kind", "version"])
+    found = found.groupBy("blob").agg(F.array_sort(F.collect_set(F.struct("start", "ord", "kind", "stop"))).alias("spans"))
+    return named.join(found, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+
+
+def _repeats(named: DataFrame) -> bool:
+    """Whether a path and blob occur together more than once."""
+    return not named.groupBy("path", "blob").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
 
 
 def joined(spans: Column) -> Column:
     """kind:start:end of spans, by start and kind's order, comma-joined."""
-    return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"])), ",")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    versions = common.documents(spark, sf_dir, "doc_id", "text").withColumnRenamed("doc_id", "path")
-    found = scan(versions, common.scratch(spark, "ledger"))
+    """Two scans over one ledger: the base rules first; then all, when only the added rules are
+    unseen."""
+    versions, ledger = common.documents(spark, sf_dir, "doc_id", "text").withColumnRenamed("doc_id", "path"), common.scratch(spark, "ledger")
+    scan(versions, ledger, BASE)
+    found = scan(versions, ledger)
     base = F.filter("spans", lambda s: s["ord"] <= len(BASE))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
@@ -143,22 +154,28 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with every finding's text replaced by [kind]; other columns stay. n_chars, where
-    there is one, counts the new text."""
-    found = scan(docs.select(F.col("doc_id").alias("path"), "text"), common.scratch(docs.sparkSession, "ledger"), rules)
-    hits = found.where(F.size("spans") > 0).select(F.col("path").alias("doc_id"), F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["doc_id", "_blob"])
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    text = F.col("text")
-
-    def step(acc: Column, s: Column) -> Column:
-        keep = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        inside = s["start"] < acc["at"]
-        out = F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], keep, F.lit("["), s["kind"], F.lit("]")))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), out.alias("out"))
-
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    """docs with every finding's text replaced by [kind] (overlapping ones by the first one's);
+    other columns stay. n_chars, where there is one, counts the new text."""
+    spark = docs.sparkSession
+    found = scan(docs.select(F.col("doc_id").alias("path"), "text"), common.scratch(spark, "ledger"), rules)
+    # one window for each blob with findings: where spans run into one another, they are one
+    hits = found.where(F.size("spans") > 0).select("blob", "spans").dropDuplicates(["blob"])
+    each = hits.select("blob", F.explode("spans").alias("s")).select("blob", "s.*")
+    w = W.partitionBy("blob").orderBy("start", "ord", "stop")
+    fresh = F.coalesce(F.col("start") >= F.max("stop").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(True))
+    runs = each.withColumn("fresh", fresh).withColumn("run", F.count_if("fresh").over(w))
+    one = runs.groupBy("blob", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.max(F.when(F.col("fresh"), F.col("kind"))).alias("kind"))
+    apart = common.written(one.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "stop", "kind"))).alias("_spans")), "redacted")
+
+    text, spans = F.col("text"), F.col("_spans")
     named = docs.withColumn("_blob", F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)))
-    out = named.join(hits, ["doc_id", "_blob"], "left").withColumn("text", F.when(F.col("_spans").isNull(), text).otherwise(clean))
+    out = common.keyed(named, apart.withColumnRenamed("blob", "_blob"), "_blob", "left", 400)
+    rest = F.struct((F.element_at(spans, -1)["stop"]).alias("start"), F.length(text).cast("long").alias("stop"))
+    stops = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["stop"]))
+    between = F.concat(F.zip_with(F.slice(stops, 1, F.size(spans)), spans, lambda a, s: F.struct(a.alias("start"), s["start"].alias("stop"))), F.array(rest))
+    marks = F.concat(F.transform(spans, lambda s: F.concat(F.lit("["), s["kind"], F.lit("]"))), F.array(F.lit("")))
+    clean = F.array_join(F.zip_with(common.cut_out(text, between), marks, lambda t, m: F.concat(t, m)), "")
+    out = out.withColumn("_clean", F.when(spans.isNull(), text).otherwise(clean))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(spans.isNull(), F.col("n_chars")).otherwise(F.length("_clean").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*(F.col("_clean").alias("text") if c == "text" else c for c in docs.columns))
