@@ -4,7 +4,8 @@ Events have conv_id, seq, kind, message, role, text. Sorted by seq, they are fol
 message: `start` opens a message, `delta` appends to it, `edit` replaces its text, `regenerate`
 discards its text (later deltas build the new one). Messages come in the order of their first
 event. DataFrame functions only; each message is folded first, so a long conversation is
-spread over many groups, and only the final texts of a conversation meet in one row.
+spread over many groups, and only the final texts of a conversation meet in one row. Places in
+the output are running sums taken block by block, so long conversations take time in proportion.
 
 The template puts each turn between <turn> and </turn> with its role on the first line. In
 texts and roles a backslash becomes two and < becomes \\l, so no text holds a control string,
@@ -18,6 +19,7 @@ begins at its first event; an empty table gives an empty result; other columns a
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
@@ -52,16 +54,12 @@ def render(folded: DataFrame) -> DataFrame:
     parts = F.transform("messages", lambda m: F.struct(
         F.concat(F.lit(OPEN), escaped(m["role"]), F.lit("\n")).alias("head"), escaped(m["text"]).alias("body"), (m["role"] == LEARNED).alias("learned")))
     rows = folded.select("conv_id", parts.alias("parts"))
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,stop:long>>").alias("spans"))
-
-    def step(a: Column, p: Column) -> Column:
-        start = a["at"] + F.length(p["head"])
-        stop = start + F.length(p["body"])
-        spans = F.when(p["learned"], F.concat(a["spans"], F.array(F.struct(start.alias("start"), stop.alias("stop"))))).otherwise(a["spans"])
-        return F.struct((stop + len(CLOSE)).alias("at"), spans.alias("spans"))
-
+    size = lambda p: F.length(p["head"]).cast("long") + F.length(p["body"]) + len(CLOSE)
+    spans = F.zip_with("parts", common.sums_before(F.transform("parts", size)), lambda p, at: F.struct(
+        (at + F.length(p["head"])).alias("start"), (at + F.length(p["head"]) + F.length(p["body"])).alias("stop"), p["learned"].alias("learned")))
     whole = F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), "")
-    return rows.select("conv_id", whole.alias("formatted"), F.aggregate("parts", begin, step, lambda a: a["spans"]).alias("loss"))
+    loss = F.transform(F.filter(spans, lambda s: s["learned"]), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
+    return rows.select("conv_id", whole.alias("formatted"), loss.alias("loss"))
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
@@ -71,17 +69,47 @@ def read_back(rendered: DataFrame) -> DataFrame:
     turns = F.transform(bodies, lambda t: F.struct(
         unescaped(F.substring_index(cut(t), "\n", 1)).alias("role"),
         unescaped(F.substring(cut(t), F.instr(cut(t), "\n") + 1, F.lit(1 << 30))).alias("text")))
-    learned = F.transform("loss", lambda s: unescaped(F.substring("formatted", (s["start"] + 1).cast("int"), (s["stop"] - s["start"]).cast("int"))))
+    learned = F.transform(common.cut_out(F.col("formatted"), F.col("loss")), unescaped)
     return rendered.select("conv_id", turns.alias("turns"), learned.alias("learned"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+#: Two messages' events are this far apart in a log; an edit in the second half of a message's
+#: numbers comes among the next message's events.
+APART, LATE = 16, 25
+
+
+def log_of(rows: DataFrame) -> DataFrame:
+    """An event log that folds to the turns of rows (conv_id, turn, role, text).
+
+    A turn arrives as a start and streamed deltas. By the hash of its place, it is plain; or a
+    wrong draft that is regenerated; or a text that is edited after the next message has begun;
+    or a wrong draft that is edited at once and streamed on. Rows of a conversation are in order
+    of turn, role and text. A draft never reaches the final text."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    rows = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    place = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    n = F.length("text")
+    cut = F.ceil(n / 3).cast("int")
+    parts = [F.substring("text", F.lit(1), cut), F.substring("text", cut + 1, cut), F.substring("text", 2 * cut + 1, n)]
+    at = lambda k, kind, x: F.struct((F.col("message") * APART + k).alias("seq"), F.lit(kind).alias("kind"), x.alias("text"))
+    whole = [at(i, "start" if i == 0 else "delta", x) for i, x in enumerate(parts)]
+    draft, none = F.concat(F.lit("draft: "), F.reverse("text")), F.lit(None).cast("string")
+    logs = [
+        whole,
+        [at(0, "start", F.lit("")), at(1, "delta", draft), at(2, "regenerate", none), *(at(3 + i, "delta", x) for i, x in enumerate(parts))],
+        [at(0, "start", parts[0]), at(1, "delta", draft), at(LATE, "edit", F.col("text"))],
+        [at(0, "start", draft), at(1, "edit", parts[0]), at(2, "delta", parts[1]), at(3, "delta", parts[2])],
+    ]
+    kind = F.pmod(F.xxhash64("conv_id", "message"), F.lit(len(logs)))
+    chosen = F.coalesce(*(F.when(kind == i, F.array(*x)) for i, x in enumerate(logs)))
+    return rows.withColumn("message", place).withColumn("e", F.explode(chosen)).select("conv_id", "e.seq", "e.kind", "message", "role", "e.text")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    # each row arrives as a message's start and its streamed text
-    events = rows.unionByName(more).select("conv_id", F.col("turn").alias("seq"), F.lit("delta").alias("kind"), F.struct("turn", F.monotonically_increasing_id().alias("row")).alias("message"), "role", "text")
-    back = read_back(render(fold(events)))
+    back = read_back(render(fold(log_of(rows.unionByName(more)))))
     learned = F.array_join("learned", "")
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
