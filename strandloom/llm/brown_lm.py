@@ -1,19 +1,24 @@
 """Class-based n-grams: exchange clustering of words, smoothed class bigrams, perplexity.
 
-P(word | history) = P(class | previous class) * P(word | class). Words of at least 1/2**17 of the
-training tokens (so at most 2**17 words) are moved between EXCHANGED classes: each round one
-pass sums, for every such word, the classes before and after it; a word then takes the class
-that raises the likelihood of class bigrams most, half the words in each round. Rarer words
+P(word | history) = P(class | previous class) * P(word | class). Every word that occurs LEAST
+times or more in training (up to HEAD words, the more frequent ones first; that bounds what is
+broadcast) is moved between EXCHANGED classes. In a round one pass counts, for one share of
+these words, the classes before and after each as a sparse table, and each word of the share
+then takes the class that raises the likelihood of class bigrams most. Rounds go on until a
+sweep over all shares raises the measured likelihood by less than TOLERANCE of its gain over
+independent classes; moves that lower it are undone. Other words (seen once, or beyond HEAD)
 belong to SUFFIX further classes by their last two characters. A last class is the end of a
-text. Transitions and emissions have SMOOTH added; each class keeps room for one unseen word,
-so probabilities sum to one.
+text. Transitions and emissions have SMOOTH added; each class keeps room for one unseen word, so
+probabilities sum to one.
 
-All counts are over all training texts. Words of at least that share are broadcast (a
-proven bound); counts of rarer words meet their texts by a join on the word.
+All counts are over all training texts. Words are known by 64-bit hashes in sorted arrays of at
+most HEAD entries; counts of other words meet their texts by a join on the word. Sparse counts
+are merged in two levels, each adding what comes in to arrays of a fixed size, so no task holds
+more than its blocks of words whatever the number of tasks before it.
 
 Defined cases: null and empty texts have the end token alone; without training rows every token
-is unseen; repeated rows count as often as they occur; an empty table gives an empty result;
-other columns are ignored. doc_id names a document.
+is unseen; repeated rows count as often as they occur, and rows that share a doc_id are scored
+each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,24 +26,36 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-SHARE, EXCHANGED, SUFFIX, ROUNDS, SMOOTH = 1 << 17, 32, 32, 4, 0.5
+LEAST, HEAD = 2, 1 << 21
+EXCHANGED, SUFFIX, SMOOTH = 48, 32, 0.5
 CLASSES = EXCHANGED + SUFFIX + 1
 END = CLASSES - 1
-FLUSH, BLOCK = 200_000, 512
+#: Sweeps at most, words of one round (one in SHARES), and the gain that ends the search.
+SWEEPS, SHARES, TOLERANCE = 10, 3, 0.01
+FLUSH, BLOCK = 200_000, 384
+SIDES = 2 * CLASSES
+assert BLOCK * SIDES < 1 << 16  # steps between keys of a block fit 16 bits
 
 
 def _suffix_class(word: str) -> int:
     return EXCHANGED + zlib.crc32(word[-2:].encode()) % SUFFIX
 
 
+def word_hash(word: bytes) -> int:
+    """As Spark's xxhash64 of the word, unsigned."""
+    return xxhash.xxh64_intdigest(word, 42)
+
+
 def _texts(batches, step: int = 512):
     for batch in batches:
         for at in range(0, batch.num_rows, step):
@@ -66,72 +83,127 @@ def vocabulary(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def head_of(vocab: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted hashes and counts of the words that are exchanged, and their least count: LEAST,
+    or the first power of two that at most `most` words reach."""
+    logs = vocab.where(F.col("c") >= LEAST).groupBy(F.floor(F.log2("c")).cast("int").alias("e")).agg(F.count("*").alias("n")).collect()  # at most 64 rows
+    least, n = LEAST, sum(r.n for r in logs)
+    for r in sorted(logs, key=lambda r: r.e):
+        if n <= most:
+            break
+        least, n = 2 ** (r.e + 1), n - r.n
+    rows = vocab.where(F.col("c") >= least).select(F.xxhash64("word").alias("h"), "c").toArrow()  # at most `most` rows
+    h, c = rows["h"].to_numpy().view(np.uint64), rows["c"].to_numpy()
+    order = np.argsort(h)
+    return h[order], c[order], least
+
+
 def indexed(docs: DataFrame, head) -> DataFrame:
-    """doc_id, held_out, ids (of frequent words; beyond them the class of a rarer word), and the
-    rarer words with their counts."""
+    """row, doc_id, held_out, ids (places in head; beyond them the class of another word), and
+    those other words with their counts."""
 
     def run(batches):
-        ids_of, n_head = head.value, len(head.value)
-        cls: dict[bytes, int] = {}
+        hashes, ids_of = head.value, {}
+        n_head = len(hashes)
         for part, texts in _texts(batches):
+            if len(ids_of) >= 2 * FLUSH:
+                ids_of.clear()
+            if fresh := list({w for words in texts for w in words if w not in ids_of}):
+                h = np.fromiter(map(word_hash, fresh), np.uint64, len(fresh))
+                at = np.minimum(np.searchsorted(hashes, h), max(0, n_head - 1))
+                held = hashes[at] == h if n_head else np.zeros(len(h), bool)
+                for w, k, ok in zip(fresh, at.tolist(), held.tolist(), strict=True):
+                    ids_of[w] = k if ok else n_head + _suffix_class(w.decode()) - EXCHANGED
             ids, rare, times = [], [], []
             for words in texts:
-                seq, tail = np.empty(len(words), "<u4"), {}
-                for i, w in enumerate(words):
-                    k = ids_of.get(w)
-                    if k is None:
-                        tail[w] = tail.get(w, 0) + 1
-                        k = cls.get(w)
-                        if k is None:
-                            if len(cls) >= FLUSH:
-                                cls.clear()
-                            k = cls[w] = n_head + _suffix_class(w.decode()) - EXCHANGED
-                    seq[i] = k
+                seq = np.fromiter(map(ids_of.__getitem__, words), "<u4", len(words))
+                tail = Counter(words[i] for i in np.flatnonzero(seq >= n_head).tolist())
                 ids.append(seq.tobytes())
                 rare.append([w.decode() for w in tail])
                 times.append(list(tail.values()))
-            yield pa.RecordBatch.from_arrays([part["doc_id"], part["held_out"], pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))], ["doc_id", "held_out", "ids", "rare", "times"])
+            yield pa.RecordBatch.from_arrays([part["row"], part["doc_id"], part["held_out"], pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))], ["row", "doc_id", "held_out", "ids", "rare", "times"])
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, ids binary, rare array<string>, times array<int>")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
+    return rows.mapInArrow(run, "row long, doc_id long, held_out boolean, ids binary, rare array<string>, times array<int>")
 
 
 def _classes_of(ids: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """Classes of tokens between two ends; cls: of frequent words, then of the suffix classes."""
+    """Classes of tokens between two ends; cls: of the head's words, then of the suffix classes."""
     return np.concatenate([[END], cls[ids], [END]])
 
 
-def neighbours(train: DataFrame, cls: np.ndarray, n_head: int) -> DataFrame:
-    """Block -1: class bigram counts; block b: classes before and after words b * BLOCK... ."""
+def _packed(key: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending keys of a block with counts: steps and counts of 16 bits, large counts apart."""
+    big = np.flatnonzero(n >= 1 << 16)
+    head = np.array([len(key), len(big)], "<u4").tobytes()
+    return head + np.diff(key, prepend=0).astype("<u2").tobytes() + np.minimum(n, (1 << 16) - 1).astype("<u2").tobytes() + big.astype("<u4").tobytes() + n[big].astype("<i8").tobytes()
+
+
+def _unpacked(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    m, k = np.frombuffer(x, "<u4", 2).tolist()
+    key, n = np.cumsum(np.frombuffer(x, "<u2", m, 8), dtype=np.int64), np.frombuffer(x, "<u2", m, 8 + 2 * m).astype(np.int64)
+    n[np.frombuffer(x, "<u4", k, 8 + 4 * m)] = np.frombuffer(x, "<i8", k, 8 + 4 * m + 4 * k)
+    return key, n
+
+
+def neighbours(train: DataFrame, cls, share: int, shares: int) -> DataFrame:
+    """Block -1: class bigram counts; block b: how often each class stands before and after words
+    b * BLOCK... of the share; cls: broadcast classes of ids."""
 
     def count(batches):
-        before, after, pairs = np.zeros((n_head, CLASSES), np.int64), np.zeros((n_head, CLASSES), np.int64), np.zeros(CLASSES * CLASSES, np.int64)
+        of = cls.value
+        n_head = len(of) - SUFFIX
+        pairs, keys, held = np.zeros(CLASSES * CLASSES, np.int64), [], 0
+
+        def out():
+            key, n = np.unique(np.concatenate(keys), return_counts=True)
+            edge = np.searchsorted(key, np.arange(0, n_head + BLOCK, BLOCK, dtype=np.uint64) * np.uint64(SIDES))
+            some = np.flatnonzero(np.diff(edge))
+            parts = [_packed(key[edge[b] : edge[b + 1]].astype(np.int64) - int(b) * BLOCK * SIDES, n[edge[b] : edge[b + 1]]) for b in some.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(parts, pa.binary())], ["block", "counts"])
+
         for batch in batches:
             seqs = [np.frombuffer(x.as_buffer(), "<u4") for x in batch["ids"]]
             if not seqs:
                 continue
-            c = np.concatenate([_classes_of(s, cls) for s in seqs])
-            w = np.concatenate([np.concatenate([[n_head], s, [n_head]]) for s in seqs]).astype(np.int64)
+            c = np.concatenate([_classes_of(s, of) for s in seqs]).astype(np.int64)
+            w = np.concatenate([np.concatenate([[len(of)], s, [len(of)]]) for s in seqs])
             joint = np.ones(len(c) - 1, bool)
             joint[np.cumsum([len(s) + 2 for s in seqs])[:-1] - 1] = False  # from one text's end to the next's start
             pairs += np.bincount((c[:-1] * CLASSES + c[1:])[joint], minlength=CLASSES**2)
-            at = np.flatnonzero(w < n_head)
-            before += np.bincount(w[at] * CLASSES + c[at - 1], minlength=n_head * CLASSES).reshape(n_head, -1)
-            after += np.bincount(w[at] * CLASSES + c[at + 1], minlength=n_head * CLASSES).reshape(n_head, -1)
-        blocks, parts = [-1], [zlib.compress(pairs.tobytes(), 1)]
-        for b in range(0, n_head, BLOCK):
-            blocks.append(b // BLOCK)
-            parts.append(zlib.compress(np.stack([before[b : b + BLOCK], after[b : b + BLOCK]]).tobytes(), 1))
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array(parts, pa.binary())], ["block", "counts"])
+            at = np.flatnonzero((w < n_head) & (w % shares == share))
+            base = w[at].astype(np.uint32) * np.uint32(SIDES)
+            keys += [base + c[at - 1].astype(np.uint32), base + (CLASSES + c[at + 1]).astype(np.uint32)]
+            held += 2 * len(at)
+            if held >= 1 << 22:
+                yield out()
+                keys, held = [], 0
+        if held:
+            yield out()
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([pairs.tobytes()], pa.binary())], ["block", "counts"])
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for b, p in zip(batch["block"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                x = np.frombuffer(zlib.decompress(p), np.int64)
-                total[b] = total[b] + x if b in total else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["block", "counts"])
-
-    return train.select("ids").mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, counts binary")
+            for b, x in zip(batch["block"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                if b not in total:
+                    total[b] = np.zeros(CLASSES**2 if b < 0 else BLOCK * SIDES, np.int64)
+                if b < 0:
+                    total[b] += np.frombuffer(x, np.int64)
+                else:
+                    key, n = _unpacked(x)
+                    total[b][key] += n
+        for b in list(total):
+            x = total.pop(b)
+            key = np.flatnonzero(x)
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([x.tobytes() if b < 0 else _packed(key, x[key])], pa.binary())], ["block", "counts"])
+
+    schema = "block int, counts binary"
+    tasks = common.tasks_for(train.sparkSession, len(cls.value) // BLOCK, 64)
+    parts = train.select("ids").mapInArrow(count, schema)
+    if (n := parts.rdd.getNumPartitions()) > 1024:  # so many tasks' counts are first added up by groups
+        parts = parts.withColumn("_part", F.spark_partition_id() % (n // 256)).repartition(tasks * (n // 256), "block", "_part").drop("_part").mapInArrow(add, schema)
+    return parts.repartition(tasks, "block").mapInArrow(add, schema)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -139,66 +211,150 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def best_class(l: np.ndarray, r: np.ndarray, own: int, pairs: np.ndarray) -> int:
-    """The class that a word with neighbours l before and r after should have."""
-    cc, n = pairs.astype(float), float(l.sum())
-    cc[own] -= r
-    cc[:, own] -= l
-    np.maximum(cc, 0, out=cc)
-    k = EXCHANGED
-    row, col = cc.sum(1)[:k], cc.sum(0)[:k]
-    gain = (_xlogx(cc[:k] + r) - _xlogx(cc[:k])).sum(1) + (_xlogx(cc[:, :k] + l[:, None]) - _xlogx(cc[:, :k])).sum(0)
-    gain -= _xlogx(row + n) - _xlogx(row) + _xlogx(col + n) - _xlogx(col)
-    best = int(gain.argmax())
-    return best if gain[best] > gain[own] + 1e-9 else own
-
-
-def exchange(train: DataFrame, n_head: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the frequent words (then of the suffix classes), and class bigram counts."""
-    cls = np.concatenate([np.arange(n_head) % EXCHANGED, np.arange(EXCHANGED, EXCHANGED + SUFFIX)])
-    for turn in range(rounds + 1):
-        sums = common.written(neighbours(train, cls, n_head), "neighbours")
+def likelihood(pairs: np.ndarray) -> float:
+    """Log-likelihood of the class bigrams over that of independent classes."""
+    n = pairs.sum()
+    return float(_xlogx(pairs).sum() - _xlogx(pairs.sum(0)).sum() - _xlogx(pairs.sum(1)).sum() + _xlogx(n))
+
+
+class Gains:
+    """What a word adds to the likelihood in each class, from the class bigram counts. That a
+    move changes the counts between its neighbours' own classes is left out; rounds measure."""
+
+    SMALL = 24
+
+    def __init__(self, pairs: np.ndarray):
+        k = EXCHANGED
+        self.cells = np.concatenate([pairs[:, :k], pairs[:k].T]).astype(float)  # before k, after k
+        self.size = pairs.sum(0)[:k].astype(float), pairs.sum(1)[:k].astype(float)
+        n = np.arange(self.SMALL)[:, None, None]
+        self.more = (_xlogx(self.cells + n) - _xlogx(self.cells)).astype(np.float32)
+        self.less = (_xlogx(self.cells) - _xlogx(np.maximum(self.cells - n, 0))).astype(np.float32)
+
+    def best(self, word: np.ndarray, side: np.ndarray, n: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The best class of each word; word: ascending places in own, side: class before, or
+        CLASSES and class after, n: how often; own: classes at present."""
+        out = own.copy()
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        edges = [*first[::256].tolist(), len(word)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            w, s, m = word[a:b], side[a:b], n[a:b]
+            mine = own[w]
+            value = self.more[np.minimum(m, self.SMALL - 1), s]
+            stay = self.less[np.minimum(m, self.SMALL - 1), s, mine]
+            if len(big := np.flatnonzero(m >= self.SMALL)):
+                c = self.cells[s[big]]
+                value[big] = _xlogx(c + m[big, None]) - _xlogx(c)
+                c = c[np.arange(len(big)), mine[big]]
+                stay[big] = _xlogx(c) - _xlogx(np.maximum(c - m[big], 0))
+            value[np.arange(len(w)), mine] = stay
+            at = np.flatnonzero(np.diff(w, prepend=-1))
+            gain = np.add.reduceat(value.astype(float), at)
+            ids = w[at]
+            k, every = own[ids], np.arange(len(ids))
+            for size, there in zip(self.size, (s < CLASSES, s >= CLASSES), strict=True):
+                total = np.add.reduceat(np.where(there, m, 0), at).astype(float)
+                loss = _xlogx(size + total[:, None]) - _xlogx(size)
+                loss[every, k] = _xlogx(size[k]) - _xlogx(np.maximum(size[k] - total, 0))
+                gain -= loss
+            top = gain.argmax(1)
+            out[ids] = np.where(gain[every, top] > gain[every, k] + 1e-3, top, k)
+        return out
+
+
+def moved(sums: DataFrame, cls: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The classes after every counted word took its best one."""
+    spark = sums.sparkSession
+    held = spark.sparkContext.broadcast((cls, pairs))
+
+    def run(batches):
+        of, p = held.value
+        gains = Gains(p)
+        for batch in batches:
+            for b, x in zip(batch["block"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                key, n = _unpacked(x)
+                own = of[b * BLOCK : min((b + 1) * BLOCK, len(of) - SUFFIX)].astype(np.int64)
+                new = gains.best(key // SIDES, key % SIDES, n, own)
+                at = np.flatnonzero(new != own)
+                yield pa.RecordBatch.from_arrays([pa.array((b * BLOCK + at).astype(np.int32)), pa.array(new[at].astype(np.int32))], ["w", "k"])
+
+    rows = sums.where("block >= 0").repartition(common.tasks_for(spark, len(cls) // BLOCK, 64), "block").mapInArrow(run, "w int, k int").toArrow()  # at most HEAD rows
+    out = cls.copy()
+    out[rows["w"].to_numpy()] = rows["k"].to_numpy()
+    return out
+
+
+def exchange(train: DataFrame, counts: np.ndarray, sweeps: int = SWEEPS, shares: int = SHARES) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Classes of the head's words (then of the suffix classes), class bigram counts, and the
+    likelihood after each round. At first the most frequent words have a class each and all
+    others the last one."""
+    cls = np.concatenate([np.full(len(counts), EXCHANGED - 1), np.arange(EXCHANGED, EXCHANGED + SUFFIX)]).astype(np.uint8)
+    top = np.argsort(-counts, kind="stable")[: EXCHANGED - 1]
+    cls[top] = np.arange(len(top))
+    best, trail = None, []
+    for turn in range(sweeps * shares + 1):
+        handle = train.sparkSession.sparkContext.broadcast(cls)
+        name = common.scratch(train.sparkSession, "neighbours")
+        neighbours(train, handle, turn % shares, shares).write.parquet(name)
+        sums = train.sparkSession.read.schema("block int, counts binary").parquet(name)
         first = sums.where("block = -1").first()
         pairs = np.frombuffer(first.counts, np.int64).reshape(CLASSES, CLASSES) if first else np.zeros((CLASSES, CLASSES), np.int64)
-        if turn == rounds:
-            return cls, pairs
-
-        def move(batches, cls=cls, pairs=pairs, turn=turn):
-            for batch in batches:
-                words, to = [], []
-                for b, p in zip(batch["block"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                    both = np.frombuffer(p, np.int64).reshape(2, -1, CLASSES)
-                    for i in range(both.shape[1]):
-                        w = b * BLOCK + i
-                        if (zlib.crc32(str(w).encode()) + turn) % 2 == 0 and (k := best_class(both[0, i], both[1, i], int(cls[w]), pairs)) != cls[w]:
-                            words.append(w)
-                            to.append(k)
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.int32()), pa.array(to, pa.int32())], ["w", "k"])
-
-        cls = cls.copy()
-        for m in sums.where("block >= 0").repartition("block").mapInArrow(move, "w int, k int").collect():  # at most 2**17 rows
-            cls[m.w] = m.k
-    raise AssertionError
-
-
-def score(docs: DataFrame, held_out) -> DataFrame:
-    """One row per document: the base figures and the model's log10 probability."""
-    spark = docs.sparkSession
+        now = likelihood(pairs)
+        trail.append(now)
+        if best is None or now >= best[0]:
+            best = now, cls, pairs
+            end = turn == sweeps * shares or turn and turn % shares == 0 and now - trail[turn - shares] < TOLERANCE * now
+            if not end:
+                cls = moved(sums, cls, pairs)
+        else:  # undone, and a sweep that lowers it ends the search
+            end = turn >= shares and max(trail[turn - shares + 1 :]) <= trail[turn - shares] * (1 + TOLERANCE)
+            cls = best[1]
+        handle.unpersist()
+        common.emptied(sums, name)
+        if end:
+            return best[1], best[2], trail
+    return best[1], best[2], trail
+
+
+@dataclass
+class Model:
+    """vocab: word, c; hashes, counts: of the head, sorted; cls: see exchange; pairs: class
+    bigram counts; least: of the head's counts; tokens, kinds: of training, ends included."""
+
+    vocab: DataFrame
+    table: DataFrame
+    hashes: np.ndarray
+    counts: np.ndarray
+    cls: np.ndarray
+    pairs: np.ndarray
+    least: int
+    ends: int
+    tokens: int
+    kinds: int
+    trail: list[float]
+
+
+def fit(docs: DataFrame, held_out, most: int = HEAD) -> Model:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out"))
     train = docs.where("not held_out")
     vocab = common.written(vocabulary(train), "vocabulary")
     ends = train.count()
     totals = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    big_n, big_v = totals.n + ends, totals.v + (1 if ends else 0)
-    frequent = vocab.where(F.col("c") * SHARE >= big_n).orderBy(F.desc("c"), "word").collect()  # at most 2**17 rows
-    counts = np.array([r.c for r in frequent], np.int64)
-    head = spark.sparkContext.broadcast({r.word.encode(): i for i, r in enumerate(frequent)})
-    n_head = len(frequent)
-    table = common.written(indexed(docs, head), "indexed")
-    cls, pairs = exchange(table.where("not held_out"), n_head)
+    hashes, counts, least = head_of(vocab, most)
+    table = common.written(indexed(docs, docs.sparkSession.sparkContext.broadcast(hashes)), "indexed")
+    cls, pairs, trail = exchange(table.where("not held_out"), counts)
+    return Model(vocab, table, hashes, counts, cls, pairs, least, ends, totals.n + ends, totals.v + (1 if ends else 0), trail)
+
+
+def score(docs: DataFrame, held_out, most: int = HEAD) -> DataFrame:
+    """One row per row of docs: the base figures and the model's log10 probability."""
+    return scored(fit(docs, held_out, most))
+
 
+def scored(model: Model) -> DataFrame:
+    counts, cls, pairs, n_head, ends = model.counts, model.cls, model.pairs, len(model.counts), model.ends
     kind = F.lit(EXCHANGED) + F.pmod(F.crc32(F.encode(F.substring("word", -2, 2), "utf-8")), F.lit(SUFFIX)).cast("int")
-    rare = {r.k: (r.n, r.v) for r in vocab.where(F.col("c") * SHARE < big_n).groupBy(kind.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
+    rare = {r.k: (r.n, r.v) for r in model.vocab.where(F.col("c") < model.least).groupBy(kind.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     tokens, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
     np.add.at(tokens, cls[:n_head], counts)
     np.add.at(kinds, cls[:n_head], 1)
@@ -208,35 +364,37 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     trans = np.log10(pairs + SMOOTH) - np.log10(pairs.sum(1, keepdims=True) + SMOOTH * CLASSES)
     emit = np.concatenate([np.log10(counts + SMOOTH) - room[cls[:n_head]], -room[EXCHANGED : EXCHANGED + SUFFIX]])
     base = np.concatenate([np.log10(counts + 1.0), np.zeros(SUFFIX)])
-    end_base, per_token = math.log10(ends + 1), math.log10(big_n + big_v + 1)
+    end_base, per_token = math.log10(ends + 1), math.log10(model.tokens + model.kinds + 1)
+    held = model.table.sparkSession.sparkContext.broadcast((cls, trans, emit, base))
 
     def run(batches):
+        of, step, word, single = held.value
         for batch in batches:
             n, known, b, s = [], [], [], []
             for x in batch["ids"]:
                 ids = np.frombuffer(x.as_buffer(), "<u4")
-                c = _classes_of(ids, cls)
+                c = _classes_of(ids, of)
                 n.append(len(ids) + 1)
                 known.append(int((ids < n_head).sum()) + (ends > 0))
-                b.append(float(base[ids].sum()) + end_base - per_token * (len(ids) + 1))
-                s.append(float(trans[c[:-1], c[1:]].sum() + emit[ids].sum()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(b, pa.float64()), pa.array(s, pa.float64())], ["doc_id", "held_out", "n_tokens", "known", "base", "part"])
+                b.append(float(single[ids].sum()) + end_base - per_token * (len(ids) + 1))
+                s.append(float(step[c[:-1], c[1:]].sum() + word[ids].sum()))
+            yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], batch["held_out"], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(b, pa.float64()), pa.array(s, pa.float64())], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "part"])
 
-    own = table.select("doc_id", "held_out", "ids").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, base double, part double")
-    words = table.select("doc_id", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("doc_id", F.col("w.rare").alias("word"), F.col("w.times").alias("n"))
+    own = model.table.select("row", "doc_id", "held_out", "ids").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, part double")
+    words = model.table.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("n"))
     c = F.coalesce("c", F.lit(0))
-    met = words.join(vocab, "word", "left").groupBy("doc_id").agg(
+    met = words.join(model.vocab.where(F.col("c") < model.least), "word", "left").groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("n")).otherwise(0)).cast("long").alias("k"), F.sum(F.col("n") * F.log10(c + 1)).alias("b"), F.sum(F.col("n") * F.log10(c + F.lit(SMOOTH))).alias("s"))
     zero = F.lit(0.0)
-    return own.join(met, "doc_id", "left").select(
+    return own.join(met, "row", "left").select(
         "doc_id", "held_out", "n_tokens",
         (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"),
-        F.lit(big_n).cast("long").alias("train_tokens"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", zero)).alias("base_score"),
         (F.col("part") + F.coalesce("s", zero)).alias("score"),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
     return score(common.documents(spark, sf_dir, "doc_id", "text"), held)

@@ -1,7 +1,6 @@
 """Each operator against a brute-force version on a small table of awkward texts."""
 
 import hashlib
-import math
 import re
 import time
 from collections import Counter, defaultdict
@@ -12,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strandloom.llm import brown_lm, chat_events, chunk_bpe, cotraining, exact_dedup, packing, partenum, quality_rules, repeated_windows, secret_ledger
+from strandloom.llm import chat_events, chunk_bpe, cotraining, exact_dedup, packing, partenum, quality_rules, repeated_windows, secret_ledger
 
 RNG = np.random.default_rng(5)
 PROSE = " ".join("".join(RNG.choice(list("abcdeé"), 4)) for _ in range(900))
@@ -88,20 +87,6 @@ def test_chat_events(spark):
     assert chat_events.fold(events.limit(0)).count() == 0
 
 
-def test_brown_lm(spark, docs, empty):
-    held = F.col("doc_id") % 7 == 2
-    got = {r.doc_id: r for r in brown_lm.score(docs, held).collect()}
-    toks = {i: [x.decode() for x in (t or "").encode().lower().split()] for i, t in enumerate(TEXTS)}
-    train = [i for i in toks if i % 7 != 2]
-    c = Counter(w for i in train for w in toks[i])
-    n, v = sum(c.values()) + len(train), len(c) + 1
-    for i, w in toks.items():
-        base = sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w) + math.log10((len(train) + 1) / (n + v + 1))
-        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(w) + 1, sum(c[x] > 0 for x in w) + 1, n)
-        assert got[i].base_score == pytest.approx(base) and got[i].score < 0
-    assert brown_lm.score(empty, held).count() == 0
-
-
 def test_secret_ledger(spark, docs, empty, tmp_path):
     versions = docs.withColumnRenamed("doc_id", "path")
     ledger = f"file://{tmp_path}/ledger"
