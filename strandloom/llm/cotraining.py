@@ -1,173 +1,156 @@
-"""Co-training of two naive Bayes classifiers, one on text and one on page metadata.
-
-The text view is which of BINS hashed words a text has, with binned shares of symbols, capitals
-and word length; the metadata view is language, source and binned length. Rows with a
-label start both. In each round every unlabelled document is scored by both views, and where one
-is sure (by its calibrated probability) it hands the document with its verdict to the other. Models are sums of counts, so a
-round is one pass with partial sums. Views are calibrated on a fifth of the labelled rows,
-which is never trained on, and their calibrated log odds are added to score all documents.
-
-Defined cases: null text is empty; null language or source is the empty one; a repeated row
-counts each time; a document with several labels counts as bad if any says so; without labels of
-both kinds the score is 0.5; an empty table gives an empty result; other columns are ignored.
+"""Co-training of two logistic classifiers, one on text content and one on page metadata.
+
+The text view is which words a text has, hashed to WORD_BINS features, and binned shares of
+symbols, capitals, repeated words and repeated lines; the metadata view is language, source,
+their pair and the binned length, hashed to META_BINS. A document is bad if its quality is 0 or
+it is toxic. Rows with a label start both classifiers. In each round each classifier scores a
+pool of unlabelled rows, and the rows that it is sure of (by its calibrated probability) go with
+its verdict to the other one, which is fitted again. Views are calibrated on a fold of the
+labelled rows that is never fitted on, and their calibrated log odds are added to score all
+documents in one pass.
+
+Fitting rests on samples of a documented size, as in the original scheme: about FIT labelled rows
+and a pool of about POOL unlabelled ones, both chosen by a hash of doc_id from the whole tables.
+Everything else (all documents' features and scores) covers all rows. Words are looked at one
+by one with an absolute-value penalty, so a single telling word counts as much in a long text as
+in a short one, and words that tell nothing count nothing.
+
+Defined cases: null text is empty; null language or source is the empty one; a label row counts
+as bad if its toxic is over 0 or its quality is 0 or less; without a quality it counts only if
+toxic; a document with several labels is bad if any says so; label rows without a doc_id are left
+out; repeated rows are scored each; without fitted labels of both kinds the score is 0.5; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import HashingTF
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-BINS, SHAPES, META = 2048, 24, 512
-ROUNDS, SURE, FOLDS, STEPS = 3, 0.98, 5, 40
-#: A document's text evidence is scaled to so many words, as words of a text depend on each other.
-EVIDENCE = 4.0
-
-
-def features(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, y (1 good, 0 bad, null), fold, words (packed bits), shape and meta (indices)."""
-    good = labels.groupBy("doc_id").agg(F.min((F.coalesce("quality", F.lit(0)) > 0).cast("int")).alias("y"))
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))
-
-    def run(batches):
-        bins = {}
-        for batch in batches:
-            rows = [[], [], []]
-            for text, lang, source in zip(batch["text"].cast(pa.binary()).to_pylist(), batch["lang"].to_pylist(), batch["source"].to_pylist(), strict=True):
-                words = text.split()
-                if len(bins) > 300_000:
-                    bins.clear()
-                at = np.zeros(BINS, bool)
-                for w in set(words):
-                    if (k := bins.get(w)) is None:
-                        k = bins[w] = xxhash.xxh3_64_intdigest(w.lower()) % BINS
-                    at[k] = True
-                a = np.frombuffer(text, np.uint8)
-                n = max(1, len(a))
-                symbols, capitals = np.isin(a, np.frombuffer(b"#*$%&|<>!", np.uint8)).sum() / n, ((a >= 65) & (a <= 90)).sum() / n
-                shape = [int(min(7, symbols * 70)), 8 + int(min(7, capitals * 30)), 16 + int(min(7, n / max(1, len(words)) / 2))]
-                meta = [xxhash.xxh3_64_intdigest(f"{i}:{v}") % META for i, v in enumerate((lang, source, int(np.log2(n))))]
-                rows[0].append(np.packbits(at).tobytes())
-                rows[1].append(shape)
-                rows[2].append(meta)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.list_(pa.int32())), pa.array(rows[2], pa.list_(pa.int32()))], ["doc_id", "words", "shape", "meta"])
-
-    made = docs.mapInArrow(run, "doc_id long, words binary, shape array<int>, meta array<int>")
-    return made.join(good, "doc_id", "left").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int"))
-
-
-def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    n = batch.num_rows
-    bits = np.unpackbits(np.frombuffer(b"".join(batch["words"].to_pylist()), np.uint8).reshape(n, -1), axis=1)
-    shape, meta = np.zeros((n, SHAPES), np.uint8), np.zeros((n, META), np.uint8)
-    for out, name in ((shape, "shape"), (meta, "meta")):
-        at = np.array(batch[name].to_pylist(), np.int64).reshape(n, -1)
-        out[np.arange(n)[:, None], at] = 1
-    return np.concatenate([bits, shape], axis=1), meta
-
-
-WIDTHS = (BINS + SHAPES, META)
-
-
-def log_odds(view: int, x: np.ndarray, sums: np.ndarray) -> np.ndarray:
-    """Of good against bad; sums: for bad and good, counts of each feature and of documents last."""
-    n = sums[:, -1:]
-    if n.min() <= 0:
-        return np.zeros(len(x))
-    p = np.log((sums[:, :-1] + 1) / (n + 2))
-    w = p[1] - p[0]
-    prior = float(np.log(n[1] / n[0])[0])
-    if view:
-        return x @ w + prior
-    words, shape = x[:, :BINS].astype(float), x[:, BINS:]
-    held = np.maximum(words.sum(1), 1)
-    return (words @ w[:BINS]) * np.minimum(1, EVIDENCE / held) + shape @ w[BINS:] + prior
-
-
-def _sums(table: DataFrame, models: list[np.ndarray] | None, fits: list[tuple[float, float]] | None = None) -> list[np.ndarray]:
-    """Counts for both views: of labelled rows, and of rows that the other view is sure of."""
-
-    def run(batches):
-        total = [np.zeros((2, w + 1)) for w in WIDTHS]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            xs = _matrix(batch)
-            y = np.array([-1 if v is None else v for v in batch["y"].to_pylist()])
-            y = np.where(np.array(batch["fold"].to_pylist()) == 0, np.where(y >= 0, -2, y), y)  # kept for calibration
-            for view in (0, 1):
-                own = y.copy()
-                if models is not None:
-                    slope, shift = fits[1 - view]
-                    other = 1 / (1 + np.exp(-np.clip(slope * log_odds(1 - view, xs[1 - view], models[1 - view]) + shift, -30, 30)))
-                    own = np.where((y == -1) & (other >= SURE), 1, np.where((y == -1) & (other <= 1 - SURE), 0, own))
-                for k in (0, 1):
-                    total[view][k, :-1] += xs[view][own == k].sum(0)
-                    total[view][k, -1] += (own == k).sum()
-        yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([t.tobytes() for t in total], pa.binary())], ["view", "sums"])
-
-    def add(batches):
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for v, p in zip(batch["view"].to_pylist(), batch["sums"].to_pylist(), strict=True):
-                total[v] = total.get(v, 0) + np.frombuffer(p)
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["view", "sums"])
-
-    rows = table.mapInArrow(run, "view int, sums binary").repartition("view").mapInArrow(add, "view int, sums binary").collect()  # two rows
-    found = {r.view: np.frombuffer(r.sums).reshape(2, -1) for r in rows}
-    return [found.get(v, np.zeros((2, w + 1))) for v, w in enumerate(WIDTHS)]
-
-
-def _calibrated(scored: DataFrame) -> list[tuple[float, float]]:
-    """Slope and intercept for each view's log odds, by logistic regression on binned odds of
-    the rows held out for it (at most 2 * 401 bins reach the driver)."""
-    out = []
-    for v in ("a", "b"):
-        bins = scored.where("fold = 0 and y is not null").groupBy(F.round(F.greatest(F.lit(-100.0), F.least(F.lit(100.0), F.col(v))) * 2).alias("z")).agg(F.sum("y").alias("good"), F.count("*").alias("n")).collect()
-        z, good, n = (np.array([float(getattr(r, k)) for r in bins]) for k in ("z", "good", "n"))
-        w, c = 1.0, 0.0
-        if len(z) and 0 < good.sum() < n.sum():
-            z = z / 2
-            for _ in range(STEPS):  # Newton steps with a small ridge
-                p = 1 / (1 + np.exp(-np.clip(w * z + c, -30, 30)))
-                g, h = good - n * p, n * p * (1 - p) + 1e-9
-                m = np.array([[(h * z * z).sum() + 1e-2, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-2]])
-                d = np.linalg.solve(m, np.array([(g * z).sum() - 1e-2 * (w - 1), g.sum()]))
-                w, c = max(0.0, w + float(np.clip(d[0], -1, 1))), c + float(np.clip(d[1], -5, 5))
-        out.append((w, c))
-    return out
-
-
-def _scored(table: DataFrame, models: list[np.ndarray]) -> DataFrame:
-    """doc_id, y, fold, and both views' log odds a and b."""
-
-    def run(batches):
-        for batch in batches:
-            xs = _matrix(batch) if batch.num_rows else (np.zeros((0, WIDTHS[0])), np.zeros((0, WIDTHS[1])))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["y"], batch["fold"], *(pa.array(log_odds(v, xs[v], models[v]), pa.float64()) for v in (0, 1))], ["doc_id", "y", "fold", "a", "b"])
-
-    return common.written(table.mapInArrow(run, "doc_id long, y int, fold int, a double, b double"), "scored")
+WORD_BINS, META_BINS = 1 << 18, 1 << 12
+FIT, POOL = 1 << 15, 1 << 15
+ROUNDS, SURE, FOLDS, STEPS = 2, 0.98, 5, 40
+PENALTY = {"text": 2e-4, "meta": 2e-3}
+VIEWS = ("text", "meta")
+
+
+def _bin(name: str, x: Column, most: int) -> Column:
+    """A token that no word can be: name and x cut to whole numbers up to most."""
+    return F.concat(F.lit(f"\t{name} "), F.least(F.floor(x), F.lit(most)).cast("string"))
+
+
+def features(docs: DataFrame, *keep: str) -> DataFrame:
+    """keep, with the vectors of both views: text, meta."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
+    count = lambda drop: F.length(F.col("_t")) - F.length(F.translate(F.col("_t"), drop, ""))
+    lines = F.filter(F.split("_t", "\n", -1), lambda x: F.length(F.btrim(x, F.lit(common.BLANKS))) > 0)
+    one = docs.select(*keep, text.alias("_t"), lang.alias("_l"), source.alias("_s"), common.words_of(F.lower(text)).alias("_w"))
+    two = one.select("*", lines.alias("_lines"), F.array_distinct("_w").alias("_d"), F.greatest(F.length("_t"), F.lit(1)).alias("_n"))
+    size = F.floor(F.log2(F.size("_w") + F.lit(1)))
+    share = lambda part, whole: 20 * (1 - F.size(part) / F.greatest(F.size(whole), F.lit(1)))
+    shapes = [
+        _bin("symbols", F.log2(1 + 400 * count("#*$%&|<>!") / F.col("_n")), 10), _bin("capitals", F.log2(1 + 400 * count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / F.col("_n")), 10),
+        _bin("letters", F.col("_n") / F.greatest(F.size("_w"), F.lit(1)), 20), _bin("lines", share(F.array_distinct("_lines"), "_lines"), 20),
+        F.concat(_bin("repeats", share("_d", "_w"), 20), F.lit(" "), size.cast("string")), _bin("words", F.size("_w"), 12),
+    ]
+    meta = [F.concat(F.lit("l "), "_l"), F.concat(F.lit("s "), "_s"), F.to_json(F.array("_l", "_s")), F.concat(F.lit("n "), F.floor(F.log2("_n")).cast("string"))]
+    three = two.select(*keep, F.concat("_d", F.array(*shapes)).alias("_text"), F.array(*meta).alias("_meta"))
+    for view, bins in zip(VIEWS, (WORD_BINS, META_BINS), strict=True):
+        three = HashingTF(numFeatures=bins, binary=True, inputCol=f"_{view}", outputCol=view).transform(three)
+    return three.select(*keep, *VIEWS)
+
+
+def verdicts(labels: DataFrame) -> DataFrame:
+    """doc_id, y: 1 good, 0 bad."""
+    y = F.when(F.col("toxic") > 0, 0).when(F.col("quality") <= 0, 0).when(F.col("quality") > 0, 1)
+    return labels.select("doc_id", y.alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
+
+
+def _some(df: DataFrame, of: int, about: int, salt: int) -> DataFrame:
+    """About that many of df's rows (of: how many it has), by a hash of doc_id."""
+    grain = 1 << 30
+    return df.where(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(grain)) < int(grain * min(1.0, about / max(1, of))))
+
+
+def _fitted(rows: DataFrame, view: str) -> LogisticRegressionModel | None:
+    """A model of the view's vectors, or None without rows of both kinds."""
+    if len(rows.groupBy("y").count().take(2)) < 2:
+        return None
+    fit = LogisticRegression(featuresCol=view, labelCol="y", maxIter=60, regParam=PENALTY[view], elasticNetParam=1.0, standardization=False, tol=1e-5)
+    return fit.fit(rows.select(view, F.col("y").cast("double").alias("y")).coalesce(6))
+
+
+def _odds(rows: DataFrame, models: dict) -> DataFrame:
+    """rows with the log odds of good by each view, as odds_text and odds_meta."""
+    for view in VIEWS:
+        if models[view] is None:
+            rows = rows.withColumn(f"odds_{view}", F.lit(0.0))
+            continue
+        model = models[view].copy()
+        model.setFeaturesCol(view).setRawPredictionCol("_raw").setProbabilityCol("").setPredictionCol("")
+        rows = model.transform(rows).withColumn(f"odds_{view}", F.get(vector_to_array("_raw"), F.lit(1))).drop("_raw")
+    return rows
+
+
+def _calibrated(held: DataFrame, view: str) -> tuple[float, float]:
+    """Slope and intercept for a view's log odds, by logistic regression on binned odds of rows
+    that it was not fitted on (at most 401 bins reach the driver)."""
+    z = F.round(F.greatest(F.lit(-100.0), F.least(F.lit(100.0), F.col(f"odds_{view}"))) * 2)
+    bins = held.groupBy(z.alias("z")).agg(F.sum("y").alias("good"), F.count("*").alias("n")).collect()
+    z, good, n = (np.array([float(r[k]) for r in bins]) for k in ("z", "good", "n"))
+    w, c = 1.0, 0.0
+    if len(z) and 0 < good.sum() < n.sum():
+        z = z / 2
+        for _ in range(STEPS):  # Newton steps with a small ridge
+            p = 1 / (1 + np.exp(-np.clip(w * z + c, -30, 30)))
+            g, h = good - n * p, n * p * (1 - p) + 1e-9
+            m = np.array([[(h * z * z).sum() + 1e-2, (h * z).sum()], [(h * z).sum(), h.sum() + 1e-2]])
+            d = np.linalg.solve(m, np.array([(g * z).sum() - 1e-2 * (w - 1), g.sum()]))
+            w, c = max(0.0, w + float(np.clip(d[0], -1, 1))), c + float(np.clip(d[1], -5, 5))
+    return w, c
+
+
+def _sure(scored: DataFrame, view: str, fit: tuple[float, float]) -> DataFrame:
+    """The rows that the view is sure of, with its verdict y."""
+    p = 1 / (1 + F.exp(-(F.col(f"odds_{view}") * fit[0] + fit[1])))
+    return scored.withColumn("y", F.when(p >= SURE, 1).when(p <= 1 - SURE, 0)).where("y is not null")
 
 
 def classify(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, text_score, meta_score, score (probability of good), kept."""
-    table = common.written(features(docs, labels), "features")
-    models = _sums(table, None)
-    seeds = models
+    docs = docs.select("doc_id", "text", "lang", "source")
+    y = common.written(verdicts(labels), "verdicts")
+    seeds = common.written(_some(y, y.count(), FIT, 1), "seeds")
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("fold")
+    seeds = common.written(features(docs.join(F.broadcast(seeds), "doc_id"), "doc_id", "y").select("y", fold, *VIEWS), "fit")
+    pool = common.keyed(_some(docs, docs.count(), POOL, 2), y, "doc_id", "left_anti")
+    pool = common.written(features(pool, "doc_id").select(*VIEWS), "pool")
+
+    own, held = seeds.where("fold != 0").select("y", *VIEWS), seeds.where("fold = 0")
+    models = {view: _fitted(own, view) for view in VIEWS}
+    fits = {view: _calibrated(_odds(held, models), view) for view in VIEWS}
     for _ in range(rounds):
-        fits = _calibrated(_scored(table.where("fold = 0 and y is not null"), models))
-        models = _sums(table, models, fits)
-    prior = float(np.log((seeds[0][1, -1] + 1) / (seeds[0][0, -1] + 1)))
-
-    scored = _scored(table, models)
-    (wa, ca), (wb, cb) = _calibrated(scored)
-    a, b = F.col("a") * wa + ca, F.col("b") * wb + cb
+        scored = _odds(pool, models)
+        told = {view: _sure(scored, other, fits[other]).select("y", view) for view, other in zip(VIEWS, reversed(VIEWS), strict=True) if models[other] is not None}
+        models = {view: _fitted(own.select("y", view).unionByName(told[view]) if view in told else own, view) for view in VIEWS}
+        fits = {view: _calibrated(_odds(held, models), view) for view in VIEWS}
+    good, n = own.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count("*")).first()
+    both = all(models.values())
+    prior = math.log((good + 1) / (n - good + 1)) if both else 0.0
+
+    scored = _odds(features(docs, "doc_id"), models)
+    a, b = (F.col(f"odds_{v}") * fits[v][0] + fits[v][1] for v in VIEWS)
     p = lambda z: 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
-    score = p(a + b - F.lit(prior))
+    score = p(a + b - F.lit(prior)) if both else F.lit(0.5)
     return scored.select("doc_id", p(a).alias("text_score"), p(b).alias("meta_score"), score.alias("score"), (score >= 0.5).alias("kept"))
 
 
