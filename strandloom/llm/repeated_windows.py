@@ -11,9 +11,11 @@ estimated twice or more go on. Segments are grouped exactly by 128-bit hashes of
 words; a copy of a segment from a smaller document covers it whole. Windows one by one are
 grouped only for the first document of each variant of an anchor that has several.
 
-The sketch has up to MOST_CELLS cells in each of ROWS rows, as bits; with more anchors than that more
-windows are estimated repeated and grouped exactly, and none is lost. Groups are only ever
-aggregated, never gathered, but for the spans of one document.
+A sketch has up to MOST_CELLS cells in each of ROWS rows, as bits, four for each segment. Where
+the segments would need more, anchors are dealt by hash into as many ranges, and each range has
+a sketch of its own, made, broadcast and used by itself: the sketches together grow with the
+input, and what is held at a time does not. Groups are only ever aggregated, never gathered, but
+for the spans of one document.
 
 Defined cases: null, empty and blank texts have no words; fewer words than a window: nothing is
 removed; windows repeated inside one document alone stay; rows that share a doc_id are
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WINDOW, ANCHOR, SEED = 50, 10, 23
-ROWS, LEAST_CELLS, MOST_CELLS, SLICE = 2, 1 << 16, 1 << 29, 1 << 20
+ROWS, LEAST_CELLS, MOST_CELLS, SLICE = 2, 1 << 16, 1 << 28, 1 << 20
 _U = np.uint64
 _BASE = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 
@@ -159,12 +161,26 @@ def sketch(anchors: DataFrame, cells: int) -> dict[tuple[int, int], np.ndarray]:
     return {(r.row, r.slice): np.frombuffer(r.bits, np.uint8) for r in rows}
 
 
-def repeated(segments: DataFrame) -> DataFrame:
-    """The segments whose anchors are estimated to occur twice or more."""
+def repeated(segments: DataFrame, most_cells: int) -> DataFrame:
+    """The rows of a written table of segments whose anchors are estimated to occur twice or more."""
     n = segments.count()
     cells = LEAST_CELLS
-    while cells < 4 * n and cells < MOST_CELLS:
+    while cells < 4 * n and cells < most_cells:
         cells *= 2
+    ranges = -(-4 * n // most_cells)
+    if ranges <= 1:
+        return common.written(_passed(segments, cells), "repeated")
+    dealt = common.scratch(segments.sparkSession, "ranges")
+    segments.withColumn("_range", F.pmod(F.xxhash64("anchor"), F.lit(ranges)).cast("int")).write.partitionBy("_range").parquet(dealt)
+    dealt = segments.sparkSession.read.schema(segments.schema.add("_range", "int")).parquet(dealt)
+    path = common.scratch(segments.sparkSession, "repeated")
+    for k in range(ranges):
+        _passed(dealt.where(F.col("_range") == k).select(*segments.columns), cells).write.mode("append").parquet(path)
+    return segments.sparkSession.read.schema(segments.schema).parquet(path)
+
+
+def _passed(segments: DataFrame, cells: int) -> DataFrame:
+    """The segments that a sketch of their anchors lets pass."""
     bits = segments.sparkSession.sparkContext.broadcast(sketch(segments.select("anchor"), cells))
 
     def run(batches):
@@ -185,11 +201,11 @@ def repeated(segments: DataFrame) -> DataFrame:
     return segments.mapInArrow(run, segments.schema)
 
 
-def covered(docs: DataFrame) -> DataFrame:
+def covered(docs: DataFrame, most_cells: int = MOST_CELLS) -> DataFrame:
     """doc_id, spans (array of start, stop in words) of what is removed; only where there is some."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     segments = common.written(segment_table(docs), "segments")
-    some = common.written(repeated(segments), "repeated")
+    some = repeated(segments, most_cells)
     key = ["anchor", "h1", "h2"]
     variants = common.written(some.groupBy(*key).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("k")), "variants")
     several = variants.groupBy("anchor").agg(F.count("*").alias("v")).where("v > 1").select("anchor")
@@ -226,10 +242,10 @@ def covered(docs: DataFrame) -> DataFrame:
 COLUMNS = ["doc_id", "n_words", "n_removed", "kept"]
 
 
-def remove(docs: DataFrame) -> DataFrame:
+def remove(docs: DataFrame, most_cells: int = MOST_CELLS) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by one space, for every document."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    spans = common.written(covered(docs), "spans")
+    spans = common.written(covered(docs, most_cells), "spans")
 
     def run(batches):
         for part, texts in _batches(batches):
