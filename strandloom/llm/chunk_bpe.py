@@ -6,18 +6,19 @@ that occur twice or more are encoded once, by the document that first has them,
 are joined to all other documents that hold them. Other chunks are encoded in place.
 
 Chunks are cut anywhere, so ids next to a cut can be wrong. Every cut is repaired: from the last
-place before it to the first place after it where a space follows a visible ASCII character,
-the text is encoded again. The pre-tokenizer has no token over such a place, whatever stands
-around it, so ids before and after agree with those of the whole text; a chunk without one is
-encoded again with its neighbours. Decoding gives the text back.
+place before it to the first place after it where a space follows a character that is no white
+space, the text is encoded again. The pre-tokenizer has no token over such a place, whatever
+stands around it, so ids before and after agree with those of the whole text; a chunk without one
+is encoded again with its neighbours. Decoding gives the text back.
 
 Only hashes are shuffled for all documents. Documents that hold a shared chunk meet its ids by a
 join on doc_id; sets of doc_ids are broadcast only up to common.BROADCAST_BYTES.
 
-Defined cases: null text is empty and has no ids; a text with rare characters or a special
-token's string is one chunk; repeated rows are encoded like any document; an empty table gives
-an empty result; other columns are ignored. doc_id names a document: rows that share one must
-have the same text.
+Defined cases: null text is empty and has no ids; a text with a special token's string
+is one chunk; repeated rows are encoded like any document; an empty table gives
+an empty result; other columns are ignored. Chunks are known by their content, so rows that
+share a doc_id, with equal or other texts, are encoded each as its own; rows without a doc_id
+are encoded in place.
 """
 
 from __future__ import annotations
@@ -57,29 +58,39 @@ def cuts(data: bytes, mask_bits: int = MASK_BITS, least: int = LEAST) -> list[in
 
 
 def _safe(data: bytes, low: int, high: int, last: bool) -> int:
-    """The last (or first) place from low to high where a space follows a visible ASCII
-    character; -1: none."""
+    """The last (or first) place from low to high where a space follows a character that is no
+    white space; -1: none."""
     at = high if last else low
     while True:
         at = data.rfind(b" ", low, at) if last else data.find(b" ", at, high)
         if at < 0:
             return -1
-        if at > low and 0x21 <= data[at - 1] <= 0x7E:
+        k = at - 1
+        while k > low and data[k] & 0xC0 == 0x80:
+            k -= 1
+        if at > low and (0x21 <= data[k] <= 0x7E or data[k] >= 0xC0 and not data[k:at].decode().isspace()):
             return at
         if not last:
             at += 1
 
 
-def encode(bpe: ByteBPE, text: str, known: dict[int, np.ndarray]) -> np.ndarray:
-    """Ids of text; known: ids of some of its chunks, by position."""
+def _address(chunk: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(chunk)
+
+
+def _ids_of(bpe: ByteBPE, chunk: bytes, known: dict[bytes, np.ndarray]) -> np.ndarray:
+    ids = known.get(_address(chunk)) if known else None
+    return bpe.encode(chunk.decode()) if ids is None else ids
+
+
+def encode(bpe: ByteBPE, text: str, known: dict[bytes, np.ndarray]) -> np.ndarray:
+    """Ids of text; known: ids of some of its chunks, by address."""
     if not text:
         return np.zeros(0, np.uint32)
-    if not bpe.plain(text):
-        return known[0] if 0 in known else bpe.encode(text)
     data = text.encode()
-    at = cuts(data)
+    at = [0, len(data)] if bpe.special.search(text) else cuts(data)
     if len(at) == 2:
-        return known[0] if 0 in known else bpe.encode(text)
+        return _ids_of(bpe, data, known)
     # what lies between repaired stretches, as (start, stop) in bytes, for each chunk
     inner: list[tuple[int, int, int]] = []
     begin = 0
@@ -92,7 +103,7 @@ def encode(bpe: ByteBPE, text: str, known: dict[int, np.ndarray]) -> np.ndarray:
     for i, low, high in inner:
         if low > done:
             out.append(bpe.encode(data[done:low].decode()))
-        ids = known[i] if i in known else bpe.encode(data[at[i] : at[i + 1]].decode())
+        ids = _ids_of(bpe, data[at[i] : at[i + 1]], known)
         ends = at[i] + np.cumsum(bpe.sizes[ids])
         a = 0 if low == at[i] else int(np.searchsorted(ends, low)) + 1
         b = int(np.searchsorted(ends, high)) + 1 if high > at[i] else 0
@@ -106,13 +117,9 @@ def encode(bpe: ByteBPE, text: str, known: dict[int, np.ndarray]) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _address(chunk: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(chunk)
-
-
 def _chunks(bpe: ByteBPE, text: str) -> tuple[bytes, list[int]]:
     data = text.encode()
-    return data, cuts(data) if bpe.plain(text) else [0, len(data)]
+    return data, [0, len(data)] if bpe.special.search(text) else cuts(data)
 
 
 def chunk_table(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -148,7 +155,7 @@ def encode_all(docs: DataFrame, tokenizer: str, finish, schema: str, arrow: pa.S
             marks, ids = [], []
             for text, places in zip(batch["text"].to_pylist(), batch["places"].to_pylist(), strict=True):
                 data, at = _chunks(bpe, text)
-                for i in places:
+                for i in (k for k in places if k < len(at) - 1):
                     part = data[at[i] : at[i + 1]]
                     marks.append(_address(part))
                     ids.append(bpe.encode(part.decode()).astype("<u2" if len(bpe.bytes) <= 1 << 16 else "<u4").tobytes())
@@ -166,11 +173,11 @@ def encode_all(docs: DataFrame, tokenizer: str, finish, schema: str, arrow: pa.S
             given = batch["given"].to_pylist() if "given" in batch.schema.names else [None] * len(docs_)
             out = []
             for text, parts in zip(texts, given, strict=True):
-                known = {p["chunk"]: np.frombuffer(p["ids"], kind).astype(np.uint32) for p in parts or ()}
+                known = {p["address"]: np.frombuffer(p["ids"], kind).astype(np.uint32) for p in parts or ()}
                 out.append(encode(bpe, text or "", known))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(finish(bpe, docs_, out), arrow, strict=True)], schema=arrow)
 
-    parts = chunks.join(encoded, "address").groupBy("doc_id").agg(F.collect_list(F.struct("chunk", "ids")).alias("given"))
+    parts = chunks.join(encoded, "address").groupBy("doc_id").agg(F.collect_set(F.struct("address", "ids")).alias("given"))
     holders = common.written(chunks.join(encoded.select("address"), "address", "left_semi").select("doc_id").distinct(), "holders")
     alone = common.keyed(docs, holders, "doc_id", "left_anti").mapInArrow(run, schema)
     joined = common.keyed(docs, holders, "doc_id", "left_semi").join(parts, "doc_id").mapInArrow(run, schema)
