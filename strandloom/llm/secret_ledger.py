@@ -121,8 +121,8 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> D
     unseen.select("blob", F.explode(pairs).alias("p")).select("blob", "p.*").write.mode("append").parquet(f"{ledger}/scanned")
 
     found = _read(spark, f"{ledger}/findings", FINDING).join(F.broadcast(current), ["kind", "version"])
-    found = found.groupBy("blob").agg(F.array_sort(F.collect_set(F.struct("start", "ord", "kind", "stop"))).alias("spans"))
-    return named.join(found, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    found = common.written(found.groupBy("blob").agg(F.array_sort(F.collect_set(F.struct("start", "ord", "kind", "stop"))).alias("spans")), "found")
+    return common.keyed(named, found, "blob", "left", 400).select("path", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
 def _repeats(named: DataFrame) -> bool:
