@@ -47,10 +47,6 @@ SIDES = 2 * CLASSES
 assert BLOCK * SIDES < 1 << 16  # steps between keys of a block fit 16 bits
 
 
-def _suffix_class(word: str) -> int:
-    return EXCHANGED + zlib.crc32(word[-2:].encode()) % SUFFIX
-
-
 def word_hash(word: bytes) -> int:
     """As Spark's xxhash64 of the word, unsigned."""
     return xxhash.xxh64_intdigest(word, 42)
@@ -98,27 +94,54 @@ def head_of(vocab: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
     return h[order], c[order], least
 
 
+class _Ids(dict):
+    """A running number for each word; words keeps those not yet asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.words: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        k = self[word] = len(self)
+        self.words.append(word)
+        return k
+
+
 def indexed(docs: DataFrame, head) -> DataFrame:
-    """row, doc_id, held_out, ids (places in head; beyond them the class of another word), and
-    those other words with their counts."""
+    """row, doc_id, held_out, ids (places in head, beyond them the class of another word; an end
+    at either side), and those other words with their counts."""
 
     def run(batches):
-        hashes, ids_of = head.value, {}
+        hashes, suffixes = head.value, {}
         n_head = len(hashes)
+        end = np.array([n_head + SUFFIX], "<u4")
+        numbers, known = _Ids(), np.zeros(0, "<u4")
+
+        def ids_of(words: list[bytes]) -> np.ndarray:
+            h = np.fromiter(map(word_hash, words), np.uint64, len(words))
+            at = np.minimum(np.searchsorted(hashes, h), max(0, n_head - 1)).astype("<u4")
+            held = hashes[at] == h if n_head else np.zeros(len(h), bool)
+            for i in np.flatnonzero(~held).tolist():
+                w = words[i]
+                tail = w[-2:] if w[-2:].isascii() else w.decode()[-2:].encode()
+                k = suffixes.get(tail)
+                if k is None:
+                    k = suffixes[tail] = n_head + zlib.crc32(tail) % SUFFIX
+                at[i] = k
+            return at
+
         for part, texts in _texts(batches):
-            if len(ids_of) >= 2 * FLUSH:
-                ids_of.clear()
-            if fresh := list({w for words in texts for w in words if w not in ids_of}):
-                h = np.fromiter(map(word_hash, fresh), np.uint64, len(fresh))
-                at = np.minimum(np.searchsorted(hashes, h), max(0, n_head - 1))
-                held = hashes[at] == h if n_head else np.zeros(len(h), bool)
-                for w, k, ok in zip(fresh, at.tolist(), held.tolist(), strict=True):
-                    ids_of[w] = k if ok else n_head + _suffix_class(w.decode()) - EXCHANGED
+            if len(numbers) >= 2 * FLUSH:
+                numbers, known = _Ids(), np.zeros(0, "<u4")
+            local = [np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)) for words in texts]
+            if numbers.words:
+                known = np.concatenate([known, ids_of(numbers.words)])
+                numbers.words = []
             ids, rare, times = [], [], []
-            for words in texts:
-                seq = np.fromiter(map(ids_of.__getitem__, words), "<u4", len(words))
+            for words, at in zip(texts, local, strict=True):
+                seq = known[at]
                 tail = Counter(words[i] for i in np.flatnonzero(seq >= n_head).tolist())
-                ids.append(seq.tobytes())
+                ids.append(np.concatenate([end, seq, end]).tobytes())
                 rare.append([w.decode() for w in tail])
                 times.append(list(tail.values()))
             yield pa.RecordBatch.from_arrays([part["row"], part["doc_id"], part["held_out"], pa.array(ids, pa.binary()), pa.array(rare, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))], ["row", "doc_id", "held_out", "ids", "rare", "times"])
@@ -127,9 +150,16 @@ def indexed(docs: DataFrame, head) -> DataFrame:
     return rows.mapInArrow(run, "row long, doc_id long, held_out boolean, ids binary, rare array<string>, times array<int>")
 
 
-def _classes_of(ids: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    """Classes of tokens between two ends; cls: of the head's words, then of the suffix classes."""
-    return np.concatenate([[END], cls[ids], [END]])
+def _all_ids(batch: pa.RecordBatch) -> np.ndarray:
+    """The ids of all rows, one after another."""
+    x = batch["ids"]
+    ends = np.frombuffer(x.buffers()[1], np.int32, len(x) + 1, 4 * x.offset)
+    return np.frombuffer(x.buffers()[2], "<u4", (int(ends[-1]) - int(ends[0])) // 4, int(ends[0]))
+
+
+def _class_of_id(cls: np.ndarray) -> np.ndarray:
+    """cls with the end's class."""
+    return np.append(cls, np.uint8(END))
 
 
 def _packed(key: np.ndarray, n: np.ndarray) -> bytes:
@@ -151,8 +181,8 @@ def neighbours(train: DataFrame, cls, share: int, shares: int) -> DataFrame:
     b * BLOCK... of the share; cls: broadcast classes of ids."""
 
     def count(batches):
-        of = cls.value
-        n_head = len(of) - SUFFIX
+        of = _class_of_id(cls.value)
+        n_head = len(of) - SUFFIX - 1
         pairs, keys, held = np.zeros(CLASSES * CLASSES, np.int64), [], 0
 
         def out():
@@ -163,17 +193,15 @@ def neighbours(train: DataFrame, cls, share: int, shares: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(parts, pa.binary())], ["block", "counts"])
 
         for batch in batches:
-            seqs = [np.frombuffer(x.as_buffer(), "<u4") for x in batch["ids"]]
-            if not seqs:
+            if not batch.num_rows:
                 continue
-            c = np.concatenate([_classes_of(s, of) for s in seqs]).astype(np.int64)
-            w = np.concatenate([np.concatenate([[len(of)], s, [len(of)]]) for s in seqs])
-            joint = np.ones(len(c) - 1, bool)
-            joint[np.cumsum([len(s) + 2 for s in seqs])[:-1] - 1] = False  # from one text's end to the next's start
-            pairs += np.bincount((c[:-1] * CLASSES + c[1:])[joint], minlength=CLASSES**2)
-            at = np.flatnonzero((w < n_head) & (w % shares == share))
-            base = w[at].astype(np.uint32) * np.uint32(SIDES)
-            keys += [base + c[at - 1].astype(np.uint32), base + (CLASSES + c[at + 1]).astype(np.uint32)]
+            w = _all_ids(batch)
+            c = of[w]
+            pairs += np.bincount(c[:-1].astype(np.int64) * CLASSES + c[1:], minlength=CLASSES**2)
+            pairs[END * CLASSES + END] -= batch.num_rows - 1  # from one text's end to the next's start
+            at = np.flatnonzero((w < n_head) & (w % np.uint32(shares) == share))
+            base = w[at] * np.uint32(SIDES)
+            keys += [base + c[at - 1], base + np.uint32(CLASSES) + c[at + 1]]
             held += 2 * len(at)
             if held >= 1 << 22:
                 yield out()
@@ -369,11 +397,12 @@ def scored(model: Model) -> DataFrame:
 
     def run(batches):
         of, step, word, single = held.value
+        of = _class_of_id(of)
         for batch in batches:
             n, known, b, s = [], [], [], []
             for x in batch["ids"]:
                 ids = np.frombuffer(x.as_buffer(), "<u4")
-                c = _classes_of(ids, of)
+                c, ids = of[ids], ids[1:-1]
                 n.append(len(ids) + 1)
                 known.append(int((ids < n_head).sum()) + (ends > 0))
                 b.append(float(single[ids].sum()) + end_base - per_token * (len(ids) + 1))
