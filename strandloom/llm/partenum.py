@@ -16,7 +16,8 @@ parts make signatures from the whole set as well. Which shingles are frequent is
 one document in 64; the choice affects cost, never the result.
 
 Equal sets count once. Signatures travel packed by hash bucket and are grouped in each task
-before the shuffle: a hot one sends one entry from each unit of a task. Members of a signature
+before the shuffle: a hot one sends one entry from each unit of a task. The number of buckets
+follows the input, so that a bucket holds about BUCKET signatures at any size. Members of a signature
 are compared with its most connected member first, and then across the components this leaves:
 all pairs of a small group, and those members of a large one whose differences from the most
 connected document of the center's component share an element early in a common order, which is
@@ -45,7 +46,8 @@ from .shingles import shingle_set
 SEED = 11
 #: Sample of documents for frequent shingles, the least count there, and the most kept.
 SAMPLE, OFTEN, MOST_OFTEN = 64, 6, 1 << 21
-UNIT = 1 << 20
+#: Signatures that a task packs together, and about how many a bucket holds in all.
+UNIT, BUCKET = 1 << 20, 1 << 22
 _U = np.uint64
 
 
@@ -164,17 +166,15 @@ def _described(docs: DataFrame, buckets: int, frequent) -> DataFrame:
             low = sig & _U((1 << 48) - 1)
             rows = []
             f_place, f_low, f_own, f_more = place[new], low[new], own[new], shared[new]
-            edges = np.searchsorted(f_place, np.arange(buckets + 1))
+            some, begin = np.unique(f_place, return_index=True)
             wide = np.uint16 if len(ids) <= 1 << 16 else np.uint32
-            for b in range(buckets):
-                i, j = edges[b], edges[b + 1]
-                if j > i:
-                    use, at = np.unique(f_own[i:j], return_inverse=True)
-                    head = np.array([j - i, len(use), np.dtype(wide).itemsize], "<u4").tobytes()
-                    body = f_low[i:j].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                    rows.append((b, 0, head + body + at.astype(wide).tobytes() + np.packbits(f_more[i:j]).tobytes() + doc[use].tobytes()))
+            for b, i, j in zip(some.tolist(), begin.tolist(), [*begin[1:].tolist(), len(f_place)], strict=True):
+                use, at = np.unique(f_own[i:j], return_inverse=True)
+                head = np.array([j - i, len(use), np.dtype(wide).itemsize], "<u4").tobytes()
+                body = f_low[i:j].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+                rows.append((b, 0, head + body + at.astype(wide).tobytes() + np.packbits(f_more[i:j]).tobytes() + doc[use].tobytes()))
             if (~new).any():
-                key = (place[~new] << 48).view(_U) | low[~new]
+                key = _named(place[~new], low[~new])
                 rows.append((int(sig[0] % _U(buckets)), 1, key.tobytes() + doc[own[~new]].tobytes()))
             return _rows(rows)
 
@@ -201,6 +201,11 @@ def _described(docs: DataFrame, buckets: int, frequent) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, kind int, payload binary")
 
 
+def _named(bucket: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """64-bit names of signatures from their buckets and last 48 bits."""
+    return common.mix(low ^ common.mix(bucket.astype(_U) + _U(0x632BE59BD9B4E019)))
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     b, k, p = zip(*rows, strict=True) if rows else ((), (), ())
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int32()), pa.array(p, pa.binary())], ["bucket", "kind", "payload"])
@@ -248,7 +253,7 @@ def _grouped(batches):
         same = np.append(sig[1:] == sig[:-1], False) if len(sig) else np.zeros(0, bool)
         twice = same | np.roll(same, 1) | more
         if twice.any():
-            yield members(_U(b) << _U(48) | sig[twice], doc[twice])
+            yield members(_named(np.full(int(twice.sum()), b), sig[twice]), doc[twice])
 
 
 def components(links: DataFrame, name: str = "labels") -> DataFrame:
@@ -379,8 +384,8 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # about one signature for each ten bytes
-    buckets = min(1 << 14, common.tasks_for(spark, size // 10, UNIT))
+    # about one signature for each ten bytes; buckets grow with the input, so none holds more than BUCKET
+    buckets = common.tasks_for(spark, size // 10, BUCKET)
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs))
     table = common.written(_described(docs, buckets, frequent).repartition(buckets, "bucket").mapInArrow(_grouped, TABLE), "signatures")
     rows = table.where("n is not null").select("doc_id", "n", "h1", "h2", "counts")
