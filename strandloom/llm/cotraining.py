@@ -1,8 +1,9 @@
 """Co-training of two logistic classifiers, one on text content and one on page metadata.
 
-The text view is which words a text has, hashed to WORD_BINS features, and binned shares of
-symbols, capitals, repeated words and repeated lines; the metadata view is language, source,
-their pair and the binned length, hashed to META_BINS. A document is bad if its quality is 0 or
+The text view is which of VOCABULARY tokens a text has: the ones that tell good and bad labelled
+rows apart best (by chi-square), among words and binned shares of symbols, capitals, repeated words
+and repeated lines; the metadata view is language, source, their pair and the binned length, hashed
+to META_BINS. A document is bad if its quality is 0 or
 it is toxic. Rows with a label start both classifiers. In each round each classifier scores a
 pool of unlabelled rows, and the rows that it is sure of (by its calibrated probability) go with
 its verdict to the other one, which is fitted again. Views are calibrated on a fold of the
@@ -28,14 +29,14 @@ import math
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel, HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-WORD_BINS, META_BINS = 1 << 16, 1 << 12
+VOCABULARY, LEAST, META_BINS = 1 << 12, 3, 1 << 12
 FIT, POOL = 1 << 14, 1 << 14
 ROUNDS, SURE, FOLDS, STEPS = 2, 0.98, 5, 40
 PENALTY = {"text": 2e-4, "meta": 2e-3}
@@ -47,8 +48,8 @@ def _bin(name: str, x: Column, most: int) -> Column:
     return F.concat(F.lit(f"\t{name} "), F.least(F.floor(x), F.lit(most)).cast("string"))
 
 
-def features(docs: DataFrame, *keep: str) -> DataFrame:
-    """keep, with the vectors of both views: text, meta."""
+def tokens(docs: DataFrame, *keep: str) -> DataFrame:
+    """keep, with what each view looks at: _text, _meta (arrays of distinct tokens)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
     count = lambda drop: F.length(F.col("_t")) - F.length(F.translate(F.col("_t"), drop, ""))
@@ -63,10 +64,23 @@ def features(docs: DataFrame, *keep: str) -> DataFrame:
         F.concat(_bin("repeats", share("_d", "_w"), 20), F.lit(" "), size.cast("string")), _bin("words", F.size("_w"), 12),
     ]
     meta = [F.concat(F.lit("l "), "_l"), F.concat(F.lit("s "), "_s"), F.to_json(F.array("_l", "_s")), F.concat(F.lit("n "), F.floor(F.log2("_n")).cast("string"))]
-    three = two.select(*keep, F.concat("_d", F.array(*shapes)).alias("_text"), F.array(*meta).alias("_meta"))
-    for view, bins in zip(VIEWS, (WORD_BINS, META_BINS), strict=True):
-        three = HashingTF(numFeatures=bins, binary=True, inputCol=f"_{view}", outputCol=view).transform(three)
-    return three.select(*keep, *VIEWS)
+    return two.select(*keep, F.concat("_d", F.array(*shapes)).alias("_text"), F.array(*meta).alias("_meta"))
+
+
+def vocabulary(seeds: DataFrame) -> list[str]:
+    """The tokens that tell y best: by chi-square over rows with and without them. seeds has FIT
+    rows; VOCABULARY tokens at most are kept."""
+    n, good = seeds.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    seen = seeds.select("y", F.explode("_text").alias("t")).groupBy("t").agg(F.count("*").alias("c"), F.sum("y").alias("g")).where(F.col("c") >= LEAST)
+    expected = F.col("c") * (good / max(1, n))
+    score = (F.col("g") - expected) ** 2 / F.greatest(expected * (1 - good / max(1, n)) * (1 - F.col("c") / (n + 1)), F.lit(1e-9))
+    return [r.t for r in seen.orderBy(F.desc(score), "t").limit(VOCABULARY).select("t").collect()]
+
+
+def features(rows: DataFrame, words: list[str], *keep: str) -> DataFrame:
+    """keep, with the vectors of both views of rows with tokens: text, meta."""
+    text = CountVectorizerModel.from_vocabulary(words or ["\t"], inputCol="_text", outputCol="text", binary=True)
+    return HashingTF(numFeatures=META_BINS, binary=True, inputCol="_meta", outputCol="meta").transform(text.transform(rows)).select(*keep, *VIEWS)
 
 
 def verdicts(labels: DataFrame) -> DataFrame:
@@ -131,9 +145,11 @@ def classify(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFr
     y = common.written(verdicts(labels), "verdicts")
     seeds = common.written(_some(y, y.count(), FIT, 1), "seeds")
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).alias("fold")
-    seeds = common.written(features(docs.join(F.broadcast(seeds), "doc_id"), "doc_id", "y").select("y", fold, *VIEWS), "fit")
+    told = common.written(tokens(docs.join(F.broadcast(seeds), "doc_id"), "doc_id", "y").select("y", fold, "_text", "_meta"), "tokens")
+    words = vocabulary(told.where("fold != 0"))
+    seeds = common.written(features(told, words, "y", "fold"), "fit")
     pool = common.keyed(_some(docs, docs.count(), POOL, 2), y, "doc_id", "left_anti")
-    pool = common.written(features(pool, "doc_id").select(*VIEWS), "pool")
+    pool = common.written(features(tokens(pool), words), "pool")
 
     own, held = seeds.where("fold != 0").select("y", *VIEWS), seeds.where("fold = 0")
     models = {view: _fitted(own, view) for view in VIEWS}
@@ -147,7 +163,7 @@ def classify(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFr
     both = all(models.values())
     prior = math.log((good + 1) / (n - good + 1)) if both else 0.0
 
-    scored = _odds(features(docs, "doc_id"), models)
+    scored = _odds(features(tokens(docs, "doc_id"), words, "doc_id"), models)
     a, b = (F.col(f"odds_{v}") * fits[v][0] + fits[v][1] for v in VIEWS)
     p = lambda z: 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
     score = p(a + b - F.lit(prior)) if both else F.lit(0.5)
