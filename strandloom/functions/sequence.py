@@ -28,12 +28,6 @@ def protein(text: Column) -> Column:
     return F.upper(F.regexp_replace(text, "[^A-Za-z]|[BJOUXZbjouxz]", ""))
 
 
-def protein_head(text: Column) -> Column:
-    """The 12 residues at most that the catalog's SQL compares: a sample, no text's protein."""
-    letters = F.upper(F.regexp_replace(text, "[^A-Za-z]", ""))
-    return F.substring(F.regexp_replace(F.substring(letters, 1, 60), "[BJOUXZ]", ""), 1, 12)
-
-
 def times(x: Column, letter: str) -> Column:
     """How often a letter occurs in x."""
     return F.length(x) - F.length(F.replace(x, F.lit(letter), F.lit("")))
@@ -61,8 +55,28 @@ def balanced(structure: Column) -> Column:
     return structure.rlike("^[.()]*$") & (F.aggregate(F.split(structure, ""), F.lit(0), step) == 0)
 
 
+def pair_type(five: Column, three: Column) -> Column:
+    """1 to 6 of a canonical pair, 0 of another."""
+    out = F.lit(0)
+    for a, b, kind, _ in PAIRS:
+        out = F.when((five == a) & (three == b), kind).otherwise(out)
+    return out
+
+
+def nucleotide_code(letter: Column) -> Column:
+    """A, C, G, U: 1 to 4; 0 for any other letter."""
+    return F.when(F.length(letter) == 1, F.instr(F.lit("ACGU"), letter)).otherwise(0)
+
+
+def nucleotide(code: Column) -> Column:
+    """The letter of a code; N for another."""
+    return F.when(code.between(1, 4), F.substring(F.lit("ACGU"), code, F.lit(1))).otherwise("N")
+
+
 def elapsed_seconds(x: Column) -> Column:
-    """Seconds of m:ss.s or h:mm:ss.s; null where it is neither."""
+    """Seconds of m:ss.s or h:mm:ss.s; null where it is neither, or where seconds, or minutes after
+    hours, are 60 or more."""
     part = lambda i: F.regexp_extract(x, r"^(?:(\d+):)?(\d+):(\d+(?:\.\d+)?)$", i)
-    hours = F.coalesce(part(1).try_cast("double"), F.lit(0.0))
-    return F.when(part(2) != "", hours * 3600 + part(2).try_cast("double") * 60 + part(3).try_cast("double"))
+    hours, minutes, seconds = (part(i).try_cast("double") for i in (1, 2, 3))
+    fits = (seconds < 60) & (hours.isNull() | (minutes < 60))
+    return F.when(fits, F.coalesce(hours, F.lit(0.0)) * 3600 + minutes * 60 + seconds)

@@ -7,16 +7,48 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Accuracy of the sketch that brackets a quantile: it is off by one rank in SKETCH at most.
+SKETCH = 10_000
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
+    """by, share, q: exact quantiles by group with linear interpolation at (n - 1) * share.
+
+    A sketch of fixed size gives for each group and share two values around it. A second pass
+    counts what lies below and above (before the shuffle) and groups only the values between, so
+    no group's values are ever held together, whatever its size."""
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v is not null")
+    near = [min(1.0, max(0.0, s + d * 2 / SKETCH)) for s in shares for d in (-1, 1)]
+    told = rows.groupBy(*by).agg(F.count("*").alias("_n"), F.percentile_approx("_v", near, SKETCH).alias("_near"))
+    ends = F.array(*(F.struct(F.lit(float(s)).alias("share"), (F.lit(float(s)) * (F.col("_n") - 1)).alias("at"), F.col("_near")[2 * i].alias("lo"), F.col("_near")[2 * i + 1].alias("hi")) for i, s in enumerate(shares)))
+    wanted = told.select(*by, F.explode(ends).alias("w")).select(*by, "w.*")
+    keys = [F.col(f"r.{b}").eqNullSafe(F.col(f"w.{b}")) for b in by]
+    zone = F.when(F.col("_v") < F.col("lo"), 0).when(F.col("_v") > F.col("hi"), 2).otherwise(1)
+    met = rows.alias("r").join(wanted.alias("w"), keys).select(*(F.col(f"r.{b}").alias(b) for b in by), "share", "at", "_v", zone.alias("_zone"))
+    # of the values below only the greatest can be a rank's value, of those above only the least
+    cells = met.groupBy(*by, "share", "at", "_zone", F.when(F.col("_zone") == 1, F.col("_v")).alias("_in")).agg(F.count("*").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    upto = cells.withColumn("_upto", F.sum("_c").over(W.partitionBy(*by, "share").orderBy("_zone", "_in")))
+    own = F.when(F.col("_zone") == 0, F.col("_high")).otherwise(F.col("_low"))
+    at = lambda rank: F.min(F.when(F.col("_upto") > rank, own))
+    low, high = F.floor("at"), F.ceil("at")
+    out = upto.groupBy(*by, "share").agg(at(low).alias("_a"), at(high).alias("_b"), F.max(F.col("at") - low).alias("_part"))
+    return out.select(*by, "share", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_part")).alias("q"))
+
+
 def describe(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """n, least, quartiles and greatest by group, with linear interpolation. Percentiles keep a
-    group's distinct values, so a group's values should be few or coarse."""
-    q = lambda p: F.percentile(value, p)
-    return df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("least"), q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"), F.max(value).alias("greatest"))
+    """n, least, quartiles and greatest by group, with linear interpolation."""
+    q = quantiles(df, by, value, [0.25, 0.5, 0.75])
+    pick = lambda s: F.max(F.when(F.col("share") == s, F.col("q")))
+    quarters = q.groupBy(*by).agg(pick(0.25).alias("q25"), pick(0.5).alias("median"), pick(0.75).alias("q75"))
+    ends = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("least"), F.max(value).alias("greatest"))
+    keys = [F.col(f"a.{b}").eqNullSafe(F.col(f"b.{b}")) for b in by]
+    return ends.alias("a").join(quarters.alias("b"), keys, "left").select(*(F.col(f"a.{b}").alias(b) for b in by), "n", "least", "q25", "median", "q75", "greatest")
 
 
 def arm_medians(df: DataFrame, block: list[str], arm: str, arms: list[str], value: str) -> DataFrame:
     """Median of value for each block as one column per arm; only blocks that have all arms."""
-    out = df.where(F.col(arm).isin(arms)).groupBy(*block).agg(*(F.percentile(F.when(F.col(arm) == a, F.col(value)), 0.5).alias(a) for a in arms))
+    q = quantiles(df.where(F.col(arm).isin(arms)), [*block, arm], value, [0.5])
+    out = q.groupBy(*block).agg(*(F.max(F.when(F.col(arm) == a, F.col("q"))).alias(a) for a in arms))
     return out.dropna(subset=arms)
 
 
@@ -24,22 +56,46 @@ def geometric_mean(x: Column) -> Column:
     return F.exp(F.avg(F.log(x)))
 
 
+def moments(df: DataFrame, by: list[str], x: dict[str, Column], y: Column, weight: Column | None = None) -> DataFrame:
+    """Weighted moment sums of named regressors x and of y by group: n, w, w_x, w_x_x.., rows
+    with a null left out. Values are taken from the group's means, so squares do not cancel."""
+    names = [*x, "y"]
+    rows = df.select(*by, *(c.cast("double").alias(n) for n, c in x.items()), y.cast("double").alias("y"), (F.lit(1.0) if weight is None else weight).cast("double").alias("w")).dropna(subset=[*names, "w"])
+    means = rows.groupBy(*by).agg(*(F.try_divide(F.sum(F.col("w") * F.col(n)), F.sum("w")).alias(f"mean_{n}") for n in names))
+    keys = [F.col(f"r.{b}").eqNullSafe(F.col(f"m.{b}")) for b in by]
+    both = rows.alias("r").join(means.alias("m"), keys)
+    centred = both.select(*(F.col(f"r.{b}").alias(b) for b in by), "w", *(f"mean_{n}" for n in names), *((F.col(n) - F.col(f"mean_{n}")).alias(n) for n in names))
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    return centred.groupBy(*by).agg(F.count("*").alias("n"), F.sum("w").alias("w"), *(F.max(f"mean_{n}").alias(f"mean_{n}") for n in names), *(F.sum(F.col("w") * F.col(a) * F.col(b)).alias(f"{a}_{b}") for a, b in pairs))
+
+
 def ols(df: DataFrame, by: list[str], x: Column, y: Column, weight: Column | None = None) -> DataFrame:
-    """n, slope, intercept, r2 by weighted least squares from moment sums."""
-    w = F.lit(1.0) if weight is None else weight
-    m = df.select(*by, x.alias("x"), y.alias("y"), w.alias("w")).dropna().groupBy(*by).agg(
-        F.count("*").alias("n"), F.sum("w").alias("sw"), *(F.sum(F.col("w") * e).alias(n) for n, e in (("sx", F.col("x")), ("sy", F.col("y")), ("sxx", F.col("x") * F.col("x")), ("sxy", F.col("x") * F.col("y")), ("syy", F.col("y") * F.col("y")))))
-    cxy, cxx, cyy = (F.col(f"s{a}{b}") - F.col(f"s{a}") * F.col(f"s{b}") / F.col("sw") for a, b in ("xy", "xx", "yy"))
-    slope = F.try_divide(cxy, cxx)
-    return m.select(*by, "n", slope.alias("slope"), ((F.col("sy") - slope * F.col("sx")) / F.col("sw")).alias("intercept"), F.try_divide(cxy * cxy, cxx * cyy).alias("r2"))
+    """n, slope, intercept, r2, sse, rmse by (weighted) least squares."""
+    m = moments(df, by, {"x": x}, y, weight)
+    slope = F.try_divide("x_y", "x_x")
+    sse = F.greatest(F.col("y_y") - slope * F.col("x_y"), F.lit(0.0))
+    r2 = F.try_divide(F.col("x_y") ** 2, F.col("x_x") * F.col("y_y"))
+    return m.select(*by, "n", slope.alias("slope"), (F.col("mean_y") - slope * F.col("mean_x")).alias("intercept"), r2.alias("r2"), sse.alias("sse"), F.sqrt(F.try_divide(sse, "w")).alias("rmse"))
+
+
+def hinge(df: DataFrame, by: list[str], x: Column, y: Column, knot: float, weight: Column | None = None) -> DataFrame:
+    """n, intercept, slope, bend, sse of a continuous line whose slope changes by bend at a knot;
+    null where the normal equations have no single solution."""
+    m = moments(df, by, {"x": x, "h": F.greatest(x - F.lit(knot), F.lit(0.0))}, y, weight)
+    c = F.col
+    det = c("x_x") * c("h_h") - c("x_h") ** 2
+    safe = F.when(F.abs(det) > 1e-12 * c("x_x") * c("h_h"), det)
+    slope, bend = (c("x_y") * c("h_h") - c("h_y") * c("x_h")) / safe, (c("h_y") * c("x_x") - c("x_y") * c("x_h")) / safe
+    return m.select(*by, "n", (c("mean_y") - slope * c("mean_x") - bend * c("mean_h")).alias("intercept"), slope.alias("slope"), bend.alias("bend"), F.greatest(c("y_y") - slope * c("x_y") - bend * c("h_y"), F.lit(0.0)).alias("sse"))
 
 
 def calibrated_weights(df: DataFrame, stratum: str, cluster: str) -> DataFrame:
-    """One over the cluster's size, rescaled so that a stratum's weights sum to its size."""
-    raw = 1 / F.count("*").over(W.partitionBy(stratum, cluster))
-    rows = df.withColumn("_raw", raw)
-    s = W.partitionBy(stratum)
-    return rows.withColumn("weight", F.col("_raw") * F.count("*").over(s) / F.sum("_raw").over(s)).drop("_raw")
+    """One over the cluster's size, rescaled so that a stratum's weights sum to its size. Sizes
+    are counted by cluster first; only these counts are joined back to the rows."""
+    sizes = df.groupBy(stratum, cluster).agg(F.count("*").alias("_n"))
+    whole = sizes.groupBy(stratum).agg(F.sum("_n").alias("_all"), F.count("*").alias("_clusters"))
+    per = sizes.alias("a").join(whole.alias("b"), F.col(f"a.{stratum}").eqNullSafe(F.col(f"b.{stratum}"))).select(F.col(f"a.{stratum}").alias("_s"), F.col(f"a.{cluster}").alias("_c"), (F.col("_all") / (F.col("_n") * F.col("_clusters"))).alias("weight"))
+    return df.join(per, df[stratum].eqNullSafe(per["_s"]) & df[cluster].eqNullSafe(per["_c"])).drop("_s", "_c")
 
 
 def pareto(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
@@ -65,18 +121,79 @@ def overlaps(df: DataFrame, by: list[str], start: str, stop: str) -> DataFrame:
 
 
 def inversions(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Pairs of a group's rows whose order by x and by y disagree, counted from grouped values;
-    groups should be small (a self-join within the group)."""
-    a, b = df.select(*by, F.col(x).alias("x1"), F.col(y).alias("y1")), df.select(*by, F.col(x).alias("x2"), F.col(y).alias("y2"))
-    pairs = a.join(b, by).where("x1 < x2")
-    return pairs.groupBy(*by).agg(F.count_if(F.col("y1") > F.col("y2")).alias("inverted"), F.count("*").alias("pairs"))
-
-
-def bootstrap(df: DataFrame, by: list[str], value: str, draws: int, seed: int = 7) -> DataFrame:
-    """Bootstrap interval of the mean by Poisson weights: each row has in each draw a weight that
-    a hash of seed, draw and row gives, so draws are sums that need no shuffle of rows."""
-    u = F.pmod(F.xxhash64(F.lit(seed), "draw", *by, "_row"), F.lit(1_000_003)) / 1_000_003.0
-    weight = sum((F.when(u > c, 1).otherwise(0) for c in (0.36788, 0.73576, 0.91970, 0.98101, 0.99634, 0.99941)), F.lit(0))
-    rows = df.withColumn("_row", F.xxhash64(*df.columns)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    means = rows.groupBy(*by, "draw").agg(F.try_divide(F.sum(weight * F.col(value)), F.sum(weight)).alias("m"))
+    """by, inverted, pairs: of a group's pairs with different x, how many have their y in the
+    opposite order. No pairs are made: with y as a rank, an inverted pair agrees on the rank's
+    leading bits up to the one where the earlier row has 1 and the later one 0, so running counts
+    for each bit find all of them. Groups of one row have no pairs and are left out."""
+    rows = df.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x is not null and _y is not null")
+    ranked = rows.withColumn("_r", F.dense_rank().over(W.partitionBy(*by).orderBy("_y")) - 1)
+    bits = F.floor(F.log2(F.max("_r").over(W.partitionBy(*by)) + F.lit(0.5)))
+    each = ranked.withColumn("_bits", F.greatest(bits, F.lit(0)).cast("int")).withColumn("_bit", F.explode(F.sequence(F.lit(0), F.col("_bits"))))
+    above = lambda bits: F.floor(F.col("_r") / F.pow(F.lit(2), bits))
+    prefix, one = above(F.col("_bit") + 1), above(F.col("_bit")) % 2
+    w = W.partitionBy(*by, "_bit", "_prefix").orderBy("_x", "_r").rowsBetween(W.unboundedPreceding, W.currentRow)
+    met = each.withColumn("_prefix", prefix).withColumn("_one", one.cast("int")).withColumn("_before", F.sum("_one").over(w))
+    inverted = met.where("_one = 0").groupBy(*by).agg(F.sum("_before").cast("long").alias("inverted"))
+    ties = rows.groupBy(*by, "_x").agg(F.count("*").alias("_c")).groupBy(*by).agg(F.sum("_c").alias("_n"), F.sum(F.col("_c") * (F.col("_c") - 1) / 2).cast("long").alias("_ties"))
+    pairs = ties.withColumn("pairs", (F.col("_n") * (F.col("_n") - 1) / 2).cast("long") - F.col("_ties")).where("pairs > 0")
+    keys = [F.col(f"p.{b}").eqNullSafe(F.col(f"i.{b}")) for b in by]
+    return pairs.alias("p").join(inverted.alias("i"), keys, "left").select(*(F.col(f"p.{b}").alias(b) for b in by), F.coalesce("inverted", F.lit(0).cast("long")).alias("inverted"), "pairs")
+
+
+def draw(*key: Column) -> Column:
+    """A number from 0 to 2**32 - 1 by the MD5 of a key: the same in any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *key)), 1, 8), 16, 10).cast("long")
+
+
+#: Fixed: cumulative probabilities of a Poisson count of mean one.
+POISSON = (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815)
+
+
+def bootstrap(df: DataFrame, by: list[str], key: str, value: str, draws: int, seed: int = 7) -> DataFrame:
+    """by, low, high: bootstrap interval of the mean by Poisson weights. Each row, told by its
+    key, has in each draw a weight of its own, so draws are sums that need no shuffle of rows."""
+    u = draw(F.lit(str(seed)), F.col("draw").cast("string"), F.col(key).cast("string")) / F.lit(float(1 << 32))
+    weight = sum((F.when(u > c, 1).otherwise(0) for c in POISSON), F.lit(0))
+    rows = df.select(*by, key, value).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    means = rows.withColumn("_w", weight).groupBy(*by, "draw").agg(F.try_divide(F.sum(F.col("_w") * F.col(value)), F.sum("_w")).alias("m"))
     return means.groupBy(*by).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+
+
+def paired_bootstrap(blocks: DataFrame, key: str, ratios: list[str], draws: int, seed: int = 7) -> DataFrame:
+    """ratio, estimate, low, high: geometric means of paired ratios over blocks, and intervals
+    from draws of as many blocks with replacement; a draw takes the same blocks for all ratios.
+    blocks is a table of blocks, not of runs: a block's number is its rank by key."""
+    named = blocks.select(F.row_number().over(W.orderBy(key)).alias("_i"), *(F.log(r).alias(r) for r in ratios))
+    n = blocks.agg(F.count("*").alias("_n"))
+    picks = F.broadcast(n).select("_n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    picks = picks.select("draw", (draw(F.lit(str(seed)), F.col("draw").cast("string"), F.col("_k").cast("string")) % F.col("_n") + 1).alias("_i"))
+    wide = lambda df: F.explode(F.array(*(F.struct(F.lit(r).alias("ratio"), F.col(r).alias("v")) for r in ratios)))
+    means = picks.join(named, "_i").groupBy("draw").agg(*(F.exp(F.avg(r)).alias(r) for r in ratios))
+    ends = means.select(wide(means).alias("r")).select("r.*").groupBy("ratio").agg(F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"))
+    whole = named.agg(*(F.exp(F.avg(r)).alias(r) for r in ratios))
+    return whole.select(wide(whole).alias("r")).select("r.ratio", F.col("r.v").alias("estimate")).join(ends, "ratio")
+
+
+def cluster_bootstrap(df: DataFrame, stratum: str, cluster: str, value: str, draws: int, seed: int = 7) -> DataFrame:
+    """stratum, low, high: interval of the mean when whole clusters are drawn within each stratum.
+    Only sums by cluster are drawn."""
+    sums = df.groupBy(stratum, cluster).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
+    numbered = sums.withColumn("_i", F.row_number().over(W.partitionBy(stratum).orderBy(cluster)))
+    sizes = numbered.groupBy(stratum).agg(F.max("_i").alias("_n"))
+    picks = sizes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    i = draw(F.lit(str(seed)), F.col(stratum).cast("string"), F.col("draw").cast("string"), F.col("_k").cast("string")) % F.col("_n") + 1
+    means = picks.withColumn("_i", i).join(numbered, [stratum, "_i"]).groupBy(stratum, "draw").agg(F.try_divide(F.sum("_s"), F.sum("_c")).alias("m"))
+    return means.groupBy(stratum).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+
+
+def trade_off_support(targets: DataFrame, lines: DataFrame, by: list[str], cost: str, energy: str) -> DataFrame:
+    """by, cost, energy, low, high: the trade-offs t of zero or more at which a target's energy +
+    t * cost is as low as that of every line of its group; high is null where nothing bounds it.
+    Targets that no t supports are left out."""
+    t, o = targets.select(*by, cost, energy).alias("t"), lines.select(*by, cost, energy).alias("o")
+    dc, de = F.col(f"o.{cost}") - F.col(f"t.{cost}"), F.col(f"t.{energy}") - F.col(f"o.{energy}")
+    met = t.join(o, by).select(*by, F.col(f"t.{cost}").alias(cost), F.col(f"t.{energy}").alias(energy), dc.alias("_dc"), de.alias("_de"))
+    bound = F.col("_de") / F.when(F.col("_dc") != 0, F.col("_dc"))
+    out = met.groupBy(*by, cost, energy).agg(
+        F.greatest(F.lit(0.0), F.max(F.when(F.col("_dc") > 0, bound))).alias("low"), F.min(F.when(F.col("_dc") < 0, bound)).alias("high"), F.max(F.when(F.col("_dc") == 0, F.col("_de"))).alias("_same"))
+    return out.where("coalesce(_same, 0) <= 0 and (high is null or low <= high)").drop("_same")

@@ -4,9 +4,8 @@ The test tables hold no proteins, codon usage or run records: proteins are deriv
 document texts, the codon table is the standard genetic code with an artificial usage, and
 run records are stood in for by events, orders and line items.
 
-Queries named ..._whole take the protein from all letters of a text; they have no SQL and are
-held against brute force (tests/test_whole.py). Their namesakes run the same operators on the
-12 residues at most that the SQL reads, and are only there for that comparison.
+A protein is all letters of a whole text that name residues. lattice_nodes and lattice_edges have
+millions of rows at the smallest scales and so no SQL; their sums by prefix have.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from ..functions import sequence as S
 from ..operators import analytics as A
 from ..operators import coding as C
 
-FLAGSHIP = "max_cai_cds_whole"
+FLAGSHIP = "max_cai_cds"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -33,8 +32,8 @@ _VALUES = ", ".join(f"('{c}', '{a}', {f}::DOUBLE)" for c, a, f in CODONS)
 _CTE = f"""
 codon(codon, aa, freq) AS (VALUES {_VALUES}),
 weight AS (SELECT codon, aa, freq, freq / max(freq) OVER (PARTITION BY aa) AS w, -ln(freq / max(freq) OVER (PARTITION BY aa)) AS neg_log_w FROM codon),
-protein AS (SELECT doc_id AS protein_id, substr(regexp_replace(substr(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 1, 60), '[BJOUXZ]', '', 'g'), 1, 12) AS seq FROM documents),
-residue AS (SELECT protein_id, i AS pos, substr(seq, i::INT + 1, 1) AS aa FROM protein, unnest(range(0, length(seq))) AS t(i)),
+protein AS (SELECT doc_id AS protein_id, upper(regexp_replace(text, '[^A-Za-z]|[BJOUXZbjouxz]', '', 'g')) AS seq FROM documents),
+residue AS (SELECT protein_id, unnest(range(0, length(seq))) AS pos, unnest(string_split(seq, '')) AS aa FROM protein WHERE length(seq) > 0),
 best AS (SELECT aa, min(neg_log_w) AS cost, arg_min(codon, (neg_log_w, codon)) AS codon FROM weight GROUP BY aa)
 """
 
@@ -43,13 +42,8 @@ def _table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([("standard", *c) for c in CODONS], "table_id string, codon string, aa string, freq double")
 
 
-def _proteins(spark: SparkSession, d: str, of=S.protein) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("protein_id"), of(F.col("text")).alias("seq"))
-
-
-def _heads(spark: SparkSession, d: str) -> DataFrame:
-    """The samples of proteins that the SQL reads."""
-    return _proteins(spark, d, S.protein_head)
+def _proteins(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("protein_id"), S.protein(F.col("text")).alias("seq"))
 
 
 def _read(name: str):
@@ -66,12 +60,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def protein_query(name: str, sql: str):
-    """Registers f(spark, proteins) on whole texts, and under the bare name on what the SQL reads."""
+def protein_query(name: str, sql: str | None = None):
+    """Registers f(spark, proteins) on the proteins of whole texts."""
 
     def add(f):
-        query(name, sql)(lambda spark, d: f(spark, _heads(spark, d)))
-        query(f"{name}_whole")(lambda spark, d: f(spark, _proteins(spark, d)))
+        query(name, sql)(lambda spark, d: f(spark, _proteins(spark, d)))
         return f
 
     return add
@@ -121,9 +114,16 @@ _NODES = """, cut AS (SELECT DISTINCT aa, k, substr(codon, 1, k::INT) AS prefix
 nodes AS (SELECT protein_id, pos * 3 + k AS pos, prefix FROM residue JOIN cut USING (aa) UNION ALL SELECT protein_id, length(seq) * 3, '' FROM protein WHERE length(seq) > 0)"""
 
 
-@protein_query("lattice_nodes", f"{_NODES} SELECT protein_id, pos::BIGINT AS pos, prefix, (row_number() OVER (PARTITION BY protein_id ORDER BY pos, prefix) - 1)::BIGINT AS node FROM nodes")
+@protein_query("lattice_nodes")
 def lattice_nodes(spark, proteins):
-    return C.lattice_nodes(proteins, _table(spark)).select("protein_id", F.col("pos").cast("long"), "prefix", F.col("node").cast("long"))
+    return C.lattice_nodes(proteins, _table(spark))
+
+
+@protein_query("lattice_node_sums", f"""{_NODES}, numbered AS (SELECT protein_id, pos, prefix, row_number() OVER (PARTITION BY protein_id ORDER BY pos, prefix) - 1 AS node FROM nodes)
+SELECT protein_id, prefix, count(*) AS n, sum(pos)::BIGINT AS places, sum(node)::BIGINT AS numbers FROM numbered GROUP BY protein_id, prefix""")
+def lattice_node_sums(spark, proteins):
+    """Sums of the nodes' places and numbers for each protein and prefix."""
+    return C.lattice_nodes(proteins, _table(spark)).groupBy("protein_id", "prefix").agg(F.count("*").alias("n"), F.sum("pos").alias("places"), F.sum("node").alias("numbers"))
 
 
 @protein_query("lattice_shape", f"{_NODES} SELECT protein_id, sum(width)::BIGINT AS nodes, max(width)::BIGINT AS widest FROM (SELECT protein_id, pos, count(*) AS width FROM nodes GROUP BY ALL) GROUP BY protein_id")
@@ -131,13 +131,20 @@ def lattice_shape(spark, proteins):
     return C.lattice_shape(proteins, _table(spark))
 
 
-@protein_query("lattice_edges", """, step AS (SELECT DISTINCT aa, k, substr(codon, 1, k::INT) AS src, CASE WHEN k < 2 THEN substr(codon, 1, k::INT + 1) ELSE '' END AS dst, substr(codon, k::INT + 1, 1) AS nuc, CASE WHEN k = 2 THEN neg_log_w ELSE 0.0 END AS weight FROM weight, unnest([0, 1, 2]) AS t(k))
-SELECT protein_id, (pos * 3 + k)::BIGINT AS src_pos, src, dst, nuc, round(weight, 9) AS weight FROM residue JOIN step USING (aa)""")
+@protein_query("lattice_edges")
 def lattice_edges(spark, proteins):
     e = C.lattice_edges(proteins, C.weights(_table(spark)))
     return e.select("protein_id", F.col("src_pos").cast("long"), "src", "dst", "nuc", F.round("weight", 9).alias("weight"))
 
 
+@protein_query("lattice_edge_sums", """, step AS (SELECT DISTINCT aa, k, substr(codon, 1, k::INT) AS src, CASE WHEN k < 2 THEN substr(codon, 1, k::INT + 1) ELSE '' END AS dst, substr(codon, k::INT + 1, 1) AS nuc, CASE WHEN k = 2 THEN neg_log_w ELSE 0.0 END AS weight FROM weight, unnest([0, 1, 2]) AS t(k))
+SELECT protein_id, src, nuc, count(*) AS n, sum(pos * 3 + k)::BIGINT AS places, round(sum(weight), 6) AS weight FROM residue JOIN step USING (aa) GROUP BY protein_id, src, nuc""")
+def lattice_edge_sums(spark, proteins):
+    """Sums of the edges' places and weights for each protein, prefix and nucleotide."""
+    e = C.lattice_edges(proteins, C.weights(_table(spark)))
+    return e.groupBy("protein_id", "src", "nuc").agg(F.count("*").alias("n"), F.sum("src_pos").cast("long").alias("places"), F.round(F.sum("weight"), 6).alias("weight"))
+
+
 _MOTIFS = ", ".join(f"('{m.replace('T', 'U')}')" for m in MOTIFS)
 
 
@@ -159,20 +166,23 @@ def motif_scan(spark, proteins):
     return cds.select("protein_id", "cds")
 
 
-@query("cds_enumeration", """, spelled AS (SELECT protein_id, a.codon || b.codon || c.codon AS cds, a.neg_log_w + b.neg_log_w + c.neg_log_w AS penalty FROM protein JOIN weight a ON a.aa = substr(seq, 1, 1) JOIN weight b ON b.aa = substr(seq, 2, 1) JOIN weight c ON c.aa = substr(seq, 3, 1))
-SELECT protein_id, count(*) AS n, min(cds) AS first_cds, round(min(penalty), 6) AS least, round(max(penalty), 6) AS most FROM spelled GROUP BY protein_id""")
-def cds_enumeration(spark, d):
-    """All coding sequences of each protein's first three residues, spelled out and summed up."""
-    head = _heads(spark, d).select("protein_id", F.substring("seq", 1, 3).alias("seq")).where(F.length("seq") == 3)
-    rows = C.enumerated(head, C.weights(_table(spark)), 3)
-    return rows.groupBy("protein_id").agg(F.count("*").alias("n"), F.min("cds").alias("first_cds"), F.round(F.min("penalty"), 6).alias("least"), F.round(F.max("penalty"), 6).alias("most"))
+@protein_query("cds_enumeration", """, choice AS (SELECT aa, ln(count(*)) / ln(10) AS n, min(codon) AS codon, min(neg_log_w) AS least, max(neg_log_w) AS most FROM weight GROUP BY aa)
+SELECT protein_id, round(sum(n), 6) AS log10_n, string_agg(codon, '' ORDER BY pos) AS first_cds, round(sum(least), 6) AS least, round(sum(most), 6) AS most FROM residue JOIN choice USING (aa) GROUP BY protein_id""")
+def cds_enumeration(spark, proteins):
+    """Figures of all coding sequences of each protein; their number as log10_n."""
+    out = C.spellings(proteins, C.weights(_table(spark)))
+    return out.select("protein_id", F.round("log10_n", 6).alias("log10_n"), "first_cds", F.round("least", 6).alias("least"), F.round("most", 6).alias("most"))
+
+
+@query("cds_language", """, name AS (SELECT r_regionkey AS protein_id, upper(regexp_replace(r_name, '[^A-Za-z]|[BJOUXZbjouxz]', '', 'g')) AS seq FROM region),
+RECURSIVE_PART SELECT protein_id, cds, round(penalty, 6) AS penalty FROM spelled WHERE i = length(seq)""")
+def cds_language(spark, d):
+    """Every coding sequence of the regions' names, one row each."""
+    names = _read("region")(spark, d).select(F.col("r_regionkey").alias("protein_id"), S.protein(F.col("r_name")).alias("seq"))
+    return C.enumerated(names, C.weights(_table(spark)), 12).select("protein_id", "cds", F.round("penalty", 6).alias("penalty"))
 
 
-@query("cds_enumeration_whole")
-def cds_enumeration_whole(spark, d):
-    """Figures of all coding sequences of each whole protein; their number as log10_n."""
-    out = C.spellings(_proteins(spark, d), C.weights(_table(spark)))
-    return out.select("protein_id", F.round("log10_n", 9).alias("log10_n"), "first_cds", F.round("least", 6).alias("least"), F.round("most", 6).alias("most"))
+SQL["cds_language"] = "WITH RECURSIVE " + SQL["cds_language"].removeprefix("WITH ").replace("RECURSIVE_PART", "spelled(protein_id, seq, i, cds, penalty) AS (SELECT protein_id, seq, 0, ''::VARCHAR, 0.0::DOUBLE FROM name UNION ALL SELECT protein_id, seq, i + 1, cds || codon, penalty + neg_log_w FROM spelled JOIN weight ON aa = substr(seq, i + 1, 1) WHERE i < length(seq))")
 
 
 @query("structure_pairs", """, s AS (SELECT o_orderkey AS id, repeat('(', 1 + (o_orderkey % 4)::INT) || '...' || repeat(')', 1 + (o_orderkey % 4)::INT) || '.(...)' AS structure FROM orders),
@@ -249,7 +259,10 @@ def inversion_count(spark, d):
     return A.inversions(_read("lineitem")(spark, d), ["l_orderkey"], "l_quantity", "l_extendedprice")
 
 
-@query("bootstrap_ci")
+_POISSON = " + ".join(f"(u > {c})::INT" for c in A.POISSON)
+
+
+@query("bootstrap_ci", f"{{raw}}WITH d AS (SELECT c_mktsegment, c_acctbal, draw, ('0x' || substr(md5('7:' || draw || ':' || c_custkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM customer, unnest(range(1, 101)) AS t(draw)), m AS (SELECT c_mktsegment, draw, sum(({_POISSON}) * c_acctbal) / sum({_POISSON}) AS m FROM d GROUP BY ALL) SELECT c_mktsegment, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY c_mktsegment")
 def bootstrap_ci(spark, d):
-    """Rows only: the draws are hashes that other engines do not have."""
-    return A.bootstrap(_read("customer")(spark, d).select("c_custkey", "c_mktsegment", "c_acctbal"), ["c_mktsegment"], "c_acctbal", 200)
+    out = A.bootstrap(_read("customer")(spark, d), ["c_mktsegment"], "c_custkey", "c_acctbal", 100)
+    return out.select("c_mktsegment", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from strandloom.plans import catalog
+from strandloom.plans import campaign, catalog  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 
@@ -12,7 +12,7 @@ D = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in "documents orders lineitem events customer".split():
+    for t in "documents orders lineitem events customer supplier part nation region".split():
         c.sql(f"CREATE VIEW {t} AS FROM '{D}/{t}.parquet'")
     return c
 

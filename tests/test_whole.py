@@ -40,7 +40,7 @@ def seqs():
 
 
 def got(spark, d, name):
-    return {r.protein_id: r for r in catalog.QUERIES[f"{name}_whole"](spark, d).collect()}
+    return {r.protein_id: r for r in catalog.QUERIES[f"{name}"](spark, d).collect()}
 
 
 def test_sources(spark, d):
@@ -68,9 +68,9 @@ def test_sequences(spark, d, seqs):
 
 def test_lattices(spark, d, seqs):
     nodes, edges = {}, {}
-    for r in catalog.QUERIES["lattice_nodes_whole"](spark, d).collect():
+    for r in catalog.QUERIES["lattice_nodes"](spark, d).collect():
         nodes.setdefault(r.protein_id, []).append((r.node, r.pos, r.prefix))
-    for r in catalog.QUERIES["lattice_edges_whole"](spark, d).collect():
+    for r in catalog.QUERIES["lattice_edges"](spark, d).collect():
         edges.setdefault(r.protein_id, []).append((r.src_pos, r.src, r.dst, r.nuc, r.weight))
     shape = got(spark, d, "lattice_shape")
     assert set(nodes) == set(edges) == set(shape) == set(seqs)
@@ -95,7 +95,7 @@ def test_enumeration(spark, d, seqs):
     rows = got(spark, d, "cds_enumeration")
     assert set(rows) == set(seqs)
     for i, s in seqs.items():
-        assert rows[i].log10_n == pytest.approx(math.fsum(math.log10(len(TABLE[a])) for a in s), rel=1e-9, abs=2e-9)
+        assert rows[i].log10_n == pytest.approx(math.fsum(math.log10(len(TABLE[a])) for a in s), rel=1e-9, abs=2e-6)
         assert rows[i].first_cds == "".join(min(TABLE[a]) for a in s)
         assert rows[i].least == pytest.approx(math.fsum(min(COST[a].values()) for a in s), rel=1e-9, abs=2e-6)
         assert rows[i].most == pytest.approx(math.fsum(max(COST[a].values()) for a in s), rel=1e-9, abs=2e-6)
