@@ -1,11 +1,12 @@
 """Hierarchical packing of documents into training sequences of several lengths.
 
 A document longer than the largest context fills whole windows of it; what is left, and every
-shorter document, is routed to the smallest tier (context size) that holds it. A sequence of a
-tier opens with a document of that tier; its gap is filled from shorter tiers, the longest
-that fits first, and at last by a part of one. So each sequence is exactly its tier long, but
-for one at the end of each shard, which is padded to the largest tier. Full sequences of a tier
-are dealt into step groups of equally many tokens.
+shorter document, is routed to the smallest tier (context size) that holds it. The tier with the
+most waiting tokens is packed next. A sequence of a tier opens with a document of that tier; its
+gap is filled from its own and shorter tiers, the longest that fits first, and at last by a part
+of one. So each sequence is exactly its tier long, but for one at the end of each shard, which is
+padded to the largest tier. Full sequences of a tier are dealt into step groups of equally many
+tokens.
 
 A shard is a partition of the input; documents stay where they are read, without a shuffle,
 and a task holds at most WAITING pieces. Each token is in exactly one piece.
@@ -40,6 +41,7 @@ class Packer:
     def __init__(self, shard: int, tiers: tuple[int, ...] = TIERS, step: int = STEP_TOKENS):
         self.shard, self.tiers, self.step = shard, tiers, step
         self.waiting = {t: deque() for t in tiers}
+        self.tokens = dict.fromkeys(tiers, 0)
         self.rows: list[tuple] = []
         self.sequences, self.groups, self.filled = 0, 0, {}
 
@@ -56,20 +58,26 @@ class Packer:
     def _wait(self, piece: tuple, front: bool = False) -> None:
         tier = next(t for t in self.tiers if 4 * t >= len(piece[2]))
         (self.waiting[tier].appendleft if front else self.waiting[tier].append)(piece)
+        self.tokens[tier] += len(piece[2]) // 4
+
+    def _take(self, tier: int) -> tuple:
+        piece = self.waiting[tier].popleft()
+        self.tokens[tier] -= len(piece[2]) // 4
+        return piece
 
     def _pack(self) -> None:
-        tier = next(t for t in reversed(self.tiers) if self.waiting[t])
-        pieces = [self.waiting[tier].popleft()]
+        tier = max(self.tiers, key=lambda t: (self.tokens[t], t))
+        pieces = [self._take(tier)]
         gap = tier - len(pieces[0][2]) // 4
         while gap and any(self.waiting.values()):
             fit = next((t for t in reversed(self.tiers) if self.waiting[t] and len(self.waiting[t][0][2]) <= 4 * gap), None)
             if fit is None:  # a part of the shortest that waits
                 fit = next(t for t in self.tiers if self.waiting[t])
-                doc, start, ids, n = self.waiting[fit].popleft()
+                doc, start, ids, n = self._take(fit)
                 self._wait((doc, start + gap, ids[4 * gap :], n), front=True)
                 pieces.append((doc, start, ids[: 4 * gap], n))
             else:
-                pieces.append(self.waiting[fit].popleft())
+                pieces.append(self._take(fit))
             gap -= len(pieces[-1][2]) // 4
         self._emit(self.tiers[-1] if gap else tier, pieces)
 

@@ -76,6 +76,32 @@ def test_packing(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_packing_tiers_and_step_groups():
+    """Every tier has sequences, all but the last exactly full; step groups are of one size."""
+    rng = np.random.default_rng(3)
+    packer = packing.Packer(5)
+    sizes = [int(x) for x in np.concatenate([rng.integers(1, 120, 900), rng.integers(200, 500, 200), rng.integers(700, 5000, 60)])]
+    rng.shuffle(sizes)
+    for doc, n in enumerate(sizes):
+        packer.add(doc, np.full(n, doc, "<u4").tobytes())
+    packer.finish()
+    rows = packer.taken().to_pylist()
+    by, groups, docs = defaultdict(list), defaultdict(dict), defaultdict(int)
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == sum(x["length"] for x in by[r["sequence_id"]]) and set(np.frombuffer(r["ids"], "<u4")) == {r["doc_id"]}
+        by[r["sequence_id"]].append(r)
+        groups[r["step_group"]][r["sequence_id"]] = r["tier"]
+        docs[r["doc_id"]] += r["length"]
+    assert [docs[i] for i in range(len(sizes))] == sizes
+    full = [s for s in by if sum(x["length"] for x in by[s]) == by[s][0]["tier"]]
+    assert len(full) >= len(by) - 1 and {by[s][0]["tier"] for s in full} == set(packing.TIERS)
+    totals = defaultdict(list)
+    for g in groups.values():
+        assert len(set(g.values())) == 1
+        totals[next(iter(g.values()))].append(sum(g.values()))
+    assert all(sorted(t)[1:] == [packing.STEP_TOKENS] * (len(t) - 1) for t in totals.values())  # the last of a tier may be short
+
+
 def test_chat_events(spark):
     said = "\\### Assistant: </turn> ok \\l <turn>"
     rows = [(1, 0, "delta", 0, "user", said), (1, 1, "start", 1, "assistant", "dra"), (1, 2, "delta", 1, "assistant", "ft"), (1, 3, "regenerate", 1, "assistant", None),
