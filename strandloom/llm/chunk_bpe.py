@@ -88,7 +88,7 @@ def encode(bpe: ByteBPE, text: str, known: dict[bytes, np.ndarray]) -> np.ndarra
     if not text:
         return np.zeros(0, np.uint32)
     data = text.encode()
-    at = [0, len(data)] if bpe.special.search(text) else cuts(data)
+    at = [0, len(data)] if bpe.has_special(text) else cuts(data)
     if len(at) == 2:
         return _ids_of(bpe, data, known)
     # what lies between repaired stretches, as (start, stop) in bytes, for each chunk
@@ -119,7 +119,7 @@ def encode(bpe: ByteBPE, text: str, known: dict[bytes, np.ndarray]) -> np.ndarra
 
 def _chunks(bpe: ByteBPE, text: str) -> tuple[bytes, list[int]]:
     data = text.encode()
-    return data, [0, len(data)] if bpe.special.search(text) else cuts(data)
+    return data, [0, len(data)] if bpe.has_special(text) else cuts(data)
 
 
 def chunk_table(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -18,6 +18,13 @@ from tokenizers import Tokenizer
 
 #: Characters whose classes, case and normal forms all libraries agree on.
 RARE = regex.compile("[^\t-\r\x20-\x7e\xa0-ɏ‐-‧€]")
+_ASCII = bytes([*range(9, 14), *range(0x20, 0x7F)])
+
+
+def rare(text: str) -> bool:
+    """Whether a text has characters that only the tokenizers library is asked about."""
+    rest = text.encode().translate(None, _ASCII)
+    return bool(rest and RARE.search(rest.decode()))
 
 
 def _bytes_of_letters() -> dict[str, int]:
@@ -42,7 +49,7 @@ class ByteBPE:
         letters = _bytes_of_letters()
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(letters[c] for c in k): i for k, i in spec["model"]["vocab"].items() if k not in special}
-        self.special = regex.compile("|".join(map(regex.escape, special)))
+        self.special = list(special)
         self.library = _library(path)
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.fast = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -51,9 +58,12 @@ class ByteBPE:
             self.bytes[i] = k
         self.sizes = np.array([len(b) for b in self.bytes], np.int64)
 
+    def has_special(self, text: str) -> bool:
+        return any(x in text for x in self.special)
+
     def plain(self, text: str) -> bool:
-        """Whether the fast route, and cutting the text into parts, are open to it."""
-        return not (RARE.search(text) or self.special.search(text))
+        """Whether the fast route is open to a text."""
+        return not (self.has_special(text) or rare(text))
 
     def encode(self, text: str) -> np.ndarray:
         if self.plain(text):
@@ -84,7 +94,7 @@ class WordBPE:
         self.ids = np.array([of[k] for k in first], "<u4")
         self.fast = tiktoken.Encoding("words", pat_str=r"[^\n]+\n", mergeable_ranks={k: i for i, k in enumerate(first)}, special_tokens={})
         self.between = first.index(self.BETWEEN.encode() + b"\n")
-        self.special = regex.compile("|".join(map(regex.escape, special)))
+        self.special = list(special)
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.library = _library(path)
         self.most, self.known, self.before = most, {}, {}
@@ -107,7 +117,7 @@ class WordBPE:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        split = [None if RARE.search(t) or self.special.search(t) else t.split() for t in texts]
+        split = [None if any(x in t for x in self.special) or rare(t) else t.split() for t in texts]
         if len(self.known) >= self.most:
             self.known, self.before = {}, self.known
         if missing := set().union(*(w for w in split if w)) - self.known.keys():
