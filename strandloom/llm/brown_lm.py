@@ -6,7 +6,7 @@ broadcast) is moved between EXCHANGED classes. In a round one pass counts, for o
 these words, the classes before and after each as a sparse table, and each word of the share
 then takes the class that raises the likelihood of class bigrams most. Rounds go on until a
 sweep over all shares raises the measured likelihood by less than TOLERANCE of its gain over
-independent classes; moves that lower it are undone. Other words (seen once, or beyond HEAD)
+independent classes; moves that lower it are undone, and fewer words move at once from then on. Other words (seen once, or beyond HEAD)
 belong to SUFFIX further classes by their last two characters. A last class is the end of a
 text. Transitions and emissions have SMOOTH added; each class keeps room for one unseen word, so
 probabilities sum to one.
@@ -107,9 +107,11 @@ class _Ids(dict):
         return k
 
 
-def indexed(docs: DataFrame, head) -> DataFrame:
+def indexed(docs: DataFrame, head, least: int) -> DataFrame:
     """row, doc_id, held_out, ids (places in head, beyond them the class of another word; an end
-    at either side), and those other words with their counts."""
+    at either side), and those other words with how often they come up in the text. Where the
+    head has all words but those seen once, other words of a training text are known to have
+    been seen once and are not listed."""
 
     def run(batches):
         hashes, suffixes = head.value, {}
@@ -138,9 +140,10 @@ def indexed(docs: DataFrame, head) -> DataFrame:
                 known = np.concatenate([known, ids_of(numbers.words)])
                 numbers.words = []
             ids, rare, times = [], [], []
-            for words, at in zip(texts, local, strict=True):
+            listed = [least > LEAST or x for x in part["held_out"].to_pylist()]
+            for words, at, told in zip(texts, local, listed, strict=True):
                 seq = known[at]
-                tail = Counter(words[i] for i in np.flatnonzero(seq >= n_head).tolist())
+                tail = Counter(words[i] for i in np.flatnonzero(seq >= n_head).tolist()) if told else {}
                 ids.append(np.concatenate([end, seq, end]).tobytes())
                 rare.append([w.decode() for w in tail])
                 times.append(list(tail.values()))
@@ -277,7 +280,7 @@ class Gains:
                 stay[big] = _xlogx(c) - _xlogx(np.maximum(c - m[big], 0))
             value[np.arange(len(w)), mine] = stay
             at = np.flatnonzero(np.diff(w, prepend=-1))
-            gain = np.add.reduceat(value.astype(float), at)
+            gain = np.add.reduceat(value, at, dtype=float)
             ids = w[at]
             k, every = own[ids], np.arange(len(ids))
             for size, there in zip(self.size, (s < CLASSES, s >= CLASSES), strict=True):
@@ -315,32 +318,40 @@ def moved(sums: DataFrame, cls: np.ndarray, pairs: np.ndarray) -> np.ndarray:
 def exchange(train: DataFrame, counts: np.ndarray, sweeps: int = SWEEPS, shares: int = SHARES) -> tuple[np.ndarray, np.ndarray, list[float]]:
     """Classes of the head's words (then of the suffix classes), class bigram counts, and the
     likelihood after each round. At first the most frequent words have a class each and all
-    others the last one."""
+    others the last one; the first round moves all words, the next ones a share each."""
     cls = np.concatenate([np.full(len(counts), EXCHANGED - 1), np.arange(EXCHANGED, EXCHANGED + SUFFIX)]).astype(np.uint8)
     top = np.argsort(-counts, kind="stable")[: EXCHANGED - 1]
     cls[top] = np.arange(len(top))
-    best, trail = None, []
-    for turn in range(sweeps * shares + 1):
+    best, trail, last = None, [], sweeps * shares + 1
+    k, swept, begun = 0, 0.0, 0.0
+    for turn in range(last + 1):
         handle = train.sparkSession.sparkContext.broadcast(cls)
         name = common.scratch(train.sparkSession, "neighbours")
-        neighbours(train, handle, turn % shares, shares).write.parquet(name)
+        k = (k + 1) % shares
+        neighbours(train, handle, k if turn else 0, shares if turn else 1).write.parquet(name)
         sums = train.sparkSession.read.schema("block int, counts binary").parquet(name)
         first = sums.where("block = -1").first()
         pairs = np.frombuffer(first.counts, np.int64).reshape(CLASSES, CLASSES) if first else np.zeros((CLASSES, CLASSES), np.int64)
-        now = likelihood(pairs)
-        trail.append(now)
-        if best is None or now >= best[0]:
-            best = now, cls, pairs
-            end = turn == sweeps * shares or turn and turn % shares == 0 and now - trail[turn - shares] < TOLERANCE * now
-            if not end:
-                cls = moved(sums, cls, pairs)
-        else:  # undone, and a sweep that lowers it ends the search
-            end = turn >= shares and max(trail[turn - shares + 1 :]) <= trail[turn - shares] * (1 + TOLERANCE)
-            cls = best[1]
+        trail.append(likelihood(pairs))
+        rose = best is None or trail[-1] >= best[0]
+        if rose:
+            best = trail[-1], cls, pairs
+        else:  # undone; fewer words move at once from now on
+            shares = min(64, 2 * shares)
+        if turn == 1:
+            begun = best[0]
+        elif turn > 1:
+            swept += 1 / shares
+        end = turn == last
+        if swept > 0.999:  # a sweep is over
+            end |= best[0] - begun <= TOLERANCE * best[0]
+            swept, begun = 0.0, best[0]
+        # after an undone round the counts are of classes that are given up: they are counted anew
+        cls = moved(sums, cls, pairs) if rose and not end else best[1]
         handle.unpersist()
         common.emptied(sums, name)
         if end:
-            return best[1], best[2], trail
+            break
     return best[1], best[2], trail
 
 
@@ -369,7 +380,7 @@ def fit(docs: DataFrame, held_out, most: int = HEAD) -> Model:
     ends = train.count()
     totals = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     hashes, counts, least = head_of(vocab, most)
-    table = common.written(indexed(docs, docs.sparkSession.sparkContext.broadcast(hashes)), "indexed")
+    table = common.written(indexed(docs, docs.sparkSession.sparkContext.broadcast(hashes), least), "indexed")
     cls, pairs, trail = exchange(table.where("not held_out"), counts)
     return Model(vocab, table, hashes, counts, cls, pairs, least, ends, totals.n + ends, totals.v + (1 if ends else 0), trail)
 
@@ -394,19 +405,21 @@ def scored(model: Model) -> DataFrame:
     base = np.concatenate([np.log10(counts + 1.0), np.zeros(SUFFIX)])
     end_base, per_token = math.log10(ends + 1), math.log10(model.tokens + model.kinds + 1)
     held = model.table.sparkSession.sparkContext.broadcast((cls, trans, emit, base))
+    once = model.least == LEAST  # other words of training texts were seen once
 
     def run(batches):
         of, step, word, single = held.value
         of = _class_of_id(of)
         for batch in batches:
             n, known, b, s = [], [], [], []
-            for x in batch["ids"]:
+            for x, out in zip(batch["ids"], batch["held_out"].to_pylist(), strict=True):
                 ids = np.frombuffer(x.as_buffer(), "<u4")
                 c, ids = of[ids], ids[1:-1]
+                rest = int((ids >= n_head).sum()) if once and not out else 0
                 n.append(len(ids) + 1)
-                known.append(int((ids < n_head).sum()) + (ends > 0))
-                b.append(float(single[ids].sum()) + end_base - per_token * (len(ids) + 1))
-                s.append(float(step[c[:-1], c[1:]].sum() + word[ids].sum()))
+                known.append(int((ids < n_head).sum()) + rest + (ends > 0))
+                b.append(float(single[ids].sum()) + rest * math.log10(2) + end_base - per_token * (len(ids) + 1))
+                s.append(float(step[c[:-1], c[1:]].sum() + word[ids].sum()) + rest * math.log10(1 + SMOOTH))
             yield pa.RecordBatch.from_arrays([batch["row"], batch["doc_id"], batch["held_out"], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(b, pa.float64()), pa.array(s, pa.float64())], ["row", "doc_id", "held_out", "n_tokens", "known", "base", "part"])
 
     own = model.table.select("row", "doc_id", "held_out", "ids").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, part double")

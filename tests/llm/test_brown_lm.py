@@ -88,7 +88,8 @@ def test_scores(docs, most):
 def test_exchange_raises_the_likelihood(docs):
     model = B.fit(docs, held_out())
     trail = model.trail
-    assert B.likelihood(model.pairs) == pytest.approx(max(trail)) and all(b > a for a, b in zip(trail[:4], trail[1:4], strict=False))
+    assert B.likelihood(model.pairs) == pytest.approx(max(trail))  # rounds that lower it are undone
+    assert trail[0] < trail[1] <= max(trail), trail
     of = classes(model)
     groups = [Counter(of(w.encode()) for w in kind) for kind in KINDS]
     assert all(sum((a & b).values()) <= 6 for i, a in enumerate(groups) for b in groups[:i])  # kinds hardly share a class

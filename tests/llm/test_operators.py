@@ -183,17 +183,19 @@ def test_cotraining(spark, docs, empty):
     assert cotraining.classify(empty, labels).count() == 0
 
 
-def test_repeated_windows(docs, empty):
+@pytest.mark.parametrize("most_cells", [repeated_windows.MOST_CELLS, 256])
+def test_repeated_windows(docs, empty, most_cells):
+    """Also where the anchors need several sketches."""
     first, n = {}, repeated_windows.WINDOW
     for i, t in enumerate(TEXTS):
         w = words(t)
         for k in range(len(w) - n + 1):
             first.setdefault(tuple(w[k : k + n]), i)
-    for r in repeated_windows.remove(docs).collect():
+    for r in repeated_windows.remove(docs, most_cells).collect():
         w = words(TEXTS[r.doc_id])
         gone = {j for k in range(len(w) - n + 1) if first[tuple(w[k : k + n])] < r.doc_id for j in range(k, k + n)}
         assert (r.n_words, r.n_removed, r.kept) == (len(w), len(gone), " ".join(x for j, x in enumerate(w) if j not in gone))
-    assert repeated_windows.remove(empty).count() == 0
+    assert repeated_windows.remove(empty, most_cells).count() == 0
 
 
 def test_chunk_bpe(docs, empty):
