@@ -402,3 +402,46 @@ m AS (SELECT c_mktsegment, draw, sum(s) / sum(c) AS m FROM p JOIN s USING (c_mkt
 def cluster_bootstrap(spark, d):
     out = A.cluster_bootstrap(_read("customer")(spark, d), "c_mktsegment", "c_nationkey", "c_acctbal", 200)
     return out.select("c_mktsegment", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query("grid_missing", "{raw}SELECT s_suppkey, t AS threads, f AS flag FROM supplier, unnest([1, 2, 3, 4]) AS a(t), unnest(['A', 'N', 'R']) AS b(f) WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_linenumber = t AND l_returnflag = f AND l_quantity > 40)")
+def grid_missing(spark, d):
+    """Cells of the planned grid without a record (of more than 40 pieces)."""
+    cell = F.explode(F.array(*(F.struct(F.lit(t).alias("threads"), F.lit(f).alias("flag")) for t in (1, 2, 3, 4) for f in "ANR")))
+    grid = _read("supplier")(spark, d).select("s_suppkey", cell.alias("c")).select("s_suppkey", "c.*")
+    seen = _read("lineitem")(spark, d).where("l_quantity > 40").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_linenumber").alias("threads"), F.col("l_returnflag").alias("flag")).distinct()
+    return grid.join(seen, ["s_suppkey", "threads", "flag"], "left_anti")
+
+
+@query("paired_trade_offs", "{raw}WITH v AS (SELECT l_partkey, l_linenumber % 2 AS arm, sum(l_quantity) AS q, count(*) AS n FROM lineitem GROUP BY ALL) SELECT a.l_partkey, a.n AS n0, b.n AS n4, round(b.q / a.q, 9) AS ratio FROM v a JOIN v b ON a.l_partkey = b.l_partkey AND a.arm = 0 AND b.arm = 1")
+def paired_trade_offs(spark, d):
+    """Each case's two trade-offs side by side, from one pass; cases with both."""
+    arm = lambda k, x: F.sum(F.when(F.col("l_linenumber") % 2 == k, x))
+    v = _read("lineitem")(spark, d).groupBy("l_partkey").agg(arm(0, F.lit(1)).alias("n0"), arm(1, F.lit(1)).alias("n4"), arm(0, F.col("l_quantity")).alias("_a"), arm(1, F.col("l_quantity")).alias("_b"))
+    return v.dropna().select("l_partkey", "n0", "n4", F.round(F.col("_b") / F.col("_a"), 9).alias("ratio"))
+
+
+@query("stats_lines", "{raw}WITH s AS (SELECT l_suppkey, count(*) AS direct, count(*) FILTER (l_returnflag = 'R') AS kept, count(*) FILTER (l_linenumber > 6) AS rare FROM lineitem GROUP BY l_suppkey) SELECT l_suppkey, 'direct=' || direct || ' kept=' || kept || ' rare=' || rare AS line, round(coalesce(kept / nullif(direct, 0), 0.0), 9) AS kept_over_direct, round(coalesce(kept / nullif(rare, 0), 0.0), 9) AS kept_over_rare FROM s")
+def stats_lines(spark, d):
+    """Counters as a line, and two ratios that are zero where nothing is counted."""
+    s = _read("lineitem")(spark, d).groupBy("l_suppkey").agg(F.count("*").alias("direct"), F.count_if(F.col("l_returnflag") == "R").alias("kept"), F.count_if(F.col("l_linenumber") > 6).alias("rare"))
+    ratio = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(0.0)), 9)
+    line = F.concat_ws(" ", *(F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in ("direct", "kept", "rare")))
+    return s.select("l_suppkey", line.alias("line"), ratio("kept", "direct").alias("kept_over_direct"), ratio("kept", "rare").alias("kept_over_rare"))
+
+
+@query("panel_clusters", "{raw}SELECT c_custkey, n_name, r_name, n_name IS NOT NULL AND r_name IS NOT NULL AS placed FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def panel_clusters(spark, d):
+    """Panel entries with their clusters; placed where both levels are known."""
+    n = _read("nation")(spark, d).withColumnRenamed("n_nationkey", "c_nationkey")
+    r = _read("region")(spark, d).withColumnRenamed("r_regionkey", "n_regionkey")
+    out = _read("customer")(spark, d).join(n, "c_nationkey", "left").join(r, "n_regionkey", "left")
+    return out.select("c_custkey", "n_name", "r_name", (F.col("n_name").isNotNull() & F.col("r_name").isNotNull()).alias("placed"))
+
+
+@query("metric_summary", "{raw}SELECT event_type, count(value) AS n, count(DISTINCT user_id) AS users, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.999), 6) AS tail FROM events WHERE value > 0 GROUP BY event_type")
+def metric_summary(spark, d):
+    """Counts, distinct users, median and tail of valid values."""
+    rows = _read("events")(spark, d).where("value > 0")
+    q = A.quantiles(rows, ["event_type"], "value", [0.5, 0.999]).groupBy("event_type").agg(F.round(F.max(F.when(F.col("share") == 0.5, F.col("q"))), 6).alias("median"), F.round(F.max(F.when(F.col("share") == 0.999, F.col("q"))), 6).alias("tail"))
+    return rows.groupBy("event_type").agg(F.count("value").alias("n"), F.count_distinct("user_id").alias("users")).join(q, "event_type")
