@@ -26,7 +26,8 @@ counts by hash range, then the exact intersection.
 
 Defined cases: null, empty and blank texts have no shingles and are their own components;
 repeated rows and equal texts share a set and so a component; rows that share a doc_id are one
-document; an empty table gives an empty result; other columns are ignored.
+document; rows without a doc_id have no component and stay; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -378,11 +379,24 @@ class _Verifier:
         return met.where((18 * F.least("rest_x", "rest_y")) >= most).select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"))
 
 
+def _nameless(docs: DataFrame) -> DataFrame:
+    """doc_id, n, rep, c of rows without a doc_id: they are linked with nothing."""
+
+    def run(batches):
+        words = common.WordHashes(SEED)
+        for _, texts in _texts(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([len(shingle_set(t, words)) for t in texts], pa.int64())], ["n"])
+
+    none = F.lit(None).cast("long")
+    rows = docs.where("doc_id is null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "n long")
+    return rows.select(none.alias("doc_id"), "n", none.alias("rep"), none.alias("c"))
+
+
 def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n, rep: the least doc_id with an equal set, c: component of rep), and
     the links between different sets (a, b)."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    spark, nameless = docs.sparkSession, _nameless(docs)
+    docs = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # about one signature for each ten bytes; buckets grow with the input, so none holds more than BUCKET
     buckets = common.tasks_for(spark, size // 10, BUCKET)
@@ -419,7 +433,7 @@ def linked(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     check.check(pairs.union(stars.select("a", "rep")).union(check.sharing(stars, frequent)))
     labels = components(check.links)
     out = every.join(labels.select(F.col("v").alias("rep"), "c"), "rep", "left").select("doc_id", "n", "rep", F.coalesce("c", "rep").alias("c"))
-    return out, check.links
+    return out.unionByName(nameless), check.links
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,8 +23,9 @@ integers, so sums do not depend on the order of rows and are exact to 10**12 row
 
 Defined cases: null text has no words and fails the base rules, as does empty text; null and
 empty language or source are one group each; a group of one or of equal rows is at distance
-zero-ish from its language's middle only; ties and repeated rows each count; an empty table gives
-an empty result; other columns are ignored.
+zero-ish from its language's middle only; ties and repeated rows each count; rows that share a
+doc_id, or have none, are judged each by its own text; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -51,14 +52,19 @@ P = len(FEATURES)
 TARGET = P + 1
 
 
+def _mark() -> Column:
+    """Tells rows that share a doc_id, or have none, apart."""
+    return F.xxhash64("text", "lang", "source")
+
+
 def statistics(docs: DataFrame) -> DataFrame:
-    """docs' doc_id, lang, source with n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, n_capitals, n_lines."""
+    """docs' doc_id, lang, source and _mark (a hash of the row) with n_words, word_chars, n_symbols,
+    n_dup_lines, n_repeat_words, n_capitals, n_lines."""
     text = F.coalesce(F.col("text"), F.lit(""))
     length = lambda drop: F.length(F.translate(text, drop, ""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(common.BLANKS))) > 0)
     one = docs.select(
-        "doc_id", "lang", "source",
+        "doc_id", "lang", "source", _mark().alias("_mark"),
         common.words_of(F.col("text")).alias("_w"),
         length(common.BLANKS).cast("long").alias("word_chars"),
         (F.length(text) - length("#*$%&|<>")).cast("long").alias("n_symbols"),
@@ -67,7 +73,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
     grams = F.transform(F.sequence(F.lit(0), F.size("_w") - WINDOW), lambda i: F.xxhash64(*(F.get("_w", i + k) for k in range(WINDOW))))
     two = one.select(
-        "doc_id", "lang", "source", "word_chars", "n_symbols", "n_capitals",
+        "doc_id", "lang", "source", "_mark", "word_chars", "n_symbols", "n_capitals",
         F.size("_w").cast("long").alias("n_words"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
@@ -203,23 +209,30 @@ def estimates(rows: DataFrame) -> DataFrame:
     return common.written(best.join(reach, "key").select("key", *MODEL, "logdet", "d2_h"), "estimates")
 
 
+COUNTED = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, the statistics, base_failed, distance, kept."""
+    return _judged(docs).drop("_mark")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
     stats = statistics(docs)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
-    counted = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    rows = common.written(stats.select(*counted, failed.alias("base_failed"), *_vector(), F.to_json(F.array(lang, source)).alias("key"), lang.alias("lang")), "statistics")
+    rows = common.written(stats.select(*COUNTED, "_mark", failed.alias("base_failed"), *_vector(), F.to_json(F.array(lang, source)).alias("key"), lang.alias("lang")), "statistics")
     own = estimates(rows.where("not base_failed").select("key", "lang", *(f"x{i}" for i in range(P))))
     scaled = distance() * H_CHI2 / F.greatest(F.col("d2_h"), F.lit(H_CHI2))
     judged = common.keyed(rows, own, "key", "left", 250).withColumn("distance", scaled)
-    return judged.select(*counted, "base_failed", "distance", (~F.col("base_failed") & ~F.coalesce(F.col("distance") > CUTOFF, F.lit(False))).alias("kept"))
+    return judged.select(*COUNTED, "_mark", "base_failed", "distance", (~F.col("base_failed") & ~F.coalesce(F.col("distance") > CUTOFF, F.lit(False))).alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with their columns."""
-    bad = judge(docs).where("not kept").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti")
+    bad = _judged(docs).where("not kept").select(F.col("doc_id").alias("_bad"), F.col("_mark").alias("_own")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", _mark().alias("_mark"))
+    return rows.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")) & (F.col("_mark") == F.col("_own")), "left_anti").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,8 @@ for the spans of one document.
 
 Defined cases: null, empty and blank texts have no words; fewer words than a window: nothing is
 removed; windows repeated inside one document alone stay; rows that share a doc_id are
-judged as one document's text each; an empty table gives an empty result; other columns are
+judged as one document's text each; a row without a doc_id comes before and after no document, so
+nothing of it is removed and it removes nothing; an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -203,7 +204,7 @@ def _passed(segments: DataFrame, cells: int) -> DataFrame:
 
 def covered(docs: DataFrame, most_cells: int = MOST_CELLS) -> DataFrame:
     """doc_id, spans (array of start, stop in words) of what is removed; only where there is some."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     segments = common.written(segment_table(docs), "segments")
     some = repeated(segments, most_cells)
     key = ["anchor", "h1", "h2"]

@@ -204,3 +204,41 @@ def test_partenum(spark, sf_dir):
     got = run(spark, sf_dir, 10)
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(i, len(sets[i]), label[i]) for i in sets}
     assert {r.doc_id for r in got} == set(range(len(TEXTS)))
+
+
+@pytest.fixture(scope="module")
+def nameless(spark, tmp_path_factory):
+    """Rows without ids, and nulls in every other column."""
+    path = str(tmp_path_factory.mktemp("nameless"))
+    rows = [(None, ONE, None, None, None), (None, "tick tock " * 400, "en", "s", 1), (None, None, None, None, None), (7, ONE, None, None, None), (8, ONE, "en", None, None), (8, "other words " + PASSAGE, None, "s", 2), (9, "Token = abcdefghijklmnop", None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(2).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(None, 1, 1), (7, 1, 0), (8, None, None), (9, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(None, None, None, None), (None, 1, "assistant", "x"), (5, None, "assistant", "y")], "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    return path
+
+
+@pytest.mark.parametrize("n", range(1, 11))
+def test_rows_without_ids(spark, nameless, n):
+    got = run(spark, nameless, n)
+    if n == 3:
+        assert {(r.conv_id, r.n_turns, r.loss_chars) for r in got if r.conv_id != -7} == {(None, 2, 1), (5, 1, 1)}
+        return
+    ids = Counter(r.doc_id for r in got)
+    assert set(ids) == {None, 7, 8, 9} and (n == 2 or ids == Counter({None: 3, 7: 1, 8: 2, 9: 1}) or n == 10)
+    if n == 10:
+        assert {(r.doc_id, r.component_id) for r in got} >= {(None, None), (7, 7), (9, 9)}
+    if n == 8:
+        assert all(r.n_removed == 0 for r in got if r.doc_id in (None, 7)) and any(r.n_removed == 300 for r in got if r.doc_id == 8)
+    if n == 6:
+        assert {(r.doc_id, r.keep_id, r.group_size) for r in got if r.group_size > 1} == {(None, 8, 3), (7, 8, 3), (8, 8, 3)}
+    if n == 4:
+        assert len({r.score for r in got if r.doc_id == 8}) == 2
+
+
+def test_stages_keep_and_drop_rows_without_ids(spark, nameless):
+    from strandloom.llm import partenum, quality_rules
+
+    docs = spark.read.parquet(f"{nameless}/documents.parquet")
+    kept = quality_rules.keep_good(docs)
+    assert kept.columns == docs.columns and Counter(len(r.text) for r in kept.collect()) == Counter([len(ONE)] * 3 + [len("other words " + PASSAGE)])
+    assert Counter(r.doc_id for r in partenum.keep_one(docs).collect())[None] == 3
