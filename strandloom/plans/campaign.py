@@ -404,12 +404,12 @@ def cluster_bootstrap(spark, d):
     return out.select("c_mktsegment", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
-@query("grid_missing", "{raw}SELECT s_suppkey, t AS threads, f AS flag FROM supplier, unnest([1, 2, 3, 4]) AS a(t), unnest(['A', 'N', 'R']) AS b(f) WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_linenumber = t AND l_returnflag = f AND l_quantity > 40)")
+@query("grid_missing", "{raw}SELECT s_suppkey, t AS threads, f AS flag FROM supplier, unnest([1, 2, 3, 4]) AS a(t), unnest(['A', 'N', 'R']) AS b(f) WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = s_suppkey AND l_linenumber = t AND l_returnflag = f AND l_quantity > 49)")
 def grid_missing(spark, d):
-    """Cells of the planned grid without a record (of more than 40 pieces)."""
+    """Cells of the planned grid without a record (of more than 49 pieces)."""
     cell = F.explode(F.array(*(F.struct(F.lit(t).alias("threads"), F.lit(f).alias("flag")) for t in (1, 2, 3, 4) for f in "ANR")))
     grid = _read("supplier")(spark, d).select("s_suppkey", cell.alias("c")).select("s_suppkey", "c.*")
-    seen = _read("lineitem")(spark, d).where("l_quantity > 40").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_linenumber").alias("threads"), F.col("l_returnflag").alias("flag")).distinct()
+    seen = _read("lineitem")(spark, d).where("l_quantity > 49").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_linenumber").alias("threads"), F.col("l_returnflag").alias("flag")).distinct()
     return grid.join(seen, ["s_suppkey", "threads", "flag"], "left_anti")
 
 
