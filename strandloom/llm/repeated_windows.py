@@ -100,6 +100,9 @@ def _batches(batches: Iterator[pa.RecordBatch], step: int = 256):
             yield part, [t.split() for t in part["text"].cast(pa.binary()).to_pylist()]
 
 
+SEGMENT = "anchor long, h1 long, h2 long, doc_id long, start long, n long"
+
+
 def segment_table(docs: DataFrame) -> DataFrame:
     """anchor, h1, h2, doc_id, start, n of every segment."""
 
@@ -115,7 +118,7 @@ def segment_table(docs: DataFrame) -> DataFrame:
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], ["anchor", "h1", "h2", "doc_id", "start", "n"])
 
-    return docs.mapInArrow(run, "anchor long, h1 long, h2 long, doc_id long, start long, n long")
+    return docs.mapInArrow(run, SEGMENT)
 
 
 def _cells(anchor: np.ndarray, row: int, cells: int) -> np.ndarray:
@@ -173,11 +176,11 @@ def repeated(segments: DataFrame, most_cells: int) -> DataFrame:
         return common.written(_passed(segments, cells), "repeated")
     dealt = common.scratch(segments.sparkSession, "ranges")
     segments.withColumn("_range", F.pmod(F.xxhash64("anchor"), F.lit(ranges)).cast("int")).write.partitionBy("_range").parquet(dealt)
-    dealt = segments.sparkSession.read.schema(segments.schema.add("_range", "int")).parquet(dealt)
+    dealt = segments.sparkSession.read.schema(f"{SEGMENT}, _range int").parquet(dealt)
     path = common.scratch(segments.sparkSession, "repeated")
     for k in range(ranges):
         _passed(dealt.where(F.col("_range") == k).select(*segments.columns), cells).write.mode("append").parquet(path)
-    return segments.sparkSession.read.schema(segments.schema).parquet(path)
+    return segments.sparkSession.read.schema(SEGMENT).parquet(path)
 
 
 def _passed(segments: DataFrame, cells: int) -> DataFrame:
@@ -199,7 +202,7 @@ def _passed(segments: DataFrame, cells: int) -> DataFrame:
                     ok[mine] &= (b[x >> 3] >> (x & 7).astype(np.uint8) & 1).astype(bool) if b is not None else False
             yield batch.filter(pa.array(ok))
 
-    return segments.mapInArrow(run, segments.schema)
+    return segments.mapInArrow(run, SEGMENT)
 
 
 def covered(docs: DataFrame, most_cells: int = MOST_CELLS) -> DataFrame:
