@@ -53,6 +53,9 @@ def nothing(spark, sf_dir, tmp_path_factory):
     return path
 
 
+QUERIES = [int(q[2:].split("_")[0]) for q in registry.QUERIES]
+
+
 def run(spark, d, n):
     name = next(q for q in registry.QUERIES if q.startswith(f"op{n}_"))
     return registry.QUERIES[name](spark, d).collect()
@@ -70,7 +73,7 @@ def sha(x):
     return hashlib.sha256(x.encode() if isinstance(x, str) else x).hexdigest()
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", QUERIES)
 def test_empty_tables(spark, nothing, n):
     assert len(run(spark, nothing, n)) == (1 if n == 3 else 0)  # op3 has its own conversation
 
@@ -206,6 +209,41 @@ def test_partenum(spark, sf_dir):
     assert {r.doc_id for r in got} == set(range(len(TEXTS)))
 
 
+def cut(i, t):
+    """n, form, prefix_chars, middle_chars and output of a text, by Python alone."""
+    h = [int(sha(f"1:{i}")[8 * k : 8 * k + 8], 16) for k in range(4)]
+    units = re.findall("[A-Za-z]+|[^A-Za-z]", t)
+    a, b = sorted(x % (len(units) + 1) for x in h[:2])
+    p, m, s = ("".join(x) for x in (units[:a], units[a:b], units[b:]))
+    if not t or any(x in t for x in ("<P>", "<S>", "<M>")) or h[2] % 100 >= 90:
+        return len(units), "plain", None, None, t
+    spm = h[3] % 100 < 20
+    return len(units), "spm" if spm else "psm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}" if spm else f"<P>{p}<S>{s}<M>{m}"
+
+
+def test_fill_in_middle(spark, sf_dir):
+    got = run(spark, sf_dir, 12)
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in ROWS)
+    for r in got:
+        t = TEXTS[r.doc_id] or ""
+        n, form, p, m, out = cut(r.doc_id, t)
+        assert (r.n, r.form, r.prefix_chars, r.middle_chars, r.output_sha256, r.restored_sha256) == (n, form, p, m, sha(out), sha(t))
+    assert {r.form for r in got} == {"plain", "psm", "spm"}
+
+
+def test_fill_in_middle_sentinels_at_borders(spark):
+    """Texts made of pieces of sentinels, whole sentinels among them, in every order."""
+    from strandloom.llm import fill_in_middle as fim
+
+    texts = ["".join(RNG.choice(["<", "P", ">", "S", "M", "<P", "S>", "a\n", "é", "<M>"], 9, p=[0.16] * 3 + [0.08] * 6 + [0.04])) for _ in range(400)]
+    docs = spark.createDataFrame([(i, t, "x", "y", 7) for i, t in enumerate(texts)], "doc_id long, text string, row string, made string, n int")
+    made = fim.arrange(docs)
+    assert made.columns == ["doc_id", "text", "row", "made", *fim.ADDED]
+    got = made.withColumn("again", fim.restored(made["form"], made["output"])).collect()
+    assert all(r.again == r.text and r.row == "x" and (r.n, r.form, r.prefix_chars, r.middle_chars, r.output) == cut(r.doc_id, r.text) for r in got)
+    assert {r.form for r in got} == {"plain", "psm", "spm"}
+
+
 @pytest.fixture(scope="module")
 def nameless(spark, tmp_path_factory):
     """Rows without ids, and nulls in every other column."""
@@ -217,7 +255,7 @@ def nameless(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("n", range(1, 11))
+@pytest.mark.parametrize("n", QUERIES)
 def test_rows_without_ids(spark, nameless, n):
     got = run(spark, nameless, n)
     if n == 3:
