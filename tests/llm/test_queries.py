@@ -244,6 +244,41 @@ def test_fill_in_middle_sentinels_at_borders(spark):
     assert {r.form for r in got} == {"plain", "psm", "spm"}
 
 
+def audited(rows, least=3, last=200):
+    """Rows of the audit of (lang, source, text), by Python alone."""
+    counts, docs, groups = defaultdict(Counter), defaultdict(Counter), sorted({(a or "", b or "") for a, b, _ in rows})
+    for lang, source, text in rows:
+        own = re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", lower(text or ""))
+        counts[lang or "", source or ""].update(own)
+        docs[lang or ""].update(set(own))
+    out = []
+    for lang in sorted({a for a, _ in groups}):
+        kept = [t for t, n in docs[lang].items() if n >= least]
+        whole = sum((counts[g] for g in groups if g[0] == lang), Counter())
+        share = lambda c: (lambda n: {t: 1 + 10**9 * (c[t] + 1) // (n + len(kept)) for t in kept})(sum(c[t] for t in kept))
+        p, q, f = {b: share(counts[lang, b]) for a, b in groups if a == lang}, share(whole), lambda x, y: (x - y) ** 2 // y
+        for b in p:
+            pair = sorted((-sum(f(p[b][t], p[c][t]) for t in kept), c.encode()) for c in p if c != b)
+            term = sorted((-f(p[b][t], q[t]), t.encode()) for t in kept if counts[lang, b][t] and p[b][t] > q[t])[:last]
+            out += [(lang, b, part, i.decode(), -v, k + 1) for part, x in (("pair", pair), ("term", term)) for k, (v, i) in enumerate(x)]
+    return Counter(out)
+
+
+def test_divergence_audit(spark, sf_dir, monkeypatch):
+    from strandloom.llm import common, divergence_audit
+
+    own = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "source", "text").collect()
+    assert Counter(map(tuple, run(spark, sf_dir, 13))) == audited(own)
+    # many sources, ties, a language without kept terms, small shards and tasks, no broadcast
+    rows = [(("a", "b", None)[i % 3], f"s{i % 13}", " ".join(RNG.choice(["Ab", "ab", "b-c", "d1d", "é", "Z", "z", "'q"], 1 + i % 40))) for i in range(400)]
+    rows += [("lone", "x", "one two"), ("none", "x", "one one"), ("none", "y", None), ("a", "empty", ""), ("a", None, "7 + 8"), ("b", "new", "only here once, ab")]
+    monkeypatch.setattr(divergence_audit, "ROWS", 50)
+    monkeypatch.setattr(divergence_audit, "ENTRIES", 20)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    got = divergence_audit.audit(spark.createDataFrame(rows, "lang string, source string, text string").repartition(5), least_docs=2, last_rank=3)
+    assert Counter(map(tuple, got.collect())) == audited(rows, 2, 3)
+
+
 @pytest.fixture(scope="module")
 def nameless(spark, tmp_path_factory):
     """Rows without ids, and nulls in every other column."""
@@ -261,6 +296,9 @@ def test_rows_without_ids(spark, nameless, n):
     if n == 3:
         assert {(r.conv_id, r.n_turns, r.loss_chars) for r in got if r.conv_id != -7} == {(None, 2, 1), (5, 1, 1)}
         return
+    if n == 13:
+        assert {r.lang for r in got} == {"", "en"} and {r.source for r in got if r.lang == "en"} == {"", "s"}
+        return
     ids = Counter(r.doc_id for r in got)
     assert set(ids) == {None, 7, 8, 9} and (n == 2 or ids == Counter({None: 3, 7: 1, 8: 2, 9: 1}) or n == 10)
     if n == 10:
