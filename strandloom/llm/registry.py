@@ -1,6 +1,6 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import brown_lm, chat_events, chunk_bpe, cotraining, divergence_audit, exact_dedup, fill_in_middle, packing, partenum, quality_rules, repeated_windows, secret_ledger
+from . import brown_lm, chat_events, chunk_bpe, cotraining, divergence_audit, exact_dedup, fill_in_middle, license_scan, packing, partenum, quality_rules, repeated_windows, secret_ledger
 
 QUERIES = {
     "op1_quality_rules": quality_rules.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_repeated_windows": repeated_windows.query,
     "op9_chunk_bpe": chunk_bpe.query,
     "op10_partenum": partenum.query,
+    "op11_license_scan": license_scan.query,
     "op12_fill_in_middle": fill_in_middle.query,
     "op13_divergence_audit": divergence_audit.query,
 }
