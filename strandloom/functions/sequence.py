@@ -28,6 +28,19 @@ def protein(text: Column) -> Column:
     return F.upper(F.regexp_replace(text, "[^A-Za-z]|[BJOUXZbjouxz]", ""))
 
 
+def once(value: Column, use) -> Column:
+    """use(value) with value worked out a single time, however often use reads it: no step of the
+    optimiser copies an expression into a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def counted(x: Column, letters, use) -> Column:
+    """use(x, counts) with x and the count of each of some letters in it worked out once a row."""
+    letters = list(letters)
+    counts = lambda s: F.struct(*(times(s, a).alias(f"n{i}") for i, a in enumerate(letters)))
+    return once(x, lambda s: once(counts(s), lambda c: use(s, {a: c[f"n{i}"] for i, a in enumerate(letters)})))
+
+
 def times(x: Column, letter: str) -> Column:
     """How often a letter occurs in x."""
     return F.length(x) - F.length(F.replace(x, F.lit(letter), F.lit("")))

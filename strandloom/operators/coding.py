@@ -33,14 +33,19 @@ def _id(df: DataFrame) -> str:
     return f"protein_id {df.schema['protein_id'].dataType.simpleString()}"
 
 
-def _total(seq: Column, of: dict[str, float]) -> Column:
-    """Sum over the residues of seq of what of has for each."""
-    return sum((S.times(seq, a) * F.lit(float(v)) for a, v in of.items()), F.lit(0.0))
+def _total(counts: dict[str, Column], of: dict[str, float]) -> Column:
+    """Sum over counted residues of what of has for each."""
+    return sum((counts[a] * F.lit(float(v)) for a, v in of.items()), F.lit(0.0))
 
 
-def _known(seq: Column, of: dict) -> Column:
-    """How many residues of seq are in of."""
-    return sum((S.times(seq, a) for a in of), F.lit(0))
+def _figures(proteins: DataFrame, aas, use, wanted=lambda f: f["known"] > 0) -> DataFrame:
+    """protein_id and the columns that use(seq, counts) gives by name, for proteins with a residue
+    of aas (or else wanted by their figures). A row's sequence is worked out once and each letter
+    counted once; the rows are chosen by a generator, below which no filter is pushed."""
+    known = lambda n: sum(n.values(), F.lit(0)).cast("long")
+    row = S.counted(F.col("seq"), aas, lambda s, n: F.struct(known(n).alias("known"), F.length(s).cast("long").alias("size"), *(v.alias(k) for k, v in use(s, n).items())))
+    made = proteins.select("protein_id", F.explode(F.filter(F.array(row), lambda f: F.coalesce(wanted(f), F.lit(False)))).alias("f"))
+    return made.select("protein_id", "f.*").drop("known", "size")
 
 
 def best_cds(proteins: DataFrame, weighted: DataFrame) -> DataFrame:
@@ -48,15 +53,13 @@ def best_cds(proteins: DataFrame, weighted: DataFrame) -> DataFrame:
     one piece, whatever its length; the codon table has at most 64 rows."""
     best = best_codons(weighted).collect()
     codon, cost = {r.aa: r.codon for r in best}, {r.aa: r.cost for r in best}
-    seq = F.col("seq")
-    return proteins.where(_known(seq, codon) > 0).select("protein_id", S.spelled(seq, codon).alias("cds"), _total(seq, cost).alias("penalty"))
+    return _figures(proteins, codon, lambda s, n: {"cds": S.spelled(s, codon), "penalty": _total(n, cost)})
 
 
 def least_cost(proteins: DataFrame, weighted: DataFrame) -> DataFrame:
     """protein_id, cost, n: the least codon cost and the number of residues."""
     cost = {r.aa: r.cost for r in best_codons(weighted).collect()}
-    seq = F.col("seq")
-    return proteins.select("protein_id", _total(seq, cost).alias("cost"), _known(seq, cost).cast("long").alias("n")).where("n > 0")
+    return _figures(proteins, cost, lambda s, n: {"cost": _total(n, cost), "n": sum(n.values(), F.lit(0)).cast("long")})
 
 
 def unknown_residues(proteins: DataFrame, table: DataFrame) -> DataFrame:
@@ -64,8 +67,9 @@ def unknown_residues(proteins: DataFrame, table: DataFrame) -> DataFrame:
     table, and the first of them. Proteins with any are to be kept apart, or are an error:
     records.demanded(..., unknown == 0, "unknown residue")."""
     aas = "".join(f"\\{r.aa}" if r.aa == "*" else r.aa for r in table.select("aa").distinct().collect())  # at most 64
-    odd = F.regexp_replace("seq", f"[{aas}]", "")
-    return proteins.where("seq is not null").select("protein_id", F.length(odd).cast("long").alias("unknown"), F.when(F.length(odd) > 0, F.substring(odd, 1, 1)).alias("first_unknown"))
+    found = lambda o: F.struct(F.length(o).cast("long").alias("unknown"), F.when(F.length(o) > 0, F.substring(o, 1, 1)).alias("first_unknown"))
+    odd = S.once(F.regexp_replace("seq", f"[{aas}]", ""), found)
+    return proteins.select("protein_id", F.explode(F.filter(F.array(odd), lambda f: f["unknown"].isNotNull())).alias("f")).select("protein_id", "f.*")
 
 
 def codon_penalty(sequences: DataFrame, weighted: DataFrame) -> DataFrame:
@@ -156,7 +160,7 @@ def motif_product(proteins: DataFrame, weighted: DataFrame, motifs: DataFrame) -
 def first_cds(proteins: DataFrame, table: DataFrame) -> DataFrame:
     """protein_id, cds: the first coding sequence of each protein by name."""
     codon = {r.aa: r.codon for r in table.groupBy("aa").agg(F.min("codon").alias("codon")).collect()}
-    return proteins.where(_known(F.col("seq"), codon) > 0).select("protein_id", S.spelled(F.col("seq"), codon).alias("cds"))
+    return _figures(proteins, codon, lambda s, n: {"cds": S.spelled(s, codon)})
 
 
 def spellings(proteins: DataFrame, weighted: DataFrame) -> DataFrame:
@@ -165,10 +169,9 @@ def spellings(proteins: DataFrame, weighted: DataFrame) -> DataFrame:
     penalties' bounds are sums. A protein with a residue that has no codon has no sequence."""
     rows = weighted.groupBy("aa").agg(F.count("*").alias("n"), F.min("codon").alias("codon"), F.min("neg_log_w").alias("least"), F.max("neg_log_w").alias("most")).collect()
     of = lambda k: {r.aa: r[k] for r in rows}
-    seq = F.col("seq")
-    whole = proteins.where((F.length(seq) > 0) & (_known(seq, of("n")) == F.length(seq)))
-    n = _total(seq, {a: float(np.log10(k)) for a, k in of("n").items()})
-    return whole.select("protein_id", n.alias("log10_n"), S.spelled(seq, of("codon")).alias("first_cds"), _total(seq, of("least")).alias("least"), _total(seq, of("most")).alias("most"))
+    choices = {a: float(np.log10(k)) for a, k in of("n").items()}
+    figures = lambda s, n: {"log10_n": _total(n, choices), "first_cds": S.spelled(s, of("codon")), "least": _total(n, of("least")), "most": _total(n, of("most"))}
+    return _figures(proteins, choices, figures, lambda f: (f["size"] > 0) & (f["known"] == f["size"]))
 
 
 def enumerated(proteins: DataFrame, weighted: DataFrame, longest: int) -> DataFrame:
@@ -266,24 +269,37 @@ def lattice_shape(proteins: DataFrame, table: DataFrame) -> DataFrame:
     """protein_id, nodes, widest: the number of nodes and the most at one position."""
     of = _prefixes(table)
     widest = {a: max(sum(k == i for k, _ in nodes) for i in range(3)) for a, nodes in of.items()}
-    seq = F.col("seq")
-    nodes = sum((S.times(seq, a).cast("long") * len(n) for a, n in of.items()), F.lit(1))
-    most = F.greatest(F.lit(1), F.lit(1), *(F.when(seq.contains(a), n).otherwise(1) for a, n in widest.items()))
-    return proteins.where(F.length(seq) > 0).select("protein_id", nodes.cast("long").alias("nodes"), most.cast("long").alias("widest"))
+    nodes = lambda n: sum((n[a].cast("long") * len(x) for a, x in of.items()), F.lit(1)).cast("long")
+    most = lambda n: F.greatest(F.lit(1), F.lit(1), *(F.when(n[a] > 0, x).otherwise(1) for a, x in widest.items())).cast("long")
+    return _figures(proteins, of, lambda s, n: {"nodes": nodes(n), "widest": most(n)}, lambda f: f["size"] > 0)
 
 
-def lattice_edges(proteins: DataFrame, weighted: DataFrame) -> DataFrame:
-    """protein_id, src_pos, src, dst, nuc, weight: each edge reads one nucleotide; the third
-    carries the codon's cost. src and dst are prefixes, empty at a residue's boundary."""
+def _edges(weighted: DataFrame) -> DataFrame:
+    """aa, k, src, dst, nuc, weight: the edges of each residue, at most 192 rows."""
     codon = weighted.select("aa", "codon", "neg_log_w", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("k"))
-    step = codon.select(
+    return codon.select(
         "aa", "k",
         F.substring("codon", F.lit(1), F.col("k")).alias("src"),
         F.when(F.col("k") < 2, F.substring("codon", F.lit(1), F.col("k") + 1)).otherwise(F.lit("")).alias("dst"),
         F.substring("codon", F.col("k") + 1, F.lit(1)).alias("nuc"),
         F.when(F.col("k") == 2, F.col("neg_log_w")).otherwise(F.lit(0.0)).alias("weight"),
     ).groupBy("aa", "k", "src", "dst", "nuc").agg(F.min("weight").alias("weight"))
-    return residues(proteins).join(F.broadcast(step), "aa").select("protein_id", (F.col("pos") * 3 + F.col("k")).alias("src_pos"), "src", "dst", "nuc", "weight")
+
+
+def lattice_edges(proteins: DataFrame, weighted: DataFrame) -> DataFrame:
+    """protein_id, src_pos, src, dst, nuc, weight: each edge reads one nucleotide; the third
+    carries the codon's cost. src and dst are prefixes, empty at a residue's boundary."""
+    return residues(proteins).join(F.broadcast(_edges(weighted)), "aa").select("protein_id", (F.col("pos") * 3 + F.col("k")).alias("src_pos"), "src", "dst", "nuc", "weight")
+
+
+def lattice_edge_sums(proteins: DataFrame, weighted: DataFrame) -> DataFrame:
+    """protein_id, src, nuc, n, places, weight: sums over lattice_edges. A residue's edges are the
+    same wherever it stands, so residues are counted and their places added up by protein and
+    letter (before the shuffle) and only those sums meet the edges."""
+    by = residues(proteins).groupBy("protein_id", "aa").agg(F.count("*").alias("many"), F.sum("pos").alias("places"))
+    edge = _edges(weighted).groupBy("aa", "src", "nuc").agg(F.count("*").alias("edges"), F.sum("k").alias("k"), F.sum("weight").alias("weight"))
+    met = by.join(F.broadcast(edge), "aa").groupBy("protein_id", "src", "nuc")
+    return met.agg(F.sum(F.col("many") * F.col("edges")).alias("n"), F.sum(F.col("places") * 3 * F.col("edges") + F.col("many") * F.col("k")).alias("places"), F.sum(F.col("many") * F.col("weight")).alias("weight"))
 
 
 def motif_transitions(motifs: DataFrame) -> DataFrame:

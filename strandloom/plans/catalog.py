@@ -141,8 +141,7 @@ def lattice_edges(spark, proteins):
 SELECT protein_id, src, nuc, count(*) AS n, sum(pos * 3 + k)::BIGINT AS places, round(sum(weight), 6) AS weight FROM residue JOIN step USING (aa) GROUP BY protein_id, src, nuc""")
 def lattice_edge_sums(spark, proteins):
     """Sums of the edges' places and weights for each protein, prefix and nucleotide."""
-    e = C.lattice_edges(proteins, C.weights(_table(spark)))
-    return e.groupBy("protein_id", "src", "nuc").agg(F.count("*").alias("n"), F.sum("src_pos").cast("long").alias("places"), F.round(F.sum("weight"), 6).alias("weight"))
+    return C.lattice_edge_sums(proteins, C.weights(_table(spark))).withColumn("weight", F.round("weight", 6))
 
 
 _MOTIFS = ", ".join(f"('{m.replace('T', 'U')}')" for m in MOTIFS)
