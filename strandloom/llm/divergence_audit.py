@@ -38,8 +38,9 @@ from . import common
 
 #: Fixed: the least documents of a kept term, the unit of shares, the last rank of terms.
 LEAST_DOCS, UNIT, LAST_RANK = 3, 1_000_000_000, 200
-#: Rows of a shard, entries a task counts before it hands them on, DuckDB's memory.
-ROWS, ENTRIES, MEMORY = 1 << 18, 1 << 18, "256MB"
+#: Rows of a shard, entries a task counts before it hands them on, DuckDB's memory, tasks in which
+#: a group's leading terms are ranked before they meet.
+ROWS, ENTRIES, MEMORY, HEAPS = 1 << 18, 1 << 18, "256MB", 16
 #: A-Z lower-cased; other bytes that no term holds become blanks. Bytes above 127 belong to terms.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 
@@ -173,9 +174,12 @@ def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, last_rank: int = LAST_R
     lacked = lacked.withColumn("value", F.col("many") * (f("z", "item_p") - f("z", "item_z")))
     pair = base.select(*sums).unionAll(lacks.select(*sums)).unionAll(lacked.select(*sums)).unionAll(parts.where("part = 'both'").select(*sums))
     pair = pair.groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).withColumn("part", F.lit("pair"))
-    rows = pair.unionByName(parts.where("part = 'term'").select("part", *sums)).withColumn("value", F.col("value").cast("long"))
-    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")))
-    return ranked.where((F.col("part") == "pair") | (F.col("rank") <= last_rank)).select("lang", "source", "part", "item", "value", "rank")
+    rank = lambda *by: F.row_number().over(W.partitionBy("lang", "source", *by).orderBy(F.desc("value"), "item"))
+    # a group's leading terms of all shards meet in several tasks first, whose leaders meet in one
+    lead = parts.where("part = 'term'").withColumn("heap", F.pmod(F.xxhash64("item"), F.lit(HEAPS))).withColumn("rank", rank("heap")).where(F.col("rank") <= last_rank)
+    lead = lead.withColumn("rank", rank()).where(F.col("rank") <= last_rank)
+    out = ["lang", "source", "part", "item", F.col("value").cast("long").alias("value"), "rank"]
+    return pair.withColumn("rank", rank()).select(*out).unionAll(lead.select(*out))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
