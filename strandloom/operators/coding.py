@@ -87,76 +87,6 @@ def fixed_path(sequences: DataFrame) -> DataFrame:
     return sequences.select("protein_id", F.posexplode(F.filter(F.split("rna", ""), lambda c: c != "")).alias("pos", "nuc")).withColumn("weight", F.lit(0.0))
 
 
-class _Product:
-    """A codon lattice walked together with a motif automaton, residue by residue: what follows a
-    residue depends on the automaton's states at its start alone, and is worked out once."""
-
-    def __init__(self, codons: dict[str, list[tuple[str, float]]], steps: dict[tuple[str, str], str]):
-        self.codons, self.steps, self.known = codons, steps, {}
-        self.states = sorted({s for s, _ in steps} | {""}, key=lambda s: (len(s), s))
-        self.costs: dict[str, np.ndarray] = {}
-
-    def after(self, aa: str, states: frozenset) -> tuple[frozenset, int, int]:
-        """States at the residue's end, and the product's nodes and edges that it adds."""
-        if (aa, states) not in self.known:
-            nodes, layer, edges = 0, {("", s) for s in states}, 0
-            for k in range(3):
-                nodes += len(layer)
-                met = {((c[: k + 1] if k < 2 else ""), c[k], p, s, t) for p, s in layer for c, _ in self.codons.get(aa, ()) if c.startswith(p) and (t := self.steps.get((s, c[k]))) is not None}
-                edges += len({(p, s, n, q, t) for q, n, p, s, t in met})
-                layer = {(q, t) for q, _, _, _, t in met}
-            self.known[aa, states] = frozenset(t for _, t in layer), nodes, edges
-        return self.known[aa, states]
-
-    def shape(self, seq: str) -> tuple[int, int, bool]:
-        """Nodes and edges of the product; all accepting nodes of the end are one. Dead ends stay."""
-        states, nodes, edges = frozenset({""}), 0, 0
-        for aa in seq:
-            states, n, e = self.after(aa, states)
-            nodes, edges = nodes + n, edges + e
-        return nodes + bool(states), edges, bool(states)
-
-    def cost(self, seq: str) -> float:
-        """The least codon cost without a motif; infinite if there is none."""
-        v = np.where([s == "" for s in self.states], 0.0, np.inf)
-        for aa in seq:
-            if aa not in self.costs:
-                m = np.full((len(self.states),) * 2, np.inf)
-                for i, s in enumerate(self.states):
-                    for c, w in self.codons.get(aa, ()):
-                        t = s
-                        for n in c:
-                            t = self.steps.get((t, n)) if t is not None else None
-                        if t is not None:
-                            j = self.states.index(t)
-                            m[i, j] = min(m[i, j], w)
-                self.costs[aa] = m
-            v = (v[:, None] + self.costs[aa]).min(0)
-        return float(v.min())
-
-
-def motif_product(proteins: DataFrame, weighted: DataFrame, motifs: DataFrame) -> DataFrame:
-    """protein_id, nodes, edges, feasible, cost: the lattice of each protein with all coding
-    sequences that hold none of the motifs (a set of a few short ones), and the least cost of
-    these (null if there are none)."""
-    codons: dict[str, list] = {}
-    for r in weighted.select("aa", "codon", "neg_log_w").collect():  # at most 64 rows
-        codons.setdefault(r.aa, []).append((r.codon, r.neg_log_w))
-    steps = {(r.state, r.nuc): r.next_state for r in motif_transitions(motifs).collect()}  # the letters of a motif set times four
-
-    def run(batches):
-        product = _Product(codons, steps)
-        for batch in batches:
-            seqs = batch["seq"].to_pylist()
-            keep = [i for i, s in enumerate(seqs) if s]
-            shapes = [product.shape(seqs[i]) for i in keep]
-            costs = [product.cost(seqs[i]) if x[2] else None for i, x in zip(keep, shapes, strict=True)]
-            nodes, edges, ok = zip(*shapes, strict=True) if shapes else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch["protein_id"].take(pa.array(keep, pa.int64())), pa.array(nodes, pa.int64()), pa.array(edges, pa.int64()), pa.array(ok, pa.bool_()), pa.array(costs, pa.float64())], ["protein_id", "nodes", "edges", "feasible", "cost"])
-
-    return proteins.select("protein_id", "seq").mapInArrow(run, f"{_id(proteins)}, nodes long, edges long, feasible boolean, cost double")
-
-
 def first_cds(proteins: DataFrame, table: DataFrame) -> DataFrame:
     """protein_id, cds: the first coding sequence of each protein by name."""
     codon = {r.aa: r.codon for r in table.groupBy("aa").agg(F.min("codon").alias("codon")).collect()}

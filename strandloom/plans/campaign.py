@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..operators import analytics as A
 from ..operators import coding as C
+from ..operators import motif_free as M
 from ..operators import records as R
 from ..operators import structures as T
 from ..sources import readers
-from .catalog import MOTIFS, _proteins, _read, _table, query
+from .catalog import MOTIFS, SQL, _proteins, _read, _table, query
 
 _nth = lambda key, *values: F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (F.col(key) % len(values) + 1).cast("int"))
 
@@ -148,13 +149,49 @@ def fixed_path_lattice(spark, d):
 
 def _product(spark, d):
     motifs = spark.createDataFrame([("all", m) for m in MOTIFS], "motifset_id string, motif string")
-    return C.motif_product(_proteins(spark, d), C.weights(_table(spark)), motifs)
+    return M.motif_product(_proteins(spark, d), C.weights(_table(spark)), motifs)
 
 
 @query("motif_product")
 def motif_product(spark, d):
     """Shape and least cost of every whole protein's lattice without the motifs."""
-    return _product(spark, d).select("protein_id", "nodes", "edges", "feasible", F.round("cost", 6).alias("cost"))
+    return _product(spark, d).withColumn("cost", F.round("cost", 6))
+
+
+_RESIDUES = "upper(regexp_replace(p_name, '[^A-Za-z]|[BJOUXZbjouxz]', '', 'g'))"
+
+
+@query("motif_free_names", f""", motif(motif) AS (VALUES {", ".join(f"('{m.replace('T', 'U')}')" for m in MOTIFS)}),
+state AS (SELECT DISTINCT substr(motif, 1, n::INT) AS state FROM motif, unnest(range(0, length(motif))) AS t(n)),
+reads AS (SELECT state, nuc, state || nuc AS r FROM state, (VALUES ('A'), ('C'), ('G'), ('U')) AS n(nuc)),
+allowed AS (SELECT * FROM reads WHERE NOT EXISTS (SELECT 1 FROM motif WHERE ends_with(reads.r, motif))),
+step AS (SELECT allowed.state AS state, nuc, arg_max(s.state, length(s.state)) AS later FROM allowed JOIN state s ON ends_with(allowed.r, s.state) GROUP BY allowed.state, nuc),
+name AS (SELECT DISTINCT {_RESIDUES} AS seq FROM part WHERE length({_RESIDUES}) > 0),
+walk(seq, i, k, p, s) AS (SELECT seq, 0, 0, '', '' FROM name UNION
+  SELECT seq, CASE WHEN k = 2 THEN i + 1 ELSE i END, (k + 1) % 3, CASE WHEN k < 2 THEN substr(codon, 1, k + 1) ELSE '' END, later
+  FROM walk JOIN codon ON aa = substr(seq, i + 1, 1) AND starts_with(codon, p) JOIN step ON state = s AND nuc = substr(codon, k + 1, 1) WHERE i < length(seq)),
+edge AS (SELECT DISTINCT seq, i, k, p, s, nuc, CASE WHEN k < 2 THEN substr(codon, 1, k + 1) ELSE '' END AS q, later
+  FROM walk JOIN codon ON aa = substr(seq, i + 1, 1) AND starts_with(codon, p) JOIN step ON state = s AND nuc = substr(codon, k + 1, 1) WHERE i < length(seq)),
+path(seq, i, s, cost) AS (SELECT seq, 0, '', 0.0::DOUBLE FROM name UNION
+  SELECT seq, i + 1, c.later, round(cost + neg_log_w, 9) FROM path JOIN weight ON aa = substr(seq, i + 1, 1)
+  JOIN step a ON a.state = s AND a.nuc = substr(codon, 1, 1) JOIN step b ON b.state = a.later AND b.nuc = substr(codon, 2, 1) JOIN step c ON c.state = b.later AND c.nuc = substr(codon, 3, 1)),
+least AS (SELECT seq, min(cost) AS cost FROM path WHERE i = length(seq) GROUP BY seq),
+shape AS (SELECT seq, count(*) FILTER (i < length(seq)) + max((i = length(seq))::INT) AS nodes FROM walk GROUP BY seq),
+edges AS (SELECT seq, count(*) AS edges FROM edge GROUP BY seq)
+SELECT p_partkey, nodes::BIGINT AS nodes, coalesce(edges, 0) AS edges, cost IS NOT NULL AS feasible, round(cost, 6) AS cost, round(cost, 6) AS penalty, CASE WHEN cost IS NOT NULL THEN seq END AS protein, CASE WHEN cost IS NOT NULL THEN true END AS clean
+FROM (SELECT p_partkey, {_RESIDUES} AS seq FROM part) JOIN shape USING (seq) LEFT JOIN edges USING (seq) LEFT JOIN least USING (seq)""")
+def motif_free_names(spark, d):
+    """The parts' names as proteins: shape and least cost without the motifs, and of the sequence
+    found its penalty, what it translates to, and whether it has no motif."""
+    parts = _read("part")(spark, d).select(F.col("p_partkey").alias("protein_id"), S.protein(F.col("p_name")).alias("seq"))
+    weights = C.weights(_table(spark))
+    found = M.motif_product(parts, weights, spark.createDataFrame([("all", m) for m in MOTIFS], "motifset_id string, motif string"))
+    score = C.cai(found.where("feasible"), weights).select("protein_id", F.round("penalty", 6).alias("penalty"), "protein")
+    clean = F.when(F.col("feasible"), ~F.greatest(*(F.col("cds").contains(m.replace("T", "U")) for m in MOTIFS)))
+    return found.join(score, "protein_id", "left").select(F.col("protein_id").alias("p_partkey"), "nodes", "edges", "feasible", F.round("cost", 6).alias("cost"), "penalty", "protein", clean.alias("clean"))
+
+
+SQL["motif_free_names"] = SQL["motif_free_names"].replace("WITH", "WITH RECURSIVE", 1)
 
 
 @query("constraint_monotonicity")

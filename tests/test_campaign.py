@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators import analytics as A
 from strandloom.operators import coding as C
+from strandloom.operators import motif_free as M
 from strandloom.operators import records as R
 from strandloom.operators import structures as T
 from strandloom.plans import campaign, catalog
@@ -79,12 +80,12 @@ def test_motif_products_by_all_sequences(spark):
     df = spark.createDataFrame(list(proteins.items()), "protein_id long, seq string")
     for motifs in (["GAATTC"], ["AUG", "UCU"], ["A"], ["UCUUCU", "AGCAGC"], ["GGGGGGG", "agc"]):
         rna = [m.upper().replace("T", "U") for m in motifs]
-        got = {r.protein_id: r for r in C.motif_product(df, w, spark.createDataFrame([("s", m) for m in motifs], "motifset_id string, motif string")).collect()}
+        got = {r.protein_id: r for r in M.motif_product(df, w, spark.createDataFrame([("s", m) for m in motifs], "motifset_id string, motif string")).collect()}
         assert got.keys() == {1, 2, 3, 4, 7, 8}
         for i, r in got.items():
             every = {"".join(c): sum(cost[a][x] for a, x in zip(proteins[i], c, strict=True)) for c in itertools.product(*(cost.get(a, {}) for a in proteins[i]))}
             free = {s: v for s, v in every.items() if not any(m in s for m in rna)}
-            assert r.feasible == bool(free) and (r.cost == pytest.approx(min(free.values())) if free else r.cost is None)
+            assert r.feasible == bool(free) and (r.cost == pytest.approx(min(free.values())) and free[r.cds] == pytest.approx(r.cost) if free else r.cost is r.cds is None)
             # nodes and edges: what the free prefixes reach, walked letter by letter
             steps = {(t.state, t.nuc): t.next_state for t in C.motif_transitions(spark.createDataFrame([("s", m) for m in motifs], "motifset_id string, motif string")).collect()} if i == 2 else None
             if steps is not None:
@@ -96,6 +97,42 @@ def test_motif_products_by_all_sequences(spark):
                 assert (r.nodes, r.edges) == (nodes + bool(layer), edges)
 
 
+def test_motif_product_in_segments(spark):
+    """Long proteins in segments are as when walked in one piece, and as a plain walk over states."""
+    w = C.weights(catalog._table(spark))
+    codons: dict = {}
+    for r in w.collect():
+        codons.setdefault(r.aa, []).append((r.codon, r.neg_log_w))
+    proteins = {i: "".join(RNG.choice([*"ACDEFGHIKLMNPQRSTVWY"], n)) for i, n in enumerate((1, 5, 6, 7, 40, 41, 300, 2000))}
+    proteins |= {20: "RSLE" * 30 + "X" + "M" * 9, 21: "EF" * 20}
+    df = spark.createDataFrame(list(proteins.items()), "protein_id long, seq string")
+    for motifs in (["UCUUCU", "AGCAGC", "GAATTC"], ["GAATTC", "GAGUUC", "GAAUUU", "GAGUUU"]):
+        sets = spark.createDataFrame([("s", m) for m in motifs], "motifset_id string, motif string")
+        whole, cut = ({r.protein_id: r for r in M.motif_product(df, w, sets, n).collect()} for n in (1 << 12, 5))
+        steps = {(r.state, r.nuc): r.next_state for r in C.motif_transitions(sets).collect()}
+        assert whole.keys() == cut.keys() == proteins.keys()
+        for i, seq in proteins.items():
+            best = {"": 0.0}
+            for aa in seq:
+                after: dict = {}
+                for s, v in best.items():
+                    for c, x in codons.get(aa, ()):
+                        t = s
+                        for n in c:
+                            t = steps.get((t, n)) if t is not None else None
+                        if t is not None:
+                            after[t] = min(after.get(t, math.inf), v + x)
+                best = after
+            for r in (whole[i], cut[i]):
+                assert (r.nodes, r.edges, r.feasible) == (whole[i].nodes, whole[i].edges, bool(best))
+                if best:
+                    assert r.cost == pytest.approx(min(best.values())) and not any(m.replace("T", "U") in r.cds for m in motifs)
+                    spelled = [r.cds[k : k + 3] for k in range(0, len(r.cds), 3)]
+                    assert len(spelled) == len(seq) and sum(dict(codons[a])[c] for a, c in zip(seq, spelled, strict=True)) == pytest.approx(r.cost)
+                else:
+                    assert r.cost is r.cds is None
+
+
 def test_lattice_spells_the_language(spark):
     """Paths of the lattice's edges are the enumerated sequences, each once."""
     w = C.weights(catalog._table(spark))
