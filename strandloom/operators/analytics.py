@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 SKETCH = 10_000
 
 
+def same_keys(df: DataFrame, groups: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """df joined with what is known of its groups; null keys are equal to one another. Spark
+    broadcasts groups where it knows them to be small, and else splits a group of many rows."""
+    named = groups.select(*(F.col(b).alias(f"_key{i}") for i, b in enumerate(by)), *(c for c in groups.columns if c not in by))
+    on = [df[b].eqNullSafe(named[f"_key{i}"]) for i, b in enumerate(by)]
+    return df.join(named, on, how).drop(*(f"_key{i}" for i in range(len(by))))
+
+
 def quantiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
     """by, share, q: exact quantiles by group with linear interpolation at (n - 1) * share.
 
@@ -98,22 +106,6 @@ def calibrated_weights(df: DataFrame, stratum: str, cluster: str) -> DataFrame:
     return df.join(per, df[stratum].eqNullSafe(per["_s"]) & df[cluster].eqNullSafe(per["_c"])).drop("_s", "_c")
 
 
-def pareto(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Rows that no row of the group betters in x or y without being worse in the other (less is
-    better), each point once: by x, a row stays if its y is less than all before. One sort per
-    group instead of comparing all pairs."""
-    points = df.select(*by, x, y).distinct()
-    before = F.min(y).over(W.partitionBy(*by).orderBy(x, y).rowsBetween(W.unboundedPreceding, -1))
-    return points.withColumn("_b", before).where(F.col("_b").isNull() | (F.col(y) < F.col("_b"))).drop("_b")
-
-
-def envelope_breakpoints(frontier: DataFrame, by: list[str], cost: str, energy: str) -> DataFrame:
-    """Slopes between neighbours of a frontier: the trade-off at which one gives way to the next."""
-    w = W.partitionBy(*by).orderBy(cost)
-    nxt, c = F.lead(energy).over(w), F.lead(cost).over(w)
-    return frontier.select(*by, cost, energy, ((F.col(energy) - nxt) / (c - F.col(cost))).alias("trade_off"))
-
-
 def overlaps(df: DataFrame, by: list[str], start: str, stop: str) -> DataFrame:
     """Rows that begin before an earlier row of the group has ended."""
     w = W.partitionBy(*by).orderBy(start, stop).rowsBetween(W.unboundedPreceding, -1)
@@ -184,16 +176,3 @@ def cluster_bootstrap(df: DataFrame, stratum: str, cluster: str, value: str, dra
     i = draw(F.lit(str(seed)), F.col(stratum).cast("string"), F.col("draw").cast("string"), F.col("_k").cast("string")) % F.col("_n") + 1
     means = picks.withColumn("_i", i).join(numbered, [stratum, "_i"]).groupBy(stratum, "draw").agg(F.try_divide(F.sum("_s"), F.sum("_c")).alias("m"))
     return means.groupBy(stratum).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
-
-
-def trade_off_support(targets: DataFrame, lines: DataFrame, by: list[str], cost: str, energy: str) -> DataFrame:
-    """by, cost, energy, low, high: the trade-offs t of zero or more at which a target's energy +
-    t * cost is as low as that of every line of its group; high is null where nothing bounds it.
-    Targets that no t supports are left out."""
-    t, o = targets.select(*by, cost, energy).alias("t"), lines.select(*by, cost, energy).alias("o")
-    dc, de = F.col(f"o.{cost}") - F.col(f"t.{cost}"), F.col(f"t.{energy}") - F.col(f"o.{energy}")
-    met = t.join(o, by).select(*by, F.col(f"t.{cost}").alias(cost), F.col(f"t.{energy}").alias(energy), dc.alias("_dc"), de.alias("_de"))
-    bound = F.col("_de") / F.when(F.col("_dc") != 0, F.col("_dc"))
-    out = met.groupBy(*by, cost, energy).agg(
-        F.greatest(F.lit(0.0), F.max(F.when(F.col("_dc") > 0, bound))).alias("low"), F.min(F.when(F.col("_dc") < 0, bound)).alias("high"), F.max(F.when(F.col("_dc") == 0, F.col("_de"))).alias("_same"))
-    return out.where("coalesce(_same, 0) <= 0 and (high is null or low <= high)").drop("_same")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..operators import analytics as A
 from ..operators import coding as C
+from ..operators import frontier as X
 from ..operators import motif_free as M
 from ..operators import records as R
 from ..operators import structures as T
@@ -234,8 +235,8 @@ _FRONT = "front AS (SELECT DISTINCT l_suppkey, l_quantity, l_extendedprice FROM
 
 @query("envelope_breakpoints", f"{{raw}}WITH {_FRONT} SELECT l_suppkey, l_quantity, l_extendedprice, round((l_extendedprice - lead(l_extendedprice) OVER w) / (lead(l_quantity) OVER w - l_quantity), 6) AS trade_off FROM front WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_quantity)")
 def envelope_breakpoints(spark, d):
-    front = A.pareto(_read("lineitem")(spark, d), ["l_suppkey"], "l_quantity", "l_extendedprice")
-    return A.envelope_breakpoints(front, ["l_suppkey"], "l_quantity", "l_extendedprice").withColumn("trade_off", F.round("trade_off", 6))
+    front = X.skyline(_read("lineitem")(spark, d), ["l_suppkey"], "l_quantity", "l_extendedprice")
+    return X.breakpoints(front, ["l_suppkey"], "l_quantity", "l_extendedprice").withColumn("trade_off", F.round("trade_off", 6))
 
 
 @query("trade_off_support", f"""{{raw}}WITH {_FRONT}, b AS (SELECT t.l_suppkey, t.l_quantity, t.l_extendedprice, o.l_quantity - t.l_quantity AS dc, t.l_extendedprice - o.l_extendedprice AS de FROM front t JOIN front o USING (l_suppkey)),
@@ -243,8 +244,32 @@ s AS (SELECT l_suppkey, l_quantity, l_extendedprice, greatest(0.0, max(de / dc)
 SELECT l_suppkey, l_quantity, l_extendedprice, round(coalesce(low, 0.0), 6) AS low, round(high, 6) AS high FROM s WHERE high IS NULL OR coalesce(low, 0.0) <= high""")
 def trade_off_support(spark, d):
     """The trade-offs at which each frontier point is the best of its supplier's."""
-    front = A.pareto(_read("lineitem")(spark, d), ["l_suppkey"], "l_quantity", "l_extendedprice")
-    return A.trade_off_support(front, front, ["l_suppkey"], "l_quantity", "l_extendedprice").select("l_suppkey", "l_quantity", "l_extendedprice", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    front = X.skyline(_read("lineitem")(spark, d), ["l_suppkey"], "l_quantity", "l_extendedprice")
+    out = X.support(front, front, ["l_suppkey"], "l_quantity", "l_extendedprice", energy_eps=0.0, cost_eps=0.0, interval_eps=0.0).where("supported")
+    return out.select("l_suppkey", "l_quantity", "l_extendedprice", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+
+
+@query("trade_off_interval", f"""{{raw}}WITH {_FRONT}, point AS (SELECT DISTINCT l_suppkey, l_quantity, l_extendedprice FROM lineitem),
+b AS (SELECT t.*, t.l_quantity - o.l_quantity AS dc, o.l_extendedprice - t.l_extendedprice AS de FROM point t JOIN front o USING (l_suppkey)),
+e AS (SELECT l_suppkey, l_quantity, l_extendedprice, bool_or(dc = 0 AND -de > 1e-7) AS no, greatest(0.0, coalesce(max(de / dc) FILTER (dc < 0), 0.0)) AS low, min(de / dc) FILTER (dc > 0) AS high FROM b GROUP BY ALL),
+i AS (SELECT *, 1e-9 * greatest(1.0, low, abs(coalesce(high, 0.0))) AS slack FROM e),
+s AS (SELECT *, NOT no AND (high IS NULL OR (high >= -1e-7 AND low <= high + slack)) AS supported, high IS NOT NULL AND abs(greatest(0.0, high) - low) <= slack AS one, (low + greatest(0.0, high)) / 2 AS middle FROM i)
+SELECT l_suppkey, l_quantity, l_extendedprice, supported, round(CASE WHEN NOT supported THEN NULL WHEN one THEN middle ELSE low END, 6) AS low, round(CASE WHEN NOT supported OR high IS NULL THEN NULL WHEN one THEN middle ELSE greatest(0.0, high) END, 6) AS high,
+  supported AND high IS NULL AS unbounded, round(CASE WHEN NOT supported THEN NULL WHEN high IS NULL THEN greatest(low, 1000.0) ELSE middle END, 6) AS representative FROM s""")
+def trade_off_interval(spark, d):
+    """Every record as a target: whether any trade-off supports it among its supplier's, and which."""
+    rows = _read("lineitem")(spark, d)
+    out = X.support(rows, rows, ["l_suppkey"], "l_quantity", "l_extendedprice", search_end=1000.0)
+    return out.withColumns({c: F.round(c, 6) for c in ("low", "high", "representative")})
+
+
+@query("epsilon_frontier", """{raw}WITH point AS (SELECT DISTINCT l_suppkey, l_quantity, l_extendedprice FROM lineitem), kept AS (SELECT * FROM point x WHERE NOT EXISTS (SELECT 1 FROM point y WHERE y.l_suppkey = x.l_suppkey
+AND y.l_quantity <= x.l_quantity + 1.5 AND y.l_extendedprice <= x.l_extendedprice + 400 AND (y.l_quantity < x.l_quantity - 1.5 OR y.l_extendedprice < x.l_extendedprice - 400)))
+SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice, l_quantity DESC) AS place FROM kept""")
+def epsilon_frontier(spark, d):
+    """What is left of each supplier's records within tolerances, in order of price."""
+    kept = X.pareto(_read("lineitem")(spark, d), ["l_suppkey"], "l_quantity", "l_extendedprice", 1.5, 400.0)
+    return kept.withColumn("place", F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_extendedprice", F.desc("l_quantity"))).cast("long"))
 
 
 @query("unplanned_records", "{raw}SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY l_orderkey")

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..operators import analytics as A
 from ..operators import coding as C
+from ..operators import frontier as X
 
 FLAGSHIP = "max_cai_cds"
 QUERIES: dict = {}
@@ -243,7 +244,7 @@ def stratum_calibrated_weights(spark, d):
 
 @query("pareto_frontier", "{raw}SELECT DISTINCT l_suppkey, l_quantity, l_extendedprice FROM lineitem x WHERE NOT EXISTS (SELECT 1 FROM lineitem y WHERE y.l_suppkey = x.l_suppkey AND y.l_quantity <= x.l_quantity AND y.l_extendedprice <= x.l_extendedprice AND (y.l_quantity < x.l_quantity OR y.l_extendedprice < x.l_extendedprice))")
 def pareto_frontier(spark, d):
-    return A.pareto(_read("lineitem")(spark, d), ["l_suppkey"], "l_quantity", "l_extendedprice")
+    return X.pareto(_read("lineitem")(spark, d), ["l_suppkey"], "l_quantity", "l_extendedprice")
 
 
 @query("overlap_check", "{raw}SELECT * FROM (SELECT user_id, event_id, ts, max(ts + INTERVAL 1 HOUR) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS busy_until FROM events) WHERE ts < busy_until".replace("SELECT *", "SELECT user_id, event_id"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators import analytics as A
 from strandloom.operators import coding as C
+from strandloom.operators import frontier as X
 from strandloom.operators import motif_free as M
 from strandloom.operators import records as R
 from strandloom.operators import structures as T
@@ -64,11 +65,48 @@ def test_weights_and_fits(spark):
 def test_trade_offs(spark):
     points = [(float(c), float(10 / c + RNG.normal(0, 0.3))) for c in range(1, 12)]
     df = spark.createDataFrame([("a", *p) for p in points], "g string, c double, e double")
-    got = {r.c: (r.low, r.high) for r in A.trade_off_support(df, df, ["g"], "c", "e").collect()}
+    got = {r.c: r for r in X.support(df, df, ["g"], "c", "e", search_end=50.0).collect()}
+    assert len(got) == len(points)
     for t in np.linspace(0, 12, 601):
         best = min(points, key=lambda p: p[1] + t * p[0])
-        low, high = got[best[0]]
-        assert low - 1e-9 <= t and (high is None or t <= high + 1e-9)
+        r = got[best[0]]
+        assert r.supported and r.low - 1e-6 <= t and (r.unbounded or t <= r.high + 1e-6)
+    for c, e in points:
+        if not got[c].supported:
+            assert got[c].low is got[c].high is got[c].representative is None and not got[c].unbounded
+            assert all(min(p[1] + t * p[0] for p in points) < e + t * c for t in np.linspace(0, 40, 2000))
+        else:
+            t = got[c].representative
+            assert e + t * c <= min(p[1] + t * p[0] for p in points) + 1e-6
+    assert got[1.0].unbounded and got[1.0].representative == 50.0
+
+
+def test_trade_offs_of_given_targets(spark):
+    """On a line between two points, above it, below it, and as costly as a point."""
+    lines = spark.createDataFrame([("a", c, e) for c, e in ((0.0, 4.0), (1.0, 2.0), (3.0, 0.0), (2.0, 3.0), (None, 0.0))], "g string, c double, e double")
+    targets = spark.createDataFrame([("a", 2.0, 1.0), ("a", 2.0, 1.1), ("a", 2.0, 0.5), ("a", 1.0, 2.0 + 1e-9), ("a", 1.0, 2.1), ("b", 5.0, 5.0), (None, 1.0, 1.0), ("a", None, 1.0)], "g string, c double, e double")
+    got = {(r.g, r.c, r.e): r for r in X.support(targets, lines, ["g"], "c", "e").collect()}
+    assert len(got) == 7
+    on, above, below, near, worse = (got["a", c, e] for c, e in ((2.0, 1.0), (2.0, 1.1), (2.0, 0.5), (1.0, 2.0 + 1e-9), (1.0, 2.1)))
+    assert on.supported and on.low == on.high == on.representative == 1.0
+    assert not above.supported and not worse.supported and near.supported
+    assert below.supported and (below.low, below.high) == (0.5, 1.5)
+    assert got["b", 5.0, 5.0].unbounded and got["b", 5.0, 5.0].representative == 1.0 and got[None, 1.0, 1.0].unbounded
+
+
+@pytest.mark.parametrize("eps", [(0.0, 0.0), (0.5, 0.0), (0.3, 2.0), (5.0, 50.0)])
+def test_frontiers_with_tolerances(spark, monkeypatch, eps):
+    """One group holds most rows, dealt over many tasks that hold few at a time."""
+    monkeypatch.setattr(X, "HELD", 40)
+    rows = [(("hot" if i % 10 else None if i % 3 else "cold"), float(x), float(y)) for i, (x, y) in enumerate(zip(RNG.integers(0, 60, 1500) / 4, RNG.integers(0, 90, 1500), strict=True))]
+    df = spark.createDataFrame([*rows, *rows[:30], ("hot", None, 0.0), ("hot", 0.0, None)], "g string, x double, y double").repartition(7)
+    want = set()
+    for g in {g for g, _, _ in rows}:
+        p = {(x, y) for h, x, y in rows if h == g}
+        want |= {(g, *a) for a in p if not any(b[0] <= a[0] + eps[0] and b[1] <= a[1] + eps[1] and (b[0] < a[0] - eps[0] or b[1] < a[1] - eps[1]) for b in p)}
+    got = [tuple(r) for r in X.pareto(df, ["g"], "x", "y", *eps).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert X.pareto(df.limit(0), ["g"], "x", "y", *eps).collect() == []
 
 
 def test_motif_products_by_all_sequences(spark):
