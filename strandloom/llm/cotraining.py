@@ -1,18 +1,19 @@
 """Co-training of two logistic classifiers, one on text content and one on page metadata.
 
-The text view is which of VOCABULARY tokens a text has: the ones that tell good and bad labelled
-rows apart best (by chi-square), among words and binned shares of symbols, capitals, repeated words
+The text view is which tokens a text has of those that tell good and bad labelled rows apart (by a
+chi-square of TELLING or more), among words and binned shares of symbols, capitals, repeated words
 and repeated lines; the metadata view is language, source, their pair and the binned length, hashed
 to META_BINS. A document is bad if its quality is 0 or
-it is toxic. Rows with a label start both classifiers. In each round each classifier scores a
-pool of unlabelled rows, and the rows that it is sure of (by its calibrated probability) go with
+it is toxic. Rows with a label start both classifiers. In each round each classifier scores all
+rows without a label, and the ones that it is sure of (by its calibrated probability) go with
 its verdict to the other one, which is fitted again. Views are calibrated on a fold of the
 labelled rows that is never fitted on, and their calibrated log odds are added to score all
-documents in one pass.
+documents.
 
-Fitting rests on samples of a documented size, as in the original scheme: about FIT labelled rows
-and a pool of about POOL unlabelled ones, both chosen by a hash of doc_id from the whole tables.
-Everything else (all documents' features and scores) covers all rows. Words are looked at one
+The labelled rows that are fitted on, and whose tokens make the text view, are a sample of about
+FIT, chosen by a hash of doc_id from all labels. Everything else covers all rows: every document's
+vectors are written once, every row without a label is in the pool of each round, and all that a
+view is sure of is fitted on, in tasks of FIT_ROWS rows. Words are looked at one
 by one with an absolute-value penalty, so a single telling word counts as much in a long text as
 in a short one, and words that tell nothing count nothing.
 
@@ -36,8 +37,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-VOCABULARY, LEAST, META_BINS = 1 << 12, 3, 1 << 12
-FIT, POOL = 1 << 14, 1 << 14
+TELLING, LEAST, META_BINS = 7.88, 3, 1 << 12
+FIT, FIT_ROWS = 1 << 14, 1 << 15
 ROUNDS, SURE, FOLDS, STEPS = 2, 0.98, 5, 40
 PENALTY = {"text": 2e-4, "meta": 2e-3}
 VIEWS = ("text", "meta")
@@ -68,13 +69,13 @@ def tokens(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def vocabulary(seeds: DataFrame) -> list[str]:
-    """The tokens that tell y best: by chi-square over rows with and without them. seeds has FIT
-    rows; VOCABULARY tokens at most are kept."""
+    """The tokens that tell y, best first: by chi-square over rows with and without them. seeds
+    has about FIT rows, so their tokens are bounded at any size of the input."""
     n, good = seeds.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     seen = seeds.select("y", F.explode("_text").alias("t")).groupBy("t").agg(F.count("*").alias("c"), F.sum("y").alias("g")).where(F.col("c") >= LEAST)
     expected = F.col("c") * (good / max(1, n))
     score = (F.col("g") - expected) ** 2 / F.greatest(expected * (1 - good / max(1, n)) * (1 - F.col("c") / (n + 1)), F.lit(1e-9))
-    return [r.t for r in seen.orderBy(F.desc(score), "t").limit(VOCABULARY).select("t").collect()]
+    return [r.t for r in seen.withColumn("s", score).where(F.col("s") >= TELLING).orderBy(F.desc("s"), "t").select("t").collect()]
 
 
 def features(rows: DataFrame, words: list[str], *keep: str) -> DataFrame:
@@ -97,10 +98,11 @@ def _some(df: DataFrame, of: int, about: int, salt: int) -> DataFrame:
 
 def _fitted(rows: DataFrame, view: str) -> LogisticRegressionModel | None:
     """A model of the view's vectors, or None without rows of both kinds."""
-    if len(rows.groupBy("y").count().take(2)) < 2:
+    kinds = [r["count"] for r in rows.groupBy("y").count().collect()]  # 0 and 1
+    if len(kinds) < 2:
         return None
     fit = LogisticRegression(featuresCol=view, labelCol="y", maxIter=40, regParam=PENALTY[view], elasticNetParam=1.0, standardization=False, tol=1e-4)
-    return fit.fit(rows.select(view, F.col("y").cast("double").alias("y")).coalesce(4))  # sums of so few tasks go straight to the driver
+    return fit.fit(rows.select(view, F.col("y").cast("double").alias("y")).coalesce(max(4, sum(kinds) // FIT_ROWS)))
 
 
 def _odds(rows: DataFrame, models: dict) -> DataFrame:
@@ -148,8 +150,8 @@ def classify(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFr
     told = common.written(tokens(docs.join(F.broadcast(seeds), "doc_id"), "doc_id", "y").select("y", fold, "_text", "_meta"), "tokens")
     words = vocabulary(told.where("fold != 0"))
     seeds = common.written(features(told, words, "y", "fold"), "fit")
-    pool = common.keyed(_some(docs, docs.count(), POOL, 2), y, "doc_id", "left_anti")
-    pool = common.written(features(tokens(pool), words), "pool")
+    every = common.written(features(tokens(docs, "doc_id"), words, "doc_id"), "vectors")
+    pool = common.keyed(every, y.select("doc_id"), "doc_id", "left_anti")
 
     own, held = seeds.where("fold != 0").select("y", *VIEWS), seeds.where("fold = 0")
     models = {view: _fitted(own, view) for view in VIEWS}
@@ -163,7 +165,7 @@ def classify(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFr
     both = all(models.values())
     prior = math.log((good + 1) / (n - good + 1)) if both else 0.0
 
-    scored = _odds(features(tokens(docs, "doc_id"), words, "doc_id"), models)
+    scored = _odds(every, models)
     a, b = (F.col(f"odds_{v}") * fits[v][0] + fits[v][1] for v in VIEWS)
     p = lambda z: 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
     score = p(a + b - F.lit(prior)) if both else F.lit(0.5)
