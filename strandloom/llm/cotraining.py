@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import common
 
 TELLING, LEAST, META_BINS = 7.88, 3, 1 << 12
-FIT, FIT_ROWS = 1 << 14, 1 << 15
+FIT, FIT_ROWS = 1 << 14, 1 << 13
 ROUNDS, SURE, FOLDS, STEPS = 2, 0.98, 5, 40
 PENALTY = {"text": 2e-4, "meta": 2e-3}
 VIEWS = ("text", "meta")
