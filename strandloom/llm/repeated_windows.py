@@ -11,11 +11,13 @@ estimated twice or more go on. Segments are grouped exactly by 128-bit hashes of
 words; a copy of a segment from a smaller document covers it whole. Windows one by one are
 grouped only for the first document of each variant of an anchor that has several.
 
-A sketch has up to MOST_CELLS cells in each of ROWS rows, as bits, four for each segment. Where
-the segments would need more, anchors are dealt by hash into as many ranges, and each range has
-a sketch of its own, made, broadcast and used by itself: the sketches together grow with the
-input, and what is held at a time does not. Groups are only ever aggregated, never gathered, but
-for the spans of one document.
+A sketch has four cells for each segment in each of ROWS rows, as bits. Up to MOST_CELLS cells
+are broadcast (that bounds them). Beyond, anchors are dealt by hash into ranges of RANGE_CELLS
+cells, and all ranges are worked on by one job: partitions' sketches of a range are merged in
+a task, and its bits are read by the tasks that then let the range's segments pass by, one after
+another; a range with many segments (a hot anchor, say) is split over several tasks. So the
+sketches together grow with the input, and what a task or the driver holds does not. Groups
+are only ever aggregated, never gathered, but for the spans of one document.
 
 Defined cases: null, empty and blank texts have no words; fewer words than a window: nothing is
 removed; windows repeated inside one document alone stay; rows that share a doc_id are
@@ -37,6 +39,8 @@ from . import common
 
 WINDOW, ANCHOR, SEED = 50, 10, 23
 ROWS, LEAST_CELLS, MOST_CELLS, SLICE = 2, 1 << 16, 1 << 28, 1 << 20
+#: Cells of a range where several are needed, and most segments of one in a task.
+RANGE_CELLS, RANGE_ROWS = 1 << 23, 1 << 22
 _U = np.uint64
 _BASE = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 
@@ -171,16 +175,85 @@ def repeated(segments: DataFrame, most_cells: int) -> DataFrame:
     cells = LEAST_CELLS
     while cells < 4 * n and cells < most_cells:
         cells *= 2
-    ranges = -(-4 * n // most_cells)
-    if ranges <= 1:
+    if 4 * n <= most_cells:
         return common.written(_passed(segments, cells), "repeated")
-    dealt = common.scratch(segments.sparkSession, "ranges")
-    segments.withColumn("_range", F.pmod(F.xxhash64("anchor"), F.lit(ranges)).cast("int")).write.partitionBy("_range").parquet(dealt)
-    dealt = segments.sparkSession.read.schema(f"{SEGMENT}, _range int").parquet(dealt)
-    path = common.scratch(segments.sparkSession, "repeated")
-    for k in range(ranges):
-        _passed(dealt.where(F.col("_range") == k).select(*segments.columns), cells).write.mode("append").parquet(path)
-    return segments.sparkSession.read.schema(SEGMENT).parquet(path)
+    cells = min(RANGE_CELLS, most_cells)
+    return common.written(_passed_by_range(segments, cells, -(-4 * n // cells), n), "repeated")
+
+
+def range_sketches(segments: DataFrame, cells: int, ranges: int, tasks: int) -> DataFrame:
+    """_range, row, bits of the cells whose merged count is two or more, for each range of anchors
+    and row. Partitions count their segments' cells, and one task merges a range's."""
+
+    def count(batches):
+        keys = [[] for _ in range(ROWS)]
+        for batch in batches:
+            a, at = batch["anchor"].to_numpy(), batch["_range"].to_numpy().astype(np.int64)
+            for r in range(ROWS):
+                keys[r].append(at * cells + _cells(a, r, cells))
+        for r in range(ROWS):
+            key, n = np.unique(np.concatenate(keys[r]) if keys[r] else np.zeros(0, np.int64), return_counts=True)
+            first = np.flatnonzero(np.diff(key // cells, prepend=-1))
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
+                packed = ((key[i:j] % cells) << 1 | (n[i:j] > 1)).astype("<u4").tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([int(key[i]) // cells], pa.int32()), pa.array([r], pa.int32()), pa.array([packed], pa.binary())], ["_range", "row", "cells"])
+
+    def merge(batches):
+        now, seen, more = None, None, None
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([np.packbits(more, bitorder="little").tobytes()], pa.binary())], ["_range", "row", "bits"])
+
+        for batch in batches:
+            for k, r, p in zip(*(batch[c].to_pylist() for c in ("_range", "row", "cells")), strict=True):
+                if now != (k, r):
+                    if now is not None:
+                        yield out()
+                    now, seen, more = (k, r), np.zeros(cells, bool), np.zeros(cells, bool)
+                x = np.frombuffer(p, "<u4")
+                at = x >> 1
+                more[at] |= seen[at] | (x & 1).astype(bool)
+                seen[at] = True
+        if now is not None:
+            yield out()
+
+    parts = segments.select("anchor", "_range").mapInArrow(count, "_range int, row int, cells binary")
+    return parts.repartition(tasks, "_range", "row").sortWithinPartitions("_range", "row").mapInArrow(merge, "_range int, row int, bits binary")
+
+
+def _passed_by_range(segments: DataFrame, cells: int, ranges: int, n: int) -> DataFrame:
+    """The segments that the sketches of their ranges let pass, in one job."""
+    names = segments.columns
+    tasks = common.tasks_for(segments.sparkSession, n, RANGE_ROWS)
+    dealt = segments.withColumn("_range", F.pmod(F.xxhash64("anchor"), F.lit(ranges)).cast("int"))
+    sketches = common.written(range_sketches(dealt, cells, ranges, tasks), "sketches")
+    parts = common.written(dealt.groupBy("_range").agg(F.ceil(F.count("*") / RANGE_ROWS).cast("int").alias("_parts")), "parts")
+    none = lambda *cs: [F.lit(None).cast("long").alias(c) for c in cs]
+    bits = common.keyed(sketches, parts, "_range", "inner").select("_range", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"), "row", "bits", *none(*names))
+    part = F.pmod(F.xxhash64("doc_id", "start", "h1"), F.col("_parts")).cast("int")
+    rows = common.keyed(dealt, parts, "_range", "inner").select("_range", part.alias("_part"), F.lit(ROWS).alias("row"), F.lit(None).cast("binary").alias("bits"), *names)
+
+    def run(batches):
+        now, held = None, {}
+        for batch in batches:
+            key, row = batch["_range"].to_numpy(), batch["row"].to_numpy()
+            first = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
+            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
+                if key[i] != now:
+                    now, held = key[i], {}
+                part = batch.slice(i, j - i)
+                if row[i] < ROWS:
+                    held[int(row[i])] = np.frombuffer(part["bits"][0].as_buffer(), np.uint8)
+                    continue
+                a, ok = part["anchor"].to_numpy(), np.ones(j - i, bool)
+                for r in range(ROWS):
+                    at = _cells(a, r, cells)
+                    ok &= (held[r][at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                yield part.select(names).filter(pa.array(ok))
+
+    # a range's bits come before its segments
+    met = bits.unionByName(rows).repartition(tasks, "_range", "_part").sortWithinPartitions("_range", "_part", "row")
+    return met.mapInArrow(run, SEGMENT)
 
 
 def _passed(segments: DataFrame, cells: int) -> DataFrame:

@@ -183,9 +183,10 @@ def test_cotraining(spark, docs, empty):
     assert cotraining.classify(empty, labels).count() == 0
 
 
-@pytest.mark.parametrize("most_cells", [repeated_windows.MOST_CELLS, 256])
-def test_repeated_windows(docs, empty, most_cells):
-    """Also where the anchors need several sketches."""
+@pytest.mark.parametrize("most_cells", [repeated_windows.MOST_CELLS, 256, 8])
+def test_repeated_windows(docs, empty, most_cells, monkeypatch):
+    """Also where the anchors need several ranges, of which each is split over tasks."""
+    monkeypatch.setattr(repeated_windows, "RANGE_ROWS", 5)
     first, n = {}, repeated_windows.WINDOW
     for i, t in enumerate(TEXTS):
         w = words(t)
