@@ -29,6 +29,7 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -194,7 +195,7 @@ def range_sketches(segments: DataFrame, cells: int, ranges: int, tasks: int) ->
         for r in range(ROWS):
             key, n = np.unique(np.concatenate(keys[r]) if keys[r] else np.zeros(0, np.int64), return_counts=True)
             first = np.flatnonzero(np.diff(key // cells, prepend=-1))
-            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
+            for i, j in pairwise([*first.tolist(), len(key)]):
                 packed = ((key[i:j] % cells) << 1 | (n[i:j] > 1)).astype("<u4").tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([int(key[i]) // cells], pa.int32()), pa.array([r], pa.int32()), pa.array([packed], pa.binary())], ["_range", "row", "cells"])
 
@@ -238,7 +239,7 @@ def _passed_by_range(segments: DataFrame, cells: int, ranges: int, n: int) -> Da
         for batch in batches:
             key, row = batch["_range"].to_numpy(), batch["row"].to_numpy()
             first = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(row, prepend=-1) != 0))
-            for i, j in zip(first.tolist(), [*first[1:].tolist(), len(key)], strict=True):
+            for i, j in pairwise([*first.tolist(), len(key)]):
                 if key[i] != now:
                     now, held = key[i], {}
                 part = batch.slice(i, j - i)

@@ -199,6 +199,14 @@ def test_repeated_windows(docs, empty, most_cells, monkeypatch):
     assert repeated_windows.remove(empty, most_cells).count() == 0
 
 
+def test_ranges_of_anchors_let_all_repeats_pass(docs):
+    """Also with tasks that have no rows; of ranges with many cells little else passes."""
+    segments = repeated_windows.segment_table(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+    n = Counter(r.anchor for r in segments.collect())
+    got = Counter(r.anchor for r in repeated_windows._passed_by_range(segments.repartition(40), 1 << 14, 3, 0).collect())
+    assert got == {a: k for a, k in n.items() if k > 1}
+
+
 def test_chunk_bpe(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
