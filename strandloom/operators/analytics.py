@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import sequence as S
+
 
 #: Accuracy of the sketch that brackets a quantile: it is off by one rank in SKETCH at most.
 SKETCH = 10_000
@@ -97,6 +99,48 @@ def hinge(df: DataFrame, by: list[str], x: Column, y: Column, knot: float, weigh
     return m.select(*by, "n", (c("mean_y") - slope * c("mean_x") - bend * c("mean_h")).alias("intercept"), slope.alias("slope"), bend.alias("bend"), F.greatest(c("y_y") - slope * c("x_y") - bend * c("h_y"), F.lit(0.0)).alias("sse"))
 
 
+def solved(matrix: Column, n: int, eps: float = 1e-12) -> Column:
+    """The solution of n linear equations as an array: matrix is an array of n rows of n + 1 numbers,
+    the last the right side. Elimination with the largest pivot of each column (the first of equal
+    ones), in array functions; null where a pivot is below eps times the matrix's largest number."""
+    at = lambda m, k, i: F.get(F.get(m, k), i)
+
+    def step(a: Column, i: Column) -> Column:
+        pivot = F.array_max(F.transform(F.sequence(i, F.lit(n - 1)), lambda j: F.struct(F.abs(at(a["m"], j, i)).alias("size"), (-j).alias("j"))))
+        return S.once(F.struct(pivot.alias("p"), a["m"].alias("m"), a["least"].alias("least")), lambda b: swapped(b, i))
+
+    def swapped(b: Column, i: Column) -> Column:
+        m, j = b["m"], -b["p"]["j"]
+        rows = F.transform(m, lambda r, k: F.when(k == i, F.get(m, j)).when(k == j, F.get(m, i)).otherwise(r))
+        return S.once(rows, lambda r: S.once(F.transform(F.get(r, i), lambda x: F.try_divide(x, at(r, i, i))), lambda unit: cleared(r, unit, i, b)))
+
+    def cleared(rows: Column, unit: Column, i: Column, b: Column) -> Column:
+        out = F.transform(rows, lambda r, k: F.when(k == i, unit).otherwise(F.zip_with(r, unit, lambda u, v: u - F.get(r, i) * v)))
+        return F.struct(F.when(b["p"]["size"] > b["least"], out).alias("m"), b["least"].alias("least"))
+
+    largest = F.array_max(F.transform(F.flatten(matrix), F.abs))
+    start = F.struct(matrix.alias("m"), (eps * largest).alias("least"))
+    done = F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), start, lambda a, i: F.when(a["m"].isNotNull(), step(a, i)).otherwise(a))
+    return F.transform(done["m"], lambda r: F.element_at(r, -1))
+
+
+def knots(df: DataFrame, by: list[str], x: Column, y: Column, at: list[float], weight: Column | None = None) -> DataFrame:
+    """n, intercept, slope, bends (an array), sse of a continuous line whose slope changes at each
+    of some places; null where the normal equations have no single solution."""
+    names = ["x", *(f"h{i}" for i in range(len(at)))]
+    m = moments(df, by, {"x": x} | {f"h{i}": F.greatest(x - F.lit(k), F.lit(0.0)) for i, k in enumerate(at)}, y, weight)
+    cell = lambda a, b: F.col(f"{a}_{b}" if f"{a}_{b}" in m.columns else f"{b}_{a}")
+    # each regressor is scaled to size one, so that a pivot's size means something
+    size = {a: F.sqrt(F.when(F.col(f"{a}_{a}") > 0, F.col(f"{a}_{a}"))) for a in names}
+    rows = F.array(*(F.array(*(cell(a, b) / (size[a] * size[b]) for b in names), cell(a, "y") / size[a]) for a in names))
+    whole = F.forall(F.flatten(rows), lambda v: v.isNotNull())
+    out = m.withColumn("_b", F.when(whole, solved(rows, len(names))))
+    slopes = [F.get("_b", F.lit(i)) / size[a] for i, a in enumerate(names)]
+    intercept = F.col("mean_y") - sum((s * F.col(f"mean_{a}") for s, a in zip(slopes, names, strict=True)), F.lit(0.0))
+    sse = F.col("y_y") - sum((s * cell(a, "y") for s, a in zip(slopes, names, strict=True)), F.lit(0.0))
+    return out.select(*by, "n", intercept.alias("intercept"), slopes[0].alias("slope"), F.when(F.col("_b").isNotNull(), F.array(*slopes[1:])).alias("bends"), F.greatest(sse, F.lit(0.0)).alias("sse"))
+
+
 def calibrated_weights(df: DataFrame, stratum: str, cluster: str) -> DataFrame:
     """One over the cluster's size, rescaled so that a stratum's weights sum to its size. Sizes
     are counted by cluster first; only these counts are joined back to the rows."""
@@ -176,3 +220,56 @@ def cluster_bootstrap(df: DataFrame, stratum: str, cluster: str, value: str, dra
     i = draw(F.lit(str(seed)), F.col(stratum).cast("string"), F.col("draw").cast("string"), F.col("_k").cast("string")) % F.col("_n") + 1
     means = picks.withColumn("_i", i).join(numbered, [stratum, "_i"]).groupBy(stratum, "draw").agg(F.try_divide(F.sum("_s"), F.sum("_c")).alias("m"))
     return means.groupBy(stratum).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+
+
+SCHEMES = ("within", "cluster", "equal_cluster", "calibrated_equal_cluster")
+
+
+def slope_bootstrap(df: DataFrame, stratum: str, cluster: str, key: str, x: Column, arms: dict[str, Column], draws: int, seed: int = 7) -> DataFrame:
+    """scheme, arm, estimate, low, high, lost: least-squares slopes of each arm's y on x and 95 %
+    intervals under four ways of drawing; a draw takes the same rows for all arms.
+
+    within draws rows in each stratum; cluster draws whole clusters; both are rescaled to the
+    strata's sizes. equal_cluster gives each cluster the weight of one row, and
+    calibrated_equal_cluster rescales that to the strata's sizes as well. Draws are Poisson weights
+    by the hash of the row's key or of the cluster, so neither is numbered and nothing is gathered:
+    rows are only ever summed, by stratum for within, and once by stratum and cluster for the
+    others. A draw in which a rescaled stratum has no weight has no slope and counts as lost. Rows
+    with a null in x or an arm are left out."""
+    names = list(arms)
+    given = df.select(F.col(stratum).alias("h"), F.col(cluster).alias("c"), F.col(key).cast("string").alias("k"), x.cast("double").alias("x"), *(y.cast("double").alias(f"y{i}") for i, y in enumerate(arms.values()))).dropna(subset=["x", *(f"y{i}" for i in range(len(names)))])
+    # slopes do not change when all values are moved: from their means squares do not cancel
+    middle = given.agg(*(F.avg(c).alias(f"m_{c}") for c in ("x", *(f"y{i}" for i in range(len(names))))))
+    moved = given.crossJoin(F.broadcast(middle))  # one row
+    u = F.col("x") - F.col("m_x")
+    vector = {"s": F.lit(1.0), "sx": u, "sxx": u * u}
+    for i in range(len(names)):
+        v = F.col(f"y{i}") - F.col(f"m_y{i}")
+        vector |= {f"sy{i}": v, f"sxy{i}": u * v}
+    rows = moved.select("h", "c", "k", *(v.alias(n) for n, v in vector.items()))
+    sums = lambda weight: [F.sum(weight * F.col(n)).alias(n) for n in vector]
+    sizes = rows.groupBy("h").agg(F.count("*").cast("double").alias("target"))
+
+    def weight(*of: str) -> Column:
+        p = draw(F.lit(str(seed)), F.col("draw").cast("string"), *(F.col(c).cast("string") for c in of)) / F.lit(float(1 << 32))
+        drawn = sum((F.when(p > c, 1).otherwise(0) for c in POISSON), F.lit(0))
+        return F.when(F.col("draw") == 0, 1).otherwise(drawn).cast("double")  # draw 0: the data as they are
+
+    each = F.explode(F.sequence(F.lit(0), F.lit(draws)))
+    within = rows.withColumn("draw", each).withColumn("w", weight("k")).groupBy("h", "draw").agg(*sums(F.col("w")))
+    cells = rows.groupBy("h", "c").agg(*sums(F.lit(1.0)))
+    whole = cells.groupBy("c").agg(F.sum("s").alias("_all"))
+    cells = same_keys(cells, whole, ["c"])
+    drawn = cells.withColumn("draw", each).withColumn("w", weight("c"))
+    plain, equal = (drawn.groupBy("h", "draw").agg(*sums(w)) for w in (F.col("w"), F.col("w") / F.col("_all")))
+    parts = []
+    for scheme, part, rescaled in zip(SCHEMES, (within, plain, equal, equal), (True, True, False, True), strict=True):
+        scale = F.col("target") / F.when(F.col("s") > 0, F.col("s")) if rescaled else F.lit(1.0)
+        met = same_keys(part, sizes, ["h"]).withColumn("_f", scale)
+        parts.append(met.groupBy("draw").agg(F.bool_or(F.col("_f").isNull()).alias("_lost"), *(F.sum(F.col("_f") * F.col(n)).alias(n) for n in vector)).withColumn("scheme", F.lit(scheme)))
+    total = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    slope = lambda i: F.try_divide(F.col(f"sxy{i}") - F.col("sx") * F.col(f"sy{i}") / F.col("s"), F.col("sxx") - F.col("sx") ** 2 / F.col("s"))
+    wide = F.explode(F.array(*(F.struct(F.lit(n).alias("arm"), F.when(~F.col("_lost") & (F.col("s") > 0), slope(i)).alias("v")) for i, n in enumerate(names))))
+    long = total.select("scheme", "draw", wide.alias("a")).select("scheme", "draw", "a.*")
+    drawn_v = F.when(F.col("draw") > 0, F.col("v"))
+    return long.groupBy("scheme", "arm").agg(F.max(F.when(F.col("draw") == 0, F.col("v"))).alias("estimate"), F.percentile(drawn_v, 0.025).alias("low"), F.percentile(drawn_v, 0.975).alias("high"), F.count_if((F.col("draw") > 0) & F.col("v").isNull()).alias("lost"))

@@ -507,3 +507,56 @@ def metric_summary(spark, d):
     rows = _read("events")(spark, d).where("value > 0")
     q = A.quantiles(rows, ["event_type"], "value", [0.5, 0.999]).groupBy("event_type").agg(F.round(F.max(F.when(F.col("share") == 0.5, F.col("q"))), 6).alias("median"), F.round(F.max(F.when(F.col("share") == 0.999, F.col("q"))), 6).alias("tail"))
     return rows.groupBy("event_type").agg(F.count("value").alias("n"), F.count_distinct("user_id").alias("users")).join(q, "event_type")
+
+
+_ROW_KEY = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+_DRAWN = " + ".join(f"(u > {c})::INT" for c in A.POISSON)
+_VECTOR = ("s", "sx", "sxx", "sy0", "sxy0", "sy4", "sxy4")
+_UNIT = "CASE draw WHEN 0 THEN 1 ELSE ({drawn}) END".format(drawn=_DRAWN)
+
+
+def _weighted(weight: str) -> str:
+    return ", ".join(f"sum({weight} * {v}) AS {v}" for v in _VECTOR)
+
+
+@query("slope_schemes", f"""{{raw}}WITH v AS (SELECT l_returnflag AS h, l_suppkey AS c, {_ROW_KEY} AS k, ln(l_quantity) AS x, ln(l_extendedprice) AS y0, ln(l_extendedprice * (1 - l_discount)) AS y4 FROM lineitem),
+m AS (SELECT avg(x) AS mx, avg(y0) AS m0, avg(y4) AS m4 FROM v), r AS (SELECT h, c, k, 1.0::DOUBLE AS s, x - mx AS sx, (x - mx) * (x - mx) AS sxx, y0 - m0 AS sy0, (x - mx) * (y0 - m0) AS sxy0, y4 - m4 AS sy4, (x - mx) * (y4 - m4) AS sxy4 FROM v, m),
+n AS (SELECT h, count(*) AS target FROM r GROUP BY h), d AS (SELECT unnest(range(0, 41)) AS draw),
+cell AS (SELECT h, c, {_weighted('1.0')} FROM r GROUP BY h, c), size AS (SELECT c, sum(s) AS every FROM cell GROUP BY c),
+rd AS (SELECT r.*, draw, ('0x' || substr(md5('7:' || draw || ':' || k), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM r, d),
+cd AS (SELECT cell.*, every, draw, ('0x' || substr(md5('7:' || draw || ':' || c), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM cell JOIN size USING (c), d),
+p AS (SELECT 'within' AS scheme, true AS scaled, h, draw, {_weighted(_UNIT)} FROM rd GROUP BY h, draw UNION ALL SELECT 'cluster', true, h, draw, {_weighted(_UNIT)} FROM cd GROUP BY h, draw
+  UNION ALL SELECT 'equal_cluster', false, h, draw, {_weighted(_UNIT + " / every")} FROM cd GROUP BY h, draw UNION ALL SELECT 'calibrated_equal_cluster', true, h, draw, {_weighted(_UNIT + " / every")} FROM cd GROUP BY h, draw),
+f AS (SELECT p.*, CASE WHEN NOT scaled THEN 1.0 WHEN s > 0 THEN target / s END AS f FROM p JOIN n USING (h)),
+t AS (SELECT scheme, draw, bool_or(f IS NULL) AS lost, {_weighted('f')} FROM f GROUP BY scheme, draw),
+b AS (SELECT scheme, draw, arm, CASE WHEN NOT lost AND s > 0 THEN CASE arm WHEN 'lambda0' THEN (sxy0 - sx * sy0 / s) ELSE (sxy4 - sx * sy4 / s) END / (sxx - sx * sx / s) END AS v FROM t, (VALUES ('lambda0'), ('lambda4')) AS a(arm))
+SELECT scheme, arm, round(max(v) FILTER (draw = 0), 6) AS estimate, round(quantile_cont(v, 0.025) FILTER (draw > 0), 6) AS low, round(quantile_cont(v, 0.975) FILTER (draw > 0), 6) AS high, count(*) FILTER (draw > 0 AND v IS NULL) AS lost FROM b GROUP BY scheme, arm""")
+def slope_schemes(spark, d):
+    """Slopes of both arms, with intervals under four ways of drawing (returns as strata, suppliers as clusters)."""
+    rows = _read("lineitem")(spark, d).withColumn("_key", F.expr(_ROW_KEY))
+    arms = {"lambda0": F.log("l_extendedprice"), "lambda4": F.log(F.col("l_extendedprice") * (1 - F.col("l_discount")))}
+    out = A.slope_bootstrap(rows, "l_returnflag", "l_suppkey", "_key", F.log("l_quantity"), arms, 40)
+    return out.withColumns({c: F.round(c, 6) for c in ("estimate", "low", "high")})
+
+
+_REGRESSORS = ("x", "p", "q")
+
+
+def _minor(columns: str) -> str:
+    """DuckDB's SQL of a 3 by 3 determinant; columns: regressors, y for the right side."""
+    m = lambda a, b: f"{a}{b}" if b == "y" or _REGRESSORS.index(a) <= _REGRESSORS.index(b) else f"{b}{a}"
+    a, b, c = columns
+    return " + ".join(f"{m('x', i)} * ({m('p', j)} * {m('q', k)} - {m('p', k)} * {m('q', j)})" for i, j, k in ((a, b, c), (b, c, a), (c, a, b)))
+
+
+@query("two_knot_fit", f"""{{raw}}WITH r AS (SELECT l_returnflag, {_X} AS x, greatest({_X} - ln(15.0), 0.0) AS p, greatest({_X} - ln(35.0), 0.0) AS q, {_Y} AS y FROM lineitem), m AS (SELECT l_returnflag, avg(x) AS mx, avg(p) AS mp, avg(q) AS mq, avg(y) AS my FROM r GROUP BY l_returnflag),
+s AS (SELECT l_returnflag, count(*) AS n, any_value(mx) AS mx, any_value(mp) AS mp, any_value(mq) AS mq, any_value(my) AS my, {", ".join(f"sum(({a} - m{a}) * ({b} - m{b})) AS {a}{b}" for i, a in enumerate("xpqy") for b in "xpqy"[i:])} FROM r JOIN m USING (l_returnflag) GROUP BY l_returnflag),
+b AS (SELECT *, ({_minor("ypq")}) / ({_minor("xpq")}) AS b0, ({_minor("xyq")}) / ({_minor("xpq")}) AS b1, ({_minor("xpy")}) / ({_minor("xpq")}) AS b2 FROM s)
+SELECT l_returnflag, n, round(my - b0 * mx - b1 * mp - b2 * mq, 5) AS intercept, round(b0, 5) AS slope, round(b1, 5) AS first_bend, round(b2, 5) AS second_bend, round(yy - b0 * xy - b1 * py - b2 * qy, 3) AS sse FROM b""")
+def two_knot_fit(spark, d):
+    """A line whose slope changes twice, by elimination on the normal equations."""
+    import math
+
+    out = A.knots(_read("lineitem")(spark, d), ["l_returnflag"], F.log("l_quantity"), F.log("l_extendedprice"), [math.log(15.0), math.log(35.0)])
+    bend = lambda i: F.round(F.get("bends", F.lit(i)), 5)
+    return out.select("l_returnflag", "n", F.round("intercept", 5).alias("intercept"), F.round("slope", 5).alias("slope"), bend(0).alias("first_bend"), bend(1).alias("second_bend"), F.round("sse", 3).alias("sse"))

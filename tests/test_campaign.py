@@ -262,3 +262,50 @@ def test_readers(spark, tmp_path):
 
 def test_campaign_queries_are_registered():
     assert campaign.query is catalog.query and "hinge_fit" in catalog.QUERIES and "hinge_fit" in catalog.SQL
+
+
+def test_solving_linear_equations(spark):
+    for n in (1, 2, 3, 5):
+        systems = {i: RNG.normal(0, 1, (n, n + 1)).round(3) for i in range(20)}
+        systems[20] = np.array([[0.0] * n + [1.0]] * n)  # singular
+        systems[21] = np.vstack([systems[0][: n - 1], systems[0][: n - 1].sum(0)]) if n > 1 else systems[20]
+        systems[22] = np.hstack([np.fliplr(np.eye(n)), np.ones((n, 1))])  # zeros on the diagonal: rows must be swapped
+        df = spark.createDataFrame([(i, m.tolist()) for i, m in systems.items()] + [(23, None)], "i int, m array<array<double>>")
+        got = {r.i: r.x for r in df.select("i", A.solved(F.col("m"), n).alias("x")).collect()}
+        assert got[20] is got[21] is got[23] is None
+        for i, m in systems.items():
+            if i not in (20, 21):
+                assert got[i] == pytest.approx(np.linalg.solve(m[:, :n], m[:, n]).tolist(), rel=1e-6, abs=1e-9)
+
+
+def test_lines_with_knots(spark):
+    x = np.linspace(0, 10, 80)
+    y = 1 + 2 * x + 3 * np.maximum(x - 3, 0) - 4 * np.maximum(x - 7, 0) + RNG.normal(0, 0.1, 80)
+    rows = [("a", float(a), float(b)) for a, b in zip(x, y, strict=True)] + [("flat", 1.0, float(k)) for k in range(5)] + [("low", k / 10, float(k)) for k in range(9)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    got = {r.g: r for r in A.knots(df, ["g"], F.col("x"), F.col("y"), [3.0, 7.0]).collect()}
+    m = np.stack([np.ones(80), x, np.maximum(x - 3, 0), np.maximum(x - 7, 0)], 1)
+    want, sse, *_ = np.linalg.lstsq(m, y, rcond=None)
+    assert [got["a"].intercept, got["a"].slope, *got["a"].bends] == pytest.approx(want.tolist(), rel=1e-6) and got["a"].sse == pytest.approx(sse[0], rel=1e-5)
+    assert got["flat"].bends is got["low"].bends is got["low"].slope is None and got["low"].n == 9
+
+
+def test_slope_schemes(spark):
+    """Estimates against weighted least squares; draws of one cluster in each of two strata can lose one."""
+    rows = [(f"h{i % 2}", f"c{i % 7}", str(i), float(x), float(2 * x + e), float(3 * x - e)) for i, (x, e) in enumerate(zip(RNG.normal(0, 1, 300), RNG.normal(0, 0.2, 300), strict=True))]
+    df = spark.createDataFrame([*rows, ("h0", "c0", "x", None, 1.0, 1.0)], "h string, c string, k string, x double, y double, z double")
+    arms = {"y": F.col("y"), "z": F.col("z")}
+    got = {(r.scheme, r.arm): r for r in A.slope_bootstrap(df, "h", "c", "k", F.col("x"), arms, 60).collect()}
+    assert {s for s, _ in got} == set(A.SCHEMES) and len(got) == 8
+    size = {c: sum(r[1] == c for r in rows) for c in {r[1] for r in rows}}
+    for (scheme, arm), r in got.items():
+        w = np.array([1.0 if "equal" not in scheme else 1 / size[c] for _, c, *_ in rows])
+        if scheme == "calibrated_equal_cluster":
+            for h in ("h0", "h1"):
+                mine = np.array([a[0] == h for a in rows])
+                w[mine] *= mine.sum() / w[mine].sum()
+        x, y = np.array([a[3] for a in rows]), np.array([a[4 if arm == "y" else 5] for a in rows])
+        assert r.estimate == pytest.approx(np.polyfit(x, y, 1, w=np.sqrt(w))[0]) and r.low <= r.estimate <= r.high and r.high - r.low < 0.3 and r.lost == 0
+    lone = spark.createDataFrame([(f"h{i % 2}", f"c{i % 2}", str(i), float(i), float(i * i), 1.0) for i in range(20)], "h string, c string, k string, x double, y double, z double")
+    lost = {(r.scheme, r.arm): r.lost for r in A.slope_bootstrap(lone, "h", "c", "k", F.col("x"), arms, 60).collect()}
+    assert lost["cluster", "y"] == lost["calibrated_equal_cluster", "z"] > 10 and lost["within", "y"] == 0
