@@ -13,6 +13,7 @@ from ..operators import analytics as A
 from ..operators import coding as C
 from ..operators import frontier as X
 from ..operators import motif_free as M
+from ..operators import ordered as O
 from ..operators import records as R
 from ..operators import structures as T
 from ..sources import readers
@@ -560,3 +561,38 @@ def two_knot_fit(spark, d):
     out = A.knots(_read("lineitem")(spark, d), ["l_returnflag"], F.log("l_quantity"), F.log("l_extendedprice"), [math.log(15.0), math.log(35.0)])
     bend = lambda i: F.round(F.get("bends", F.lit(i)), 5)
     return out.select("l_returnflag", "n", F.round("intercept", 5).alias("intercept"), F.round("slope", 5).alias("slope"), bend(0).alias("first_bend"), bend(1).alias("second_bend"), F.round("sse", 3).alias("sse"))
+
+
+@query("record_islands", """{raw}WITH s AS (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) AS r, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events)
+SELECT event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM s GROUP BY event_type, r - k""")
+def record_islands(spark, d):
+    """Runs of records of one type in the order of all records."""
+    return O.islands(_read("events")(spark, d), "event_id", "event_type")
+
+
+@query("pair_faults", f"""{{raw}}WITH r AS (SELECT event_id, event_id // 2 AS block, CASE WHEN user_id % 2 = 0 THEN 'sparse' ELSE 'dense' END AS arm, event_type, value, lag(event_id // 2) OVER (ORDER BY event_id) AS before FROM events),
+b AS (SELECT block, count(*) AS n, count(*) FILTER (arm = 'sparse') AS s, count(*) FILTER (arm = 'dense') AS e, count(*) FILTER (before IS DISTINCT FROM block) AS runs, arg_min(arm, event_id) AS first, count(DISTINCT event_type) AS types,
+  max(value) FILTER (arm = 'sparse') AS a, max(value) FILTER (arm = 'dense') AS z FROM r GROUP BY block),
+f AS (SELECT block, n = 2 AND s = 1 AND e = 1 AS arms, runs = 1 AS adjacent, first = CASE WHEN {_DRAW.format("'5:' || block")} % 2 = 0 THEN 'sparse' ELSE 'dense' END AS "order", types = 1 AS equal, coalesce(abs(a - z) <= greatest(0.5, 0.25 * greatest(abs(a), abs(z))), false) AS close FROM b)
+SELECT *, arms AND adjacent AND "order" AND equal AND close AS ok FROM f""")
+def pair_faults(spark, d):
+    """Neighbouring events as pairs of arms: which rules of paired records each pair keeps."""
+    e = _read("events")(spark, d)
+    rows = e.select("event_id", F.expr("event_id div 2").alias("block"), F.when(F.col("user_id") % 2 == 0, "sparse").otherwise("dense").alias("arm"), "event_type", "value")
+    return O.pair_faults(rows, "block", "arm", "event_id", ["event_type"], "value", ("sparse", "dense"), seed=5, absolute=0.5, relative=0.25)
+
+
+@query("planned_grid", f"""{{raw}}WITH t AS (SELECT o_orderkey, row_number() OVER (ORDER BY {_DRAW.format("'20260906:' || o_orderkey")}, o_orderkey) AS place FROM orders),
+l AS (SELECT l_orderkey AS o_orderkey, count(*) AS lines FROM lineitem GROUP BY l_orderkey),
+p AS (SELECT o_orderkey, count(*) AS planned, max(place) AS place FROM t GROUP BY o_orderkey),
+s AS (SELECT o_orderkey, CASE WHEN lines % 5 = 0 THEN 2 ELSE 1 END AS recorded, CASE WHEN lines % 5 = 1 THEN place + 1 ELSE place END AS place FROM t JOIN l USING (o_orderkey))
+SELECT o_orderkey, CASE WHEN coalesce(recorded, 0) < planned THEN 'missing' WHEN recorded > planned THEN 'extra' ELSE 'misplaced' END AS status, planned, coalesce(recorded, 0)::BIGINT AS recorded
+FROM p LEFT JOIN s USING (o_orderkey) WHERE coalesce(recorded, 0) <> planned OR s.place <> p.place""")
+def planned_grid(spark, d):
+    """Orders as planned tasks in a seeded order; those with lines count as recorded, by the number of
+    lines twice or a place too late."""
+    plan = O.planned_order(_read("orders")(spark, d).select("o_orderkey"), "o_orderkey", 20260906)
+    lines = _read("lineitem")(spark, d).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("lines"))
+    seen = plan.join(lines, "o_orderkey").withColumn("again", F.explode(F.sequence(F.lit(1), F.when(F.col("lines") % 5 == 0, 2).otherwise(1))))
+    seen = seen.withColumn("place", F.when(F.col("lines") % 5 == 1, F.col("place") + 1).otherwise(F.col("place")))
+    return O.plan_faults(plan, seen, "o_orderkey", "place")

@@ -12,6 +12,7 @@ from strandloom.operators import analytics as A
 from strandloom.operators import coding as C
 from strandloom.operators import frontier as X
 from strandloom.operators import motif_free as M
+from strandloom.operators import ordered as O
 from strandloom.operators import records as R
 from strandloom.operators import structures as T
 from strandloom.plans import campaign, catalog
@@ -309,3 +310,49 @@ def test_slope_schemes(spark):
     lone = spark.createDataFrame([(f"h{i % 2}", f"c{i % 2}", str(i), float(i), float(i * i), 1.0) for i in range(20)], "h string, c string, k string, x double, y double, z double")
     lost = {(r.scheme, r.arm): r.lost for r in A.slope_bootstrap(lone, "h", "c", "k", F.col("x"), arms, 60).collect()}
     assert lost["cluster", "y"] == lost["calibrated_equal_cluster", "z"] > 10 and lost["within", "y"] == 0
+
+
+@pytest.mark.parametrize("width", [5, 1 << 16])
+def test_order_and_islands(spark, width):
+    """Ranges of few places, so that what is carried over takes several levels; gaps and negative places."""
+    places = sorted(RNG.choice(np.arange(-40, 120), 60, replace=False).tolist())
+    keys = RNG.choice(["a", "b", None], 60).tolist()
+    df = spark.createDataFrame([*zip(places, keys, strict=True), (None, "a")], "p long, k string").repartition(3)
+    got = sorted(O.in_order(df, "p", width=width).collect(), key=lambda r: r.rank)
+    assert [(r.p, r.k, r.rank) for r in got] == [(p, k, i + 1) for i, (p, k) in enumerate(zip(places, keys, strict=True))]
+    assert [r.previous and r.previous.p for r in got] == [None, *places[:-1]]
+    want = [(k, run[0][0], run[-1][0], len(run)) for k, g in itertools.groupby(zip(places, keys, strict=True), lambda x: x[1]) for run in [list(g)]]
+    assert sorted(((r.k, r["first"], r["last"], r.n) for r in O.islands(df.where("p is not null"), "p", "k", width).collect()), key=lambda x: x[1]) == want
+
+
+def test_pairs_each_rule_broken_once(spark):
+    rows, broken = [], {1: "arms", 2: "adjacent", 3: "order", 4: "equal", 5: "close", 6: None}
+    first = {b: int(__import__("hashlib").md5(f"5:{b}".encode()).hexdigest()[:8], 16) % 2 for b in broken}
+    at = 0
+    for b in broken:
+        arms = ["sparse", "dense"] if first[b] == 0 else ["dense", "sparse"]
+        if b == 3:
+            arms.reverse()
+        for k, arm in enumerate(arms):
+            at += 1
+            rows.append([at, b, "dense" if b == 1 and arm == "sparse" else arm, "x" if b != 4 or k else "y", 1.0 if b != 5 or k else 9.0])
+            if b == 2 and not k:
+                at += 1
+                rows.append([at, 7, "sparse", "x", 1.0])
+    df = spark.createDataFrame(rows, "p long, b long, arm string, e string, v double")
+    got = {r.b: r for r in O.pair_faults(df, "b", "arm", "p", ["e"], "v", ("sparse", "dense"), seed=5, absolute=0.1, relative=0.0, width=4).collect()}
+    for b, rule in broken.items():
+        bad = {k for k in ("arms", "adjacent", "order", "equal", "close") if not got[b][k]}
+        assert (rule in bad if rule else not bad) and got[b].ok == (not bad)
+        assert bad <= ({"arms", "order", "close"} if b == 1 else {rule})
+
+
+def test_plan_faults(spark):
+    tasks = spark.createDataFrame([(k,) for k in range(200)], "k long")
+    plan = O.planned_order(tasks, "k", 3, width=16)
+    places = {r.k: r.place for r in plan.collect()}
+    assert sorted(places.values()) == list(range(1, 201)) and list(places.values()) != sorted(places.values())
+    seen = [(k, p) for k, p in places.items() if k not in (5, 6)] + [(9, places[9]), (777, 1)]
+    seen = [(k, {10: places[11], 11: places[10]}.get(k, p)) for k, p in seen]
+    got = {r.k: (r.status, r.planned, r.recorded) for r in O.plan_faults(plan, spark.createDataFrame(seen, "k long, place long"), "k", "place").collect()}
+    assert got == {5: ("missing", 1, 0), 6: ("missing", 1, 0), 9: ("extra", 1, 2), 777: ("extra", 0, 1), 10: ("misplaced", 1, 1), 11: ("misplaced", 1, 1)}
