@@ -17,7 +17,7 @@ from ..operators import ordered as O
 from ..operators import records as R
 from ..operators import structures as T
 from ..sources import readers
-from .catalog import MOTIFS, SQL, _proteins, _read, _table, query
+from .catalog import _USAGE, MOTIFS, SQL, _codons, _proteins, _read, _table, query
 
 _nth = lambda key, *values: F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (F.col(key) % len(values) + 1).cast("int"))
 
@@ -44,10 +44,14 @@ def rna_normal_form(spark, d):
     return _read("orders")(spark, d).select("o_orderkey", S.rna(_nth("o_orderkey", *_RAW)).alias("rna"))
 
 
-@query("pair_scores", "{raw}WITH n(x) AS (VALUES ('A'), ('C'), ('G'), ('U')), p(five, three, kind, score) AS (VALUES ('C', 'G', 1, -3), ('G', 'C', 2, -3), ('G', 'U', 3, -1), ('U', 'G', 4, -1), ('A', 'U', 5, -2), ('U', 'A', 6, -2)) SELECT a.x AS five, b.x AS three, coalesce(kind, 0) AS kind, score::DOUBLE AS score FROM n a CROSS JOIN n b LEFT JOIN p ON a.x = five AND b.x = three")
+@query("pair_scores", f""", {_USAGE}, p(five, three, kind, score) AS (VALUES ('C', 'G', 1, -3), ('G', 'C', 2, -3), ('G', 'U', 3, -1), ('U', 'G', 4, -1), ('A', 'U', 5, -2), ('U', 'A', 6, -2)),
+n AS (SELECT table_id AS lang, substr(codon, 1, 1) AS five, substr(codon, 3, 1) AS three, count(*) AS n FROM used GROUP BY ALL)
+SELECT lang, n.five, n.three, coalesce(kind, 0) AS kind, score::DOUBLE AS score, n FROM n LEFT JOIN p USING (five, three)""")
 def pair_scores(spark, d):
-    n = spark.createDataFrame([(a, b) for a in "ACGU" for b in "ACGU"], "five string, three string")
-    return n.select("five", "three", S.pair_type(F.col("five"), F.col("three")).alias("kind"), S.pair_score(F.col("five"), F.col("three")).cast("double").alias("score"))
+    """Kind and score of the pair of each codon's first and last nucleotide, and how often it occurs."""
+    five, three = F.substring("codon", 1, 1), F.substring("codon", 3, 1)
+    n = _codons(spark, d).groupBy("lang", five.alias("five"), three.alias("three")).agg(F.count("*").alias("n"))
+    return n.select("lang", "five", "three", S.pair_type(F.col("five"), F.col("three")).alias("kind"), S.pair_score(F.col("five"), F.col("three")).cast("double").alias("score"), "n")
 
 
 @query("elapsed_parse", "{raw}SELECT event_id, CASE event_id % 4 WHEN 0 THEN 7200.0 + event_id % 60 + 0.5 WHEN 1 THEN 180.0 + event_id % 60 + 0.25 END AS seconds FROM events")

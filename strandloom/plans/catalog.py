@@ -71,14 +71,38 @@ def protein_query(name: str, sql: str | None = None):
     return add
 
 
-@query("codon_weights", "SELECT codon, aa, freq, round(w, 9) AS w, round(neg_log_w, 9) AS neg_log_w FROM weight")
+#: Fixed: how a text is read as RNA: each of its letters, whatever its case, as a nucleotide.
+_LETTERS, _NUCLEOTIDES = "abcdefghijklmnopqrstuvwxyz", "ACGU" * 6 + "AC"
+
+
+def _codons(spark: SparkSession, d: str) -> DataFrame:
+    """lang and codon of every codon of the texts read as RNA, one row each."""
+    rna = F.translate(F.lower(F.regexp_replace("text", "[^A-Za-z]", "")), _LETTERS, _NUCLEOTIDES)
+    return _read("documents")(spark, d).select("lang", F.explode(F.regexp_extract_all(rna, F.lit(".{3}"), F.lit(0))).alias("codon"))
+
+
+def _usage(spark: SparkSession, d: str) -> DataFrame:
+    """table_id, codon, aa, freq: how often each codon occurs in a language's texts, 0 included."""
+    counts = _codons(spark, d).groupBy(F.col("lang").alias("table_id"), "codon").agg(F.count("*").cast("double").alias("n"))
+    every = counts.select("table_id").distinct().crossJoin(F.broadcast(_table(spark).select("codon", "aa")))  # 64 rows
+    return every.join(counts, ["table_id", "codon"], "left").select("table_id", "codon", "aa", F.coalesce("n", F.lit(0.0)).alias("freq"))
+
+
+_USAGE = f"""used AS (SELECT lang AS table_id, unnest(regexp_extract_all(translate(lower(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{_LETTERS}', '{_NUCLEOTIDES}'), '.{{{{3}}}}')) AS codon FROM documents),
+usage AS (SELECT table_id, codon.codon, aa, (SELECT count(*) FROM used u WHERE u.table_id = t.table_id AND u.codon = codon.codon)::DOUBLE AS freq FROM (SELECT DISTINCT table_id FROM used) t, codon),
+relative AS (SELECT *, CASE WHEN freq > 0 THEN freq / max(freq) OVER (PARTITION BY table_id, aa) ELSE 1e-9 END AS w FROM usage)""".replace("{{", "{").replace("}}", "}")
+
+
+@query("codon_weights", f", {_USAGE} SELECT table_id, codon, aa, freq, round(w, 9) AS w, round(-ln(w), 9) AS neg_log_w FROM relative")
 def codon_weights(spark, d):
-    return C.weights(_table(spark)).select("codon", "aa", "freq", F.round("w", 9).alias("w"), F.round("neg_log_w", 9).alias("neg_log_w"))
+    """Relative adaptiveness of codons by the usage of each language's texts, read as RNA."""
+    return C.weights(_usage(spark, d)).withColumns({c: F.round(c, 9) for c in ("w", "neg_log_w")})
 
 
-@query("codon_best_per_aa", "SELECT aa, codon, round(cost, 9) AS cost FROM best")
+@query("codon_best_per_aa", f", {_USAGE} SELECT table_id, aa, arg_min(codon, (-ln(w), codon)) AS codon, round(min(-ln(w)), 9) AS cost FROM relative GROUP BY table_id, aa")
 def codon_best_per_aa(spark, d):
-    return C.best_codons(C.weights(_table(spark))).select("aa", "codon", F.round("cost", 9).alias("cost"))
+    """The codon of least cost for each residue by each language's usage; the first where several are."""
+    return C.best_codons(C.weights(_usage(spark, d))).withColumn("cost", F.round("cost", 9))
 
 
 @protein_query("protein_source", "SELECT protein_id, seq FROM protein")
@@ -148,13 +172,15 @@ def lattice_edge_sums(spark, proteins):
 _MOTIFS = ", ".join(f"('{m.replace('T', 'U')}')" for m in MOTIFS)
 
 
-@query("motif_transitions", f""", motif(motif) AS (VALUES {_MOTIFS}), state AS (SELECT DISTINCT substr(motif, 1, n::INT) AS state FROM motif, unnest(range(0, length(motif))) AS t(n)),
-reads AS (SELECT state, nuc, state || nuc AS r FROM state, (VALUES ('A'), ('C'), ('G'), ('U')) AS n(nuc)),
-ok AS (SELECT * FROM reads WHERE NOT EXISTS (SELECT 1 FROM motif WHERE ends_with(reads.r, motif)))
-SELECT ok.state AS state, nuc, arg_max(s.state, length(s.state)) AS next_state FROM ok JOIN state s ON ends_with(ok.r, s.state) GROUP BY ok.state, nuc""")
+@query("motif_transitions", f""", motif AS (SELECT DISTINCT p_type AS motifset_id, translate(lower(regexp_replace(p_name, '[^A-Za-z]', '', 'g')), '{_LETTERS}', '{_NUCLEOTIDES}') AS motif FROM part),
+state AS (SELECT DISTINCT motifset_id, substr(motif, 1, n::INT) AS state FROM motif, unnest(range(0, length(motif))) AS t(n)),
+reads AS (SELECT motifset_id, state, nuc, state || nuc AS r FROM state, (VALUES ('A'), ('C'), ('G'), ('U')) AS n(nuc)),
+ok AS (SELECT * FROM reads WHERE NOT EXISTS (SELECT 1 FROM motif WHERE motif.motifset_id = reads.motifset_id AND ends_with(reads.r, motif)))
+SELECT ok.motifset_id, ok.state AS state, nuc, arg_max(s.state, length(s.state)) AS next_state FROM ok JOIN state s ON s.motifset_id = ok.motifset_id AND ends_with(ok.r, s.state) GROUP BY ok.motifset_id, ok.state, nuc""")
 def motif_transitions(spark, d):
-    motifs = spark.createDataFrame([("all", m) for m in MOTIFS], "motifset_id string, motif string")
-    return C.motif_transitions(motifs).select("state", "nuc", "next_state")
+    """For each type of part the automaton that avoids its parts' names, read as RNA."""
+    motif = F.translate(F.lower(F.regexp_replace("p_name", "[^A-Za-z]", "")), _LETTERS, _NUCLEOTIDES)
+    return C.motif_transitions(_read("part")(spark, d).select(F.col("p_type").alias("motifset_id"), motif.alias("motif")))
 
 
 @protein_query("motif_scan", "SELECT protein_id, string_agg(codon, '' ORDER BY pos) AS cds FROM residue JOIN best USING (aa) GROUP BY protein_id HAVING " + " AND ".join(f"NOT contains(string_agg(codon, '' ORDER BY pos), '{m.replace('T', 'U')}')" for m in MOTIFS))
