@@ -23,6 +23,15 @@ def codons(x: Column) -> Column:
     return F.when((F.length(x) > 0) & (F.length(x) % 3 == 0), F.regexp_extract_all(x, F.lit("(?s).{3}"), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
+def brackets(text: Column) -> Column:
+    """The test tables' stand-in for a structure: each line of a text is a pair around its words, each
+    run of letters a pair around as many unpaired bases (with a capital, one pair and base more),
+    any other character an unpaired base. Balanced for every text."""
+    x = F.regexp_replace(F.regexp_replace(text, "[^A-Za-z\n]", "."), "([A-Z][A-Za-z]*)", "[.$1]")
+    x = F.translate(F.regexp_replace(F.regexp_replace(x, "([A-Za-z]+)", "($1)"), "[A-Za-z]", "."), "[]", "()")
+    return F.concat(F.lit("("), F.regexp_replace(x, "\n+", ")("), F.lit(")"))
+
+
 def protein(text: Column) -> Column:
     """The test tables' stand-in for a protein: all letters of the whole text that name residues."""
     return F.upper(F.regexp_replace(text, "[^A-Za-z]|[BJOUXZbjouxz]", ""))

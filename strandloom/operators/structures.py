@@ -31,11 +31,10 @@ def validity(designs: DataFrame) -> DataFrame:
     )
 
 
-def loops(structures: DataFrame) -> DataFrame:
-    """id, i, j, branches, unpaired: the loop that each pair of balanced structures (id,
-    structure) closes. Pairs inside a pair and not inside a nearer one follow it in its level's
-    next one, up to its end: a pair's parent is the last one that opened a level further out."""
-    pairs = C.base_pairs(structures)
+def _placed(structures: DataFrame) -> DataFrame:
+    """id, i, c, parent of every opening bracket and dot inside a pair of balanced structures (id,
+    structure); parent is the opening bracket of the nearest pair around it. What is inside a pair
+    and not inside a nearer one follows it in its level: the last one that opened a level further out."""
     opened = structures.select("id", F.posexplode(F.filter(F.split("structure", ""), lambda c: c != "")).alias("i", "c"))
     depth = F.sum(F.when(F.col("c") == "(", 1).when(F.col("c") == ")", -1).otherwise(0)).over(W.partitionBy("id").orderBy("i"))
     # a character's level: of a bracket its own pair's, of a dot the one of the pair around it
@@ -44,9 +43,29 @@ def loops(structures: DataFrame) -> DataFrame:
     inside = level.where("c != ')'").withColumn("up", F.when(F.col("c") == "(", F.col("level") - 1).otherwise(F.col("level"))).where("up > 0")
     both = opens.select("id", "i", F.col("level").alias("up"), F.lit(True).alias("open"), F.lit(None).cast("string").alias("c")).unionByName(inside.select("id", "i", "up", F.lit(False).alias("open"), "c"))
     parent = F.last(F.when(F.col("open"), F.col("i")), ignorenulls=True).over(W.partitionBy("id", "up").orderBy("i", F.desc("open")))
-    told = both.withColumn("parent", parent).where("not open").groupBy("id", F.col("parent").alias("i")).agg(F.count_if(F.col("c") == "(").alias("branches"), F.count_if(F.col("c") == ".").alias("unpaired"))
+    return both.withColumn("parent", parent).where("not open").select("id", "i", "c", "parent")
+
+
+def loops(structures: DataFrame) -> DataFrame:
+    """id, i, j, branches, unpaired: the loop that each pair of balanced structures (id, structure) closes."""
+    told = _placed(structures).groupBy("id", F.col("parent").alias("i")).agg(F.count_if(F.col("c") == "(").alias("branches"), F.count_if(F.col("c") == ".").alias("unpaired"))
     zero = F.lit(0).cast("long")
-    return pairs.join(told, ["id", "i"], "left").select("id", "i", "j", F.coalesce("branches", zero).alias("branches"), F.coalesce("unpaired", zero).alias("unpaired"))
+    return C.base_pairs(structures).join(told, ["id", "i"], "left").select("id", "i", "j", F.coalesce("branches", zero).alias("branches"), F.coalesce("unpaired", zero).alias("unpaired"))
+
+
+def flanks(structures: DataFrame) -> DataFrame:
+    """id, parent, place, i, j, before, after: the branches of each loop in order (place from 1), with
+    the unpaired bases between a branch and what stands before it in its loop, and for the last
+    branch those up to the loop's end (else null). The loop is known by its pair's opening bracket;
+    the branches of one loop are put in order in one task."""
+    pairs = C.base_pairs(structures)
+    branch = _placed(structures).where("c = '('").join(pairs, ["id", "i"])
+    around = pairs.select("id", F.col("i").alias("parent"), F.col("j").alias("end"))
+    w = W.partitionBy("id", "parent").orderBy("i")
+    last = F.lead("i").over(w).isNull()
+    before = F.col("i") - F.coalesce(F.lag("j").over(w), F.col("parent")) - 1
+    rows = branch.join(around, ["id", "parent"])
+    return rows.select("id", "parent", F.row_number().over(w).cast("long").alias("place"), "i", "j", before.alias("before"), F.when(last, F.col("end") - F.col("j") - 1).alias("after"))
 
 
 def loop_metrics(structures: DataFrame) -> DataFrame:

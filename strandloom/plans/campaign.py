@@ -17,7 +17,7 @@ from ..operators import ordered as O
 from ..operators import records as R
 from ..operators import structures as T
 from ..sources import readers
-from .catalog import _USAGE, MOTIFS, SQL, _codons, _proteins, _read, _table, query
+from .catalog import _LOOP_SQL, _USAGE, MOTIFS, SQL, _codons, _proteins, _read, _structures, _table, query
 
 _nth = lambda key, *values: F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (F.col(key) % len(values) + 1).cast("int"))
 
@@ -137,14 +137,11 @@ def structure_validity(spark, d):
     return T.validity(rows).select("id", *_FLAGS)
 
 
-#: structure; least hairpin, widest two-way loop, loops of more branches and their unpaired bases.
-_LOOPS = (("((..((...))..(....).))", 3, 0, 1, 5), ("(((...)..))", 3, 2, 0, 0), ("(...)(....)", 3, None, 0, 0), ("((...)(...)(...))..((((.....).).))", 3, 1, 1, 0))
-
-
-@query("structure_metrics", "{raw}WITH e(k, least_hairpin, widest_two_way, multiloops, multiloop_unpaired) AS (VALUES " + ", ".join(f"({i}, " + ", ".join("NULL" if x is None else str(x) for x in v[1:]) + ")" for i, v in enumerate(_LOOPS)) + ") SELECT o_orderkey AS id, least_hairpin::BIGINT AS least_hairpin, widest_two_way::DOUBLE AS widest_two_way, multiloops::BIGINT AS multiloops, multiloop_unpaired::BIGINT AS multiloop_unpaired FROM orders JOIN e ON k = o_orderkey % 4")
+@query("structure_metrics", f""", {_LOOP_SQL}, l AS (SELECT p.id, p.i, p.j, count(f.i) AS branches, CASE WHEN count(f.i) = 0 THEN p.j - p.i - 1 ELSE sum(f.before) + sum(coalesce(f.after, 0)) END AS unpaired FROM pairs p LEFT JOIN flank f ON f.id = p.id AND f.parent = p.i GROUP BY p.id, p.i, p.j)
+SELECT id, (min(unpaired) FILTER (branches = 0))::BIGINT AS least_hairpin, (max(unpaired) FILTER (branches = 1))::DOUBLE AS widest_two_way, count(*) FILTER (branches > 1) AS multiloops, coalesce(sum(unpaired) FILTER (branches > 1), 0)::BIGINT AS multiloop_unpaired FROM l GROUP BY id""")
 def structure_metrics(spark, d):
-    rows = _read("orders")(spark, d).select(F.col("o_orderkey").alias("id"), _nth("o_orderkey", *(x[0] for x in _LOOPS)).alias("structure"))
-    return T.loop_metrics(rows).withColumn("widest_two_way", F.col("widest_two_way").cast("double"))
+    """Loops of the structures of whole texts."""
+    return T.loop_metrics(_structures(spark, d)).withColumn("widest_two_way", F.col("widest_two_way").cast("double"))
 
 
 @query("fixed_path_lattice", f"{{raw}}SELECT o_orderkey AS protein_id, unnest(range(0, 4)) AS pos, unnest(['A', 'C', 'G', ['A', 'C', 'G', 'U'][o_orderkey % 4 + 1]]) AS nuc, 0.0::DOUBLE AS weight FROM orders")

@@ -19,6 +19,7 @@ from ..functions import sequence as S
 from ..operators import analytics as A
 from ..operators import coding as C
 from ..operators import frontier as X
+from ..operators import structures as T
 
 FLAGSHIP = "max_cai_cds"
 QUERIES: dict = {}
@@ -211,19 +212,37 @@ def cds_language(spark, d):
 SQL["cds_language"] = "WITH RECURSIVE " + SQL["cds_language"].removeprefix("WITH ").replace("RECURSIVE_PART", "spelled(protein_id, seq, i, cds, penalty) AS (SELECT protein_id, seq, 0, ''::VARCHAR, 0.0::DOUBLE FROM name UNION ALL SELECT protein_id, seq, i + 1, cds || codon, penalty + neg_log_w FROM spelled JOIN weight ON aa = substr(seq, i + 1, 1) WHERE i < length(seq))")
 
 
-@query("structure_pairs", """, s AS (SELECT o_orderkey AS id, repeat('(', 1 + (o_orderkey % 4)::INT) || '...' || repeat(')', 1 + (o_orderkey % 4)::INT) || '.(...)' AS structure FROM orders),
-chars AS (SELECT id, i, substr(structure, i::INT + 1, 1) AS c FROM s, unnest(range(0, length(structure))) AS t(i)),
+def _structures(spark: SparkSession, d: str) -> DataFrame:
+    return _read("documents")(spark, d).where("text is not null").select(F.col("doc_id").alias("id"), S.brackets(F.col("text")).alias("structure"))
+
+
+#: Structures of texts, their pairs with levels, and the branches of each pair's loop.
+_LOOP_SQL = r"""s1 AS (SELECT doc_id AS id, regexp_replace(regexp_replace(text, '[^A-Za-z\n]', '.', 'g'), '([A-Z][A-Za-z]*)', '[.\1]', 'g') AS x FROM documents WHERE text IS NOT NULL),
+s2 AS (SELECT id, translate(regexp_replace(regexp_replace(x, '([A-Za-z]+)', '(\1)', 'g'), '[A-Za-z]', '.', 'g'), '[]', '()') AS x FROM s1),
+s AS (SELECT id, '(' || regexp_replace(x, '\n+', ')(', 'g') || ')' AS structure FROM s2),
+chars AS (SELECT id, unnest(range(0, length(structure))) AS i, unnest(string_split(structure, '')) AS c FROM s),
 level AS (SELECT id, i, c, sum(CASE c WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END) OVER (PARTITION BY id ORDER BY i) + CASE WHEN c = ')' THEN 1 ELSE 0 END AS level FROM chars WHERE c <> '.'),
-pairs AS (SELECT id, i, c, lead(i) OVER (PARTITION BY id, level ORDER BY i) AS j FROM level)
-SELECT id, i::BIGINT AS i, j::BIGINT AS j FROM pairs WHERE c = '('""")
+ends AS (SELECT id, i, c, level, lead(i) OVER (PARTITION BY id, level ORDER BY i) AS j FROM level),
+pairs AS (SELECT id, i, j, level FROM ends WHERE c = '('),
+met AS (SELECT id, level AS up, i, j, i AS own, j AS own_end FROM pairs UNION ALL SELECT id, level - 1, i, j, NULL, NULL FROM pairs),
+branch AS (SELECT * FROM (SELECT id, i, j, own, max(own) OVER w AS parent, max(own_end) OVER w AS parent_end FROM met WHERE up > 0 WINDOW w AS (PARTITION BY id, up ORDER BY i ROWS UNBOUNDED PRECEDING)) WHERE own IS NULL),
+flank AS (SELECT id, parent, row_number() OVER w AS place, i, j, i - coalesce(lag(j) OVER w, parent) - 1 AS before, CASE WHEN lead(i) OVER w IS NULL THEN parent_end - j - 1 END AS after FROM branch WINDOW w AS (PARTITION BY id, parent ORDER BY i))""".replace("\\\\", "\\")
+
+
+@query("structure_pairs", f", {_LOOP_SQL} SELECT id, i::BIGINT AS i, j::BIGINT AS j FROM pairs")
 def structure_pairs(spark, d):
-    """Base pairs of dot-bracket strings made from order keys."""
-    k = (1 + F.col("o_orderkey") % 4).cast("int")
-    s = F.concat(F.repeat(F.lit("("), k), F.lit("..."), F.repeat(F.lit(")"), k), F.lit(".(...)"))
-    rows = _read("orders")(spark, d).select(F.col("o_orderkey").alias("id"), s.alias("structure")).where(S.balanced(F.col("structure")))
+    """Base pairs of the structures of whole texts."""
+    rows = _structures(spark, d).where(S.balanced(F.col("structure")))
     return C.base_pairs(rows).select("id", F.col("i").cast("long"), F.col("j").cast("long"))
 
 
+@query("loop_flanks", f", {_LOOP_SQL} SELECT id, parent::BIGINT AS parent, place::BIGINT AS place, i::BIGINT AS i, j::BIGINT AS j, before::BIGINT AS before, after::BIGINT AS after FROM flank")
+def loop_flanks(spark, d):
+    """The branches of every loop of the structures of whole texts, with the gaps around them."""
+    out = T.flanks(_structures(spark, d))
+    return out.select("id", *(F.col(c).cast("long").alias(c) for c in ("parent", "place", "i", "j", "before", "after")))
+
+
 @query("quantile_describe", "{raw}SELECT event_type, count(value) AS n, round(min(value), 6) AS least, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.75), 6) AS q75, round(max(value), 6) AS greatest FROM events GROUP BY event_type")
 def quantile_describe(spark, d):
     out = A.describe(_read("events")(spark, d), ["event_type"], "value")

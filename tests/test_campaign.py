@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandloom.functions import sequence as S
 from strandloom.operators import analytics as A
 from strandloom.operators import coding as C
 from strandloom.operators import frontier as X
@@ -356,3 +357,32 @@ def test_plan_faults(spark):
     seen = [(k, {10: places[11], 11: places[10]}.get(k, p)) for k, p in seen]
     got = {r.k: (r.status, r.planned, r.recorded) for r in O.plan_faults(plan, spark.createDataFrame(seen, "k long, place long"), "k", "place").collect()}
     assert got == {5: ("missing", 1, 0), 6: ("missing", 1, 0), 9: ("extra", 1, 2), 777: ("extra", 0, 1), 10: ("misplaced", 1, 1), 11: ("misplaced", 1, 1)}
+
+
+def test_loop_flanks(spark):
+    """Branches and gaps of random structures, against a stack."""
+    texts = {1: "((..((...))..(....).))", 2: "(...)(....)", 3: "....", 4: "", 5: "(" * 40 + "..." + ")" * 40}
+    for k in range(6, 30):
+        out, depth = "", 0
+        while len(out) < 120:
+            c = RNG.choice([*"(()..)"])
+            depth += {"(": 1, ")": -1}.get(c, 0) if c != ")" or depth else 0
+            out += c if c != ")" or depth or out.count("(") > out.count(")") else "."
+        texts[k] = out + ")" * (out.count("(") - out.count(")"))
+    want = set()
+    for t, x in texts.items():
+        stack, pair, children = [], {}, {}
+        for i, c in enumerate(x):
+            if c == "(":
+                children.setdefault(stack[-1] if stack else None, []).append(i)
+                stack.append(i)
+            elif c == ")":
+                pair[stack.pop()] = i
+        for p, bs in children.items():
+            for k, i in enumerate(bs if p is not None else []):
+                want.add((t, p, k + 1, i, pair[i], i - (pair[bs[k - 1]] if k else p) - 1, pair[p] - pair[i] - 1 if k == len(bs) - 1 else None))
+    got = [tuple(r) for r in T.flanks(spark.createDataFrame(list(texts.items()), "id long, structure string")).collect()]
+    assert len(got) == len(want) and set(got) == want
+    lines = {1: "One two\n\n(three) Four5é", 2: "", 3: "\n", 4: "[x] {Y}"}
+    made = {r.id: r.s for r in spark.createDataFrame(list(lines.items()), "id long, t string").select("id", S.brackets(F.col("t")).alias("s")).collect()}
+    assert made == {1: "((.(...)).(...))(.(.....)..(.(....))..)", 2: "()", 3: "()()", 4: "(.(.)...(.(.)).)"}
