@@ -8,8 +8,8 @@ spread over many groups, and only the final texts of a conversation meet in one
 the output are running sums taken block by block, so long conversations take time in proportion.
 
 The template puts each turn between <turn> and </turn> with its role on the first line. In
-texts and roles a backslash becomes two and < becomes \\l, so no text holds a control string,
-and reading back is exact. The loss mask is the spans of assistant texts, in code points.
+texts and roles a backslash becomes two and < becomes \\l, in roles a line's end becomes \\n, so no
+text holds a control string, and reading back is exact. The loss mask is the spans of assistant texts, in code points.
 
 Defined cases: null text is empty; a null role is the empty role; events that share a seq are
 ordered by kind, role and text; repeated rows are repeated events; a message without a `start`
@@ -31,8 +31,12 @@ def escaped(x: Column) -> Column:
     return F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit("<"), F.lit("\\l"))
 
 
+def escaped_role(x: Column) -> Column:
+    return F.replace(escaped(x), F.lit("\n"), F.lit("\\n"))
+
+
 def unescaped(x: Column) -> Column:
-    return F.array_join(F.transform(F.split(x, r"\\\\", -1), lambda p: F.replace(p, F.lit("\\l"), F.lit("<"))), "\\")
+    return F.array_join(F.transform(F.split(x, r"\\\\", -1), lambda p: F.replace(F.replace(p, F.lit("\\l"), F.lit("<")), F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -52,7 +56,7 @@ def fold(events: DataFrame) -> DataFrame:
 def render(folded: DataFrame) -> DataFrame:
     """conv_id, formatted, loss: spans (start, stop) of what the mask has."""
     parts = F.transform("messages", lambda m: F.struct(
-        F.concat(F.lit(OPEN), escaped(m["role"]), F.lit("\n")).alias("head"), escaped(m["text"]).alias("body"), (m["role"] == LEARNED).alias("learned")))
+        F.concat(F.lit(OPEN), escaped_role(m["role"]), F.lit("\n")).alias("head"), escaped(m["text"]).alias("body"), (m["role"] == LEARNED).alias("learned")))
     rows = folded.select("conv_id", parts.alias("parts"))
     size = lambda p: F.length(p["head"]).cast("long") + F.length(p["body"]) + len(CLOSE)
     spans = F.zip_with("parts", common.sums_before(F.transform("parts", size)), lambda p, at: F.struct(

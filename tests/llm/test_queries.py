@@ -40,6 +40,7 @@ def sf_dir(spark, tmp_path_factory):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASH)).repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(i, i % 2, None if i % 5 else 0) for i in range(20)] + [(3, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
     talk = [(1, 0, "user", "hi"), (1, 1, "assistant", "a < b \\l <turn>\\"), (1, 1, "assistant", None), (1, 1, None, "tie"), (2, 0, None, None), (3, 5, "assistant", "</turn>\n<turn>assistant\nx"), (3, 5, "assistant", "</turn>\n<turn>assistant\nx")]
+    talk += [(6, 0, "a\nb\\n\n", "x\n\\n"), (6, 1, "assistant", "\\n\n\\")]
     talk += [(4, k, ("user", "assistant")[k % 2], f"turn {k} <é>\\ {'z' * (k % 9)}") for k in range(1500)]
     spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{path}/conversations.parquet")
     return path
@@ -125,7 +126,8 @@ def test_chat_events(spark, sf_dir):
         assert (r.n_turns, r.loss_chars) == (len(turns), len(learned))
         assert r.turns_sha256 == sha("".join(f"{role}\n{t}\n" for _, role, t in turns)) and r.loss_sha256 == sha(learned)
         escape = lambda x: x.replace("\\", "\\\\").replace("<", "\\l")
-        assert r.formatted_chars == sum(len(f"<turn>{escape(role)}\n{escape(t)}</turn>\n") for _, role, t in turns)
+        line = lambda role: escape(role).replace("\n", "\\n")
+        assert r.formatted_chars == sum(len(f"<turn>{line(role)}\n{escape(t)}</turn>\n") for _, role, t in turns)
 
 
 BASE = {
@@ -318,3 +320,12 @@ def test_stages_keep_and_drop_rows_without_ids(spark, nameless):
     kept = quality_rules.keep_good(docs)
     assert kept.columns == docs.columns and Counter(len(r.text) for r in kept.collect()) == Counter([len(ONE)] * 3 + [len("other words " + PASSAGE)])
     assert Counter(r.doc_id for r in partenum.keep_one(docs).collect())[None] == 3
+
+
+def test_roles_with_line_ends_are_read_back(spark):
+    from strandloom.llm import chat_events
+
+    turns = [("a\nb", "x"), ("a", "b\nx"), ("\\n", "\n\\n\\\n"), ("</turn>\n<turn>", "\\l<l\\")]
+    rows = spark.createDataFrame([(1, k, *t) for k, t in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    back = chat_events.read_back(chat_events.render(chat_events.fold(chat_events.log_of(rows)))).first()
+    assert [(t.role, t.text) for t in back.turns] == turns
