@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.sources import provenance, strict
+from strandloom.sources import provenance, sinks, strict
 
 sha = lambda x: hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
 
@@ -109,3 +109,71 @@ def test_header_must_be_exact(spark, tmp_path):
         path = put(tmp_path / f"{k}.csv", [r | {"more": 1} for r in table()], names)
         with pytest.raises(ValueError, match="header"):
             strict.read(spark, path, strict.RUN_COLUMNS)
+
+
+class Killed(Exception):
+    pass
+
+
+def _doubled(rows):
+    return rows.select("k", (F.col("v") * 2).alias("twice"), F.create_map(F.lit("a"), "v").alias("m"))
+
+
+@pytest.mark.parametrize("at", ["config", "rows", "entry"])
+def test_killed_and_repeated_run_leaves_one_result(spark, tmp_path, monkeypatch, at):
+    rows = spark.range(100).selectExpr("id % 17 AS k", "id AS v")
+    want = sorted((i % 17, 2 * i) for i in range(100))
+    path, seen = f"file://{tmp_path}/run", []
+
+    def work(part):
+        seen.append({r.k for r in part.collect()})
+        if at == "rows" and len(seen) == 2:
+            raise Killed
+        return _doubled(part)
+
+    written, kept = [], sinks._row
+
+    def row(spark_, where, *rest):
+        written.append(where)
+        if (at == "config" and len(written) == 1) or (at == "entry" and len(written) == 3):
+            raise Killed
+        kept(spark_, where, *rest)
+
+    monkeypatch.setattr(sinks, "_row", row)
+    with pytest.raises(Killed):
+        sinks.resumed(rows, work, path, {"seed": 1}, "k", units=3)
+    with pytest.raises(ValueError, match="no run|not complete"):
+        sinks.result(spark, path)
+    before = len(seen)
+    got = sinks.resumed(rows, work, path, {"seed": 1}, "k", units=3)
+    assert sorted((r.k, r.twice) for r in got.collect()) == want
+    assert len(seen) - before == {"config": 3, "rows": 2, "entry": 2}[at]  # committed units are not worked on again
+    again = len(seen)
+    assert sorted((r.k, r.twice) for r in sinks.resumed(rows, work, path, {"seed": 1}, "k", units=3).collect()) == want
+    assert len(seen) == again
+    assert sinks.unit_faults(spark, path).count() == 0
+
+
+def test_resume_fails_on_another_configuration(spark, tmp_path):
+    rows = spark.range(5).selectExpr("id AS k", "id AS v")
+    path = f"file://{tmp_path}/run"
+    sinks.resumed(rows, _doubled, path, {"seed": 1, "lambda": 0.5}, "k", units=2)
+    with pytest.raises(ValueError, match="lambda, more differ"):
+        sinks.resumed(rows, _doubled, path, {"more": None, "seed": 1, "lambda": 4}, "k", units=2)
+    with pytest.raises(ValueError, match="_units differ"):
+        sinks.resumed(rows, _doubled, path, {"seed": 1, "lambda": 0.5}, "k", units=3)
+    with pytest.raises(ValueError):
+        sinks.fingerprint({"x": float("nan")})
+    assert sinks.result(spark, path).count() == 5
+
+
+def test_units_changed_after_their_commit_are_told(spark, tmp_path):
+    path = f"file://{tmp_path}/run"
+    empty = spark.createDataFrame([], "k long, v long")
+    assert sinks.resumed(empty, _doubled, f"{path}-empty", {}, "k", units=2).count() == 0
+    assert sinks.unit_faults(spark, f"{path}-empty").count() == 0
+    sinks.resumed(spark.range(40).selectExpr("id AS k", "id AS v"), _doubled, path, {}, "k", units=2)
+    one = spark.read.parquet(f"{path}/data/unit=1")
+    held = one.count()
+    spark.createDataFrame(one.withColumn("twice", F.col("twice") + F.when(F.col("k") == one.agg(F.min("k")).head()[0], 1).otherwise(0)).collect(), one.schema).write.mode("overwrite").parquet(f"{path}/data/unit=1")
+    assert [(r.unit, r.listed, r.found, r.same) for r in sinks.unit_faults(spark, path).collect()] == [(1, held, held, False)]
