@@ -273,3 +273,59 @@ def slope_bootstrap(df: DataFrame, stratum: str, cluster: str, key: str, x: Colu
     long = total.select("scheme", "draw", wide.alias("a")).select("scheme", "draw", "a.*")
     drawn_v = F.when(F.col("draw") > 0, F.col("v"))
     return long.groupBy("scheme", "arm").agg(F.max(F.when(F.col("draw") == 0, F.col("v"))).alias("estimate"), F.percentile(drawn_v, 0.025).alias("low"), F.percentile(drawn_v, 0.975).alias("high"), F.count_if((F.col("draw") > 0) & F.col("v").isNull()).alias("lost"))
+
+
+def median_bootstrap(df: DataFrame, by: list[str], key: str, values: list[str], draws: int, seed: int = 7, least: int = 3) -> DataFrame:
+    """by, value, low, high, draws: 95 % intervals of each value's median by group, from draws with
+    Poisson weights; a row, told by its key, has the same weight for all values. Groups with fewer
+    than `least` values have no interval (and no draws), nor do draws without any row count.
+
+    A draw's median is an exact quantile of rows repeated by their weight: rows are copied in the
+    tasks that read them, counted before the shuffle, and only those near a median are grouped."""
+    long = F.explode(F.array(*(F.struct(F.lit(v).alias("value"), F.col(v).cast("double").alias("_x")) for v in values)))
+    rows = df.select(*by, F.col(key).cast("string").alias("_k"), long.alias("_l")).select(*by, "_k", "_l.*").where("_x is not null")
+    enough = rows.groupBy(*by, "value").agg(F.count("*").alias("_c")).where(F.col("_c") >= least).drop("_c")
+    given = same_keys(rows, enough, [*by, "value"])
+    u = draw(F.lit(str(seed)), F.col("draw").cast("string"), F.col("_k")) / F.lit(float(1 << 32))
+    weight = sum((F.when(u > c, 1).otherwise(0) for c in POISSON), F.lit(0))
+    drawn = given.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_w", weight).where("_w > 0")
+    copies = drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_w"))))
+    medians = quantiles(copies, [*by, "value", "draw"], "_x", [0.5])
+    return medians.groupBy(*by, "value").agg(F.percentile("q", 0.025).alias("low"), F.percentile("q", 0.975).alias("high"), F.count("*").alias("draws"))
+
+
+def case_summaries(pairs: DataFrame, by: list[str], key: str, ratios: dict[str, tuple[str, str]], deltas: dict[str, tuple[str, str]], ranges: list[str], draws: int, seed: int = 7) -> DataFrame:
+    """One wide row for each group of paired records; pairs has one row for each pair, told by key.
+
+    ratios: name to the columns (ours, theirs) of a speedup theirs / ours: median of both columns
+    and median, q1, q3, min, max, ci95_low and ci95_high of the ratio. deltas: name to (ours,
+    theirs): median and max of both, median, min and max of theirs - ours. ranges: min and max of a
+    column. A ratio of values that are not finite and above zero is null and leaves the summary;
+    invalid counts such pairs."""
+    good = lambda c: (F.col(c) > 0) & (F.col(c) < float("inf")) & ~F.isnan(c)
+    fine = {n: F.when(good(a) & good(b), F.col(b) / F.col(a)) for n, (a, b) in ratios.items()}
+    named = {f"{n}_ratio": r for n, r in fine.items()} | {f"{n}_delta": F.col(b) - F.col(a) for n, (a, b) in deltas.items()}
+    rows = pairs.withColumns(named)
+    columns = list(dict.fromkeys([c for two in (*ratios.values(), *deltas.values()) for c in two] + list(named)))
+    # one exact quantile of all columns: each is a group of its own
+    long = F.explode(F.array(*(F.struct(F.lit(c).alias("value"), F.col(c).cast("double").alias("_x")) for c in columns)))
+    q = quantiles(rows.select(*by, long.alias("_l")).select(*by, "_l.*"), [*by, "value"], "_x", [0.25, 0.5, 0.75])
+    pick = lambda c, s, name: F.max(F.when((F.col("value") == c) & (F.col("share") == s), F.col("q"))).alias(name)
+    wide = []
+    for n, (a, b) in ratios.items():
+        wide += [pick(a, 0.5, f"{a}_median"), pick(b, 0.5, f"{b}_median"), pick(f"{n}_ratio", 0.5, f"{n}_median"), pick(f"{n}_ratio", 0.25, f"{n}_q1"), pick(f"{n}_ratio", 0.75, f"{n}_q3")]
+    for n, (a, b) in deltas.items():
+        wide += [pick(a, 0.5, f"{a}_median"), pick(b, 0.5, f"{b}_median"), pick(f"{n}_delta", 0.5, f"{n}_median")]
+    ends = lambda c, n: [F.min(c).alias(f"{n}_min"), F.max(c).alias(f"{n}_max")]
+    told = [F.count("*").alias("pairs")]
+    for n, (a, b) in ratios.items():
+        told += [*ends(f"{n}_ratio", n), F.count_if(F.col(f"{n}_ratio").isNull()).alias(f"{n}_invalid")]
+    for n, (a, b) in deltas.items():
+        told += [F.max(a).alias(f"{a}_max"), F.max(b).alias(f"{b}_max"), *ends(f"{n}_delta", n)]
+    for c in ranges:
+        told += ends(c, c)
+    ci = median_bootstrap(rows, by, key, [f"{n}_ratio" for n in ratios], draws, seed)
+    bound = lambda n, end: F.max(F.when(F.col("value") == f"{n}_ratio", F.col(end))).alias(f"{n}_ci95_{end}")
+    intervals = ci.groupBy(*by).agg(*(bound(n, end) for n in ratios for end in ("low", "high")))
+    out = same_keys(rows.groupBy(*by).agg(*told), q.groupBy(*by).agg(*wide), by, "left")
+    return same_keys(out, intervals, by, "left").withColumns({"bootstrap_replicates": F.lit(draws), "bootstrap_seed": F.lit(seed)})

@@ -597,3 +597,34 @@ def planned_grid(spark, d):
     seen = plan.join(lines, "o_orderkey").withColumn("again", F.explode(F.sequence(F.lit(1), F.when(F.col("lines") % 5 == 0, 2).otherwise(1))))
     seen = seen.withColumn("place", F.when(F.col("lines") % 5 == 1, F.col("place") + 1).otherwise(F.col("place")))
     return O.plan_faults(plan, seen, "o_orderkey", "place")
+
+
+_ARMS_SQL = """a AS (SELECT l_orderkey, count(*) AS lines, max(l_extendedprice) FILTER (l_linenumber % 2 = 1) AS sparse_wall, max(l_extendedprice) FILTER (l_linenumber % 2 = 0) AS dense_wall,
+max(l_quantity) FILTER (l_linenumber % 2 = 1) AS sparse_solve, max(l_quantity) FILTER (l_linenumber % 2 = 0) AS dense_solve, max(l_partkey) FILTER (l_linenumber % 2 = 1) AS sparse_rss, max(l_partkey) FILTER (l_linenumber % 2 = 0) AS dense_rss,
+max(l_linenumber) AS threads, max(l_discount) AS load FROM lineitem GROUP BY l_orderkey), p AS (SELECT *, dense_wall / sparse_wall AS wall, dense_solve / sparse_solve AS solve, dense_rss - sparse_rss AS rss FROM a WHERE dense_wall IS NOT NULL AND sparse_wall IS NOT NULL)"""
+
+
+def _speed_sql(name: str) -> str:
+    q = lambda c, s: f"round(quantile_cont({c}::DOUBLE, {s}), 6)"
+    return f"{q(f'sparse_{name}', 0.5)} AS sparse_{name}_median, {q(f'dense_{name}', 0.5)} AS dense_{name}_median, {q(name, 0.5)} AS {name}_median, {q(name, 0.25)} AS {name}_q1, {q(name, 0.75)} AS {name}_q3, round(min({name}), 6) AS {name}_min, round(max({name}), 6) AS {name}_max, 0::BIGINT AS {name}_invalid"
+
+
+@query("paired_case_summaries", f"""{{raw}}WITH {_ARMS_SQL},
+t AS (SELECT lines, count(*) AS pairs, {_speed_sql("wall")}, {_speed_sql("solve")}, quantile_cont(sparse_rss::DOUBLE, 0.5) AS sparse_rss_median, quantile_cont(dense_rss::DOUBLE, 0.5) AS dense_rss_median, max(sparse_rss) AS sparse_rss_max, max(dense_rss) AS dense_rss_max,
+  quantile_cont(rss::DOUBLE, 0.5) AS rss_median, min(rss) AS rss_min, max(rss) AS rss_max, min(threads) AS threads_min, max(threads) AS threads_max, min(load) AS load_min, max(load) AS load_max FROM p GROUP BY lines),
+u AS (SELECT lines, draw, wall, solve, {_DRAW.format("'7:' || draw || ':' || l_orderkey")} / 4294967296.0::DOUBLE AS u FROM p, unnest(range(1, 41)) AS d(draw)),
+c AS (SELECT lines, draw, wall, solve, unnest(range(0, {_DRAWN})) AS copy FROM u WHERE lines IN (SELECT lines FROM t WHERE pairs >= 3)),
+m AS (SELECT lines, draw, quantile_cont(wall, 0.5) AS wall, quantile_cont(solve, 0.5) AS solve FROM c GROUP BY lines, draw),
+i AS (SELECT lines, round(quantile_cont(wall, 0.025), 6) AS wall_ci95_low, round(quantile_cont(wall, 0.975), 6) AS wall_ci95_high, round(quantile_cont(solve, 0.025), 6) AS solve_ci95_low, round(quantile_cont(solve, 0.975), 6) AS solve_ci95_high FROM m GROUP BY lines)
+SELECT *, 40 AS bootstrap_replicates, 7 AS bootstrap_seed FROM t LEFT JOIN i USING (lines)""")
+def paired_case_summaries(spark, d):
+    """Orders as pairs of runs (odd and even lines), summarised by how many lines they have."""
+    c = F.col
+    arms = {"sparse": c("l_linenumber") % 2 == 1, "dense": c("l_linenumber") % 2 == 0}
+    shown = {"wall": "l_extendedprice", "solve": "l_quantity", "rss": "l_partkey"}
+    pairs = _read("lineitem")(spark, d).groupBy("l_orderkey").agg(F.count("*").alias("lines"), *(F.max(F.when(on, c(x))).alias(f"{arm}_{n}") for arm, on in arms.items() for n, x in shown.items()), F.max("l_linenumber").alias("threads"), F.max("l_discount").alias("load"))
+    both = pairs.where("sparse_wall is not null and dense_wall is not null")
+    two = lambda n: (f"sparse_{n}", f"dense_{n}")
+    out = A.case_summaries(both, ["lines"], "l_orderkey", {"wall": two("wall"), "solve": two("solve")}, {"rss": two("rss")}, ["threads", "load"], 40)
+    exact = ("lines", "pairs", "threads", "load", "bootstrap")
+    return out.withColumns({n: F.round(n, 6) for n in out.columns if not n.startswith(exact) and "rss" not in n and not n.endswith("invalid")})

@@ -1,6 +1,7 @@
 """Analytics, lattices with motifs, structures, parsers and readers against brute force."""
 
 import gzip
+import hashlib
 import itertools
 import math
 
@@ -386,3 +387,20 @@ def test_loop_flanks(spark):
     lines = {1: "One two\n\n(three) Four5é", 2: "", 3: "\n", 4: "[x] {Y}"}
     made = {r.id: r.s for r in spark.createDataFrame(list(lines.items()), "id long, t string").select("id", S.brackets(F.col("t")).alias("s")).collect()}
     assert made == {1: "((.(...)).(...))(.(.....)..(.(....))..)", 2: "()", 3: "()()", 4: "(.(.)...(.(.)).)"}
+
+
+def test_case_summaries_of_few_invalid_and_null_pairs(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [("a", i, 1.0 + i, 2.0 + 3 * i, i, 10 - i) for i in range(9)] + [("a", 90, 0.0, 1.0, None, 5), ("a", 91, inf, 1.0, 5, 5), ("a", 92, nan, 1.0, 5, 5), ("b", 1, 2.0, 4.0, 1, 1), ("b", 2, 4.0, 2.0, 1, 2), (None, 1, 2.0, 6.0, 1, 4), ("none", 1, None, 1.0, None, None)]
+    pairs = spark.createDataFrame(rows, "g string, id int, ours double, theirs double, low int, high int")
+    got = {r.g: r for r in A.case_summaries(pairs, ["g"], "id", {"wall": ("ours", "theirs")}, {"rss": ("low", "high")}, ["id"], 30).collect()}
+    ratios = np.array([(2.0 + 3 * i) / (1.0 + i) for i in range(9)])
+    a = got["a"]
+    assert (a.pairs, a.wall_invalid, a.id_min, a.id_max) == (12, 3, 0, 92)
+    assert np.allclose([a.wall_min, a.wall_q1, a.wall_median, a.wall_q3, a.wall_max], np.quantile(ratios, [0, 0.25, 0.5, 0.75, 1]))
+    u = [[int(hashlib.md5(f"7:{draw}:{i}".encode()).hexdigest()[:8], 16) / 2**32 for i in range(9)] for draw in range(1, 31)]
+    medians = [np.median(np.repeat(ratios, [sum(x > c for c in A.POISSON) for x in us])) for us in u]
+    assert np.allclose([a.wall_ci95_low, a.wall_ci95_high], np.quantile(medians, [0.025, 0.975]))
+    assert (got["b"].wall_median, got["b"].wall_ci95_low, got["b"].wall_ci95_high, got["b"].rss_max) == (1.25, None, None, 1)  # two pairs have no interval
+    assert (got[None].wall_median, got[None].rss_median) == (3.0, 3.0)
+    assert (got["none"].pairs, got["none"].wall_invalid, got["none"].wall_median, got["none"].rss_max) == (1, 1, None, None)
