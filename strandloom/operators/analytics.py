@@ -275,6 +275,15 @@ def slope_bootstrap(df: DataFrame, stratum: str, cluster: str, key: str, x: Colu
     return long.groupBy("scheme", "arm").agg(F.max(F.when(F.col("draw") == 0, F.col("v"))).alias("estimate"), F.percentile(drawn_v, 0.025).alias("low"), F.percentile(drawn_v, 0.975).alias("high"), F.count_if((F.col("draw") > 0) & F.col("v").isNull()).alias("lost"))
 
 
+def baseline_ratios(records: DataFrame, arm: str, key: list[str], value: str, baseline: str) -> DataFrame:
+    """arm, n, median, least, greatest of value / the baseline's value of the same key, for each
+    arm and key that the baseline has too. One record of each arm and key; a ratio to zero counts
+    as none. The baseline's rows are joined as they are, so a hot key is split like any join's."""
+    base = records.where(F.col(arm) == baseline).select(*key, F.col(value).alias("_base"))
+    met = same_keys(records.select(*key, arm, value), base, key).withColumn("ratio", F.try_divide(value, "_base"))
+    return describe(met, [arm], "ratio").select(arm, "n", "median", "least", "greatest")
+
+
 def median_bootstrap(df: DataFrame, by: list[str], key: str, values: list[str], draws: int, seed: int = 7, least: int = 3) -> DataFrame:
     """by, value, low, high, draws: 95 % intervals of each value's median by group, from draws with
     Poisson weights; a row, told by its key, has the same weight for all values. Groups with fewer

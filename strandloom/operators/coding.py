@@ -72,15 +72,39 @@ def unknown_residues(proteins: DataFrame, table: DataFrame) -> DataFrame:
     return proteins.select("protein_id", F.explode(F.filter(F.array(odd), lambda f: f["unknown"].isNotNull())).alias("f")).select("protein_id", "f.*")
 
 
+def penalty(cds: Column, weighted: DataFrame) -> Column:
+    """Summed cost of a coding sequence's codons: infinite with an unknown codon."""
+    cost = F.create_map(*(x for r in weighted.select("codon", "neg_log_w").collect() for x in (F.lit(r.codon), F.lit(float(r.neg_log_w)))))  # at most 64 rows
+    each = F.transform(S.codons(cds), lambda c: F.coalesce(F.try_element_at(cost, c), F.lit(float("inf"))))
+    return F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+
+
 def codon_penalty(sequences: DataFrame, weighted: DataFrame) -> DataFrame:
     """protein_id, penalty of coding sequences (protein_id, cds): infinite with an unknown codon,
     null where the length is no multiple of three (an error in strict use: records.demanded)."""
-    cost = F.create_map(*(x for r in weighted.select("codon", "neg_log_w").collect() for x in (F.lit(r.codon), F.lit(float(r.neg_log_w)))))
-    each = F.transform(S.codons(F.col("cds")), lambda c: F.coalesce(F.try_element_at(cost, c), F.lit(float("inf"))))
-    total = F.aggregate(each, F.lit(0.0), lambda a, x: a + x)
+    total = penalty(F.col("cds"), weighted)
     return sequences.select("protein_id", F.when(F.length("cds") % 3 == 0, total).alias("penalty"))
 
 
+def precision_pairs(designs: DataFrame, weighted: DataFrame, by: list[str], full: str, rounded: str) -> DataFrame:
+    """For each case (by, trade_off) designed with a full and a rounded codon table: same_sequence,
+    mfe_difference (rounded - full), regret (what the rounded table's sequence loses of the full
+    table's objective) and candidate_ratio (null where the full one has no candidates).
+
+    designs: by, trade_off, table, rna, mfe, objective, candidates; one row of each table. Both
+    come to a case in one aggregation; cases with one of them only are left out. weighted: the full
+    table's weights. The regret is infinite where that table lacks a codon."""
+    of = lambda t, c: F.max(F.when(F.col("table") == t, F.col(c))).alias(f"_{c}_{t}")
+    columns = ("rna", "mfe", "objective", "candidates")
+    met = designs.where(F.col("table").isin(full, rounded)).groupBy(*by, "trade_off").agg(*(of(t, c) for t in (full, rounded) for c in columns))
+    f, r = ({c: F.col(f"_{c}_{t}") for c in columns} for t in (full, rounded))
+    both = met.where(f["rna"].isNotNull() & r["rna"].isNotNull())
+    common = r["mfe"] + F.col("trade_off") * penalty(r["rna"], weighted)
+    return both.select(
+        *by, "trade_off", (f["rna"] == r["rna"]).alias("same_sequence"), (r["mfe"] - f["mfe"]).alias("mfe_difference"), (common - f["objective"]).alias("regret"), F.try_divide(r["candidates"], f["candidates"]).alias("candidate_ratio"),
+    )
+
+
 def fixed_path(sequences: DataFrame) -> DataFrame:
     """protein_id, pos, nuc, weight: the lattice of one given RNA: an edge of no weight from each
     place to the next."""

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from strandloom.plans import campaign, catalog  # noqa: F401
+from strandloom.plans import campaign, catalog, run_checks  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 
