@@ -28,18 +28,18 @@ _STATUS_RULES = ("known", "in_time", "exit", "process", "timeout", "transcript",
 
 
 @query("run_status_rules", """{raw}WITH t AS (SELECT doc_id, coalesce(text, '') AS x, length(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS n, length(coalesce(text, '')) AS w FROM documents),
-r AS (SELECT *, CASE WHEN w % 5 < 3 THEN 'ok' WHEN w % 5 = 3 THEN 'failed' ELSE 'timeout' END AS status, w % 5 < 2 AS own, w % 5 = 2 AS harness, (CASE WHEN w % 7 = 0 THEN 1 - (w % 5 >= 3)::INT ELSE (w % 5 >= 3)::INT END) AS code, contains(x, '!') AS loud, contains(x, '?') AS asks, contains(x, chr(10)) AS lines FROM t),
+r AS (SELECT *, CASE WHEN w % 5 < 3 THEN 'ok' WHEN w % 5 = 3 THEN 'failed' ELSE 'timeout' END AS status, w % 5 < 2 AS own, w % 5 = 2 AS harness, (CASE WHEN w % 7 = 0 THEN 1 - (w % 5 >= 3)::INT ELSE (w % 5 >= 3)::INT END) AS code, contains(x, '!') AS loud, contains(x, '#') AS asks, contains(x, chr(10)) AS lines FROM t),
 f AS (SELECT doc_id, status, true AS known, true AS in_time, (code = 0) = (status = 'ok') AS exit, status <> 'ok' OR n % 4 < 2 AS process, status <> 'timeout' OR 1 + w / 100.0 >= 29 AS timeout, NOT harness OR NOT (loud OR asks) AS transcript, NOT harness OR n % 3 = 0 AS task, NOT harness OR n > 0 AS timers,
   NOT own OR NOT loud AS diagnostics, NOT own OR (n > 0 AND n % 3 = 0 AND NOT lines) AS design, NOT own OR NOT asks AS printed FROM r)
 SELECT *, known AND in_time AND exit AND process AND timeout AND transcript AND task AND timers AND diagnostics AND design AND printed AS ok FROM f""")
 def run_status_rules(spark, d):
     """Texts as runs: outputs of both kinds written from their letters and lengths, then checked.
-    Exclamation marks spoil a penalty or add a key, question marks an energy or a warning, line ends
+    Exclamation marks spoil a penalty or add a key, number signs an energy or a warning, line ends
     a structure, and letters that make no whole codons a length."""
     c, lit, say = F.col, F.lit, F.concat
     letters = F.regexp_replace("x", "[^A-Za-z]", "")
     rows = _read("documents")(spark, d).select("doc_id", F.coalesce("text", lit("")).alias("x"))
-    rows = rows.select("doc_id", F.translate(F.lower(letters), _LETTERS, _NUCLEOTIDES).alias("rna"), F.length("x").alias("w"), c("x").contains("!").alias("loud"), c("x").contains("?").alias("asks"), c("x").contains("\n").alias("lines")).withColumn("n", F.length("rna"))
+    rows = rows.select("doc_id", F.translate(F.lower(letters), _LETTERS, _NUCLEOTIDES).alias("rna"), F.length("x").alias("w"), c("x").contains("!").alias("loud"), c("x").contains("#").alias("asks"), c("x").contains("\n").alias("lines")).withColumn("n", F.length("rna"))
     kind = c("w") % 5
     rows = rows.withColumns({"aa_length": F.floor(c("n") / 3).cast("int"), "status": F.when(kind < 3, "ok").when(kind == 3, "failed").otherwise("timeout"), "mode": F.when(kind == 2, "sparse").otherwise("cli"), "cai": 1 / (1 + c("n") % 7)})
     rows = rows.withColumns({"penalty": -c("aa_length") * F.log("cai"), "energy": -c("n") / 10.0})
@@ -137,21 +137,21 @@ def baseline_ratios(spark, d):
     return out.select("l_returnflag", "n", *(F.round(c, 9).alias(c) for c in ("median", "least", "greatest")))
 
 
-@query("precision_pairs", f""", {_USAGE}, pooled AS (SELECT codon, aa, sum(freq) AS n FROM usage GROUP BY codon, aa), share AS (SELECT codon, aa, n / sum(n) OVER (PARTITION BY aa) AS full_, round(n / sum(n) OVER (PARTITION BY aa), 2) AS rounded FROM pooled),
+@query("precision_pairs", f""", {_USAGE}, pooled AS (SELECT codon, aa, sum(freq) AS n FROM usage WHERE table_id = 'en' GROUP BY codon, aa), share AS (SELECT codon, aa, n / sum(n) OVER (PARTITION BY aa) AS full_, round(n / sum(n) OVER (PARTITION BY aa), 1) AS rounded FROM pooled),
 cost AS (SELECT codon, aa, -ln(CASE WHEN full_ > 0 THEN full_ / max(full_) OVER (PARTITION BY aa) ELSE 1e-9 END) AS f, -ln(CASE WHEN rounded > 0 THEN rounded / max(rounded) OVER (PARTITION BY aa) ELSE 1e-9 END) AS r FROM share),
 pick AS (SELECT aa, arg_min(codon, (f, codon)) AS fc, min(f) AS fp, arg_min(codon, (r, codon)) AS rc, arg_min(f, (r, codon)) AS rp FROM cost GROUP BY aa),
 each AS (SELECT aa, fc = rc AS same, rp - fp AS loss, length(regexp_replace(fc, '[AU]', '', 'g')) AS fg, length(regexp_replace(rc, '[AU]', '', 'g')) AS rg FROM pick),
 p AS (SELECT protein_id, bool_and(same) AS same, sum(loss) AS loss, sum(fg) AS fg, sum(rg) AS rg FROM residue JOIN each USING (aa) GROUP BY protein_id)
 SELECT protein_id, 4.0::DOUBLE AS trade_off, same AS same_sequence, round((fg - rg) / 10, 6) AS mfe_difference, round((fg - rg) / 10 + 4 * loss, 5) AS regret, round(rg / nullif(fg, 0), 9) AS candidate_ratio FROM p""")
 def precision_pairs(spark, d):
-    """Proteins of whole texts designed with the usage of all texts and with it in two decimals. A G
+    """Proteins of whole texts designed with the usage of one language and with it in one decimal. A G
     or C stands in for a tenth of energy and for a candidate."""
-    usage = _usage(spark, d).groupBy("codon", "aa").agg(F.sum("freq").alias("n"))  # 64 rows
+    usage = _usage(spark, d).where("table_id = 'en'").groupBy("codon", "aa").agg(F.sum("freq").alias("n"))  # 64 rows
     share = usage.withColumn("freq", F.try_divide("n", F.sum("n").over(W.partitionBy("aa"))))
     # written out once, so that the texts are not counted again for each design
     rows = [(r.codon, r.aa, r.freq) for r in share.collect()]
     table = lambda name, places: spark.createDataFrame([(name, c, a, f if places is None else round(f, places)) for c, a, f in rows], "table_id string, codon string, aa string, freq double")
-    weighted = {"full": C.weights(table("full", None)), "rounded": C.weights(table("rounded", 2))}
+    weighted = {"full": C.weights(table("full", None)), "rounded": C.weights(table("rounded", 1))}
     proteins = _proteins(spark, d)
     parts = []
     for name, w in weighted.items():
