@@ -109,3 +109,37 @@ def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     columns = a.columns
     both = a.withColumn("_n", F.lit(1)).unionByName(b.withColumn("_n", F.lit(-1)))
     return both.groupBy(*columns).agg(F.sum("_n").alias("more")).where("more != 0")
+
+
+def sorted_json(**columns: Column) -> Column:
+    """A JSON object with keys in order, nulls written out; null where a number in it is not
+    finite, as JSON has no such numbers. Numbers and strings only."""
+
+    def field(name: str, value: Column) -> Column:
+        # one field of one object at a time: to_json does the escaping, and leaves a null out
+        one = F.to_json(F.struct(value.alias(name)))
+        return F.when(value.isNull(), f'"{name}":null').otherwise(F.substring(one, F.lit(2), F.length(one) - 2))
+
+    text = F.concat(F.lit("{"), F.concat_ws(",", *(field(k, columns[k]) for k in sorted(columns))), F.lit("}"))
+    odd = reduce(lambda a, b: a | b, (F.coalesce(v.try_cast("double").isin(float("nan"), float("inf"), float("-inf")), F.lit(False)) & ~F.typeof(v).isin("string") for v in columns.values()))
+    return F.when(~odd, text)
+
+
+def chain_faults(records: DataFrame, metadata: DataFrame, plans: DataFrame, varying: list[str]) -> DataFrame:
+    """fault, name, chains, n of what keeps chains of records from being put together; no row where
+    nothing does.
+
+    records: chain, label. metadata: chain, key, value. plans: chain, planned. count: a chain with
+    another number of records than planned (name is the chain, n its records). differs: a key but
+    those of varying that has several values, or that some chain lacks (n values, null included).
+    repeated: a label that several records have (n of them)."""
+    chains = plans.agg(F.count_distinct("chain").alias("_all"))
+    counts = plans.groupBy("chain").agg(F.sum("planned").alias("planned")).join(records.groupBy("chain").agg(F.count("*").alias("_n")), "chain", "full")
+    wrong = counts.where(~F.coalesce("_n", F.lit(0).cast("long")).eqNullSafe(F.col("planned"))).select(F.lit("count").alias("fault"), F.col("chain").cast("string").alias("name"), F.lit(1).cast("long").alias("chains"), F.coalesce("_n", F.lit(0).cast("long")).alias("n"))
+    keys = metadata.where(~F.col("key").isin(varying)) if varying else metadata
+    # a chain without the key counts as one more value
+    values = keys.groupBy("key").agg(F.count_distinct(F.struct("value")).alias("_v"), F.count_distinct("chain").alias("chains")).crossJoin(F.broadcast(chains))  # one row
+    lacking = (F.col("chains") < F.col("_all")).cast("long")
+    differs = values.where(F.col("_v") + lacking > 1).select(F.lit("differs").alias("fault"), F.col("key").alias("name"), "chains", (F.col("_v") + lacking).alias("n"))
+    repeated = records.groupBy("label").agg(F.count_distinct("chain").alias("chains"), F.count("*").alias("n")).where("n > 1").select(F.lit("repeated").alias("fault"), F.col("label").cast("string").alias("name"), "chains", "n")
+    return wrong.unionAll(differs).unionAll(repeated)

@@ -325,11 +325,13 @@ def multiset_difference(spark, d):
     return R.multiset_difference(_read("customer")(spark, d).select(F.col("c_nationkey").alias("k")), _read("supplier")(spark, d).select(F.col("s_nationkey").alias("k")))
 
 
-@query("panel_difference", "{raw}SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 4")
+@query("panel_difference", "{raw}SELECT p_partkey, f AS flag, t AS place FROM part, unnest(['A', 'N', 'R']) AS a(f), unnest(range(1, 8)) AS b(t) EXCEPT SELECT l_partkey, l_returnflag, l_linenumber FROM lineitem")
 def panel_difference(spark, d):
-    """Planned parts without a returned record."""
-    seen = _read("lineitem")(spark, d).where("l_returnflag = 'R' and l_linenumber = 4").select(F.col("l_partkey").alias("p_partkey"))
-    return _read("part")(spark, d).select("p_partkey").distinct().join(seen, "p_partkey", "left_anti")
+    """Planned cells (part, flag and place) without a record."""
+    cell = F.explode(F.array(*(F.struct(F.lit(f).alias("flag"), F.lit(t).alias("place")) for f in "ANR" for t in range(1, 8))))
+    planned = _read("part")(spark, d).select("p_partkey").distinct().select("p_partkey", cell.alias("c")).select("p_partkey", "c.*")
+    seen = _read("lineitem")(spark, d).select(F.col("l_partkey").alias("p_partkey"), F.col("l_returnflag").alias("flag"), F.col("l_linenumber").alias("place")).distinct()
+    return planned.join(seen, ["p_partkey", "flag", "place"], "left_anti")
 
 
 @query("record_checks", "{raw}WITH c AS (SELECT l_returnflag, l_quantity > 0 AND l_quantity <= 50 AS counts, abs(l_discount - round(l_discount, 2)) <= 1e-9 AS exact, l_extendedprice >= l_quantity AS priced, l_tax < 0.08 AS taxed FROM lineitem) SELECT l_returnflag, count(*) AS n, count(*) FILTER (NOT counts) AS counts, count(*) FILTER (NOT exact) AS exact, count(*) FILTER (NOT priced) AS priced, count(*) FILTER (NOT taxed) AS taxed, count(*) FILTER (counts AND exact AND priced AND taxed) AS ok FROM c GROUP BY l_returnflag")
@@ -388,11 +390,12 @@ def case_summary(spark, d):
         F.count_if(r).alias("returned"), F.round(F.avg(F.when(r, F.col("l_discount"))), 9).alias("discount"), F.min("l_shipdate").alias("first_run"), F.max("l_shipdate").alias("last_run"))
 
 
-@query("outcomes", "{raw}WITH l AS (SELECT l_orderkey, max(l_returnflag) AS flag FROM lineitem WHERE l_linenumber = 2 GROUP BY l_orderkey) SELECT o_orderpriority, coalesce(flag, 'missing') AS outcome, count(*) AS n FROM orders LEFT JOIN l ON o_orderkey = l_orderkey GROUP BY ALL")
+@query("outcomes", "{raw}WITH l AS (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS flag FROM lineitem GROUP BY ALL), p AS (SELECT o_orderkey, o_orderpriority, unnest(range(1, 8)) AS place FROM orders) SELECT o_orderpriority, place::INT AS place, coalesce(flag, 'missing') AS outcome, count(*) AS n FROM p LEFT JOIN l ON o_orderkey = l_orderkey AND place = l_linenumber GROUP BY ALL")
 def outcomes(spark, d):
-    """Planned orders by outcome, those without a record included."""
-    seen = _read("lineitem")(spark, d).where("l_linenumber = 2").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_returnflag").alias("flag"))
-    return _read("orders")(spark, d).join(seen, "o_orderkey", "left").groupBy("o_orderpriority", F.coalesce("flag", F.lit("missing")).alias("outcome")).agg(F.count("*").alias("n"))
+    """Planned places of orders by outcome, those without a record included."""
+    seen = _read("lineitem")(spark, d).groupBy(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("place")).agg(F.max("l_returnflag").alias("flag"))
+    planned = _read("orders")(spark, d).select("o_orderkey", "o_orderpriority", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("place"))
+    return planned.join(seen, ["o_orderkey", "place"], "left").groupBy("o_orderpriority", "place", F.coalesce("flag", F.lit("missing")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
 @query("counter_deltas", "{raw}SELECT event_id, CASE WHEN event_id % 5 > 0 THEN 3.0::DOUBLE * (event_id % 5) END AS busy, CASE WHEN event_id % 5 > 0 THEN round(3.0 * (event_id % 5) / (3.0 * (event_id % 5) + 7), 9) END AS used FROM events")

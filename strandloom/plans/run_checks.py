@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import sequence as S
 from ..operators import analytics as A
 from ..operators import coding as C
+from ..operators import frontier as X
+from ..operators import ordered as O
+from ..operators import records as R
 from ..operators import run_rules as Q
 from .catalog import _LETTERS, _NUCLEOTIDES, _USAGE, _proteins, _read, _usage, query
 
@@ -161,3 +164,41 @@ def precision_pairs(spark, d):
         parts.append(made)
     out = C.precision_pairs(parts[0].unionByName(parts[1]), weighted["full"], ["protein_id"], "full", "rounded")
     return out.withColumns({"mfe_difference": F.round("mfe_difference", 6), "regret": F.round("regret", 5), "candidate_ratio": F.round("candidate_ratio", 9)})
+
+
+@query("frontier_json", """{raw}WITH f AS (SELECT DISTINCT l_suppkey, l_quantity, l_extendedprice FROM lineitem x WHERE NOT EXISTS (SELECT 1 FROM lineitem y WHERE y.l_suppkey = x.l_suppkey AND y.l_quantity <= x.l_quantity AND y.l_extendedprice <= x.l_extendedprice AND (y.l_quantity < x.l_quantity OR y.l_extendedprice < x.l_extendedprice)))
+SELECT row_number() OVER (ORDER BY round(l_extendedprice * 100)::BIGINT, -l_quantity, l_suppkey) AS rank, '{"case":' || l_suppkey || ',"cost":' || l_quantity || ',"mfe":' || l_extendedprice || ',"note":null}' AS document FROM f""")
+def frontier_json(spark, d):
+    """Points of all frontiers in order of energy, the costlier first of equal ones, as JSON with sorted keys."""
+    points = X.pareto(_read("lineitem")(spark, d), ["l_suppkey"], "l_quantity", "l_extendedprice")
+    placed = points.withColumns({"place": F.round(F.col("l_extendedprice") * 100).cast("long"), "less": -F.col("l_quantity")})
+    text = R.sorted_json(mfe=F.col("l_extendedprice"), cost=F.col("l_quantity"), case=F.col("l_suppkey"), note=F.lit(None).cast("string"))
+    return O.in_order(placed, "place", "less", "l_suppkey").select("rank", text.alias("document"))
+
+
+@query("thread_order", "{raw}SELECT event_id, user_id % 16 AS threads, row_number() OVER (ORDER BY -(user_id % 16), event_id) AS rank FROM events")
+def thread_order(spark, d):
+    """Tasks with the most threads first, in their own order otherwise."""
+    threads = F.col("user_id") % 16
+    rows = _read("events")(spark, d).select("event_id", threads.alias("threads"), (F.col("event_id") - threads * F.lit(1 << 40)).alias("place"))
+    return O.in_order(rows, "place").select("event_id", "threads", "rank")
+
+
+@query("codon_options", f", {_USAGE} SELECT table_id, aa, string_agg(codon, ',' ORDER BY codon) AS codons, count(*) FILTER (freq > 0) AS used FROM relative GROUP BY table_id, aa")
+def codon_options(spark, d):
+    """The codons of each residue in order, and how many of them a language's texts use."""
+    return _usage(spark, d).groupBy("table_id", "aa").agg(F.array_join(F.array_sort(F.collect_list("codon")), ",").alias("codons"), F.count_if(F.col("freq") > 0).alias("used"))
+
+
+@query("chain_faults", """{raw}WITH r AS (SELECT o_orderpriority AS chain, o_custkey || '.' || o_orderstatus AS label, o_orderstatus, o_orderdate, o_totalprice FROM orders), p AS (SELECT chain, count(*) AS n, count(*) FILTER (o_totalprice > 2000) AS planned FROM r GROUP BY chain),
+m AS (SELECT chain, o_orderstatus AS key, year(max(o_orderdate))::VARCHAR AS value FROM r GROUP BY ALL UNION ALL SELECT chain, 'records', n::VARCHAR FROM p UNION ALL SELECT chain, 'name', chain FROM p), v AS (SELECT key, count(DISTINCT value) AS n, count(DISTINCT chain) AS chains FROM m WHERE key <> 'name' GROUP BY key)
+SELECT 'count' AS fault, chain AS name, 1::BIGINT AS chains, n FROM p WHERE n <> planned UNION ALL SELECT 'differs', key, chains, n + (chains < (SELECT count(*) FROM p))::INT FROM v WHERE n + (chains < (SELECT count(*) FROM p))::INT > 1
+UNION ALL SELECT 'repeated', label, count(DISTINCT chain), count(*) FROM r GROUP BY label HAVING count(*) > 1""")
+def chain_faults(spark, d):
+    """Priorities as chains of orders that are to be put together."""
+    c = F.col
+    rows = _read("orders")(spark, d).select(c("o_orderpriority").alias("chain"), F.concat(c("o_custkey").cast("string"), F.lit("."), "o_orderstatus").alias("label"), "o_orderstatus", "o_orderdate", "o_totalprice")
+    sizes = rows.groupBy("chain").agg(F.count("*").alias("n"), F.count_if(c("o_totalprice") > 2000).alias("planned"))
+    dates = rows.groupBy("chain", c("o_orderstatus").alias("key")).agg(F.year(F.max("o_orderdate")).cast("string").alias("value"))
+    metadata = dates.unionAll(sizes.select("chain", F.lit("records"), c("n").cast("string"))).unionAll(sizes.select("chain", F.lit("name"), "chain"))
+    return R.chain_faults(rows.select("chain", "label"), metadata, sizes.select("chain", "planned"), ["name"])

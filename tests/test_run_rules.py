@@ -6,6 +6,9 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from strandloom.operators import analytics as A
+from strandloom.operators import coding as C
+from strandloom.operators import records as R
 from strandloom.operators import run_rules as Q
 
 RECORD = "id string, status string, phase string, mode string, exit_code int, reported_exit int, wall_seconds double, process_seconds double, rss_gib double, cap_seconds double, started timestamp, finalized timestamp, stdout string, stderr string, trade_off double, threads int, aa_length int"
@@ -108,3 +111,28 @@ def test_matched_cases(spark):
     got = {r.case: r for r in Q.matched_cases(spark.createDataFrame(rows, "case string, tool string, repetition int, status string, valid boolean, admissible boolean, seconds double, energy double"), "case", ("ours", "theirs")).collect()}
     assert {k for k, r in got.items() if r.eligible} == {"fine", "near"}
     assert len(got) == 12 and tuple(got["fine"])[1:] == (True, 3.0, 6.0, 2.0) and got["four"].ratio is None
+
+
+def test_sorted_json_has_no_nan(spark):
+    rows = spark.createDataFrame([(1, 0.5, 'a"b'), (2, float("nan"), "x"), (3, float("-inf"), None), (4, None, "NaN"), (5, 1.0, None)], "i int, v double, s string")
+    got = {r.i: r.j for r in rows.select("i", R.sorted_json(v=F.col("v"), s=F.col("s"), i=F.col("i")).alias("j")).collect()}
+    assert got == {1: '{"i":1,"s":"a\\"b","v":0.5}', 2: None, 3: None, 4: '{"i":4,"s":"NaN","v":null}', 5: '{"i":5,"s":null,"v":1.0}'}
+
+
+def test_chain_faults(spark):
+    records = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "z"), ("b", "x"), ("c", "w")], "chain string, label string")
+    metadata = spark.createDataFrame([("a", "host", "h"), ("b", "host", "h"), ("c", "host", "h"), ("a", "cpu", "0"), ("b", "cpu", "1"), ("c", "cpu", "2"), ("a", "seed", "1"), ("b", "seed", "2"), ("c", "seed", "1"), ("a", "pin", "p"), ("b", "pin", "p"), ("a", "none", None), ("b", "none", None), ("c", "none", None)], "chain string, key string, value string")
+    plans = spark.createDataFrame([("a", 2), ("b", 3), ("c", 1), ("d", 4)], "chain string, planned long")
+    got = {tuple(r) for r in R.chain_faults(records, metadata.union(spark.createDataFrame([("d", k, v) for k, v in (("host", "h"), ("seed", "1"), ("pin", "p"), ("none", None))], metadata.schema)), plans, ["cpu"]).collect()}
+    assert got == {("count", "b", 1, 2), ("count", "d", 1, 0), ("differs", "seed", 4, 2), ("differs", "pin", 3, 2), ("repeated", "x", 2, 2)}
+
+
+def test_precision_pairs_and_baselines(spark):
+    table = spark.createDataFrame([("t", "GCU", "A", 0.5), ("t", "GCC", "A", 0.25), ("t", "AUG", "M", 1.0)], "table_id string, codon string, aa string, freq double")
+    rows = [("p", 4.0, "full", "AUGGCU", -1.0, -1.0, 8), ("p", 4.0, "r2", "AUGGCC", -1.5, -1.5, 6), ("q", 4.0, "full", "AUG", -1.0, -1.0, 0), ("q", 4.0, "r2", "AUG", -1.0, -1.0, 3), ("r", 4.0, "full", "AUG", 0.0, 0.0, 1), ("s", 0.0, "full", "GCU", -1.0, -1.0, 2), ("s", 0.0, "r2", "AAA", -1.0, -1.0, 2)]
+    designs = spark.createDataFrame(rows, "protein_id string, trade_off double, table string, rna string, mfe double, objective double, candidates long")
+    got = {r.protein_id: tuple(r)[2:] for r in C.precision_pairs(designs, C.weights(table), ["protein_id"], "full", "r2").collect()}
+    assert got["p"] == (False, -0.5, pytest.approx(-0.5 + 4 * math.log(2)), 0.75) and got["q"] == (True, 0.0, 0.0, None)
+    assert set(got) == {"p", "q", "s"}
+    runs = spark.createDataFrame([("h", 1, 2.0), ("h", 2, 4.0), ("h", 3, 0.0), ("h", None, 5.0), ("y", 1, 3.0), ("y", 2, 2.0), ("y", 3, 9.0), ("y", 4, 9.0), ("y", None, 10.0)], "host string, k int, z double")
+    assert {tuple(r) for r in A.baseline_ratios(runs, "host", ["k"], "z", "h").collect()} == {("h", 3, 1.0, 1.0, 1.0), ("y", 3, 1.5, 0.5, 2.0)}
