@@ -195,16 +195,18 @@ def bootstrap(df: DataFrame, by: list[str], key: str, value: str, draws: int, se
     return means.groupBy(*by).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 
-def paired_bootstrap(blocks: DataFrame, key: str, ratios: list[str], draws: int, seed: int = 7) -> DataFrame:
+def paired_bootstrap(blocks: DataFrame, rank: str, ratios: list[str], draws: int, seed: int = 7) -> DataFrame:
     """ratio, estimate, low, high: geometric means of paired ratios over blocks, and intervals
     from draws of as many blocks with replacement; a draw takes the same blocks for all ratios.
-    blocks is a table of blocks, not of runs: a block's number is its rank by key."""
-    named = blocks.select(F.row_number().over(W.orderBy(key)).alias("_i"), *(F.log(r).alias(r) for r in ratios))
+    rank numbers the blocks from 1 without gaps (ordered.in_order does, in many tasks). Picks are
+    counted by draw and block before they meet the blocks."""
+    named = blocks.select(F.col(rank).alias("_i"), *(F.log(r).alias(r) for r in ratios))
     n = blocks.agg(F.count("*").alias("_n"))
-    picks = F.broadcast(n).select("_n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
-    picks = picks.select("draw", (draw(F.lit(str(seed)), F.col("draw").cast("string"), F.col("_k").cast("string")) % F.col("_n") + 1).alias("_i"))
+    # each block gives one pick to each draw, so picks are made where the blocks are
+    picks = named.select(F.col("_i").alias("_k")).crossJoin(F.broadcast(n)).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))  # one row
+    picks = picks.select("draw", (draw(F.lit(str(seed)), F.col("draw").cast("string"), F.col("_k").cast("string")) % F.col("_n") + 1).alias("_i")).groupBy("draw", "_i").agg(F.count("*").alias("_c"))
     wide = lambda df: F.explode(F.array(*(F.struct(F.lit(r).alias("ratio"), F.col(r).alias("v")) for r in ratios)))
-    means = picks.join(named, "_i").groupBy("draw").agg(*(F.exp(F.avg(r)).alias(r) for r in ratios))
+    means = picks.join(named, "_i").groupBy("draw").agg(*(F.exp(F.try_divide(F.sum(F.col("_c") * F.col(r)), F.sum(F.when(F.col(r).isNotNull(), F.col("_c"))))).alias(r) for r in ratios))
     ends = means.select(wide(means).alias("r")).select("r.*").groupBy("ratio").agg(F.percentile("v", 0.025).alias("low"), F.percentile("v", 0.975).alias("high"))
     whole = named.agg(*(F.exp(F.avg(r)).alias(r) for r in ratios))
     return whole.select(wide(whole).alias("r")).select("r.ratio", F.col("r.v").alias("estimate")).join(ends, "ratio")

@@ -460,7 +460,7 @@ def paired_bootstrap(spark, d):
     arm = lambda a: F.sum(F.when(F.col("l_returnflag") == a, F.col("l_extendedprice")))
     b = _read("lineitem")(spark, d).groupBy("l_suppkey").agg(arm("A").alias("a"), arm("N").alias("n"), arm("R").alias("r")).dropna()
     blocks = b.select("l_suppkey", (F.col("a") / F.col("n")).alias("a_over_n"), (F.col("r") / F.col("n")).alias("r_over_n"))
-    return A.paired_bootstrap(blocks, "l_suppkey", ["a_over_n", "r_over_n"], 200).select("ratio", *(F.round(c, 6).alias(c) for c in ("estimate", "low", "high")))
+    return A.paired_bootstrap(O.in_order(blocks, "l_suppkey"), "rank", ["a_over_n", "r_over_n"], 200).select("ratio", *(F.round(c, 6).alias(c) for c in ("estimate", "low", "high")))
 
 
 @query("cluster_bootstrap", f"""{{raw}}WITH s AS (SELECT c_mktsegment, c_nationkey, sum(c_acctbal) AS s, count(c_acctbal) AS c, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) AS i FROM customer GROUP BY c_mktsegment, c_nationkey), z AS (SELECT c_mktsegment, max(i) AS n FROM s GROUP BY c_mktsegment),
