@@ -267,10 +267,58 @@ def motif_transitions(motifs: DataFrame) -> DataFrame:
     return goes.groupBy("motifset_id", "state", "nuc").agg(F.max_by("to", F.length("to")).alias("next_state"))
 
 
-def base_pairs(structures: DataFrame) -> DataFrame:
-    """id, i, j (from 0) of the pairs of balanced dot-bracket strings (id, structure). Within a
-    nesting level opening and closing alternate, so a partner is the next in the level."""
-    chars = structures.select("id", F.posexplode(F.filter(F.split("structure", ""), lambda c: c != "")).alias("i", "c")).where("c != '.'")
-    depth = F.sum(F.when(F.col("c") == "(", 1).otherwise(-1)).over(W.partitionBy("id").orderBy("i"))
-    level = chars.withColumn("level", depth + F.when(F.col("c") == ")", 1).otherwise(0))
-    return level.withColumn("j", F.lead("i").over(W.partitionBy("id", "level").orderBy("i"))).where("c = '('").select("id", "i", "j")
+#: Rows of a structure that are given out at once.
+AT_ONCE = 1 << 17
+
+
+def partners(structure: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Opening brackets of a dot-bracket string by level, then place: their places, their partners'
+    (-1: none) and their levels. Within a level opening and closing alternate, so a partner is the
+    next in the level."""
+    x = np.frombuffer(structure.encode("latin-1", "replace"), np.uint8)
+    at = np.flatnonzero(x != ord("."))
+    opens = x[at] == ord("(")
+    level = np.cumsum(np.where(opens, 1, -1)) + ~opens
+    order = np.argsort(level, kind="stable")
+    at, opens, level = at[order], opens[order], level[order]
+    j = np.full(len(at), -1)
+    j[:-1] = np.where(level[1:] == level[:-1], at[1:], -1)
+    return at[opens], j[opens], level[opens]
+
+
+def by_structure(structures: DataFrame, columns: dict[str, str], read, only_balanced: bool = False) -> DataFrame:
+    """id and what read(i, j, level) of each structure's partners gives by column, an array each. A
+    structure is worked out in the task that has its row, and nothing is shuffled; -1 stands for
+    null. only_balanced leaves out strings that are not balanced."""
+    types = {c: pa.from_numpy_dtype(np.dtype({"int": "int32", "long": "int64"}[t])) for c, t in columns.items()}
+
+    def run(batches):
+        for batch in batches:
+            held, size = [], 0
+            for k, structure in enumerate(batch["structure"].to_pylist()):
+                if structure and not (only_balanced and not _balanced(structure)):
+                    got = read(*partners(structure))
+                    held.append((np.full(len(got[0]), k), *got))
+                    size += len(got[0])
+                if size >= AT_ONCE or (size and k == batch.num_rows - 1):
+                    of, *values = (np.concatenate(x) for x in zip(*held, strict=True))
+                    for m in (slice(a, a + AT_ONCE) for a in range(0, size, AT_ONCE)):
+                        arrays = [pa.array(v[m], t, mask=v[m] < 0) for v, t in zip(values, types.values(), strict=True)]
+                        yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(of[m])), *arrays], ["id", *types])
+                    held, size = [], 0
+
+    kind = structures.schema["id"].dataType.simpleString()
+    return structures.select("id", "structure").mapInArrow(run, ", ".join([f"id {kind}", *(f"{c} {t}" for c, t in columns.items())]))
+
+
+def _balanced(structure: str) -> bool:
+    """functions.sequence.balanced of a string that is there already."""
+    x = np.frombuffer(structure.encode("latin-1", "replace"), np.uint8)
+    step = (x == ord("(")).astype(np.int64) - (x == ord(")"))
+    depth = np.cumsum(step)
+    return bool((step.astype(bool) | (x == ord("."))).all() and depth.min() >= 0 and depth[-1] == 0)
+
+
+def base_pairs(structures: DataFrame, only_balanced: bool = False) -> DataFrame:
+    """id, i, j (from 0) of the pairs of balanced dot-bracket strings (id, structure)."""
+    return by_structure(structures, {"i": "int", "j": "int"}, lambda i, j, level: (i, j), only_balanced)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
@@ -16,7 +16,7 @@ def validity(designs: DataFrame) -> DataFrame:
     last two are false without balance). Null and empty strings: a structure without pairs."""
     rows = designs.select("id", F.coalesce("sequence", F.lit("")).alias("sequence"), F.coalesce("structure", F.lit("")).alias("structure"))
     balanced = S.balanced(F.col("structure"))
-    pairs = C.base_pairs(rows.where(balanced).select("id", "structure")).join(rows.select("id", "sequence"), "id")
+    pairs = C.base_pairs(rows.select("id", "structure"), only_balanced=True).join(rows.select("id", "sequence"), "id")
     five, three = (F.substring("sequence", F.col(x) + 1, F.lit(1)) for x in "ij")
     told = pairs.groupBy("id").agg(F.min(S.pair_score(five, three).isNotNull().cast("int")).alias("_c"), F.min((F.col("j") - F.col("i") > 3).cast("int")).alias("_h"))
     alphabet = F.col("sequence").rlike("^[ACGU]*$") & F.col("structure").rlike("^[.()]*$")
@@ -31,41 +31,49 @@ def validity(designs: DataFrame) -> DataFrame:
     )
 
 
-def _placed(structures: DataFrame) -> DataFrame:
-    """id, i, c, parent of every opening bracket and dot inside a pair of balanced structures (id,
-    structure); parent is the opening bracket of the nearest pair around it. What is inside a pair
-    and not inside a nearer one follows it in its level: the last one that opened a level further out."""
-    opened = structures.select("id", F.posexplode(F.filter(F.split("structure", ""), lambda c: c != "")).alias("i", "c"))
-    depth = F.sum(F.when(F.col("c") == "(", 1).when(F.col("c") == ")", -1).otherwise(0)).over(W.partitionBy("id").orderBy("i"))
-    # a character's level: of a bracket its own pair's, of a dot the one of the pair around it
-    level = opened.select("id", "i", "c", (depth + F.when(F.col("c") == ")", 1).otherwise(0)).alias("level"))
-    opens = level.where("c = '('").select("id", "i", "level")
-    inside = level.where("c != ')'").withColumn("up", F.when(F.col("c") == "(", F.col("level") - 1).otherwise(F.col("level"))).where("up > 0")
-    both = opens.select("id", "i", F.col("level").alias("up"), F.lit(True).alias("open"), F.lit(None).cast("string").alias("c")).unionByName(inside.select("id", "i", "up", F.lit(False).alias("open"), "c"))
-    parent = F.last(F.when(F.col("open"), F.col("i")), ignorenulls=True).over(W.partitionBy("id", "up").orderBy("i", F.desc("open")))
-    return both.withColumn("parent", parent).where("not open").select("id", "i", "c", "parent")
+def _parents(i: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """For each opening bracket (by level, then place) which of them is the nearest around it, -1 for
+    none: the last one that opened a level further out."""
+    size = int(i.max(initial=0)) + 1
+    key = level * size + i
+    parent = np.searchsorted(key, key - size) - 1
+    return np.where((parent >= 0) & (level[parent] == level - 1), parent, -1)
+
+
+def _loops(i: np.ndarray, j: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, ...]:
+    parent = _parents(i, level)
+    inner = parent >= 0
+    branches = np.bincount(parent[inner], minlength=len(i))
+    covered = np.bincount(parent[inner], (j - i + 1)[inner], minlength=len(i)).astype(np.int64)  # whole numbers below 2**53
+    return i, j, branches, j - i - 1 - covered
+
+
+def _flanks(i: np.ndarray, j: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, ...]:
+    parent = _parents(i, level)
+    inner = parent >= 0
+    i, j, outer, end, parent = i[inner], j[inner], i[parent[inner]], j[parent[inner]], parent[inner]
+    # branches of one loop stand together, in order
+    first = np.ones(len(i), bool)
+    first[1:] = parent[1:] != parent[:-1]
+    last = np.append(first[1:], True)[: len(i)]
+    number = np.arange(len(i))
+    place = number - np.maximum.accumulate(np.where(first, number, 0)) + 1
+    before = i - np.where(first, outer, np.roll(j, 1)) - 1
+    return outer, place, i, j, before, np.where(last, end - j - 1, -1)
 
 
 def loops(structures: DataFrame) -> DataFrame:
-    """id, i, j, branches, unpaired: the loop that each pair of balanced structures (id, structure) closes."""
-    told = _placed(structures).groupBy("id", F.col("parent").alias("i")).agg(F.count_if(F.col("c") == "(").alias("branches"), F.count_if(F.col("c") == ".").alias("unpaired"))
-    zero = F.lit(0).cast("long")
-    return C.base_pairs(structures).join(told, ["id", "i"], "left").select("id", "i", "j", F.coalesce("branches", zero).alias("branches"), F.coalesce("unpaired", zero).alias("unpaired"))
+    """id, i, j, branches, unpaired: the loop that each pair of balanced structures (id, structure)
+    closes. What is inside a pair and in none of its branches is unpaired."""
+    return C.by_structure(structures, {"i": "int", "j": "int", "branches": "long", "unpaired": "long"}, _loops)
 
 
 def flanks(structures: DataFrame) -> DataFrame:
-    """id, parent, place, i, j, before, after: the branches of each loop in order (place from 1), with
-    the unpaired bases between a branch and what stands before it in its loop, and for the last
-    branch those up to the loop's end (else null). The loop is known by its pair's opening bracket;
-    the branches of one loop are put in order in one task."""
-    pairs = C.base_pairs(structures)
-    branch = _placed(structures).where("c = '('").join(pairs, ["id", "i"])
-    around = pairs.select("id", F.col("i").alias("parent"), F.col("j").alias("end"))
-    w = W.partitionBy("id", "parent").orderBy("i")
-    last = F.lead("i").over(w).isNull()
-    before = F.col("i") - F.coalesce(F.lag("j").over(w), F.col("parent")) - 1
-    rows = branch.join(around, ["id", "parent"])
-    return rows.select("id", "parent", F.row_number().over(w).cast("long").alias("place"), "i", "j", before.alias("before"), F.when(last, F.col("end") - F.col("j") - 1).alias("after"))
+    """id, parent, place, i, j, before, after: the branches of each loop of balanced structures in order
+    (place from 1), with the unpaired bases between a branch and what stands before it in its loop,
+    and for the last branch those up to the loop's end (else null). The loop is known by its pair's
+    opening bracket."""
+    return C.by_structure(structures, {"parent": "int", "place": "long", "i": "int", "j": "int", "before": "int", "after": "int"}, _flanks)
 
 
 def loop_metrics(structures: DataFrame) -> DataFrame:

@@ -232,8 +232,7 @@ flank AS (SELECT id, parent, row_number() OVER w AS place, i, j, i - coalesce(la
 @query("structure_pairs", f", {_LOOP_SQL} SELECT id, i::BIGINT AS i, j::BIGINT AS j FROM pairs")
 def structure_pairs(spark, d):
     """Base pairs of the structures of whole texts."""
-    rows = _structures(spark, d).where(S.balanced(F.col("structure")))
-    return C.base_pairs(rows).select("id", F.col("i").cast("long"), F.col("j").cast("long"))
+    return C.base_pairs(_structures(spark, d), only_balanced=True).select("id", F.col("i").cast("long"), F.col("j").cast("long"))
 
 
 @query("loop_flanks", f", {_LOOP_SQL} SELECT id, parent::BIGINT AS parent, place::BIGINT AS place, i::BIGINT AS i, j::BIGINT AS j, before::BIGINT AS before, after::BIGINT AS after FROM flank")
