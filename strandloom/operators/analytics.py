@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -185,6 +190,99 @@ def draw(*key: Column) -> Column:
 POISSON = (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815)
 
 
+#: Fixed by MD5: what is added in each of its 64 steps, and by how much it turns.
+_ADDED = np.floor(np.abs(np.sin(np.arange(1.0, 65.0))) * 2**32).astype(np.uint32)
+_TURNED = [(7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)]
+#: The greatest digests that do not yet pass POISSON's probabilities.
+_LEAST = np.floor(np.array(POISSON) * 2**32).astype(np.uint32)
+#: Rows whose digests are worked out at once, so that they stay in a core's cache.
+_CHUNK = 1 << 14
+
+
+def _digests(words: np.ndarray) -> np.ndarray:
+    """The first 32 bits of the MD5 of messages of one block; words: 16 of 32 bits each, a row a word."""
+    a, b, c, d = (np.full(words.shape[1], v, np.uint32) for v in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476))
+    f, high = np.empty_like(a), np.empty_like(a)
+    for i in range(64):
+        if i < 32:  # one of two words by the bits of a third
+            by, one, other, g = (b, c, d, i) if i < 16 else (d, b, c, (5 * i + 1) % 16)
+            np.bitwise_xor(one, other, out=f)
+            f &= by
+            f ^= other
+        elif i < 48:
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+            g = (3 * i + 5) % 16
+        else:
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
+            g = 7 * i % 16
+        f += a
+        f += words[g]
+        f += _ADDED[i]
+        turn = _TURNED[i // 16][i % 4]
+        np.left_shift(f, np.uint32(turn), out=high)
+        f >>= np.uint32(32 - turn)
+        f |= high
+        f += b
+        a, b, c, d, f = d, f, b, c, a
+    a += np.uint32(0x67452301)
+    return a.byteswap()
+
+
+def drawn_weights(keys: list[str | None], draws: int, seed: int) -> np.ndarray:
+    """The Poisson weights of rows with some keys, a row a key and a column a draw from 1 on: what
+    draw() and POISSON say, for a batch at once. A digest takes one block of 64 bytes; longer
+    keys are hashed one by one."""
+    out = np.empty((len(keys), draws), np.uint8)
+    for at in range(0, len(keys), _CHUNK):
+        texts = [b"" if k is None else b":" + k.encode() for k in keys[at : at + _CHUNK]]
+        sizes = np.array([len(t) for t in texts])
+        width = max(1, min(55, sizes.max()))
+        bytes_ = np.array([t[:width] for t in texts], f"S{width}").view(np.uint8).reshape(len(texts), width)
+        number, block, before = np.arange(len(texts)), None, 0
+        for n in range(1, draws + 1):
+            prefix = f"{seed}:{n}".encode()
+            if len(prefix) != before:
+                before = len(prefix)
+                fits = sizes + before <= 55
+                block = np.zeros((len(texts), 64), np.uint8)
+                block[:, before : before + width] = bytes_[:, : 64 - before]
+                ends = np.where(fits, sizes + before, 0)
+                block[number, ends] = 0x80
+                block[:, 56:] = (8 * ends).astype("<u8").view(np.uint8).reshape(-1, 8)
+            block[:, :before] = np.frombuffer(prefix, np.uint8)
+            found = _digests(np.ascontiguousarray(block.view("<u4").T))
+            for i in np.flatnonzero(~fits):
+                found[i] = int.from_bytes(hashlib.md5(prefix + texts[i]).digest()[:4])
+            out[at : at + len(texts), n - 1] = sum((found > c).view(np.uint8) for c in _LEAST)
+    return out
+
+
+def drawn_sums(rows: DataFrame, by: list[str], key: str, values: list[str], draws: int, seed: int) -> DataFrame:
+    """by, draw, values: sums of the values by group under each draw's Poisson weights; draw 0 is the
+    data as they are. A batch of rows is summed under all draws before anything leaves its task."""
+    kinds = [f"`{b}` {rows.schema[b].dataType.simpleString()}" for b in by]
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            w = drawn_weights(batch["_key"].to_pylist(), draws, seed)
+            w = np.concatenate([np.ones((len(w), 1)), w], axis=1)
+            v = np.column_stack([batch[c].to_numpy(zero_copy_only=False) for c in values])
+            group = batch.select(by).to_pandas().groupby(by, dropna=False, sort=False).ngroup().to_numpy() if by else np.zeros(len(w), np.int64)
+            _, first = np.unique(group, return_index=True)
+            sums = np.concatenate([w[group == g].T @ v[group == g] for g in range(len(first))])
+            keys = batch.select(by).take(pa.array(np.repeat(first, draws + 1)))
+            yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(np.tile(np.arange(draws + 1, dtype=np.int32), len(first))), *(pa.array(x) for x in sums.T)], [*by, "draw", *values])
+
+    given = rows.select(*by, F.col(key).cast("string").alias("_key"), *(F.col(v).cast("double").alias(v) for v in values))
+    parts = given.mapInArrow(run, ", ".join([*kinds, "draw int", *(f"`{v}` double" for v in values)]))
+    return parts.groupBy(*by, "draw").agg(*(F.sum(v).alias(v) for v in values))
+
+
 def bootstrap(df: DataFrame, by: list[str], key: str, value: str, draws: int, seed: int = 7) -> DataFrame:
     """by, low, high: bootstrap interval of the mean by Poisson weights. Each row, told by its
     key, has in each draw a weight of its own, so draws are sums that need no shuffle of rows."""
@@ -249,21 +347,14 @@ def slope_bootstrap(df: DataFrame, stratum: str, cluster: str, key: str, x: Colu
         v = F.col(f"y{i}") - F.col(f"m_y{i}")
         vector |= {f"sy{i}": v, f"sxy{i}": u * v}
     rows = moved.select("h", "c", "k", *(v.alias(n) for n, v in vector.items()))
-    sums = lambda weight: [F.sum(weight * F.col(n)).alias(n) for n in vector]
     sizes = rows.groupBy("h").agg(F.count("*").cast("double").alias("target"))
-
-    def weight(*of: str) -> Column:
-        p = draw(F.lit(str(seed)), F.col("draw").cast("string"), *(F.col(c).cast("string") for c in of)) / F.lit(float(1 << 32))
-        drawn = sum((F.when(p > c, 1).otherwise(0) for c in POISSON), F.lit(0))
-        return F.when(F.col("draw") == 0, 1).otherwise(drawn).cast("double")  # draw 0: the data as they are
-
-    each = F.explode(F.sequence(F.lit(0), F.lit(draws)))
-    within = rows.withColumn("draw", each).withColumn("w", weight("k")).groupBy("h", "draw").agg(*sums(F.col("w")))
-    cells = rows.groupBy("h", "c").agg(*sums(F.lit(1.0)))
+    names_of = list(vector)
+    within = drawn_sums(rows, ["h"], "k", names_of, draws, seed)
+    cells = rows.groupBy("h", "c").agg(*(F.sum(n).alias(n) for n in names_of))
     whole = cells.groupBy("c").agg(F.sum("s").alias("_all"))
     cells = same_keys(cells, whole, ["c"])
-    drawn = cells.withColumn("draw", each).withColumn("w", weight("c"))
-    plain, equal = (drawn.groupBy("h", "draw").agg(*sums(w)) for w in (F.col("w"), F.col("w") / F.col("_all")))
+    plain = drawn_sums(cells, ["h"], "c", names_of, draws, seed)
+    equal = drawn_sums(cells.select("h", "c", *((F.col(n) / F.col("_all")).alias(n) for n in names_of)), ["h"], "c", names_of, draws, seed)
     parts = []
     for scheme, part, rescaled in zip(SCHEMES, (within, plain, equal, equal), (True, True, False, True), strict=True):
         scale = F.col("target") / F.when(F.col("s") > 0, F.col("s")) if rescaled else F.lit(1.0)
@@ -291,18 +382,63 @@ def median_bootstrap(df: DataFrame, by: list[str], key: str, values: list[str],
     Poisson weights; a row, told by its key, has the same weight for all values. Groups with fewer
     than `least` values have no interval (and no draws), nor do draws without any row count.
 
-    A draw's median is an exact quantile of rows repeated by their weight: rows are copied in the
-    tasks that read them, counted before the shuffle, and only those near a median are grouped."""
+    Medians of draws lie near the median of the data: a sketch gives two values around it for each
+    group and value. Rows outside are only summed, a batch under all draws at once; those between
+    are grouped by draw. A draw whose median turns out to lie outside (rows that share few keys)
+    is done again from all rows, repeated by their weights."""
     long = F.explode(F.array(*(F.struct(F.lit(v).alias("value"), F.col(v).cast("double").alias("_x")) for v in values)))
     rows = df.select(*by, F.col(key).cast("string").alias("_k"), long.alias("_l")).select(*by, "_k", "_l.*").where("_x is not null")
-    enough = rows.groupBy(*by, "value").agg(F.count("*").alias("_c")).where(F.col("_c") >= least).drop("_c")
-    given = same_keys(rows, enough, [*by, "value"])
-    u = draw(F.lit(str(seed)), F.col("draw").cast("string"), F.col("_k")) / F.lit(float(1 << 32))
-    weight = sum((F.when(u > c, 1).otherwise(0) for c in POISSON), F.lit(0))
-    drawn = given.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("_w", weight).where("_w > 0")
-    copies = drawn.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_w"))))
-    medians = quantiles(copies, [*by, "value", "draw"], "_x", [0.5])
-    return medians.groupBy(*by, "value").agg(F.percentile("q", 0.025).alias("low"), F.percentile("q", 0.975).alias("high"), F.count("*").alias("draws"))
+    group = [*by, "value"]
+    reach = [0.5, *(4.0**-i for i in range(1, 6))]  # of a rank's share, to either side
+    shares = [x for r in reach for x in (0.5 - r, 0.5 + r)]
+    told = rows.groupBy(*group).agg(F.count("*").alias("_c"), F.percentile_approx("_x", shares, SKETCH).alias("_near")).where(F.col("_c") >= least)
+    # the share's deviation is 1 / (2 sqrt(n)); ten of these, and what the sketch is off by
+    level = sum((F.when(r >= 5 / F.sqrt("_c") + 2 / SKETCH, 1).otherwise(0) for r in reach[1:]), F.lit(0))
+    ends = told.withColumn("_i", level).select(*group, F.get("_near", 2 * F.col("_i")).alias("_lo"), F.get("_near", 2 * F.col("_i") + 1).alias("_hi"))
+    given = same_keys(rows, ends, group)
+    kinds = {b: given.schema[b].dataType.simpleString() for b in group}
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key_of = batch["_k"].dictionary_encode()
+            w = drawn_weights(key_of.dictionary.to_pylist() + [None], draws, seed)[key_of.indices.fill_null(len(key_of.dictionary)).to_numpy()]
+            x = batch["_x"].to_numpy()
+            zone = np.where(x < batch["_lo"].to_numpy(), 0, np.where(x > batch["_hi"].to_numpy(), 2, 1))
+            # rows outside become one row for their group and side, at the value next to the middle
+            cell = pd.DataFrame({i: batch[b].to_pandas() for i, b in enumerate(group)}).groupby(list(range(len(group))), dropna=False, sort=False).ngroup().to_numpy() * 2 + zone // 2
+            out = np.flatnonzero(zone != 1)
+            out = out[np.lexsort((np.where(zone[out] == 0, -x[out], x[out]), cell[out]))]
+            starts = np.flatnonzero(np.diff(cell[out], prepend=-1))
+            first, sums = out[starts], np.add.reduceat(w[out].astype(np.int64), starts) if len(out) else np.zeros((0, draws), np.int64)
+            inside = np.flatnonzero(zone == 1)
+            at, n = np.concatenate([first, inside]), np.concatenate([sums, w[inside]])
+            for m in (slice(k, k + _CHUNK) for k in range(0, len(at), _CHUNK)):
+                i, d = np.nonzero(n[m])
+                row = at[m][i]
+                keys = batch.select(group).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*keys.columns, pa.array((d + 1).astype(np.int32)), pa.array(zone[row].astype(np.int32)), pa.array(x[row]), pa.array(n[m][i, d].astype(np.int64))], [*group, "draw", "_zone", "_x", "_n"])
+
+    parts = given.mapInArrow(run, ", ".join([*(f"`{b}` {t}" for b, t in kinds.items()), "draw int, _zone int, _x double, _n long"]))
+    each = [*group, "draw"]
+    cells = parts.groupBy(*each, "_zone", F.when(F.col("_zone") == 1, F.col("_x")).alias("_in")).agg(F.sum("_n").alias("_c"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    w_all, w_upto = W.partitionBy(*each), W.partitionBy(*each).orderBy("_zone", "_in")
+    upto = cells.withColumns({"_upto": F.sum("_c").over(w_upto), "_at": 0.5 * (F.sum("_c").over(w_all) - 1)})
+    low, high = F.floor("_at"), F.ceil("_at")
+    own = F.when(F.col("_zone") == 0, F.col("_high")).otherwise(F.col("_low"))
+    pick = lambda rank: F.min_by(own, F.when(F.col("_upto") > rank, F.col("_upto")))
+    # of those below only the last is known, of those above only the first
+    far = ((F.col("_zone") == 0) & (low < F.col("_upto") - 1)) | ((F.col("_zone") == 2) & (high > F.col("_upto") - F.col("_c")))
+    medians = upto.groupBy(*each).agg(((pick(low) + pick(high)) / 2).alias("q"), F.bool_or(far).alias("_far")).persist()
+    missed = medians.where("_far").select(*each)
+    found = medians.where("not _far").select(*each, "q")
+    if not missed.isEmpty():
+        u = draw(F.lit(str(seed)), F.col("draw").cast("string"), F.col("_k")) / F.lit(float(1 << 32))
+        weight = sum((F.when(u > c, 1).otherwise(0) for c in POISSON), F.lit(0))
+        copies = same_keys(rows, missed, group).withColumn("_w", weight).where("_w > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_w"))))
+        found = found.unionByName(quantiles(copies, each, "_x", [0.5]).select(*each, "q"))
+    return found.groupBy(*group).agg(F.percentile("q", 0.025).alias("low"), F.percentile("q", 0.975).alias("high"), F.count("*").alias("draws"))
 
 
 def case_summaries(pairs: DataFrame, by: list[str], key: str, ratios: dict[str, tuple[str, str]], deltas: dict[str, tuple[str, str]], ranges: list[str], draws: int, seed: int = 7) -> DataFrame:

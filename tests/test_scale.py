@@ -1,9 +1,12 @@
 """Plans whose cost must grow no faster than the input: what they shuffle, hold and make."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strandloom.operators import analytics as A
 from strandloom.operators import coding as C
 from strandloom.operators import structures as T
 
@@ -28,3 +31,36 @@ def test_long_structures_come_in_several_batches(spark):
     assert {tuple(r) for r in got} == {(1, n, n, 0, 0), (2, 1, 1, 0, 0)}
     assert {(r.id, r.i, r.j) for r in C.base_pairs(df.where("id > 1")).collect()} == {(2, 0, n + 3), (2, 1, n + 2), (3, 0, None)}
     assert {r.id for r in C.base_pairs(df, only_balanced=True).collect()} == {1, 2}
+
+
+def weight(seed, n, key):
+    u = int(hashlib.md5(f"{seed}:{n}:{key}".encode()).hexdigest()[:8], 16) / 2**32
+    return sum(u > c for c in A.POISSON)
+
+
+def test_weights_of_a_batch_are_those_of_single_keys():
+    keys = ["", "é", *("x" * n for n in range(45, 60)), "y" * 200, *map(str, range(50))]
+    assert A.drawn_weights(keys, 12, 7).tolist() == [[weight(7, n, k) for n in range(1, 13)] for k in keys]
+    none = int(hashlib.md5(b"7:3").hexdigest()[:8], 16) / 2**32
+    assert A.drawn_weights([None], 3, 7)[0, 2] == sum(none > c for c in A.POISSON)
+
+
+def test_slopes_make_no_row_for_each_draw(spark):
+    df = spark.createDataFrame([("a", i % 4, i, float(i), float(i * i)) for i in range(40)], "h string, c int, k int, x double, y double")
+    made = plan(A.slope_bootstrap(df, "h", "c", "k", F.col("x"), {"y": F.col("y")}, 20))
+    assert made.count("MapInArrow") >= 3 and "explode(sequence" not in made
+
+
+@pytest.mark.parametrize("keys", [4000, 3])
+def test_medians_of_draws_near_the_middle_or_far_from_it(spark, keys):
+    """With few keys a draw takes whole parts of the values, and its median may be anywhere."""
+    x = np.sort(RNG.normal(size=4000))
+    rows = [("g", str(i * keys // 4000), float(v)) for i, v in enumerate(x)] + [(None, "7", 1.0), (None, "8", 2.0), (None, "9", 5.0)]
+    df = spark.createDataFrame(rows, "g string, k string, x double").repartition(3)
+    got = {r.g: r for r in A.median_bootstrap(df, ["g"], "k", ["x"], 25).collect()}
+    for g in ("g", None):
+        of = [(k, v) for h, k, v in rows if h == g]
+        drawn = [np.repeat([v for _, v in of], [weight(7, n, k) for k, _ in of]) for n in range(1, 26)]
+        medians = [np.median(d) for d in drawn if len(d)]
+        assert got[g].draws == len(medians)
+        assert np.allclose([got[g].low, got[g].high], np.quantile(medians, [0.025, 0.975]))
