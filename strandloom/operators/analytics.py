@@ -161,12 +161,28 @@ def overlaps(df: DataFrame, by: list[str], start: str, stop: str) -> DataFrame:
     return df.withColumn("busy_until", F.max(stop).over(w)).where(F.col(start) < F.col("busy_until"))
 
 
+#: Rows of a group whose pairs are looked at one by one.
+FEW = 16
+
+
 def inversions(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """by, inverted, pairs: of a group's pairs with different x, how many have their y in the
-    opposite order. No pairs are made: with y as a rank, an inverted pair agrees on the rank's
-    leading bits up to the one where the earlier row has 1 and the later one 0, so running counts
-    for each bit find all of them. Groups of one row have no pairs and are left out."""
+    opposite order. Groups of one row have no pairs and are left out. In groups of at most FEW rows
+    each row meets those before it; larger ones are counted without making pairs."""
     rows = df.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y")).where("_x is not null and _y is not null")
+    w = W.partitionBy(*by).orderBy("_x")
+    met = rows.withColumns({"_n": F.count("*").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)), "_before": F.collect_list(F.struct("_x", "_y")).over(w.rowsBetween(-FEW, -1))})
+    less = F.filter("_before", lambda b: b["_x"] < F.col("_x"))
+    each = met.where(F.col("_n") <= FEW).select(*by, F.size(less).alias("_p"), F.size(F.filter(less, lambda b: b["_y"] > F.col("_y"))).alias("_i"))
+    few = each.groupBy(*by).agg(F.sum("_i").alias("inverted"), F.sum("_p").alias("pairs")).where("pairs > 0")
+    many = rows.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > FEW).drop("_n")
+    return few.unionByName(_many_inversions(same_keys(rows, many, by), by))
+
+
+def _many_inversions(rows: DataFrame, by: list[str]) -> DataFrame:
+    """inversions of rows by, _x, _y. No pairs are made: with y as a rank, an inverted pair agrees on the rank's
+    leading bits up to the one where the earlier row has 1 and the later one 0, so running counts
+    for each bit find all of them."""
     ranked = rows.withColumn("_r", F.dense_rank().over(W.partitionBy(*by).orderBy("_y")) - 1)
     bits = F.floor(F.log2(F.max("_r").over(W.partitionBy(*by)) + F.lit(0.5)))
     each = ranked.withColumn("_bits", F.greatest(bits, F.lit(0)).cast("int")).withColumn("_bit", F.explode(F.sequence(F.lit(0), F.col("_bits"))))

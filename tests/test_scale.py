@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators import analytics as A
 from strandloom.operators import coding as C
+from strandloom.operators import run_rules as Q
 from strandloom.operators import structures as T
 from strandloom.plans import catalog
 
@@ -79,3 +80,30 @@ def test_lattices_join_nothing_and_precision_pairs_shuffle_no_sequences(spark):
     assert {i: e[0] for i, e in ends.items()} == {1: 12, 4: 9, 5: 6}
     both = C.best_designs(proteins, {"a": C.weights(table), "b": C.weights(table)})
     assert "Exchange" not in plan(both) and {r.protein_id: r.cds_a == r.cds_b for r in both.collect()} == {1: True, 4: True, 5: True}
+
+
+def test_small_groups_inversions_and_cases_keep_neither_bits_nor_sketches(spark):
+    rows = [(g, int(RNG.integers(0, 6)), float(RNG.integers(0, 6))) for g, n in ((1, 2), (2, A.FEW), (3, A.FEW + 1), (None, 5), (4, 1), (5, 90)) for _ in range(n)]
+    found = A.inversions(spark.createDataFrame(rows, "g int, x int, y double"), ["g"], "x", "y")
+    assert "collect_list" in plan(found)
+    want = {}
+    for g in {r[0] for r in rows}:
+        of = [r[1:] for r in rows if r[0] == g]
+        pairs = [(a, b) for a in of for b in of if a[0] < b[0]]
+        if pairs:
+            want[g] = sum(a[1] > b[1] for a, b in pairs), len(pairs)
+    assert {r.g: (r.inverted, r.pairs) for r in found.collect()} == want
+    runs = spark.createDataFrame([("a", t, r, "ok", True, True, s, -1.0) for t, k in (("o", 1.0), ("t", 3.0)) for r, s in ((1, k), (2, 4 * k))], "case string, tool string, repetition int, status string, valid boolean, admissible boolean, seconds double, energy double")
+    cases = Q.matched_cases(runs, "case", ("o", "t"), repetitions=2)
+    assert "percentile" not in plan(cases) and plan(cases).count("Exchange") == 1
+    assert [tuple(r) for r in cases.collect()] == [("a", True, 2.5, 7.5, 3.0)]
+
+
+def test_lines_of_diagnostics_are_written_in_one_batch_and_read_in_any_order(spark):
+    df = spark.createDataFrame([(0.1, 2.0), (None, 2.0), (float("inf"), 2.0)], "a double, b double")
+    line = Q.diagnostics_line(F.col("a"), F.col("b"), F.col("b"), F.col("b"))
+    assert plan(df.select(line)).count("_line(") and [r[0] is None for r in df.select(line).collect()] == [False, True, True]
+    good = "diagnostics cai=1 cost_unit=centikcal_mol  dp_cost=2 objective_delta=3 realized_cost=4 codon_penalty=5"
+    bad = [good.replace("cai=1", "cai=x"), good.replace("cai=1", "cai=1 cai=1"), good.replace("cai=1 ", ""), good + " more=1", good + " word", good + "\nx", good.replace("=3", "=NaN"), good.replace("centi", ""), None]
+    got = [r.d for r in spark.createDataFrame([(x,) for x in [good, *bad]], "x string").select(Q.diagnostics(F.col("x")).alias("d")).collect()]
+    assert tuple(got[0]) == (2.0, 4.0, 3.0, 5.0, 1.0) and got[1:] == [None] * len(bad)
