@@ -3,6 +3,7 @@ of those that are broken. A rule that meets a null it needs is broken."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,37 +30,45 @@ _BLANK = " \t\r\n"
 
 
 @F.pandas_udf(StringType())
-def _digits(x: pd.Series) -> pd.Series:
-    return x.map("{:.17g}".format)
-
-
-def exact_digits(x: Column) -> Column:
-    """A finite double in 17 significant digits, from which it reads back the same; else null.
-    Spark's own formats start from the shortest digits, so this takes an Arrow batch to Python."""
-    return F.when(F.abs(x) < float("inf"), _digits(F.coalesce(x, F.lit(0.0))))
+def _line(*values: pd.Series) -> pd.Series:
+    """Lines of batches of values; finite doubles in 17 significant digits read back the same."""
+    shape = "diagnostics " + " ".join(f"{k}=%.17g" for k in DIAGNOSTICS) + f" cost_unit={UNIT}"
+    rows = np.column_stack([v.to_numpy(np.float64, na_value=np.nan) for v in values])
+    fine = np.isfinite(rows).all(axis=1)
+    return pd.Series([shape % tuple(r) if ok else None for r, ok in zip(rows.tolist(), fine.tolist(), strict=True)], dtype=object)
 
 
 def diagnostics_line(dp_cost: Column, realized_cost: Column, codon_penalty: Column, cai: Column) -> Column:
-    """The line of diagnostics; null where a value is null or not finite."""
+    """The line of diagnostics; null where a value is null or not finite. Spark's own formats start
+    from a number's shortest digits, so the line is written in Python, a batch at a time."""
     values = (dp_cost, realized_cost, realized_cost - dp_cost, codon_penalty, cai)
-    parts = [F.concat(F.lit(f" {k}="), exact_digits(v)) for k, v in zip(DIAGNOSTICS, values, strict=True)]
-    return F.concat(F.lit("diagnostics"), *parts, F.lit(f" cost_unit={UNIT}"))
+    return _line(*(v.cast("double") for v in values))
 
 
 def diagnostics(line: Column) -> Column:
     """The five values of a diagnostics line as a struct; null where it is not one line of just
     these keys with finite values and the unit."""
-    keys = {*DIAGNOSTICS, "cost_unit"}
-    m = readers.key_values(F.substring(line, len("diagnostics "), F.length(line)))
-    shape = line.startswith("diagnostics ") & ~F.rtrim(line, F.lit(_BLANK)).contains("\n") & R.strict_tokens(F.substring(line, F.lit(len("diagnostics ")), F.length(line)))
+    keys = sorted((*DIAGNOSTICS, "cost_unit"))
+    rest = F.substring(line, F.lit(len("diagnostics ")), F.length(line))
+    # sorted, the tokens stand in the order of their keys, as none of these begins with another
+    tokens = F.sort_array(F.filter(F.split(F.trim(rest), r"\s+"), lambda t: t != ""))
+    shape = line.startswith("diagnostics ") & ~F.rtrim(line, F.lit(_BLANK)).contains("\n")
+
+    def read(t: Column) -> Column:
+        same = F.size(t) == len(keys)
+        for i, k in enumerate(keys):
+            same = same & F.get(t, F.lit(i)).startswith(f"{k}=")
+        value = {k: F.substring(F.get(t, F.lit(i)), len(k) + 2, 1 << 30) for i, k in enumerate(keys)}
+        values = F.struct(*(value[k].try_cast("double").alias(k) for k in DIAGNOSTICS))
+        return F.when(same & (value["cost_unit"] == UNIT), S.once(values, finite))
 
-    def read(m: Column) -> Column:
-        values = [m[k].try_cast("double") for k in DIAGNOSTICS]
-        finite = F.forall(F.array(*values), lambda v: v.isNotNull() & (F.abs(v) < float("inf")))
-        same = F.array_sort(F.map_keys(m)) == F.array(*(F.lit(k) for k in sorted(keys)))
-        return F.when(same & finite & (m["cost_unit"] == UNIT), F.struct(*(v.alias(k) for k, v in zip(DIAGNOSTICS, values, strict=True))))
+    def finite(v: Column) -> Column:
+        fine = F.lit(True)
+        for k in DIAGNOSTICS:
+            fine = fine & v[k].isNotNull() & (F.abs(v[k]) < float("inf"))
+        return F.when(fine, v)
 
-    return F.when(shape, S.once(m, read))
+    return F.when(shape, S.once(tokens, read))
 
 
 def _told(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
@@ -203,11 +212,15 @@ def matched_cases(runs: DataFrame, case: str, tools: tuple[str, str], repetition
     and the second tool, ratio is theirs / ours; null where not eligible."""
     c = F.col
     good = (c("status") == "ok") & c("valid") & c("admissible") & (c("seconds") > 0) & c("energy").isNotNull()
-    rows = runs.where(c("tool").isin(*tools))
+    rows = runs.where(c("tool").isin(*tools)).withColumn("_e", F.round(c("energy") * 100).cast("long"))
     sound = F.bool_and(F.coalesce(good, F.lit(False)))
-    full = lambda t: (F.count_if(c("tool") == t) == repetitions) & (F.count_distinct(F.when((c("tool") == t) & c("repetition").between(1, repetitions), c("repetition"))) == repetitions)
-    by = rows.groupBy(case).agg((full(tools[0]) & full(tools[1]) & sound & (F.count_distinct(F.round(c("energy") * 100).cast("long")) == 1)).alias("eligible"))
-    medians = A.arm_medians(rows.where("seconds is not null"), [case], "tool", list(tools), "seconds")
-    met = A.same_keys(by, medians, [case], "left")
-    a, b = (F.when(c("eligible"), c(t)) for t in tools)
+    # where a case is eligible each repetition has one row, so that its greatest time is its time:
+    # nothing is collected and no sketch is kept for a case
+    own = lambda t: [F.max(F.when((c("tool") == t) & (c("repetition") == r), c("seconds"))).alias(f"_{t}_{r}") for r in range(1, repetitions + 1)]
+    by = rows.groupBy(case).agg(sound.alias("_sound"), (F.min("_e") == F.max("_e")).alias("_same"), *(F.count_if(c("tool") == t).alias(f"_{t}_n") for t in tools), *(x for t in tools for x in own(t)))
+    times = lambda t: [c(f"_{t}_{r}") for r in range(1, repetitions + 1)]
+    full = lambda t: (c(f"_{t}_n") == repetitions) & F.forall(F.array(*times(t)), lambda x: x.isNotNull())
+    met = by.select(case, (full(tools[0]) & full(tools[1]) & c("_sound") & F.coalesce("_same", F.lit(False))).alias("eligible"), *(F.array_sort(F.array(*times(t))).alias(f"_{t}") for t in tools))
+    low, high = (repetitions - 1) // 2, repetitions // 2
+    a, b = (F.when(c("eligible"), (F.get(f"_{t}", F.lit(low)) + F.get(f"_{t}", F.lit(high))) / 2) for t in tools)
     return met.select(case, "eligible", a.alias("ours"), b.alias("theirs"), F.try_divide(b, a).alias("ratio"))
