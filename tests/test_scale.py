@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators import analytics as A
 from strandloom.operators import coding as C
+from strandloom.operators import motif_free as M
 from strandloom.operators import run_rules as Q
 from strandloom.operators import structures as T
 from strandloom.plans import catalog
@@ -107,3 +108,48 @@ def test_lines_of_diagnostics_are_written_in_one_batch_and_read_in_any_order(spa
     bad = [good.replace("cai=1", "cai=x"), good.replace("cai=1", "cai=1 cai=1"), good.replace("cai=1 ", ""), good + " more=1", good + " word", good + "\nx", good.replace("=3", "=NaN"), good.replace("centi", ""), None]
     got = [r.d for r in spark.createDataFrame([(x,) for x in [good, *bad]], "x string").select(Q.diagnostics(F.col("x")).alias("d")).collect()]
     assert tuple(got[0]) == (2.0, 4.0, 3.0, 5.0, 1.0) and got[1:] == [None] * len(bad)
+
+
+def automaton(motifs):
+    states = {m[:i] for m in motifs for i in range(len(m))}
+    read = {(s, n): s + n for s in states for n in "ACGU" if not any((s + n).endswith(m) for m in motifs)}
+    return {k: max((t for t in states if r.endswith(t)), key=len) for k, r in read.items()}
+
+
+def codon_costs():
+    out: dict = {}
+    for codon, aa, freq in catalog.CODONS:
+        out.setdefault(aa, []).append((codon, round(1 - freq, 1)))
+    return out
+
+
+@pytest.mark.parametrize("few", [1, M.FEW])
+@pytest.mark.parametrize("motifs", [["UCUUCU", "AGCAGC", "GAAUUC"], ["A"], ["UC", "GAA", "CCG"], ["ACAC", "GUU", "CG", "UUUUUU"], ["AUG", "UCU"]])
+def test_chunks_are_as_whole_walks(monkeypatch, motifs, few):
+    """Also where a set of states is told by no pair of residues, where none is left, and for odd letters."""
+    monkeypatch.setattr(M, "FEW", few)
+    monkeypatch.setattr(M, "STEP", 7)
+    product, costs = M.Product(codon_costs(), automaton(motifs)), {a: dict(x) for a, x in codon_costs().items()}
+    seqs = ["".join(RNG.choice([*letters], n)) for letters in ("ACDEFGHIKLMNPQRSTVWY*", "SLARNIF", "SSSSX") for n in (*range(1, 40), 500)] + ["X", "é", "S\U0001f600A"]
+    seqs.sort(key=len, reverse=True)
+    zero = np.zeros(len(seqs), np.int64)
+    want_cost, state, end, want_nodes, want_edges, _ = product.ways([("", s) for s in seqs], zero, zero - 1, zero)
+    cost, nodes, edges, cds = product.whole(seqs)
+    assert nodes.tolist() == (want_nodes + (end != 1)).tolist() and edges.tolist() == want_edges.tolist()
+    np.testing.assert_allclose(cost, want_cost)
+    for s, v, x in zip(seqs, cost, cds, strict=True):
+        assert (x is None) == np.isinf(v)
+        if x is not None:
+            assert not any(m in x for m in motifs) and sum(costs[a][x[3 * i : 3 * i + 3]] for i, a in enumerate(s)) == pytest.approx(v)
+
+
+def test_a_chunk_is_walked_once_however_often_it_occurs(monkeypatch):
+    product, walked = M.Product(codon_costs(), automaton(["UCUUCU", "AGCAGC", "GAAUUC"])), []
+    step = M.Product._step
+    monkeypatch.setattr(M.Product, "_step", lambda self, v, pair, back: (walked.append(len(v)), step(self, v, pair, back))[1])
+    words = "".join(RNG.choice([*"ACDEFGHIKLMNPQRSTVWY"], 3000))
+    product.whole([words])
+    once, steps = sum(walked), len(walked)
+    walked.clear()
+    product.whole([words * 20] * 5)
+    assert once < 1500 and sum(walked) < once + 100 and len(walked) < steps + 20
