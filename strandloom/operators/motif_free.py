@@ -291,7 +291,7 @@ def _runs(proteins: list[str]) -> Iterator[slice]:
 
 def _once(proteins: DataFrame) -> DataFrame:
     """protein_id, seq with seq worked out a single time: no filter is pushed below the generator."""
-    return proteins.select("protein_id", F.explode(F.array("seq")).alias("seq"))
+    return proteins.select(F.explode(F.array(F.struct("protein_id", "seq"))).alias("r")).select("r.*")
 
 
 def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
@@ -371,9 +371,10 @@ def motif_product(proteins: DataFrame, weighted: DataFrame, motifs: DataFrame, s
                 yield rows(batch, {c: batch[c].take(pa.array(group)) for c in ("protein_id", "k", "nodes", "edges", "feasible", "cost")} | {"cds": pa.array(np.where(ok[group], cds, None), pa.string())})
 
     short = F.length("seq") <= WHOLE * segment
-    one = _dealt(_once(proteins).where((F.length("seq") > 0) & short), "protein_id").mapInArrow(alone, f"{kind}, {_RESULT}")
+    dealt = _once(_dealt(_once(proteins), "protein_id"))  # read twice, made and dealt out once
+    one = dealt.where((F.length("seq") > 0) & short).mapInArrow(alone, f"{kind}, {_RESULT}")
     # as the join below asks for ids, so that both its sides share what is dealt out
-    many = _segments(_once(proteins).where(~short & F.col("protein_id").isNotNull()), segment)
+    many = _segments(dealt.where(~short & F.col("protein_id").isNotNull()), segment)
     lists = "costs array<double>, ends array<long>, nodes array<long>, edges array<long>"
     borders = many.mapInArrow(summed, f"{kind}, k int, {lists}").groupBy("protein_id").applyInArrow(bordered, f"{kind}, k int, start long, stop long, begun long, nodes long, edges long, feasible boolean, cost double")
     if not spell:
