@@ -150,9 +150,9 @@ def fixed_path_lattice(spark, d):
     return C.fixed_path(rows).select("protein_id", F.col("pos").cast("long").alias("pos"), "nuc", "weight")
 
 
-def _product(spark, d):
+def _product(spark, d, spell=True):
     motifs = spark.createDataFrame([("all", m) for m in MOTIFS], "motifset_id string, motif string")
-    return M.motif_product(_proteins(spark, d), C.weights(_table(spark)), motifs)
+    return M.motif_product(_proteins(spark, d), C.weights(_table(spark)), motifs, spell=spell)
 
 
 @query("motif_product")
@@ -201,7 +201,7 @@ SQL["motif_free_names"] = SQL["motif_free_names"].replace("WITH", "WITH RECURSIV
 def constraint_monotonicity(spark, d):
     """Least costs with and without the motifs forbidden; ok where the first is no less."""
     free = C.least_cost(_proteins(spark, d), C.weights(_table(spark))).select("protein_id", F.col("cost").alias("free"))
-    both = _product(spark, d).select("protein_id", "cost").join(free, "protein_id")
+    both = _product(spark, d, spell=False).select("protein_id", "cost").join(free, "protein_id")
     return both.select("protein_id", F.round("free", 6).alias("free"), F.round("cost", 6).alias("cost"), (F.col("cost") >= F.col("free") - 1e-7).alias("ok"))
 
 

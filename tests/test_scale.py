@@ -153,3 +153,14 @@ def test_a_chunk_is_walked_once_however_often_it_occurs(monkeypatch):
     walked.clear()
     product.whole([words * 20] * 5)
     assert once < 1500 and sum(walked) < once + 100 and len(walked) < steps + 20
+
+
+def test_least_costs_alone_spell_nothing(spark):
+    """As costs of sequences, of short proteins and of ones in segments; no pieces are put together."""
+    w, sets = C.weights(catalog._table(spark)), spark.createDataFrame([("s", m) for m in catalog.MOTIFS], "motifset_id string, motif string")
+    df = spark.createDataFrame([(i, "".join(RNG.choice([*"SLARNIFEX"[: 9 - (i > 2)]], n))) for i, n in enumerate((3, 50, 200, 400, 401))] + [(7, ""), (8, None)], "protein_id long, seq string")
+    alone, spelled = (M.motif_product(df, w, sets, 5, spell=x) for x in (False, True))
+    assert "collect_list" in plan(spelled) and "collect_list" not in plan(alone)
+    a, b = ({r.protein_id: r for r in x.collect()} for x in (alone, spelled))
+    assert a.keys() == b.keys() == set(range(5)) and all(r.cds is None for r in a.values()) and any(r.cds for r in b.values())
+    assert all((a[i].nodes, a[i].edges, a[i].feasible, a[i].cost) == (b[i].nodes, b[i].edges, b[i].feasible, b[i].cost) for i in a)
