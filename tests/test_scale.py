@@ -164,3 +164,38 @@ def test_least_costs_alone_spell_nothing(spark):
     a, b = ({r.protein_id: r for r in x.collect()} for x in (alone, spelled))
     assert a.keys() == b.keys() == set(range(5)) and all(r.cds is None for r in a.values()) and any(r.cds for r in b.values())
     assert all((a[i].nodes, a[i].edges, a[i].feasible, a[i].cost) == (b[i].nodes, b[i].edges, b[i].feasible, b[i].cost) for i in a)
+
+
+TABLE = {a: sorted(c for c, b, _ in catalog.CODONS if b == a) for _, a, _ in catalog.CODONS}
+
+
+def written(df, path) -> float:
+    """Bytes a row of df as one file."""
+    df.coalesce(1).write.parquet(str(path))
+    return sum(f.stat().st_size for f in path.glob("*.parquet")) / df.count()
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    rows = [(i, "".join(RNG.choice(list("ACDEFGHIKLMNPQRSTVWY"), 600 + i % 50))) for i in range(200)]
+    return spark.createDataFrame(rows, "protein_id long, seq string").coalesce(1)
+
+
+def split_up(spark, monkeypatch):
+    """Proteins with lists and stretches of a few residues each."""
+    for name, size in (("STRETCH", 7), ("TOGETHER", 40), ("LISTED", 3)):
+        monkeypatch.setattr(C, name, size)
+    seqs = ["", None, "M", "?", "?" * 60, "LRS*" * 9, "é\x00ML\U0001f600W", *("".join(RNG.choice(list("AC*LRSMW?"), n)) for n in (6, 7, 8, 30, 55, 90))]
+    rows = [(f"p{i}", s) for i, s in enumerate(seqs)]
+    return spark.createDataFrame(rows, "protein_id string, seq string").coalesce(1), {i: s for i, s in rows if s}
+
+
+def test_edges_of_any_lists_are_whole_and_take_few_bytes(spark, many, monkeypatch, tmp_path):
+    table = spark.createDataFrame([("t", *c) for c in catalog.CODONS], "table_id string, codon string, aa string, freq double")
+    weighted = C.weights(table)
+    assert written(C.lattice_edges(many, weighted), tmp_path / "edges") < 1.2
+    proteins, seqs = split_up(spark, monkeypatch)
+    cost = {r.codon: r.neg_log_w for r in weighted.collect()}
+    steps = lambda a: {(k, c[:k], c[: k + 1] if k < 2 else "", c[k], cost[c] if k == 2 else 0.0) for c in TABLE.get(a, ()) for k in range(3)}
+    want = [(i, 3 * r + k, *x) for i, s in seqs.items() for r, a in enumerate(s) for k, *x in steps(a)]
+    assert sorted(tuple(e) for e in C.lattice_edges(proteins, weighted).collect()) == sorted(want)
