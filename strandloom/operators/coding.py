@@ -205,8 +205,8 @@ def cai(sequences: DataFrame, weighted: DataFrame) -> DataFrame:
     return sequences.select("protein_id", "cds").mapInArrow(run, f"{_id(sequences)}, cai double, penalty double, protein string")
 
 
-#: Residues of a stretch, residues that are laid out together, those of a list.
-STRETCH, TOGETHER, LISTED = 1 << 14, 1 << 22, 1 << 8
+#: Residues of a stretch, residues that are laid out together, those of a list, node numbers of a block.
+STRETCH, TOGETHER, LISTED, BLOCK = 1 << 14, 1 << 22, 1 << 8, 1 << 7
 
 
 def _stretches(batches, width: np.ndarray, stretch: int, together: int):
@@ -251,31 +251,56 @@ def _prefixes(table: DataFrame) -> dict[str, list[tuple[int, str]]]:
 
 def lattice_nodes(proteins: DataFrame, table: DataFrame) -> DataFrame:
     """protein_id, pos, prefix, node: the states of each protein's codon automaton, numbered by
-    position, then prefix. A residue has one node per distinct codon prefix of 0, 1 and 2. A
-    protein is walked from its start, a stretch at a time."""
-    of = _prefixes(table)
-    width = np.zeros(256, np.int64)
-    width[[ord(a) for a in of]] = [len(nodes) for nodes in of.values()]
+    position, then prefix. A residue has one node per distinct codon prefix of 0, 1 and 2.
+
+    There are several nodes for each letter read, and how many bytes a file in columns takes for them
+    hangs on their order. Many proteins are given out side by side, a block of node numbers at a time,
+    those with most nodes first: numbers and positions are then much the same again and again."""
+    of = list(_prefixes(table).items())
+    spans, code = [], {}  # what a letter's code stands for: its nodes from a to b; a block may end within them
+    for c, nodes in enumerate([*(nodes for _, nodes in of), [(0, "")]]):
+        for a, b in [(0, len(nodes)), *((0, j) for j in range(1, len(nodes))), *((j, len(nodes)) for j in range(1, len(nodes)))]:
+            code[c, a, b] = len(spans)
+            spans.append([(n, *nodes[n]) for n in range(a, b)])
+    rank, end, block, sizes = np.full(256, len(of) + 1, np.uint8), len(of), BLOCK, (STRETCH, TOGETHER // 2)
+    rank[[ord(a) for a, _ in of]] = range(len(of))
+    width = np.array([*(len(nodes) for _, nodes in of), 1, 0])
+    span = np.zeros((len(width), width.max() + 1, width.max() + 1), np.int32)
+    span[tuple(np.array(list(code)).T)] = list(code.values())
 
     def run(batches):
-        for batch in batches:
-            for i, seq in enumerate(batch["seq"].to_pylist()):
-                if not seq:
-                    continue
-                one, x, node = batch["protein_id"].slice(i, 1), np.frombuffer(seq.encode("latin-1", "replace"), np.uint8), 0
-                x = np.append(x, 0)  # the end's node
-                for at in range(0, len(x), STRETCH):
-                    part = x[at : at + STRETCH]
-                    ends = node + np.cumsum(width[part])
-                    columns = [one.take(pa.array(np.zeros(len(part), np.int64))), pa.array(at + np.arange(len(part))), pa.array(part.astype(np.int32)), pa.array(ends - width[part])]
-                    yield pa.RecordBatch.from_arrays(columns, ["protein_id", "r", "c", "first"])
-                    node = int(ends[-1])
-
-    rows = proteins.select("protein_id", "seq").mapInArrow(run, f"{_id(proteins)}, r long, c int, first long")
+        for held in _stretches(batches, width[rank], *sizes):
+            cs, rs, firsts, lasts = [], [], [], []
+            for _, at, x, last, before in held:
+                c = rank[x]
+                r = np.flatnonzero(c <= end).astype(np.int32)
+                c, r = (np.append(c[r], np.uint8(end)), np.append(r, np.int32(len(x)))) if last else (c[r], r)
+                ends = before + np.cumsum(width[c])
+                cs.append(c)
+                rs.append(r + np.int32(at))
+                firsts.append(ends - width[c])
+                lasts.append(ends[-1] if len(c) else before)
+            order = np.argsort(-np.array(lasts), kind="stable")
+            place = np.empty(len(held), np.int32)
+            place[order] = range(len(held))
+            p = np.repeat(place, [len(c) for c in cs])
+            c, r, first = np.concatenate(cs), np.concatenate(rs), np.concatenate(firsts)
+            most = np.minimum(width[c], block - first % block)  # nodes of a residue in its first block
+            again = np.repeat(np.arange(len(c), dtype=np.int32), 1 + (most < width[c]))
+            tail = np.append(False, again[1:] == again[:-1])
+            c, r, first, p, most = c[again], r[again], first[again], p[again], most[again]
+            key = (first // block + tail) * len(held) + p
+            by = np.argsort(key, kind="stable")
+            key, codes = key[by], np.where(tail, span[c, most, width[c]], span[c, 0, most])[by]
+            starts = np.flatnonzero(np.append(key[:1] == key[:1], key[1:] != key[:-1]))
+            ids = pa.concat_arrays([one for one, *_ in held]).take(pa.array(order[key[starts] % len(held)]))
+            yield from _lists(starts, {"protein_id": ids}, {"r": r[by], "c": codes, "first": first[by]})
+
+    rows = proteins.select("protein_id", "seq").mapInArrow(run, f"{_id(proteins)}, at array<struct<r int, c int, first long>>")
     node = lambda n, k, p: F.struct(F.lit(n).cast("long").alias("n"), F.lit(k).cast("long").alias("k"), F.lit(p).alias("p"))
-    made = by_letter({ord(a): [node(n, k, p) for n, (k, p) in enumerate(nodes)] for a, nodes in of.items()} | {0: [node(0, 0, "")]})
-    placed = rows.select("protein_id", "r", "first", F.explode(F.get(made, F.col("c"))).alias("s"))
-    return placed.select("protein_id", (F.col("r") * 3 + F.col("s.k")).alias("pos"), F.col("s.p").alias("prefix"), (F.col("first") + F.col("s.n")).alias("node"))
+    made = by_letter({i: [node(*x) for x in nodes] for i, nodes in enumerate(spans)})
+    placed = rows.select("protein_id", F.explode("at").alias("at")).select("protein_id", "at.r", "at.first", F.explode(F.get(made, F.col("at.c"))).alias("s"))
+    return placed.select("protein_id", (F.col("r").cast("long") * 3 + F.col("s.k")).alias("pos"), F.col("s.p").alias("prefix"), (F.col("first") + F.col("s.n")).alias("node"))
 
 
 def by_letter(of: dict[int, list[Column]]) -> Column:

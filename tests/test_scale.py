@@ -182,8 +182,8 @@ def many(spark):
 
 
 def split_up(spark, monkeypatch):
-    """Proteins with lists and stretches of a few residues each."""
-    for name, size in (("STRETCH", 7), ("TOGETHER", 40), ("LISTED", 3)):
+    """Proteins with lists, blocks and stretches of a few residues each."""
+    for name, size in (("STRETCH", 7), ("TOGETHER", 40), ("LISTED", 3), ("BLOCK", 8)):
         monkeypatch.setattr(C, name, size)
     seqs = ["", None, "M", "?", "?" * 60, "LRS*" * 9, "é\x00ML\U0001f600W", *("".join(RNG.choice(list("AC*LRSMW?"), n)) for n in (6, 7, 8, 30, 55, 90))]
     rows = [(f"p{i}", s) for i, s in enumerate(seqs)]
@@ -199,3 +199,14 @@ def test_edges_of_any_lists_are_whole_and_take_few_bytes(spark, many, monkeypatc
     steps = lambda a: {(k, c[:k], c[: k + 1] if k < 2 else "", c[k], cost[c] if k == 2 else 0.0) for c in TABLE.get(a, ()) for k in range(3)}
     want = [(i, 3 * r + k, *x) for i, s in seqs.items() for r, a in enumerate(s) for k, *x in steps(a)]
     assert sorted(tuple(e) for e in C.lattice_edges(proteins, weighted).collect()) == sorted(want)
+
+
+def test_nodes_of_any_blocks_are_whole_and_take_few_bytes(spark, many, monkeypatch, tmp_path):
+    table = spark.createDataFrame([("t", *c) for c in catalog.CODONS], "table_id string, codon string, aa string, freq double")
+    assert written(C.lattice_nodes(many, table), tmp_path / "nodes") < 2
+    proteins, seqs = split_up(spark, monkeypatch)
+    want = []
+    for i, s in seqs.items():
+        nodes = [(3 * r + k, x) for r, a in enumerate(s) for k, x in sorted({(k, c[:k]) for c in TABLE.get(a, ()) for k in range(3)})]
+        want += [(i, *x, n) for n, x in enumerate([*nodes, (3 * len(s), "")])]
+    assert sorted(tuple(r) for r in C.lattice_nodes(proteins, table).collect()) == sorted(want)
